@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from registrum.llm.licenses import op4_license_scans
+from registrum.llm.packing import op2_best_fit_packing
 from registrum.llm.quality_rules import op9_quality_rules
+from registrum.llm.secrets import op6_secret_scans
 from registrum.llm.simhash import op3_simhash_near_dedup
+from registrum.llm.tokens import op7_token_counts
 
-QUERIES = {q.__name__: q for q in (op3_simhash_near_dedup, op9_quality_rules)}
+QUERIES = {q.__name__: q for q in (op2_best_fit_packing, op3_simhash_near_dedup, op4_license_scans, op6_secret_scans, op7_token_counts, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
