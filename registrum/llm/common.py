@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
 
+#: Separators become spaces and A-Z lower case; bytes from 0x80 on stay.
+_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+
+
+def words(text: str) -> list[bytes]:
+    """Runs of ASCII letters (as lower case), digits and characters beyond ASCII, in UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

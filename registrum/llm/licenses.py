@@ -21,14 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import batches, doc_texts, documents
+from registrum.llm.common import batches, doc_texts, documents, words
 
 #: Words looked up in a document, and the share of a template's weight that must agree at one start.
 RARE, SHARE = 24, 0.6
 
-#: Separators become spaces and A-Z lower case; bytes from 0x80 on stay.
-_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-
 #: Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -50,10 +47,6 @@ TEMPLATES = (
 )
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
-
-
 @dataclass(frozen=True)
 class Template:
     label: str
