@@ -12,7 +12,7 @@ from registrum.llm.tokens import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the strict policy keeps."""
-    bad = quality_rules.apply_policy(quality_rules.ledger(docs), quality_rules.STRICT).filter("not kept").select("doc_id").distinct()
+    bad = quality_rules.apply_policy(quality_rules.stored_ledger(docs), quality_rules.STRICT).filter("not kept").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti")
 
 

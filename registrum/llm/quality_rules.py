@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import SPACE, doc_texts, documents
+from registrum.llm.common import SPACE, doc_texts, documents, staged
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 SYMBOLS = "#*$%&|<>"
@@ -91,6 +91,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("fail_bits", bits)
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """ledger() written once: policies and ablations read it, and filters on its bits don't repeat the rules' expressions."""
+    return staged(ledger(docs), "quality-ledger")
+
+
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
     """Adds policy (version) and kept: no rule of the policy failed."""
     return rows.withColumns({"policy": F.lit(policy.version), "kept": F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0})
