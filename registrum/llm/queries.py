@@ -5,6 +5,7 @@ from __future__ import annotations
 from registrum.llm.decontaminate import op1_benchmark_decontamination
 from registrum.llm.licenses import op4_license_scans
 from registrum.llm.packing import op2_best_fit_packing
+from registrum.llm.personal_data import op5_personal_data
 from registrum.llm.quality_model import op8_quality_classifier
 from registrum.llm.quality_rules import op9_quality_rules
 from registrum.llm.repeats import op10_suffix_array_dedup
@@ -12,6 +13,6 @@ from registrum.llm.secrets import op6_secret_scans
 from registrum.llm.simhash import op3_simhash_near_dedup
 from registrum.llm.tokens import op7_token_counts
 
-QUERIES = {q.__name__: q for q in (op1_benchmark_decontamination, op2_best_fit_packing, op3_simhash_near_dedup, op4_license_scans, op6_secret_scans, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_suffix_array_dedup)}
+QUERIES = {q.__name__: q for q in (op1_benchmark_decontamination, op2_best_fit_packing, op3_simhash_near_dedup, op4_license_scans, op5_personal_data, op6_secret_scans, op7_token_counts, op8_quality_classifier, op9_quality_rules, op10_suffix_array_dedup)}
 
 ORACLES: dict[str, str] = {}
