@@ -1,0 +1 @@
+"""Relational operators of the register pipeline: each takes and returns DataFrames."""
