@@ -103,4 +103,4 @@ def retry_after_seconds(c: Column | str, now: Column, most: float) -> Column:
     t = F.trim(col(c))
     at = F.try_to_timestamp(F.regexp_replace(t, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     s = F.coalesce(F.when(t.rlike(r"^\d+(\.\d+)?$"), t.try_cast("double")), F.unix_timestamp(at) - F.unix_timestamp(now))
-    return F.greatest(F.lit(0.0), F.least(F.lit(float(most)), s))
+    return F.when(s.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(most)), s)))  # least and greatest skip nulls
