@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A first pass counts, over all documents, in how many each n-gram of the test items occurs; only these counts leave it. For
-every run of SPREAD n-grams of an item the rarest is its seed, so a copied run of SPREAD + N - 1 words holds a seed whatever
-else was edited, and n-grams that much text shares aren't looked up. A second pass joins passages to items by their seeds
+every run of SPREAD n-grams of an item the rarest that occurs is its seed, so a copied run of SPREAD + N - 1 words holds a seed
+whatever else was edited, and n-grams that much text shares aren't looked up where rarer ones stand beside them. A second pass joins passages to items by their seeds
 and aligns each passage, with room for insertions, to the item. An alignment scores 2 for equal words, -1 for others and for
 gaps, as a share of the score of an exact copy.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from registrum.llm.common import batches, doc_texts, documents, words
 
-N, SPREAD = 5, 8
+N, SPREAD = 5, 3
 #: Least share of an exact copy's score, and least equal words (or the item's length).
 SCORE, EQUAL = 0.6, 8
 BLOCK_BYTES = 32 << 20
@@ -80,9 +80,10 @@ class Grams:
         return (np.concatenate(found), np.concatenate(at)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def seeds(self, frequency: np.ndarray) -> np.ndarray:
-        """Of each run of SPREAD n-grams of an item, the rarest (ties: the first); frequency by n-gram."""
+        """Of each run of SPREAD n-grams of an item, the rarest that occurs at all (ties: the first); frequency by n-gram."""
         number = {h: g for g, h in enumerate(self.hash.tolist())}
         chosen = np.zeros(len(self.hash), bool)
+        frequency = np.where(frequency > 0, frequency, np.iinfo(np.int64).max)
         for w in self.items:
             if len(w):
                 g = np.array([number[h] for h in self.hashes(w, min(self.n, len(w))).tolist()])
