@@ -1,7 +1,7 @@
 """A quality classifier with supervised subword embeddings.
 
 A word has one vector for itself and one for each of its character n-grams (with marks at its ends), all from one hashed
-table. A document is the average of its words' vectors; a softmax over two classes scores it. Table and output are trained
+table. Of word bigrams only whether both words are equal has a vector, which stands for texts that stammer. A document is the average of its words' vectors; a softmax over two classes scores it. Table and output are trained
 together by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows (SAMPLE), which is
 drawn by a hash of doc_id alone. Scoring covers all rows: the model is linear in the average, so each word carries one
 number, kept in a bounded cache.
@@ -16,6 +16,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ SAMPLE = 4000
 BUCKETS, WIDTH = 1 << 16, 8
 LEAST, MOST = 3, 4
 EPOCHS, RATE = 4, 0.5
+#: Bucket of a word that repeats the one before, and how many units it counts as.
+SAME, WEIGHT = 0, 8
 CACHE = 300_000
 THRESHOLD = 0.3
 
@@ -43,9 +46,12 @@ def units(word: str) -> list[int]:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares."""
     n: Counter = Counter()
-    for w, c in Counter(text.split()).items():
+    words = text.split()
+    for w, c in Counter(words).items():
         for u in units(w):
             n[u] += c
+    if same := sum(map(eq, words, words[1:])):
+        n[SAME] += WEIGHT * same
     if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     k, v = np.fromiter(n.keys(), np.int32), np.fromiter(n.values(), np.float32)
@@ -118,8 +124,10 @@ def scored(docs: DataFrame, unit: np.ndarray, bias: float) -> DataFrame:
         for ids, texts in batches(it, "doc_id", "text"):
             out = []
             for t in texts:
-                x = [known.get(w) or look(w) for w in t.split()]
-                z = (math.fsum([a for a, _ in x]) / sum([n for _, n in x]) if x else 0.0) + bias
+                words = t.split()
+                x = [known.get(w) or look(w) for w in words]
+                same = WEIGHT * sum(map(eq, words, words[1:]))
+                z = ((math.fsum([a for a, _ in x]) + same * table[SAME]) / (sum([n for _, n in x]) + same) if x else 0.0) + bias
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
