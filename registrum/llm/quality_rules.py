@@ -122,3 +122,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(documents(spark, sf_dir)), STRICT)
     failed = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "fail_bits")
+
+
+_SPLIT = r"[\x20\x09-\x0D]+"
+OP9_SQL = rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '{_SPLIT}'), lambda x: x <> '') w,
+  list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '{_SPLIT}', '', 'g')) > 0) l from d),
+u as (select rid, unnest(w) a, generate_subscripts(w, 1) i from w),
+g as (select rid, i, a, lead(a, 1) over o b, lead(a, 2) over o c from u window o as (partition by rid order by i)),
+k as (select rid, i, count(*) over (partition by rid, a, b, c) n from g where c is not null),
+p as (select rid, count(distinct i + j) covered from k, (values (0), (1), (2)) v(j) where n > 1 group by rid),
+m as (select rid, doc_id, len(w)::bigint n_words, length(regexp_replace(t, '{_SPLIT}', '', 'g'))::bigint word_chars,
+  length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g'))::bigint n_symbols, length(regexp_replace(t, '[^{UPPER}]', '', 'g'))::bigint n_upper,
+  length(regexp_replace(t, '[^!]', '', 'g'))::bigint n_exclaim, len(l)::bigint n_lines, (len(l) - len(list_distinct(l)))::bigint n_dup_lines,
+  coalesce(covered, 0)::bigint n_repeat_words from w left join p using (rid)),
+b as (select *, ({" + ".join(f"(case when {c} then {1 << i} else 0 end)" for i, (_, c) in enumerate(RULES))})::bigint fail_bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+  fail_bits = 0 kept, fail_bits from b"""
