@@ -72,12 +72,24 @@ def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else quote(urljoin(b or "", h.strip()), safe="%/:=&?~#+!$,;'@()*[]") for b, h in zip(base, href)])
 
 
+#: Viewers and the downloads they stand for.
+VIEWERS = [("documentviewer.do", "documentdownload.do"), ("documentviewer", "documentdownload"), ("viewdocument", "downloadDocument")]
+
+
 def document_candidates(url: Column | str) -> Column:
-    """Download forms of a document URL, in order: viewers as downloads, then itself."""
+    """Addresses to try for a document, each once: itself, downloads in place of viewers, with a module named, by id beside the path."""
     u = col(url)
-    viewer = F.when(u.rlike("(?i)/view(document|file)?/"), F.regexp_replace(u, "(?i)/view(document|file)?/", "/download$1/"))
-    module = F.when(F.contains(F.lower(u), F.lit("runthirdpartysearch")), set_param(u, "module", "planning"))
-    return F.array_distinct(F.array_compact(F.array(viewer, module, u)))
+    p, bare = F.lower(path(u)), F.regexp_extract(u, r"^([^?]*)", 1)
+    query = F.regexp_extract(u, r"\?([^#]*)", 1)
+    swapped = [F.when(F.contains(F.lower(u), F.lit(a)), F.regexp_replace(u, "(?i)" + a.replace(".", r"\."), b)) for a, b in VIEWERS]
+    keyed = F.lower(u).rlike("[?&]keyval=")
+    viewer, download = F.contains(p, F.lit("documentviewer.do")), F.contains(p, F.lit("documentdownload.do"))
+    target = F.regexp_replace(bare, r"(?i)documentviewer\.do", "documentdownload.do")
+    named = F.when(keyed & (viewer | download) & ~F.lower(u).rlike("[?&]module="), F.concat(target, F.lit("?module=planning&"), query))
+    ident = F.coalesce(*[query_param(u, n) for n in ("id", "documentId", "docid")])
+    up = F.regexp_replace(F.regexp_replace(bare, r"[^/]*$", ""), r"[^/]+/$", "")
+    by_id = F.when(~F.contains(p, F.lit("download")) & ident.isNotNull() & contains_any(p, ["view", "document"]), F.concat(up, F.lit("DownloadDocument?id="), F.url_encode(ident)))
+    return F.array_distinct(F.array_compact(F.array(u, *swapped, named, by_id)))
 
 
 def host_key(authority: Column, scraper: Column, family: Column, listing: Column, base: Column, aggregator: str) -> Column:

@@ -26,7 +26,25 @@ FAMILIES: dict[str, tuple[str, dict[str, list[str]]]] = {
     "arcus": ("$.actions[0].returnValue.returnValue.records", {"uid": ["Id"], "reference": ["Name"], "address": ["Site_Address__c", "arcusbuiltenv__Site_Address__c"], "description": ["Proposal__c", "arcusbuiltenv__Proposal__c"], "date_received": ["Received_Date__c", "arcusbuiltenv__Received_Date__c"], "date_validated": ["Valid_Date__c", "arcusbuiltenv__Valid_Date__c"], "status": ["Status__c", "arcusbuiltenv__Status__c"]}),
     "agile": ("$.results", {"uid": ["id"], "reference": ["reference"], "address": ["location"], "description": ["proposal"], "status": ["status"], "date_received": ["receivedDate", "registrationDate"], "date_validated": ["validDate"]}),
     "civica": ("$.planningData", {"uid": ["refval"], "reference": ["refval"], "address": ["addressline"], "description": ["proposal"], "status": ["dcstat_text"], "date_received": ["dateaprecv_text"], "date_validated": ["dateapval_text"], "applicant_name": ["appname"], "agent_name": ["agtname"], "case_officer": ["officer_name"], "ward": ["ward_text"], "parish": ["parish_text"]}),
+    "wiltshire": ("$.records", {"uid": ["Id"], "reference": ["Name", "Id"], "address": ["arcusbuiltenv__Site_Address__c"], "description": ["Hidden_Proposal__c", "arcusbuiltenv__Proposal__c"], "status": ["arcusbuiltenv__Status__c"], "date_validated": ["arcusbuiltenv__Valid_Date__c"]}),
+    "eastleigh": ("$.records", {"uid": ["Id"], "reference": ["Name", "Id"], "address": ["arcusbuilt__SiteAddress__r.Name", "arcusbuilt__Site_Address__c"], "description": ["arcusbuilt__Proposal__c"], "status": ["arcusbuilt__Status__c"], "decision": ["arcusbuilt__Last_Decision__c"], "date_received": ["arcusbuilt__ReceivedDate__c"], "date_validated": ["arcusbuilt__Validation_Date__c"]}),
+    "carmarthenshire": ("$.records", {"uid": ["Id"], "reference": ["Name"], "address": ["arcusbuiltenv__Site_Address__c"], "description": ["Hidden_Proposal__c"], "status": ["arcusbuiltenv__Status__c"], "date_received": ["arcusbuiltenv__Registration_Date__c"], "ward": ["arcusbuiltenv__Wards__c"], "parish": ["arcusbuiltenv__Parishes__c"], "docs_url": ["Documents_URL__c"]}),
+    "stratford": ("$", {"uid": ["id", "reference"], "reference": ["reference"], "url": ["link"], "address": ["address"], "description": ["proposal"], "status": ["status"], "decision": ["decision"], "date_validated": ["validDate"]}),
+    "achieveforms": ("$", {"uid": ["referenceNumber", "reference"], "reference": ["referenceNumber", "reference"], "address": ["location"], "description": ["description"], "status": ["applicationStatus"], "decision": ["decision"], "date_received": ["dateReceived", "ReceivedDate"], "date_validated": ["dateAccepted", "Adate"], "applicant_name": ["applicant"], "agent_name": ["agent"], "case_officer": ["officer"]}),
 }
+#: Attribute names of the entity grid's records.
+GRID = {"uid": "new_wamplanningid", "reference": "new_name", "address": "new_concatenatedaddress", "description": "new_development_desc", "status": "new_application_status", "date_received": "new_registration_date"}
+
+
+def grid_applications(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Applications of entity-grid pages, whose records are attribute lists; incomplete records have complete = false."""
+    kind = "array<struct<Name: string, DisplayValue: string, FormattedValue: string, Value: string>>"
+    r = json_records(payloads, body, "$.Records").withColumn("a", attribute_map(F.from_json(F.get_json_object("record", "$.Attributes"), kind), ["Name"], ["DisplayValue", "FormattedValue", "Value"]))
+    c = {k: blank_to_null(F.col("a")[v]) for k, v in GRID.items()}
+    c["uid"] = F.coalesce(blank_to_null(F.get_json_object("record", "$.Id")), c["uid"])
+    c["date_received"] = parse_council_date(c["date_received"])
+    out = r.select(*payloads.columns, "ordinal", *[v.alias(k) for k, v in c.items()])
+    return out.withColumns({"complete": F.col("uid").isNotNull() & F.col("reference").isNotNull(), "postcode": extract_postcode("address")})
 
 
 def json_records(payloads: DataFrame, body: str, path: str = "$") -> DataFrame:
