@@ -127,18 +127,18 @@ def date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.in_window(d, START, END).alias("required"), dates.in_window_or_unknown(d, START, END).alias("tolerant"), dates.in_window_or_unknown(d, START, None).alias("since"))
 
 
-@query("select user_id, unnest(generate_series(date_trunc('week', min(ts))::date, max(ts)::date, interval 7 day))::date as \"week\" from events where user_id % 5 = 0 group by user_id")
+@query("select user_id, unnest(generate_series(date_trunc('week', min(ts))::date, max(ts)::date, interval 7 day))::date as \"week\" from events group by user_id")
 def week_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mondays of the weeks each fifth user's events span."""
-    e = table(spark, sf_dir, "events").filter("user_id % 5 = 0").groupBy("user_id").agg(F.min("ts").cast("date").alias("s"), F.max("ts").cast("date").alias("e"))
+    """Mondays of the weeks each user's events span."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").cast("date").alias("s"), F.max("ts").cast("date").alias("e"))
     return e.select("user_id", F.explode(dates.week_starts(F.col("s"), F.col("e"))).alias("week"))
 
 
-@query("with d as (select o_custkey, o_orderdate::date d from orders where o_orderkey % 20 = 0) select o_custkey, d, unnest(generate_series(d, d + 3, interval 1 day))::date as \"day\", date_trunc('week', d)::date - 7 prev_start, date_trunc('week', d)::date - 1 prev_end, dayofweek(d) = 1 and dayofweek(d + 6) = 0 whole from d")
+@query("with d as (select o_orderkey, o_orderdate::date d from orders) select o_orderkey, d, unnest(generate_series(d, d + 3, interval 1 day))::date as \"day\", date_trunc('week', d)::date - 7 prev_start, date_trunc('week', d)::date - 1 prev_end, dayofweek(d) = 1 and dayofweek(d + 6) = 0 whole from d")
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select("o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
     p = dates.previous_week(F.col("d"))
-    return o.select("o_custkey", "d", F.explode(dates.days(F.col("d"), F.date_add("d", 3))).alias("day"), p["start"].alias("prev_start"), p["end"].alias("prev_end"), dates.whole_weeks(F.col("d"), F.date_add("d", 6)).alias("whole"))
+    return o.select("o_orderkey", "d", F.explode(dates.days(F.col("d"), F.date_add("d", 3))).alias("day"), p["start"].alias("prev_start"), p["end"].alias("prev_end"), dates.whole_weeks(F.col("d"), F.date_add("d", 6)).alias("whole"))
 
 
 @query("with e as (select user_id, ts, coalesce(epoch(ts)::bigint - epoch(lag(ts) over w)::bigint > 7200, true)::int f, event_id from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(f) over (partition by user_id order by ts, event_id rows unbounded preceding) session from e) select user_id, session::bigint as \"session\", count(*) n, min(ts) started, max(ts) ended from s group by user_id, session")
