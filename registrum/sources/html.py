@@ -44,7 +44,7 @@ class _Tree(HTMLParser):
             for k in range(len(self.open) - 1, -1, -1):
                 name = self.rows[self.open[k]][1]
                 if name in _CLOSES[tag]:
-                    self.close(k)
+                    self.end(k)
                     break
                 if name in _SCOPE:
                     break
@@ -52,7 +52,7 @@ class _Tree(HTMLParser):
         if tag not in _VOID:
             self.open.append(len(self.rows) - 1)
 
-    def close(self, k: int) -> None:
+    def end(self, k: int) -> None:
         for i in self.open[k:]:
             self.rows[i][4] = len(self.rows) - 1
         del self.open[k:]
@@ -60,7 +60,7 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[k]][1] == tag:
-                return self.close(k)
+                return self.end(k)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.rows[self.open[-1]][1] in ("script", "style"):
@@ -73,7 +73,8 @@ class _Tree(HTMLParser):
 def parse(html: str) -> list[tuple]:
     t = _Tree()
     t.feed(html or "")
-    t.close(0) if isinstance(t.open, list) and t.open else None
+    t.close()
+    t.end(0)
     return [(i, p, tag, list(a.items()), "".join(text), last) for i, (p, tag, a, text, last) in enumerate(t.rows)]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from registrum.functions.dates import parse_council_date
 from registrum.functions.text import blank_to_null, extract_postcode
 
-#: Records path and, by column, the JSON fields in order of preference.
+# --- fixed values: by family where its records are and, by column, their JSON fields in order of preference ------------
 FAMILIES: dict[str, tuple[str, dict[str, list[str]]]] = {
     "aggregator": ("$.records", {"uid": ["uid"], "reference": ["reference", "uid", "name"], "url": ["url", "link"], "address": ["address"], "description": ["description"], "status": ["other_fields.status", "app_state"], "date_received": ["other_fields.date_received", "start_date"], "date_validated": ["other_fields.date_validated"], "applicant_name": ["other_fields.applicant_name"], "agent_name": ["other_fields.agent_name"], "case_officer": ["other_fields.case_officer"], "parish": ["other_fields.parish"], "postcode": ["postcode"], "x": ["location_x"], "y": ["location_y"]}),
     "statmap": ("$.records", {"uid": ["id", "name"], "reference": ["name", "id"], "address": ["address"], "description": ["proposal"], "status": ["status"], "date_received": ["receivedDate"]}),
@@ -32,7 +32,7 @@ FAMILIES: dict[str, tuple[str, dict[str, list[str]]]] = {
     "stratford": ("$", {"uid": ["id", "reference"], "reference": ["reference"], "url": ["link"], "address": ["address"], "description": ["proposal"], "status": ["status"], "decision": ["decision"], "date_validated": ["validDate"]}),
     "achieveforms": ("$", {"uid": ["referenceNumber", "reference"], "reference": ["referenceNumber", "reference"], "address": ["location"], "description": ["description"], "status": ["applicationStatus"], "decision": ["decision"], "date_received": ["dateReceived", "ReceivedDate"], "date_validated": ["dateAccepted", "Adate"], "applicant_name": ["applicant"], "agent_name": ["agent"], "case_officer": ["officer"]}),
 }
-#: Attribute names of the entity grid's records.
+# --- fixed values: attribute names of the entity grid's records --------------------------------------------------------
 GRID = {"uid": "new_wamplanningid", "reference": "new_name", "address": "new_concatenatedaddress", "description": "new_development_desc", "status": "new_application_status", "date_received": "new_registration_date"}
 
 
