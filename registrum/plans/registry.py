@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.functions import dates, files, fixed, geometry, text, urls
+from registrum.operators import documents as D
 from registrum.operators import relations as R
+from registrum.plans import catalogue as C
 from registrum.plans import leads
 from registrum.sources import html, payloads
+from registrum.sources import listings as L
 from registrum.streaming import limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,3 +397,105 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "nation").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("authority"), F.col("n_nationkey").alias("ordinal"), F.lit(1).alias("attempt"), (F.col("n_nationkey") % 9 == 0).alias("failed"), F.coalesce("n", F.lit(0)).alias("n"))
     found = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 1").select(F.col("c_custkey").alias("Reference"))
     return leads.run_summary(a, found, ["gates"], "2020-01-02", "03:04:05").drop("% Relevant")
+
+
+@query("select s_nationkey, 'P/AB/2026/' || s_suppkey reference, s_name || ' Road' address, 'Gates for ' || s_suppkey description, 'Granted' decision from supplier")
+def free_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records cut from running text by one pattern."""
+    line = F.expr("'P/AB/2026/' || s_suppkey || ' Location: ' || s_name || ' Road  Proposal: Gates for ' || s_suppkey || ' Decision: Granted Decision Date: View this application '")
+    p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(line), "").alias("t"))
+    return L.free_text_records(p, "t", "cced").select("s_nationkey", "reference", "address", "description", "decision")
+
+
+@query("select s_nationkey, s_suppkey::varchar reference, s_name address, 'Gates ' || s_suppkey description, '2026-06-05' date_received from supplier")
+def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = "'<a href=\"/OnlinePlanningOverview?applicationNumber=' || s_suppkey || '\">'"
+    card = F.expr(f"{a} || s_name || '</a>' || {a} || 'No ' || s_suppkey || ' | Registered: 05/06/2026</a>' || {a} || 'Gates ' || s_suppkey || '</a>'")
+    p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(card), "").alias("html"))
+    return L.cards(html.nodes(p, "s_nationkey"), F.lit("https://h.example/x"), key="s_nationkey").select("s_nationkey", "reference", "address", "description", "date_received")
+
+
+@query("select s_nationkey, 'R' || s_suppkey || '.pdf' title, 'https://h.example/pr/sfc/servlet.shepherd/version/download/v' || s_suppkey url, s_acctbal::bigint::varchar file_size from supplier")
+def content_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.expr("named_struct('Id', 'v' || s_suppkey, 'Title', 'R' || s_suppkey, 'FileExtension', 'PDF', 'ContentSize', cast(cast(round(s_acctbal) as bigint) as string))")
+    p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(r)).alias("j"))
+    return D.content_versions(p, "j", F.lit("https://h.example/pr/s/detail/1"), "s_nationkey").select("s_nationkey", "title", "url", "file_size")
+
+
+@query("select s_nationkey, 'Plan ' || s_suppkey title, 'https://h.example/ctx/getfile?id=' || s_suppkey url, 'Plan' document_type from supplier")
+def publisher_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.expr("array('Plan', '05/06/2026', 'Plan ' || s_suppkey, '01/01/2020', '/getfile?id=' || s_suppkey)")
+    p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(r)).alias("j"))
+    return D.publisher_rows(p, "j", F.lit("https://h.example/a/b"), F.lit("/ctx"), "s_nationkey").select("s_nationkey", "title", "url", "document_type")
+
+
+_APP_URL = "case page_id % 4 when 0 then 'https://h.example/applicationDetails.do?keyVal=K' || page_id || '&activeTab=summary' when 1 then 'https://h.example/planning/display/' || page_id when 2 then 'https://h.example/search/advanced' else 'https://h.example/x/' || page_id end"
+
+
+@query(f"with p as (select page_id, {_APP_URL} u from pages) select page_id, case page_id % 4 when 0 then replace(u, 'summary', 'documents') || ' ' || u when 2 then '' else u end sources, page_id % 4 = 2 listing from p")
+def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, none = F.expr(_APP_URL), F.lit(None).cast("string")
+    p = table(spark, sf_dir, "pages").select("page_id", u.alias("u"))
+    return p.select("page_id", F.array_join(D.document_sources(none, none, F.col("u"), none, none), " ").alias("sources"), D.is_listing_url(F.col("u")).alias("listing"))
+
+
+@query("select n_name authority, case when n_nationkey % 4 = 0 then 'idox' when n_nationkey % 4 = 1 then 'northgate' else 'unknown' end portal_family, case when n_nationkey % 4 = 0 then 'https://h.example' when n_nationkey % 4 = 1 then 'https://h.example/p' else '' end base_url, n_nationkey % 3 = 0 link_test_ok from nation where n_regionkey != 2")
+def catalogue_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as area records; one region is of an excluded type."""
+    n = table(spark, sf_dir, "nation")
+    a = n.select(F.col("n_nationkey").alias("ordinal"), F.col("n_nationkey").cast("string").alias("area_id"), F.col("n_name").alias("area_name"), F.lit(None).cast("string").alias("long_name"), F.when(F.col("n_regionkey") == 2, "Crown Dependency").otherwise("Council").alias("area_type"), F.lit("E1").alias("gss_code"), F.expr("element_at(array('Idox', 'PlanningExplorer', '', cast(null as string)), cast(n_nationkey % 4 + 1 as int))").alias("scraper_type"), F.expr("case n_nationkey % 4 when 0 then 'https://h.example/search.do' when 1 then 'https://h.example/p/Search/x' end").alias("planning_url"), F.lit("{}").alias("borders"))
+    t = n.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("area_name"), F.lit(True).alias("ok"), F.lit(200).alias("status"), F.lit("u").alias("final_url"), F.lit(True).alias("tls_verified"))
+    return C.features(a.unionByName(a), t).select("authority", "portal_family", "base_url", "link_test_ok")
+
+
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then '1990-01-01' when o_orderkey % 5 = 1 then '' else strftime(o_orderdate, '%Y-%m-%d') end date_received, o_orderkey % 5 = 0 date_inferred from orders")
+def infer_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    a = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 1, day).otherwise("").alias("date_received"), F.when(F.col("o_orderkey") % 5 == 1, day).alias("date_validated"))
+    return L.infer_dates(a, F.lit("1990-01-01")).select("o_orderkey", "date_received", "date_inferred")
+
+
+@query("with a as (select *, l_linenumber * 100000000 + l_partkey * 10 + ascii(l_returnflag) % 10 attempt from lineitem) select l_orderkey, max_by(l_returnflag, attempt) error, max_by(l_partkey, attempt) n, count(*) > 1 retried from a group by l_orderkey")
+def final_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as attempts: the last of each order counts."""
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("authority"), F.expr("l_linenumber * 100000000 + l_partkey * 10 + ascii(l_returnflag) % 10").alias("attempt"), F.col("l_returnflag").alias("error"), F.col("l_partkey").alias("n"))
+    return L.final_attempts(a).select(F.col("authority").alias("l_orderkey"), "error", "n", "retried")
+
+
+@query("with g as (select user_id, max(d) gap, max(s) - min(s) span from (select user_id, epoch(ts)::bigint s, epoch(ts)::bigint - lag(epoch(ts)::bigint) over (partition by user_id order by ts) d from events) group by user_id) select user_id, case when gap > 200000 then 'inactive' else 'too long' end reason from g where gap > 200000 or span > 2000000")
+def slow_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("attempt"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    return L.slow_attempts(e, 200_000, 2_000_000).select(F.col("attempt").alias("user_id"), "reason")
+
+
+@query("select lang, sha256(text) digest, count(*) n from documents group by lang, sha256(text) having count(*) > 1")
+def repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies that a source gave more than once."""
+    return L.repeated_pages(table(spark, sf_dir, "documents"), "lang", "text").select("lang", "digest", "n")
+
+
+@query("select c_custkey, [c_name, 'Gates'] keywords from customer")
+def keyword_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit(' "'), "c_name", F.lit('"\r\n\n“Gates”\nGATES\n'))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.parse_keywords(t).alias("keywords"))
+
+
+@query("select s_nationkey, 'g' || s_suppkey uid, s_name reference, case when s_suppkey % 2 = 0 then '2026-06-05' end date_received from supplier")
+def grid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute lists of an entity grid."""
+    r = F.expr("named_struct('Id', 'g' || s_suppkey, 'Attributes', array(named_struct('Name', 'new_name', 'DisplayValue', s_name), named_struct('Name', 'new_registration_date', 'DisplayValue', if(s_suppkey % 2 = 0, '05/06/2026', cast(null as string)))))")
+    p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(r).alias("Records"))).alias("body"))
+    return payloads.grid_applications(p).select("s_nationkey", "uid", "reference", "date_received")
+
+
+@query("select page_id, 'https://h.example/DownloadDocument?id=' || page_id last, 3::bigint n from pages")
+def document_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", urls.document_candidates(F.concat(F.lit("https://h.example/a/ViewDocument?id="), F.col("page_id").cast("string"))).alias("c"))
+    return p.select("page_id", F.element_at("c", -1).alias("last"), F.size("c").cast("long").alias("n"))
+
+
+@query("with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) k from orders) select o_custkey, list(case when k = 1 then 'plan.pdf' else 'plan-' || k || '.pdf' end order by k) names from o group by o_custkey")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of one folder made unique."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.lit("plan.pdf")).alias("n"))
+    return o.select("o_custkey", files.unique_names(F.col("n")).alias("names"))
