@@ -41,3 +41,12 @@ def feature_collection(targets: DataFrame, properties: list[str], geometry_json:
 
 def lead_folder(date: Column, council: Column, reference: Column) -> Column:
     return F.concat_ws("/", sanitize_path_part(F.coalesce(blank_to_null(date), F.lit("undated"))), sanitize_path_part(council), sanitize_path_part(reference))
+
+
+def stream_applications(leads: DataFrame, path: str, checkpoint: str, found_at: str | None = None, delay: str = "30 days"):
+    """Appends leads to Parquet as they are found, each reference once; restarts go on from the checkpoint.
+
+    With found_at (an event time) the references seen are kept for delay only, so the state stays bounded.
+    """
+    once = leads.withWatermark(found_at, delay).dropDuplicatesWithinWatermark(["Reference"]) if found_at else leads.dropDuplicates(["Reference"])
+    return once.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)

@@ -167,3 +167,14 @@ def test_every_query_has_stable_columns(spark):
     q = e.queries()
     assert set(e.oracle_sql()) <= set(q) and "lead_funnel" in q
     assert e.entry(spark).columns == ["authority", "total", "relevant", "ratio"]
+
+
+def test_streamed_leads_come_once(spark, tmp_path):
+    row = lambda r, day: (r, "a", f"2026-06-0{day} 00:00:00")
+    schema = "Reference string, council string, at timestamp"
+    write = lambda rows_, mode: spark.createDataFrame(rows_, "Reference string, council string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode(mode).parquet(str(tmp_path / "in"))
+    for batch in ([row("1", 1), row("2", 1)], [row("2", 2), row("3", 2)]):
+        write(batch, "append")
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sinks.stream_applications(s, str(tmp_path / "out"), str(tmp_path / "c"), "at").awaitTermination(120)
+    assert [r[0] for r in rows(spark.read.parquet(str(tmp_path / "out")).select("Reference"))] == ["1", "2", "3"]
