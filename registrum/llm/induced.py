@@ -112,24 +112,37 @@ class _Scan:
                 yield int(c[a]), rows[a:b], shared[a:b]
 
 
-def _agree(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of suffix pairs, up to depth."""
-    out = np.zeros(len(a), np.int32)
-    live = np.arange(len(a))
+def _agree(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Common prefixes of suffix pairs, up to depth; known: characters known to agree."""
+    out = np.zeros(len(a), np.int32) if known is None else np.minimum(known, depth).astype(np.int32)
+    live = np.flatnonzero(out < depth)
     n = len(t)
-    for k in range(depth):
-        if not len(live):
-            break
-        x, y = a[live] + k, b[live] + k
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
         ok = (x < n) & (y < n)
         ok[ok] = t[x[ok]] == t[y[ok]]
         live = live[ok]
-        out[live] = k + 1
+        out[live] += 1
+        live = live[out[live] < depth]
     return out
 
 
-def _names(t: np.ndarray, small: np.ndarray, sample: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the sample's suffixes by their first depth characters."""
+def _shared(t: np.ndarray, sample: np.ndarray, order: np.ndarray, levels: list[np.ndarray], depth: int) -> np.ndarray:
+    """Common prefixes of neighbours in order (indexes of the sample): doubled names skip what they prove equal."""
+    a, b = order[:-1].copy(), order[1:].copy()
+    m = len(sample)
+    for k in range(len(levels) - 1, -1, -1):
+        step, name = 1 << k, levels[k]
+        ok = (a + step < m) & (b + step < m)
+        ok[ok] = name[a[ok]] == name[b[ok]]
+        a[ok] += step
+        b[ok] += step
+    known = sample[a] - sample[order[:-1]]
+    return np.concatenate([[0], _agree(t, sample[order[:-1]], sample[order[1:]], depth, known)]).astype(np.int32)
+
+
+def _names(t: np.ndarray, small: np.ndarray, sample: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Names of runs of 1, 2, 4 ... sample substrings; the last rank the suffixes by their first depth characters."""
     n = len(t)
     sym = (t.astype(np.int64) << 1) | small
     end = np.concatenate([sample[1:], [n - 1]])
@@ -149,13 +162,15 @@ def _names(t: np.ndarray, small: np.ndarray, sample: np.ndarray, depth: int) ->
         name = np.empty_like(name)
         name[order] = step
         at += 5
-    step, span = 1, 2  # a sample substring has two characters at least, but for the last
-    while span < 2 * depth and (len(name) == 0 or name.max() < len(name) - 1):
+    levels, span = [name], 2  # a sample substring has two characters at least, but for the last
+    while span < 2 * depth and len(name) and name.max() < len(name) - 1:
+        step = 1 << (len(levels) - 1)
         nxt = np.zeros(len(name), np.int64)
-        nxt[:-step or None] = name[step:] + 1 if step < len(name) else nxt[:-step or None]
+        nxt[: max(0, len(name) - step)] = name[step:] + 1
         name = np.unique((name << 31) | nxt, return_inverse=True)[1].astype(np.int64)
-        step, span = 2 * step, 2 * span
-    return name
+        levels.append(name)
+        span *= 2
+    return levels
 
 
 def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +183,11 @@ def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
     small = np.ones(n, bool)
     small[:-1] = np.where(nearest < n, up[np.minimum(nearest, n - 2)] > 0, False)
     sample = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    order = sample[np.argsort(_names(t, small, sample, depth), kind="stable")]
-    shared = np.concatenate([[0], _agree(t, order[:-1], order[1:], depth)]).astype(np.int32) if len(order) else np.zeros(0, np.int32)
+    levels = _names(t, small, sample, depth)
+    ranks = np.argsort(levels[-1], kind="stable")
+    shared = _shared(t, sample, ranks, levels, depth) if len(sample) else np.zeros(0, np.int32)
+    order = sample[ranks]
+    del levels
     bounds = np.searchsorted(t[order], np.arange(chars + 1)) if len(order) else np.zeros(chars + 1, np.int64)
 
     def seam(a: int, b: int) -> int:
