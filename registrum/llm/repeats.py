@@ -6,7 +6,8 @@ neighbours, which share a core of LENGTH - RANGE + 1 bytes: equal windows meet u
 holds no repeat and goes no further; a core whose windows are the same bytes everywhere (a copied passage's inside) is a
 repeat throughout. What is left, the edges of copies, is sorted: the distinct stretches of a core go to one shard, whose
 suffix array with common prefixes (induced.py) tells every window that some other one equals. Cores with over CAP distinct
-stretches would be one task's work; their windows are counted by hash in a distributed aggregation instead.
+stretches would be one task's work: they are sieved again by cores of FINE neighbours, and what neither count settles is
+counted window by window, both in distributed aggregations.
 
 Hashes are 64 bits and tell only which stretches to compare, except that equal stretches of a core, equal texts and windows
 of cores over CAP are taken as equal by hash and length.
@@ -30,13 +31,13 @@ from pyspark.sql import functions as F
 from registrum.llm.common import documents, staged
 from registrum.llm.induced import suffix_array
 
-LENGTH, K, RANGE = 400, 32, 128
+LENGTH, K, RANGE, FINE = 400, 32, 128, 16
 #: Distinct stretches of one core that a shard sorts, and bytes that one sort takes.
 CAP, SHARD = 1500, 4 << 20
 #: Bytes of a document hashed at once.
 PART = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
-NODE = "blob long, n_bytes int, core long, seg long, first int, m int"
+NODE = "blob long, n_bytes int, core long, seg long, place int, m int, firsts array<int>, n long"
 
 
 def _minimizers(b: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +61,20 @@ def _minimizers(b: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndar
     return at, np.arange(len(at))
 
 
-def nodes(text: bytes, length: int = LENGTH, k: int = K, span: int = RANGE) -> list[tuple[int, int, int, int]]:
-    """core, seg, first window, windows of each stretch of windows with one minimizer and range of places."""
-    out = []
+def _core(text: bytes, at: int, q: int, span: int, length: int, k: int) -> int:
+    """Hash of what the windows of places q * span ... share, at: place of the minimizer in text."""
+    far = min(q * span + span - 1, length - k)
+    return xxhash.xxh3_64_intdigest(text[at - q * span : at - far + length], seed=q) - (1 << 63)
+
+
+def _seg(text: bytes, place: int, m: int, length: int) -> int:
+    """Hash of m windows of which the first is text's start; its minimizer's place takes part."""
+    return xxhash.xxh3_64_intdigest(text[: m - 1 + length], seed=place * 1024 + m) - (1 << 63)
+
+
+def nodes(text: bytes, length: int = LENGTH, k: int = K, span: int = RANGE) -> dict[tuple[int, int, int, int], list[int]]:
+    """core, seg, place, windows of each stretch of windows with one minimizer and range of places: where it starts."""
+    out: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
     size = min(PART, (1 << 20) - length)
     for base in range(0, len(text) - length + 1, size):
         part = text[base : base + size + length - 1]
@@ -71,11 +83,9 @@ def nodes(text: bytes, length: int = LENGTH, k: int = K, span: int = RANGE) -> l
         cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (bucket[1:] != bucket[:-1])]))
         ends = np.concatenate([cut[1:], [len(s)]])
         for x, y, p, g in zip(cut.tolist(), ends.tolist(), at[cut].tolist(), bucket[cut].tolist()):
-            far, near = g * span + span - 1, g * span  # places of the range: how far the minimizer stands from the start
-            far = min(far, length - k)
-            core = xxhash.xxh3_64_intdigest(part[max(0, p - near) : p - far + length], seed=g)
-            seg = xxhash.xxh3_64_intdigest(part[x : y - 1 + length], seed=(p - x) * 1024 + (y - x))
-            out.append((core - (1 << 63), seg - (1 << 63), base + x, y - x))
+            core = _core(part, p, g, span, length, k)
+            seg = _seg(part[x : y - 1 + length], p - x, y - x, length)
+            out[core, seg, p - x, y - x].append(base + x)
     return out
 
 
@@ -94,12 +104,12 @@ def _nodes(texts: DataFrame, length: int) -> DataFrame:
             for blob, t in zip(b.column("blob").to_pylist(), b.column("text").to_pylist()):
                 n[blob, len(t)] += 1
                 text[blob, len(t)] = t
-            rows = [(*key, *x, n[key]) for key, t in text.items() if len(t) >= length for x in nodes(t, length)]
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["blob", "n_bytes", "core", "seg", "first", "m", "n"])
+            rows = [(*key, *x, firsts, n[key] * len(firsts)) for key, t in text.items() if len(t) >= length for x, firsts in nodes(t, length).items()]
+            cols = list(zip(*rows)) or [()] * 8
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["blob", "n_bytes", "core", "seg", "place", "m", "firsts", "n"])
 
-    return texts.mapInArrow(run, NODE + ", n long")
+    return texts.mapInArrow(run, NODE)
 
 
 def sort_shard(groups: list[tuple[int, list[tuple[int, int, int, bytes]]]], length: int) -> list[tuple[int, int, int, int]]:
@@ -154,48 +164,68 @@ def _sorted(stretches: DataFrame, length: int) -> DataFrame:
     return stretches.mapInArrow(run, "core long, seg long, start int, m int")
 
 
-def _counted(stretches: DataFrame, length: int) -> DataFrame:
-    """The same for cores over CAP, by the hash of each window."""
+def _counted(stretches: DataFrame, length: int, k: int = K) -> DataFrame:
+    """The same for cores over CAP: by cores of FINE neighbours, then by the hash of each window."""
+    stretches = stretches.select("core", "seg", "n", "place", "m", "text")
 
-    def run(it: Iterator) -> Iterator:
+    def part(it: Iterator) -> Iterator:
         for b in it:
-            rows = [(c, seg, i, xxhash.xxh3_64_intdigest(t[i : i + length]) - (1 << 63), n) for c, seg, n, m, t in zip(*(b.column(k).to_pylist() for k in ("core", "seg", "n", "m", "text"))) for i in range(m)]
+            rows = []
+            for c, seg, n, p, m, t in zip(*(b.column(x).to_pylist() for x in ("core", "seg", "n", "place", "m", "text"))):
+                for q in range((p - m + 1) // FINE, p // FINE + 1):
+                    a, z = max(0, p - q * FINE - FINE + 1), min(m, p - q * FINE + 1)  # windows of this range: places p - a ... p - z + 1
+                    rows.append((c, seg, a, z - a, _core(t, p, q, FINE, length, k), _seg(t[a : z - 1 + length], p - a, z - a, length), n))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, x) for c, x in zip(cols, kinds)], names=["core", "seg", "start", "m", "fine", "part", "n"])
+
+    parts = staged(stretches.mapInArrow(part, "core long, seg long, start int, m int, fine long, part long, n long"), "parts")
+    met = staged(parts.groupBy("fine").agg(F.sum("n").alias("times"), (F.min("part") == F.max("part")).alias("same")).filter("times > 1").select("fine", "same"), "parts-met")
+    parts = parts.join(met, "fine")
+    open_ = parts.filter("not same").groupBy("core", "seg").agg(F.collect_list(F.struct("start", "m")).alias("open"))
+
+    def each(it: Iterator) -> Iterator:
+        for b in it:
+            rows = [(c, seg, i, xxhash.xxh3_64_intdigest(t[i : i + length]) - (1 << 63), n) for c, seg, n, t, o in zip(*(b.column(x).to_pylist() for x in ("core", "seg", "n", "text", "open"))) for r in o for i in range(r["start"], r["start"] + r["m"])]
             cols = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["core", "seg", "start", "window", "n"])
+            yield pa.record_batch([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["core", "seg", "start", "window", "n"])
 
-    w = stretches.mapInArrow(run, "core long, seg long, start int, window long, n long")
-    many = w.groupBy("core", "window").agg(F.sum("n").alias("times")).filter("times > 1").select("core", "window")
-    return w.join(many, ["core", "window"]).select("core", "seg", "start", F.lit(1).alias("m"))
+    w = stretches.join(open_, ["core", "seg"]).mapInArrow(each, "core long, seg long, start int, window long, n long")
+    w = staged(w, "windows")
+    many = staged(w.groupBy("core", "window").agg(F.sum("n").alias("times")).filter("times > 1").select("core", "window"), "windows-met")
+    return parts.filter("same").select("core", "seg", "start", "m").unionByName(w.join(many, ["core", "window"]).select("core", "seg", "start", F.lit(1).alias("m")))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame:
     """blob, n_bytes, spans (first window, windows) of every distinct text that has repeated windows."""
     texts = _texts(docs)
     all_nodes = staged(_nodes(texts, length), "nodes")
-    per = all_nodes.groupBy("core").agg(F.sum("n").alias("times"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("times > 1")
-    met = staged(all_nodes.join(per.select("core", (F.col("lo") == F.col("hi")).alias("same")), "core").select("core", "seg", "blob", "n_bytes", "first", "m", "n", "same"), "met")
-    sure = met.filter("same").select("blob", "n_bytes", "first", "m")
+    # aggregates that are joined back are written first: a join of two plain reads can split a hot core's rows
+    per = all_nodes.groupBy("core").agg(F.sum("n").alias("times"), (F.min("seg") == F.max("seg")).alias("same")).filter("times > 1")
+    met = staged(all_nodes.join(staged(per.select("core", "same"), "cores"), "core"), "met")
+    sure = met.filter("same").select("blob", "n_bytes", F.explode("firsts").alias("first"), "m")
     mixed = met.filter("not same")
-    one = mixed.groupBy("core", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("blob", "n_bytes", "first", "m")).alias("x"))
-    size = one.groupBy("core").agg(F.count("*").alias("distinct"))
-    one = one.join(size, "core").select("core", "seg", "n", (F.col("distinct") > cap).alias("hot"), "x.*")
-    wanted = one.groupBy("blob", "n_bytes").agg(F.collect_list(F.struct("core", "seg", "n", "hot", "first", "m")).alias("want"))
+    one = mixed.groupBy("core", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("blob", "n_bytes", F.get("firsts", F.lit(0)).alias("first"), "place", "m")).alias("x"))
+    one = staged(one.select("core", "seg", "n", "x.*"), "distinct-stretches")
+    hot = staged(one.groupBy("core").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > cap).select("core", F.lit(True).alias("hot")), "hot-cores")
+    one = one.join(hot, "core", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = one.groupBy("blob", "n_bytes").agg(F.collect_list(F.struct("core", "seg", "n", "hot", "first", "place", "m")).alias("want"))
     holder = texts.select("doc_id", "blob", F.octet_length("text").alias("n_bytes")).groupBy("blob", "n_bytes").agg(F.min("doc_id").alias("doc_id"))
     wanted = wanted.join(holder, ["blob", "n_bytes"]).select("doc_id", "blob", "want")
 
     def cut(it: Iterator) -> Iterator:
         for b in it:
-            rows = [(w["core"], w["seg"], w["n"], w["hot"], w["m"], t[w["first"] : w["first"] + w["m"] - 1 + length]) for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()) for w in want]
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["core", "seg", "n", "hot", "m", "text"])
+            rows = [(w["core"], w["seg"], w["n"], w["hot"], w["place"], w["m"], t[w["first"] : w["first"] + w["m"] - 1 + length]) for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()) for w in want]
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["core", "seg", "n", "hot", "place", "m", "text"])
 
-    pieces = texts.join(wanted, ["doc_id", "blob"]).select("text", "want").mapInArrow(cut, "core long, seg long, n long, hot boolean, m int, text binary")
+    pieces = texts.join(wanted, ["doc_id", "blob"]).select("text", "want").mapInArrow(cut, "core long, seg long, n long, hot boolean, place int, m int, text binary")
     pieces = staged(pieces, "stretches")
     cold = pieces.filter("not hot").dropDuplicates(["core", "seg"]).repartition("core").sortWithinPartitions("core", "seg")
-    hot = pieces.filter("hot")
-    runs = _sorted(cold, length).unionByName(_counted(hot, length))
-    found = mixed.select("core", "seg", "blob", "n_bytes", "first").join(runs, ["core", "seg"]).select("blob", "n_bytes", (F.col("first") + F.col("start")).alias("first"), "m")
+    many = pieces.filter("hot").dropDuplicates(["core", "seg"])
+    runs = _sorted(cold, length).unionByName(_counted(many, length))
+    found = mixed.select("core", "seg", "blob", "n_bytes", F.explode("firsts").alias("first")).join(runs, ["core", "seg"]).select("blob", "n_bytes", (F.col("first") + F.col("start")).alias("first"), "m")
     spans = sure.unionByName(found).groupBy("blob", "n_bytes").agg(F.collect_set(F.struct("first", "m")).alias("spans"))
     return staged(spans, "repeats")
 
