@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, a count filter, then Smith-Waterman alignment.
 
-A first pass counts, over all documents, in how many each n-gram of the test items occurs; only these counts leave it. For
-every run of SPREAD n-grams of an item the rarest that occurs is its seed, so a copied run of SPREAD + N - 1 words holds a seed
-whatever else was edited, and n-grams that much text shares aren't looked up where rarer ones stand beside them. A second pass joins passages to items by their seeds
-and aligns each passage, with room for insertions, to the item. An alignment scores 2 for equal words, -1 for others and for
-gaps, as a share of the score of an exact copy.
+An alignment scores 2 for equal words, -1 for others and for gaps, as a share of the score of an exact copy. Every pair of
+neighbouring words of an item is a seed. One that scores SCORE of m words has at most 2 (1 - SCORE) m other words and gaps,
+so its text is at most that much longer than the item, and at least (2 SCORE - 1) m - 1 pairs of the item stand whole in it,
+wherever the edits are. Only passages with so many pairs that near each other, and with as many of the item's words as that
+score needs, are aligned; for a SCORE over 0.5 the filter loses no alignment that counts.
 
 Test items are read in blocks of at most BLOCK_BYTES of text, each broadcast in turn; an item over that is an error.
 
-Defined cases: null texts and items without words match nothing, and items shorter than N words are looked up whole; repeated
+Defined cases: null texts and items without words match nothing, and items of at most N words are looked up whole; repeated
 rows stay repeated; extra columns are ignored; empty tables give an empty result; of several places the best, then the first,
 counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from registrum.llm.common import batches, doc_texts, documents, words
 
-N, SPREAD = 5, 3
+#: Items of at most N words are looked up whole, others by runs of SEED words.
+N, SEED = 5, 2
 #: Least share of an exact copy's score, and least equal words (or the item's length).
 SCORE, EQUAL = 0.6, 8
 BLOCK_BYTES = 32 << 20
@@ -33,19 +35,27 @@ _P = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], dtype=np
 
 
 class Grams:
-    """The n-grams of a block of items: hashes of word ids, each with its places."""
+    """The seeds of a block of items: hashes of word ids, each with its places."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = N):
-        self.n, self.ids, self.vocabulary = n, [i for i, _ in items], {}
+    def __init__(self, items: list[tuple[int, str]], n: int = N, score: float = SCORE):
+        self.ids, self.vocabulary = [i for i, _ in items], {}
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t or "")], dtype=np.int64) for _, t in items]
-        self.lengths = sorted({min(n, len(w)) for w in self.items} - {0})
+        sizes = [len(w) if len(w) <= n else SEED for w in self.items]
+        self.lengths = sorted({*sizes} - {0})
         places = defaultdict(list)
-        for k, w in enumerate(self.items):
+        for k, (w, size) in enumerate(zip(self.items, sizes)):
             if len(w):
-                for j, h in enumerate(self.hashes(w, min(n, len(w))).tolist()):
+                for j, h in enumerate(self.hashes(w, size).tolist()):
                     places[h].append((k, j))
         self.hash = np.array(sorted(places), dtype=np.uint64)
-        self.places = [places[h] for h in self.hash.tolist()]
+        held = [places[h] for h in self.hash.tolist()]
+        self.first = np.cumsum([0, *map(len, held)])
+        self.item, self.place = (np.array([x[c] for xs in held for x in xs], dtype=np.int64) for c in (0, 1))
+        self.size = m = np.array([len(w) for w in self.items], dtype=np.int64)
+        #: The most words other than the item's in an alignment that counts; the least seeds and equal words in one.
+        self.gaps = np.floor(2 * (1 - score) * m + 1e-6).astype(np.int64)
+        self.need = np.where(m <= n, 1, np.maximum(1, np.ceil((2 * score - 1) * m - 1 - 1e-6))).astype(np.int64)
+        self.equal = np.maximum(np.ceil(score * m - 1e-6), np.minimum(EQUAL, m)).astype(np.int64)
 
     @staticmethod
     def hashes(w: np.ndarray, n: int) -> np.ndarray:
@@ -79,18 +89,26 @@ class Grams:
             at.append(full[ok])
         return (np.concatenate(found), np.concatenate(at)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def seeds(self, frequency: np.ndarray) -> np.ndarray:
-        """Of each run of SPREAD n-grams of an item, the rarest that occurs at all (ties: the first); frequency by n-gram."""
-        number = {h: g for g, h in enumerate(self.hash.tolist())}
-        chosen = np.zeros(len(self.hash), bool)
-        frequency = np.where(frequency > 0, frequency, np.iinfo(np.int64).max)
-        for w in self.items:
-            if len(w):
-                g = np.array([number[h] for h in self.hashes(w, min(self.n, len(w))).tolist()])
-                for k in range(max(1, len(g) - SPREAD + 1)):
-                    run = g[k : k + SPREAD]
-                    chosen[run[np.argmin(frequency[run])]] = True
-        return chosen
+    def starts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and where in w each would begin, for seeds from which enough of the item's seeds stand near each other."""
+        number, at = self.hits(w)
+        n = self.first[number + 1] - self.first[number]
+        x = np.repeat(self.first[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        k, p, j = self.item[x], np.repeat(at, n), self.place[x]
+        order = np.lexsort((p, k))
+        k, p, j = k[order], p[order], j[order]
+        last = np.arange(len(k)) + self.need[k] - 1
+        end = np.minimum(last, len(k) - 1)
+        ok = (last == end) & (k[end] == k) & (p[end] - p <= self.size[k] + self.gaps[k])
+        k, b = k[ok], p[ok] - j[ok]
+        order = np.lexsort((b, k))
+        k, b = k[order], b[order]
+        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])[: len(k)])
+        return k[new], b[new]
+
+    def shared(self, k: int, part: np.ndarray) -> int:
+        """How many words of item k stand anywhere in part."""
+        return int(np.isin(self.items[k], part).sum())
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
@@ -130,22 +148,6 @@ def _blocks(benchmark: DataFrame) -> list[list[int]]:
     return out
 
 
-def _frequencies(docs: DataFrame, grams) -> np.ndarray:
-    def run(it: Iterator) -> Iterator:
-        g = grams.value
-        n = np.zeros(len(g.hash), dtype=np.int64)
-        for (texts,) in batches(it, "text"):
-            for t in texts:
-                n[np.unique(g.hits(g.read(t))[0])] += 1
-        k = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(k), pa.array(n[k])], names=["gram", "n"])
-
-    out = np.zeros(len(grams.value.hash), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["gram"]] = r["n"]
-    return out
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n: int = N) -> DataFrame:
     """doc_id, item_id, score, n_equal, start_word, end_word of every document row and item it holds a copy of."""
     spark = docs.sparkSession
@@ -153,18 +155,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n:
     out = spark.createDataFrame([], schema := "doc_id long, item_id long, score double, n_equal long, start_word long, end_word long")
     for block in _blocks(benchmark):
         items = benchmark.filter(F.col("item_id").between(block[0], block[-1])).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-        held = Grams([tuple(r) for r in items], n)
-        grams = spark.sparkContext.broadcast(held)
-        seeds = spark.sparkContext.broadcast(held.seeds(_frequencies(d, grams)))
+        grams = spark.sparkContext.broadcast(Grams([tuple(r) for r in items], n, score))
 
-        def run(it: Iterator, grams=grams, seeds=seeds) -> Iterator:
-            g, chosen, known = grams.value, seeds.value, {}
+        def run(it: Iterator, grams=grams) -> Iterator:
+            g, known = grams.value, {}
             for ids, texts in batches(it, "doc_id", "text"):
                 rows = []
                 for doc, t in zip(ids, texts):
-                    w = g.read(t)
-                    number, at = g.hits(w)
-                    rows += [(doc, *x) for x in _aligned(g, w, number[chosen[number]], at[chosen[number]], score, known)]
+                    rows += [(doc, *x) for x in _aligned(g, g.read(t), score, known)]
                 cols = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "n_equal", "start_word", "end_word"])
@@ -173,29 +171,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n:
     return out
 
 
-def _aligned(g: Grams, w: np.ndarray, number: np.ndarray, at: np.ndarray, least: float, known: dict) -> list[tuple]:
+def _aligned(g: Grams, w: np.ndarray, least: float, known: dict) -> list[tuple]:
     """The best alignment of each item that the seeds point to, if good enough. known: alignments of passages seen before."""
-    starts = defaultdict(set)
-    for x, p in zip(number.tolist(), at.tolist()):
-        for k, j in g.places[x]:
-            starts[k].add(p - j)
-    best = {}
-    for k, begins in starts.items():
-        item, last = g.items[k], None
+    best, before, last = {}, None, 0
+    for k, b in zip(*(x.tolist() for x in g.starts(w))):
+        item, gaps = g.items[k], int(g.gaps[k])
         m = len(item)
-        for b in sorted(begins):
-            if last is not None and b - last <= m // 4:
-                continue  # the passage read before, with its margins, holds this one
-            last = b
-            a, z = max(0, b - m // 2 - 2), min(len(w), b + m + m // 2 + 2)
-            part = w[a:z]
-            if (key := (k, part.tobytes())) not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[key] = align(item, part)
-            s, equal, p, q = known[key]
-            if s >= 2 * m * least and equal >= min(EQUAL, m) and (k not in best or s > best[k][0]):
-                best[k] = (s, equal, a + p, a + q)
+        if k == before and b - last <= m // 4:
+            continue  # the passage read before, with its margins, holds this one
+        before, last = k, b
+        a, z = max(0, b - gaps), min(len(w), b + m + m // 4 + gaps)
+        part = w[a:z]
+        if (key := (k, part.tobytes())) not in known:
+            if len(known) > 50_000:
+                known.clear()
+            known[key] = align(item, part) if g.shared(k, part) >= g.equal[k] else (0, 0, 0, 0)
+        s, equal, p, q = known[key]
+        if s >= 2 * m * least and equal >= min(EQUAL, m) and (k not in best or s > best[k][0]):
+            best[k] = (s, equal, a + p, a + q)
     named = {}
     for k, (s, equal, p, q) in sorted(best.items()):
         row = (g.ids[k], s / (2 * len(g.items[k])), equal, p, q)

@@ -297,6 +297,28 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_alignment_that_counts(spark):
+    """Copies edited at every 4th to 8th word, by another word or one more, beside an exact copy."""
+    rng = random.Random(4)
+    items = {i: [f"w{rng.randrange(300)}" for _ in range(rng.randrange(15, 60))] for i in range(25)}
+    rows, at = [(1000 + i, " ".join(w)) for i, w in items.items()], {}
+    for i, w in items.items():
+        for step in range(4, 9):
+            for more in (False, True):
+                edited = [x for q, word in enumerate(w) for x in ([f"e{q}", word][: 1 + more] if q % step == step - 1 else [word])]
+                at[len(at)] = i, edited
+                rows.append((len(at) - 1, " ".join(["v"] * 9 + edited + ["v"] * 9)))
+    code = {x: k for k, x in enumerate(sorted({x for w in items.values() for x in w}), 1)}
+    ids = lambda w: np.array([code.get(x, 0) for x in w])
+    expect = [(1000 + i, i) for i in items]
+    for d, (i, edited) in at.items():
+        s, equal, _, _ = decontaminate.align(ids(items[i]), ids(edited))
+        expect += [(d, i)] * (s >= decontaminate.SCORE * 2 * len(items[i]) and equal >= decontaminate.EQUAL)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert got(decontaminate.contaminated(frame(spark, rows), bench), "doc_id", "item_id") == sorted(expect, key=repr)
+    assert len(expect) > 250
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
