@@ -8,16 +8,16 @@ score needs, are aligned; for a SCORE over 0.5 the filter loses no alignment tha
 
 Test items are read in blocks of at most BLOCK_BYTES of text, each broadcast in turn; an item over that is an error.
 
-Defined cases: null texts and items without words match nothing, and items of at most N words are looked up whole; repeated
-rows stay repeated; extra columns are ignored; empty tables give an empty result; of several places the best, then the first,
-counts.
+Defined cases: null texts and items without words match nothing; each text without an item_id is an item of its own; items of
+at most N words are looked up whole; repeated rows stay repeated; extra columns are ignored; empty tables give an empty result;
+of several places the best, then the first, counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from registrum.llm.common import batches, doc_texts, documents, words
 N, SEED = 5, 2
 #: Least share of an exact copy's score, and least equal words (or the item's length).
 SCORE, EQUAL = 0.6, 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, BLOCK_ITEMS = 32 << 20, 100_000
 _P = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], dtype=np.uint64)
 
 
@@ -133,19 +133,22 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     return score, equal, int(k), end
 
 
-def _blocks(benchmark: DataFrame) -> list[list[int]]:
-    """Item ids in blocks of bounded text; only ids and lengths are read here."""
-    size = benchmark.select("item_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).distinct().orderBy("item_id")
-    out, held = [], 0
-    for r in size.toLocalIterator():
-        if r["n"] > BLOCK_BYTES:
-            raise ValueError(f"item {r['item_id']} has over {BLOCK_BYTES} bytes")
-        if not out or held + r["n"] > BLOCK_BYTES or len(out[-1]) >= 100_000:
-            out.append([])
-            held = 0
-        out[-1].append(r["item_id"])
-        held += r["n"]
-    return out
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """Items (item_id, text) in blocks of bounded text; the texts of one item_id stay together, each one without an id is an item."""
+    block, held = [], 0
+    rows = benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()
+    for i, same in groupby(rows, lambda r: r["item_id"]):
+        for item in [list(same)] if i is not None else ([r] for r in same):
+            n = sum(len((r["text"] or "").encode("utf-8", "surrogatepass")) for r in item)
+            if n > BLOCK_BYTES:
+                raise ValueError(f"item {i} has over {BLOCK_BYTES} bytes")
+            if block and (held + n > BLOCK_BYTES or len(block) >= BLOCK_ITEMS):
+                yield block
+                block, held = [], 0
+            block += [(r["item_id"], r["text"]) for r in item]
+            held += n
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n: int = N) -> DataFrame:
@@ -154,8 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n:
     d = doc_texts(docs)
     out = spark.createDataFrame([], schema := "doc_id long, item_id long, score double, n_equal long, start_word long, end_word long")
     for block in _blocks(benchmark):
-        items = benchmark.filter(F.col("item_id").between(block[0], block[-1])).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-        grams = spark.sparkContext.broadcast(Grams([tuple(r) for r in items], n, score))
+        grams = spark.sparkContext.broadcast(Grams(block, n, score))
 
         def run(it: Iterator, grams=grams) -> Iterator:
             g, known = grams.value, {}
@@ -192,8 +194,9 @@ def _aligned(g: Grams, w: np.ndarray, least: float, known: dict) -> list[tuple]:
     named = {}
     for k, (s, equal, p, q) in sorted(best.items()):
         row = (g.ids[k], s / (2 * len(g.items[k])), equal, p, q)
-        if g.ids[k] not in named or row[1] > named[g.ids[k]][1]:
-            named[g.ids[k]] = row
+        name = (k,) if g.ids[k] is None else g.ids[k]
+        if name not in named or row[1] > named[name][1]:
+            named[name] = row
     return list(named.values())
 
 

@@ -319,6 +319,16 @@ def test_decontamination_finds_every_alignment_that_counts(spark):
     assert len(expect) > 250
 
 
+@pytest.mark.parametrize("most", [1, 100_000])
+def test_decontamination_searches_items_without_an_id(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+    items = [" ".join(f"{k}{j}" for j in range(20)) for k in "abcd"]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (1, items[2]), (2, items[3]), (2, items[0]), (None, None)], "item_id long, text string")
+    rows = [(10, items[0]), (11, items[1] + " x " + items[0]), (12, items[2]), (None, items[3]), (14, "clean")]
+    out = got(decontaminate.contaminated(frame(spark, rows), bench), "doc_id", "item_id")
+    assert out == sorted([(10, None), (10, 2), (11, None), (11, None), (11, 2), (12, 1), (None, 2)], key=repr)
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
