@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from registrum.llm.common import batches, doc_texts, documents, words
+from registrum.llm.common import batches, documents, words
 
 #: Items of at most N words are looked up whole, others by runs of SEED words.
 N, SEED = 5, 2
@@ -151,23 +152,24 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n: int = N) -> DataFrame:
-    """doc_id, item_id, score, n_equal, start_word, end_word of every document row and item it holds a copy of."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, n: int = N, key: str = "doc_id") -> DataFrame:
+    """key, item_id, score, n_equal, start_word, end_word of every document row and item it holds a copy of; key names the row."""
     spark = docs.sparkSession
-    d = doc_texts(docs)
-    out = spark.createDataFrame([], schema := "doc_id long, item_id long, score double, n_equal long, start_word long, end_word long")
+    d = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = docs.schema[key].dataType
+    out = spark.createDataFrame([], schema := f"{key} {kind.simpleString()}, item_id long, score double, n_equal long, start_word long, end_word long")
     for block in _blocks(benchmark):
         grams = spark.sparkContext.broadcast(Grams(block, n, score))
 
         def run(it: Iterator, grams=grams) -> Iterator:
             g, known = grams.value, {}
-            for ids, texts in batches(it, "doc_id", "text"):
+            for ids, texts in batches(it, key, "text"):
                 rows = []
                 for doc, t in zip(ids, texts):
                     rows += [(doc, *x) for x in _aligned(g, g.read(t), score, known)]
                 cols = list(zip(*rows)) or [()] * 6
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "n_equal", "start_word", "end_word"])
+                kinds = [to_arrow_type(kind), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[key, "item_id", "score", "n_equal", "start_word", "end_word"])
 
         out = out.unionByName(d.mapInArrow(run, schema))
     return out

@@ -1,4 +1,8 @@
-"""Stages of the corpus pipeline; see corpus_pipeline.py."""
+"""Stages of the corpus pipeline; see corpus_pipeline.py.
+
+Decisions are made for rows, named by doc_id and text together, so rows without a doc_id or with that of another text are kept or
+dropped for their own text. Only repeated rows, equal in both, are one.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.llm import decontaminate, packing, quality_rules, secrets, simhash
-from registrum.llm.common import documents, staged
+from registrum.llm.common import documents, row_key, staged
 from registrum.llm.tokens import tokenizer_path
 
+#: The column that names a row within a stage.
+KEY = "_row_key"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the strict policy keeps."""
-    bad = quality_rules.apply_policy(quality_rules.stored_ledger(docs), quality_rules.STRICT).filter("not kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = quality_rules.apply_policy(quality_rules.stored_ledger(docs.select(row_key().alias("doc_id"), "text")), quality_rules.STRICT).filter("not kept").select(F.col("doc_id").alias(KEY)).distinct()
+    return docs.withColumn(KEY, row_key()).join(bad, KEY, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    groups = simhash.near_duplicates(docs)
-    copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id (one without comes last) of each group of near copies."""
+    d = docs.withColumn(KEY, row_key())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).alias("first")
+    fps = staged(simhash.fingerprints(d, simhash.WORDS, KEY).groupBy("fp").agg(first), "distinct-fingerprints")
+    groups = simhash.components(simhash.links(fps.select(F.col("fp").alias("node"), "fp")))
+    named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first")).select(f"first.{KEY}")
+    return d.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no copy of a test item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    d = docs.withColumn(KEY, row_key())
+    found = decontaminate.contaminated(d, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
+    return d.join(found.select(KEY).distinct(), KEY, "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

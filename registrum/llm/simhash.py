@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import batches, doc_texts, documents, staged
+from registrum.llm.common import doc_texts, documents, staged
 
 #: Differing bits of a link, and words of a shingle.
 MOST, WORDS = 3, 3
@@ -52,15 +52,16 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (signed long) of whole texts."""
+def fingerprints(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
+    """doc_id, fp (signed long) of whole texts, and the named columns."""
 
     def run(it: Iterator) -> Iterator:
-        for ids, texts in batches(it, "doc_id", "text"):
-            fp = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+        for b in it:
+            fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(fp), *[b.column(c) for c in more]], names=["doc_id", "fp", *more])
 
-    return doc_texts(docs).mapInArrow(run, "doc_id long, fp long")
+    d = doc_texts(docs, *more)
+    return d.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} {d.schema[c].dataType.simpleString()}" for c in more]]))
 
 
 def _chains(x: np.ndarray) -> np.ndarray:

@@ -422,6 +422,31 @@ def test_pipeline(spark):
     assert ids("best_fit_packing") == [*range(30), 103]
 
 
+def test_pipeline_decides_for_rows(spark):
+    """Rows without a doc_id, and two texts under one, are kept or dropped for their own text."""
+    from registrum.llm import pipeline
+
+    rng = random.Random(3)
+    clean = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{rng.randrange(90)}" for _ in range(80))
+    a, b, c, e, f = (clean() for _ in range(5))
+    leak, bad = clean() + " " + open_item(spark), "too short"
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, e), (None, bad), (3, bad), (3, f), (None, leak), (1, leak), (None, e)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {a: "a", b: "b", c: "c", e: "e", f: "f", leak: "leak", bad: "bad"}
+    for (name, stage), expect in zip(
+        pipeline.STAGES[:3],
+        [
+            [(None, "a"), (None, "b"), (None, "b"), (1, "c"), (2, "c"), (2, "e"), (3, "f"), (None, "leak"), (1, "leak"), (None, "e")],
+            [(None, "a"), (None, "b"), (1, "c"), (2, "e"), (3, "f"), (1, "leak")],
+            [(None, "a"), (None, "b"), (1, "c"), (2, "e"), (3, "f")],
+        ],
+    ):
+        d = stage(spark, d, "/root/testdata/sf0.001")
+        assert sorted(((r["doc_id"], names[r["text"]]) for r in d.collect()), key=repr) == sorted(expect, key=repr), name
+    hidden = spark.createDataFrame([(None, leak), (None, a)], "doc_id long, text string")
+    assert [r["text"] for r in pipeline.decontamination(spark, hidden, "/root/testdata/sf0.001").collect()] == [a]
+
+
 def open_item(spark):
     return spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("length(text) > 150").orderBy("item_id").first()["text"]
 
