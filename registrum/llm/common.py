@@ -37,6 +37,13 @@ def row_key() -> Column:
     return F.unhex(F.sha2(named, 256))
 
 
+def join_paths(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left and right joined on doc_id, where null equals null, and blob; both keys are left's."""
+    named = right.withColumnsRenamed({"doc_id": "_right_doc_id", "blob": "_right_blob"})
+    same = F.col("doc_id").eqNullSafe(F.col("_right_doc_id")) & (F.col("blob") == F.col("_right_blob"))
+    return left.join(named, same, how).drop("_right_doc_id", "_right_blob")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; only a local session without one gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

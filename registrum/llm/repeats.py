@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import documents, staged
+from registrum.llm.common import documents, join_paths, staged
 from registrum.llm.induced import suffix_array
 
 LENGTH, K, RANGE, FINE = 400, 32, 128, 16
@@ -220,7 +220,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["core", "seg", "n", "hot", "place", "m", "text"])
 
-    pieces = texts.join(wanted, ["doc_id", "blob"]).select("text", "want").mapInArrow(cut, "core long, seg long, n long, hot boolean, place int, m int, text binary")
+    pieces = join_paths(texts, wanted).select("text", "want").mapInArrow(cut, "core long, seg long, n long, hot boolean, place int, m int, text binary")
     pieces = staged(pieces, "stretches")
     cold = pieces.filter("not hot").dropDuplicates(["core", "seg"]).repartition("core").sortWithinPartitions("core", "seg")
     many = pieces.filter("hot").dropDuplicates(["core", "seg"])
@@ -252,7 +252,7 @@ def strip(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
 
     t = _texts(docs)
     ids = t.select("doc_id", "blob", F.octet_length("text").alias("n_bytes")).distinct().join(spans, ["blob", "n_bytes"]).select("doc_id", "blob", "spans")
-    return t.join(ids, ["doc_id", "blob"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return join_paths(t, ids, "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import batches, doc_texts, documents, staged
+from registrum.llm.common import batches, doc_texts, documents, join_paths, staged
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
     p = paths(docs)
     new = unseen(p.select("doc_id", "blob"), ledger, rules)
-    held = p.join(new, ["doc_id", "blob"]).select("blob", "todo", "text")
+    held = join_paths(p, new).select("blob", "todo", "text")
     return held.mapInArrow(run, f"blob binary, todo array<string>, spans {SPANS}").dropDuplicates(["blob"])
 
 
@@ -134,7 +134,7 @@ def redact(docs: DataFrame, spans: DataFrame, mark: str = "[SECRET]") -> DataFra
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in cols], names=cols)
 
     d = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return d.join(spans.dropDuplicates(["doc_id", "blob"]), ["doc_id", "blob"], "left").select(*cols, "spans").mapInArrow(run, docs.schema)
+    return join_paths(d, spans.dropDuplicates(["doc_id", "blob"]), "left").select(*cols, "spans").mapInArrow(run, docs.schema)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,6 +249,16 @@ def test_secret_kinds_and_redaction(spark):
     assert "hunter22" not in out[1] and out[1].count("[SECRET]") == 4 and out[2] is None and out[3] == "clean"
 
 
+def test_secrets_of_rows_without_an_id(spark):
+    rows = [(None, "password=hunter2222"), (None, "token=abcdef12345"), (None, "clean"), (None, None), (1, "secret=abcdefgh"), (None, "secret=abcdefgh"), (None, "token=abcdef12345")]
+    d = frame(spark, rows).select("doc_id", "text")
+    scanned = secrets.scan(d)
+    assert scanned.count() == 5
+    found = secrets.findings(d, scanned)
+    assert sorted((r["doc_id"] or 0, [(s["kind"], s["start"], s["end"]) for s in r["spans"]]) for r in found.collect()) == sorted((i or 0, secrets.find(t or "", secrets.RULES)) for i, t in rows)
+    assert got(secrets.redact(d, found), "doc_id", "text") == sorted([(i, "[SECRET]" if "=" in (t or "") else t) for i, t in rows], key=repr)
+
+
 # --- personal data
 def pii(t):
     digits = lambda m: re.sub("[^0-9]", "", m)
@@ -393,6 +403,17 @@ def test_repeats(spark, none, cap):
     assert repeats.strip(none, repeats.repeated(none)).count() == 0
 
 
+@pytest.mark.parametrize("cap", [1500, 1])
+def test_repeats_of_rows_without_an_id(spark, cap):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = text(900), text(900)
+    rows = [(None, text(50) + a), (None, text(80) + a[:600] + text(90)), (7, text(20) + a[100:]), (None, b), (None, b), (8, text(99) + b[300:]), (None, text(700)), (None, None)]
+    d = frame(spark, rows)
+    out = got(repeats.strip(d, repeats.repeated(d, cap=cap)), "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert out == sorted(((i, *x) for (i, _), x in zip(rows, repeats.brute([(t or "").encode() for _, t in rows]))), key=repr)
+
+
 # --- pipeline
 def test_pipeline(spark):
     """Stages over odd documents: each keeps the columns of documents, decisions take effect, clean documents stay."""
