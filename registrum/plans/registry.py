@@ -108,6 +108,12 @@ def clean_text_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(F.coalesce("c", F.lit("")), 256).alias("cleaned"), text.trim_text("c", 40).alias("short"), text.normalize_label(F.left(F.coalesce("c", F.lit("")), F.lit(40))).alias("label"))
 
 
+@query(f"select doc_id, sha256(trim(regexp_replace(replace(lower(coalesce({_CLEAN}, '')), '&', 'and'), '[^a-z0-9]+', '_', 'g'), '_')) label from documents")
+def label_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of each whole text, as a digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_label("text"), 256).alias("label"))
+
+
 @query("select doc_id, regexp_extract(text, '" + fixed.REFERENCES["generic"].replace(r"\b", r"\b") + "', 0) reference from documents where regexp_matches(text, '" + fixed.REFERENCES["generic"] + "')")
 def reference_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.reference("text").alias("reference")).filter("reference is not null")

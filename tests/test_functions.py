@@ -1,5 +1,6 @@
 """Column functions against values written here."""
 
+import hashlib
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -113,3 +114,12 @@ def test_adapters_follow_the_rule_order(spark):
     rows = [("Wiltshire", "Idox", ""), ("Camden", "Idox", ""), ("Town", "Idox Tascomi", ""), ("Town", "Tascomi", "https://x/planning/index.html"), ("North Lincs", "Idox", ""), ("Town", "", "")]
     got = values(spark, rows, "a string, s string, l string", text.adapter("a", "s", F.lit("unknown"), "l"))
     assert [r[0] for r in got] == ["wiltshire", "authority:forms", "idox", "tascomi", "northlincs", "generic"]
+
+
+def test_label_query_reads_whole_texts(spark, tmp_path):
+    from registrum.plans.registry import QUERIES
+
+    texts = ["Site & Address " + "word " * 30 + "End!", "Site & Address " + "word " * 30 + "Other"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = dict(tuple(r) for r in QUERIES["label_project"](spark, str(tmp_path)).collect())
+    assert out == {i: hashlib.sha256(("site_and_address_" + "word_" * 30 + end).encode()).hexdigest() for i, end in enumerate(["end", "other"])}
