@@ -1,9 +1,9 @@
 """License scans by a positional rare-token index.
 
 The index holds, for each word of the license templates, its places in them, and its weight: the inverse document frequency
-over the whole corpus. A document looks up the highest-weighted license words it holds; each place of such a word votes for
-(template, place where the template would begin), which intersects the postings by relative position. A start with enough
-weight is then verified: the template's mandatory phrases must stand at their places. Short names ("mit license") are
+over the whole corpus. Each template's key is the highest-weighted word of its mandatory phrases, which every match holds; each
+place of a key in a document names a (template, place where the template would begin), by relative position. A start is then
+verified: the template's mandatory phrases must stand at their places, and enough of its weight. Short names ("mit license") are
 templates that are one mandatory phrase; all their places are reported.
 
 Defined cases: null text counts as empty; no words gives nulls and score 0; repeated rows stay repeated; extra columns are
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from registrum.llm.common import batches, doc_texts, documents, words
 
-#: Words looked up in a document, and the share of a template's weight that must agree at one start.
-RARE, SHARE = 24, 0.6
+#: The share of a template's weight that must agree at one start.
+SHARE = 0.6
 
 #: Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -67,30 +67,22 @@ def templates() -> list[Template]:
 class Index:
     def __init__(self, weight: dict[bytes, float]):
         self.templates, self.weight = templates(), weight
+        #: Templates and places of their keys: one place in a mandatory phrase each, so every match has its key in place.
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.total = []
         for k, t in enumerate(self.templates):
-            for i, w in enumerate(t.words):
-                self.postings[w].append((k, i))
+            i = max((i for at, p in t.phrases for i in range(at, at + len(p))), key=lambda i: (weight[t.words[i]], -i))
+            self.postings[t.words[i]].append((k, i))
             self.total.append(sum(weight[w] for w in t.words))
-        #: The rarest word of each template: a start is looked for only where a document holds it.
-        self.vocabulary = frozenset(self.postings)
-        self.rarest = [max(range(len(t.words)), key=lambda i: (weight[t.words[i]], -i)) for t in self.templates]
-        self.keys = frozenset(t.words[i] for t, i in zip(self.templates, self.rarest))
+        self.keys = frozenset(self.postings)
 
     def match(self, w: list[bytes]) -> list[tuple[int, int, float]]:
         """Verified (template, start, share of its weight that stands in place), by template and start."""
         if self.keys.isdisjoint(w):
             return []
-        held = self.vocabulary.intersection(w)
-        rare = set(sorted(held, key=lambda x: (-self.weight[x], x))[:RARE]) | (held & self.keys)
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for i, x in enumerate(w):
-            if x in rare:
-                for k, j in self.postings[x]:
-                    votes[k, i - j] += self.weight[x]
+        starts = [(k, i - j) for i, x in enumerate(w) if x in self.keys for k, j in self.postings[x]]
         out = []
-        for (k, start), _ in votes.items():
+        for k, start in starts:
             t = self.templates[k]
             if any(start + i < 0 or tuple(w[start + i : start + i + len(p)]) != p for i, p in t.phrases):
                 continue

@@ -228,6 +228,15 @@ def test_licenses(docs, none, spark):
     assert {x["label"] for x in licenses.license_matches(spark.createDataFrame([(1, exact)], "doc_id long, text string")).first()["matches"]} == {"mit"}
 
 
+def test_licenses_edited_beside_exact_notices(spark):
+    """Any word outside the mandatory phrases may be edited, though exact copies make it the rarest of its template."""
+    whole = [t for t in licenses.TEMPLATES if t[0] == "mit"][0][1].split()
+    free = range(8, len(whole) - 6)
+    rows = [(1000 + k, " ".join(whole)) for k in range(5)] + [(k, " ".join([*whole[:k], "edited", *whole[k + 1 :]])) for k in free]
+    out = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all([m["label"] for m in r["matches"]] == ["mit"] for r in out) and len(out) == len(rows)
+
+
 # --- secrets
 def test_secrets_and_ledger(docs, none):
     first = secrets.as_ledger(secrets.scan(docs)).cache()
