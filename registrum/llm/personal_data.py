@@ -1,18 +1,21 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-The base kinds are found by regular expressions. Their matches seed the bootstrap: identifier-shaped tokens and the words
-before them form a graph of patterns (one or two words before a token) and instances (the tokens). A pattern's confidence for
-a kind is the summed confidence of its instances of that kind over all its instances; patterns over CONFIDENCE with SUPPORT
-seeds or more vote for the other tokens they stand before, whose confidence is the noisy-or of their patterns. Tokens over
-CONFIDENCE become instances of the kind and the next round scores patterns with them. Only DataFrame functions are used; the
+The base kinds are found by regular expressions. Their matches seed the bootstrap: identifier-shaped tokens and their lexical
+patterns (one or two words before a token; its shape, with runs of letters and of digits folded to a letter or a count) form a
+graph of patterns and instances (the tokens). A pattern's confidence for a kind is the summed confidence of its instances of
+that kind over all instances that count: for words all of them; for shapes those known to be of some kind, as an unknown one
+has the very form of the seeds. Patterns over CONFIDENCE with SUPPORT seeds or more vote for the other tokens they fit, whose
+confidence is the noisy-or of their patterns. Tokens over CONFIDENCE become instances of the kind and the next round scores
+patterns with them. Only DataFrame functions are used; the
 graph has distinct pattern-instance edges, so a token that a third of the rows repeat is one edge.
 
 Matches are placed by splitting the text at them: lengths of the parts and matches before give code point offsets. Prefix sums
 run in blocks, so texts with many matches stay near linear. Patterns take runs possessively from their start, which finds the
 same leftmost matches without rescanning long runs.
 
-Defined cases: null text counts as empty; repeated rows stay repeated; extra columns are ignored; an empty table gives an
-empty result; spans are code points, end exclusive.
+Defined cases: null text counts as empty; repeated rows stay repeated; a row is judged by its text alone, so its doc_id may be
+null or that of another text; of the words before a token the last BEFORE characters count; extra columns are ignored; an
+empty table gives an empty result; spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ CONTEXT = "context"
 #: Identifier-shaped tokens: a digit or at sign in a run without white space.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 8, 2
+#: Characters before a token that are kept for its patterns.
+BEFORE = 80
 _BLOCK = 64
 
 
@@ -98,7 +103,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         every = F.transform(f"{k}_m", lambda m, i: F.struct((F.get(f"{k}_s", i) + F.length(F.get(f"{k}_p", i))).alias("start"), (F.get(f"{k}_s", i) + F.get(f"{k}_l", i)).alias("end"), m.alias("m")))
         return F.transform(F.filter(every, lambda x: passes(k, x["m"])), lambda x: F.struct(x["start"], x["end"]))
 
-    token = F.transform("token_m", lambda m, i: F.struct(m.alias("token"), (F.get("token_s", i) + F.length(F.get("token_p", i))).alias("start"), F.right(F.get("token_p", i), F.lit(80)).alias("before")))
+    token = F.transform("token_m", lambda m, i: F.struct(m.alias("token"), (F.get("token_s", i) + F.length(F.get("token_p", i))).alias("start"), F.right(F.get("token_p", i), F.lit(BEFORE)).alias("before")))
     return d.select("doc_id", "blob", *[placed(k).alias(k) for k in BASE], token.alias("tokens"))
 
 
@@ -118,6 +123,7 @@ def edges(found: DataFrame) -> DataFrame:
     span = lambda c: F.when(F.col("rank") >= 0, F.col(c))  # noqa: E731  at one start the first kind comes last, and tokens after it
     u = u.withColumns({
         "at": F.last(span("start"), ignorenulls=True).over(by),
+        "stop": F.last(span("end"), ignorenulls=True).over(by),
         "held": F.last(span("rank"), ignorenulls=True).over(by),
         "covered": F.max(span("end")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "next": F.min(span("start")).over(by.rowsBetween(1, Window.unboundedFollowing)),
@@ -126,9 +132,20 @@ def edges(found: DataFrame) -> DataFrame:
     inside = F.coalesce(F.col("covered") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
     t = u.filter("rank < 0").withColumns({"kind": kind, "inside": inside}).filter("kind is not null or not inside")
     w = F.filter(F.split(F.lower("before"), r"\s+"), lambda x: x != "")
-    t = t.select("blob", "core", "start", "end", "kind", F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2).alias("w"))
-    patterns = F.when(F.size("w") > 1, F.array(F.element_at("w", -1), F.concat_ws(" ", "w"))).when(F.size("w") == 1, F.array(F.element_at("w", -1))).otherwise(F.array().cast("array<string>"))
-    return t.withColumn("patterns", patterns).drop("w")
+    t = t.withColumn("whole", F.col("kind").isNull() | (F.col("stop") == F.col("end")))  # only a whole match lends its shape
+    t = t.select("blob", "core", "start", "end", "kind", "whole", F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2).alias("w"))
+    words = F.when(F.size("w") > 1, F.array(F.element_at("w", -1), F.concat_ws(" ", "w"))).when(F.size("w") == 1, F.array(F.element_at("w", -1))).otherwise(F.array().cast("array<string>"))
+    form = F.when(F.col("whole"), F.array(F.concat(F.lit(SHAPE), shape(F.col("core"))))).otherwise(F.array().cast("array<string>"))
+    return t.withColumn("patterns", F.concat(words, form)).drop("w", "whole")
+
+
+#: Begins the patterns that are shapes; words hold no white space.
+SHAPE = "\t"
+
+
+def shape(token: Column) -> Column:
+    """Runs of letters become a, digits 0: 12.ab-7 is 00.a-0."""
+    return F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]", "0")
 
 
 def _ranked(kind: str, rank: int) -> Column:
@@ -144,7 +161,9 @@ def bootstrap(tokens: DataFrame, confidence: float = CONFIDENCE, support: int =
     known = seeds.withColumn("c", F.lit(1.0))
     for _ in range(rounds):
         score = plain.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("c").alias("c"), F.count("*").alias("held"))
-        sure = score.join(all_of, "pattern").withColumn("conf", F.col("c") / F.col("n")).filter((F.col("held") >= support) & (F.col("conf") >= confidence)).select("pattern", "kind", "conf")
+        score = score.join(score.groupBy("pattern").agg(F.sum("c").alias("known")), "pattern").join(all_of, "pattern")
+        conf = F.col("c") / F.when(F.col("pattern").startswith(SHAPE), F.col("known")).otherwise(F.col("n"))
+        sure = score.withColumn("conf", conf).filter((F.col("held") >= support) & (F.col("conf") >= confidence)).select("pattern", "kind", "conf")
         sure = staged(sure, "pii-patterns")
         new = plain.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))).alias("c"))
         new = new.filter(F.col("c") >= confidence).join(seeds.select("instance").distinct(), "instance", "left_anti")
@@ -159,7 +178,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, an array of spans for each base kind, and context spans, of every row."""
     found = staged(base_spans(docs), "pii-base")
     tokens = staged(edges(found), "pii-tokens")
-    more = bootstrap(tokens).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(CONTEXT))
+    # written, so that the join reads two plain tables and can split the rows of a text that a third of them repeat
+    more = staged(bootstrap(tokens).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(CONTEXT)), "pii-context")
     none = F.array().cast("array<struct<start: int, end: int>>")
     return found.select("doc_id", "blob", *BASE).join(more, "blob", "left").select("doc_id", *BASE, F.coalesce(CONTEXT, none).alias(CONTEXT))
 

@@ -4,14 +4,15 @@ A 64-bit fingerprint is eight segments of eight bits on a ring. If two fingerpri
 principle gives a segment from which every chain of c consecutive segments has at most 3c/8 differing bits: the first two
 segments agree and the three after them differ in one bit at most, so two of those three agree as well. Candidates therefore
 share four named segments out of five consecutive ones (24 keys of 32 bits a fingerprint). Each candidate pair is then held
-against all chain budgets and at last against the full distance.
+against the budgets of all longer chains, and what they leave against the full distance.
 
-Copies are folded to one row per distinct fingerprint first. In a bucket, pairs are compared in blocks of bounded size and
+Copies are folded to one row per distinct fingerprint first, and fingerprints, not documents, are linked. In a bucket, pairs are compared in blocks of bounded size and
 only a spanning forest of the links leaves it, never all pairs; buckets over BLOCK fingerprints are dealt out as pairs of
 blocks. Components come from alternating large-star and small-star steps on written tables.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; repeated rows
-stay repeated; extra columns are ignored; an empty table gives an empty result; ties take the smallest doc_id.
+stay repeated; unlike texts under one doc_id are rows of their own; rows without a doc_id link like others, and a component
+that has none is null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -65,17 +66,17 @@ def fingerprints(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
 
 
 def _chains(x: np.ndarray) -> np.ndarray:
-    """Whether some segment starts a ring of chains within the proportional budgets; x: differing bits."""
-    d = np.bitwise_count((x[:, None] >> np.arange(0, 64, WIDTH, dtype=np.uint64)) & np.uint64(255)).astype(np.int16)
-    ring = np.concatenate([d, d[:, :-1]], axis=1)
-    sums = np.concatenate([np.zeros((len(x), 1), np.int16), np.cumsum(ring, axis=1, dtype=np.int16)], axis=1)
-    ok = np.zeros(len(x), bool)
+    """Places in x (differing bits of pairs) for which some segment starts a ring of chains within the proportional budgets."""
+    d = np.bitwise_count((x[:, None] >> np.arange(0, 64, WIDTH, dtype=np.uint64)) & np.uint64(255))
+    found = np.zeros(len(x), bool)
     for s in range(SEGMENTS):
-        one = np.ones(len(x), bool)
+        live, total = np.flatnonzero(~found), 0
         for c in range(1, SEGMENTS + 1):
-            one &= (sums[:, s + c] - sums[:, s]) * SEGMENTS <= c * MOST
-        ok |= one
-    return ok
+            total = total + d[live, (s + c - 1) % SEGMENTS]
+            ok = total <= c * MOST // SEGMENTS
+            live, total = live[ok], total[ok]
+        found[live] = True
+    return np.flatnonzero(found)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -92,11 +93,8 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool) -> list[tuple[int, int]]:
     out = []
     for i in range(n):
         x = a[i] ^ (a[i + 1 :] if same else b)
-        near = np.flatnonzero(np.bitwise_count(x) <= MOST)
-        if not len(near):
-            continue
-        near = near[_chains(x[near])]
-        for j in near.tolist():
+        near = _chains(x)
+        for j in near[np.bitwise_count(x[near]) <= MOST].tolist():
             j = j + (i + 1 if same else n)
             p, q = find(i), find(j)
             if p != q:
@@ -106,7 +104,7 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool) -> list[tuple[int, int]]:
 
 
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates(["node", "side"]).sort_values("node")
+    pdf = pdf.sort_values("node")
     side = pdf["side"].to_numpy()
     fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
     if (side == 0).all():
@@ -133,7 +131,7 @@ def keys(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """fps: node, fp, one row per distinct fp. Pairs a < b that join every two linked fingerprints by paths."""
+    """fps: node, fp, one row per distinct fp and node. Pairs a < b that join every two linked fingerprints by paths."""
     k = keys(fps)
     n = k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     k = k.join(n, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -173,9 +171,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     d = staged(fingerprints(docs, words), "fingerprints")
-    fps = staged(d.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    comp = components(links(fps))
-    named = fps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    fps = staged(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    groups = components(links(fps.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp")
+    named = staged(fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named-fingerprints")
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = staged(named.join(least, "component").select("fp", "component_id"), "components")
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
