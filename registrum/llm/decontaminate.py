@@ -9,8 +9,8 @@ score needs, are aligned; for a SCORE over 0.5 the filter loses no alignment tha
 Test items are read in blocks of at most BLOCK_BYTES of text, each broadcast in turn; an item over that is an error.
 
 Defined cases: null texts and items without words match nothing; each text without an item_id is an item of its own; items of
-at most N words are looked up whole; repeated rows stay repeated; extra columns are ignored; empty tables give an empty result;
-of several places the best, then the first, counts.
+at most N words are looked up whole; repeated rows stay repeated, and each row is searched for its own text, whatever its
+doc_id; extra columns are ignored; empty tables give an empty result; of several places the best, then the first, counts.
 """
 
 from __future__ import annotations
@@ -113,25 +113,30 @@ class Grams:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over word ids (0 equals nothing): score, equal words, start and end of the best alignment in text."""
-    m, n = len(item), len(text)
-    h = np.zeros((m + 1, n + 1), dtype=np.int64)
-    j = np.arange(1, n + 1)
-    for i in range(1, m + 1):
-        gain = np.where((text == item[i - 1]) & (text > 0), 2, -1)
-        best = np.maximum(np.maximum(h[i - 1, :-1] + gain, h[i - 1, 1:] - 1), 0)
-        h[i, 1:] = np.maximum(np.maximum.accumulate(best + j) - j, 0)
-    i, k = np.unravel_index(np.argmax(h), h.shape)
-    score, end, equal = int(h[i, k]), int(k), 0
-    while h[i, k] > 0:
-        same = text[k - 1] == item[i - 1] and text[k - 1] > 0
-        if h[i, k] == h[i - 1, k - 1] + (2 if same else -1):
-            i, k, equal = i - 1, k - 1, equal + bool(same)
-        elif h[i, k] == h[i - 1, k] - 1:
-            i -= 1
-        else:
-            k -= 1
-    return score, equal, int(k), end
+    """Smith-Waterman over word ids (0 equals nothing): score, equal words, start and end of the best alignment in text.
+
+    Each cell carries where its alignment began and how many words it has equal, so two rows are enough.
+    """
+    n = len(text)
+    j = np.arange(n + 1)
+    h, begin, equal = np.zeros(n + 1, np.int64), j.copy(), np.zeros(n + 1, np.int64)
+    best = (0, 0, 0, 0)
+    for w in item:
+        same = (text == w) & (text > 0)
+        across, down = h[:-1] + np.where(same, 2, -1), h[1:] - 1
+        use = across >= down
+        here = np.concatenate([[0], np.maximum(np.where(use, across, down), 0)])
+        start = np.concatenate([[0], np.where(use, begin[:-1], begin[1:])])
+        count = np.concatenate([[0], np.where(use, equal[:-1] + same, equal[1:])])
+        start, count = np.where(here > 0, start, j), np.where(here > 0, count, 0)
+        level = np.maximum.accumulate(here + j)
+        origin = np.maximum.accumulate(np.where(here + j == level, j, 0))  # the cell to the left that a gap in the item leads from
+        h = level - j
+        begin, equal = np.where(h > 0, start[origin], j), np.where(h > 0, count[origin], 0)
+        k = int(np.argmax(h))
+        if h[k] > best[0]:
+            best = (int(h[k]), int(equal[k]), int(begin[k]), k)
+    return best
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:

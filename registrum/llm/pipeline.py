@@ -2,6 +2,11 @@
 
 Decisions are made for rows, named by doc_id and text together, so rows without a doc_id or with that of another text are kept or
 dropped for their own text. Only repeated rows, equal in both, are one.
+
+Defined cases of every stage: null and empty texts are rows like others (quality rejects them, as they have too few words);
+repeated rows stay repeated but in near_dedup, which keeps one; of ties in near_dedup the row with the least name stays; extra
+columns pass through, whatever their names, unless they begin with an underscore and are named like one of the library's own;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every secret found is replaced by a mark, and n_chars follows."""
-    hits = secrets.findings(docs, staged(secrets.scan(docs), "secret-findings")).filter(F.size("spans") > 0)
+    hits = secrets.findings(docs, secrets.Ledger(spark).update(docs)).filter(F.size("spans") > 0)
     out = secrets.redact(docs, hits)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

@@ -3,23 +3,26 @@
 A window is LENGTH bytes of a document. Each window belongs to its minimizer, the K-byte string of the least hash in it, so
 equal windows have equal minimizers at equal places. Windows of one minimizer are dealt, by that place, into ranges of RANGE
 neighbours, which share a core of LENGTH - RANGE + 1 bytes: equal windows meet under the core's hash. A core that occurs once
-holds no repeat and goes no further; a core whose windows are the same bytes everywhere (a copied passage's inside) is a
-repeat throughout. What is left, the edges of copies, is sorted: the distinct stretches of a core go to one shard, whose
-suffix array with common prefixes (induced.py) tells every window that some other one equals. Cores with over CAP distinct
-stretches would be one task's work: they are sieved again by cores of FINE neighbours, and what neither count settles is
-counted window by window, both in distributed aggregations.
+holds no repeat and goes no further; copies of a stretch are folded, and a core with one distinct stretch (a copied passage's
+inside) is a repeat throughout. What is left, the edges of copies, is sorted: the distinct stretches of a core go to one shard,
+whose suffixes with common prefixes (induced.py) tell every window that some other one equals. Cores with over CAP distinct
+stretches, which would be one task's work, are dealt anew by the ranges of SPANS, at last by single windows, in the same way:
+what one distinct part has is settled, the rest is sorted, and only the last ranges' groups are sorted whatever their size.
 
-Hashes are 64 bits and tell only which stretches to compare, except that equal stretches of a core, equal texts and windows
-of cores over CAP are taken as equal by hash and length.
+Texts are named by 128 bits of their SHA-256; stretches by two 64-bit hashes of different seeds, core and own, together. One
+hash alone tells only what to compare, never that it is equal.
+
+Lists that belong to one text (wanted stretches, spans) are at most as large as the text. Batches leave Python workers by
+bytes, so their memory is bounded by FLUSH and the longest text.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH keep all bytes; a repeated row repeats every window of
-its text; extra columns are ignored; an empty table gives an empty result.
+its text, whatever its doc_id; rows without a doc_id or with that of another text are judged by their text; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +30,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from registrum.llm.common import documents, join_paths, staged
-from registrum.llm.induced import suffix_array
+from registrum.llm.common import discard, documents, join_paths, release, staged
+from registrum.llm.induced import Scratch, _file, suffixes
 
-LENGTH, K, RANGE, FINE = 400, 32, 128, 16
-#: Distinct stretches of one core that a shard sorts, and bytes that one sort takes.
+LENGTH, K, RANGE = 400, 32, 128
+#: Ranges of places by which cores over CAP are dealt anew.
+SPANS = (16, 1)
+#: Distinct stretches of a core that go to one shard at once, and bytes from which a shard is sorted.
 CAP, SHARD = 1500, 4 << 20
-#: Bytes of a document hashed at once.
-PART = 1 << 19
+#: Bytes of a document hashed at once, bytes of text whose rows leave a worker together, and places in one row.
+PART, FLUSH, FIRSTS = 1 << 19, 1 << 20, 1024
 _POS = np.uint64((1 << 20) - 1)
-NODE = "blob long, n_bytes int, core long, seg long, place int, m int, firsts array<int>, n long"
+NODE = "blob binary, core long, seg long, place int, m int, firsts array<int>, n long"
+RUNS = "core long, seg long, start int, m int"
 
 
 def _minimizers(b: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +80,11 @@ def _seg(text: bytes, place: int, m: int, length: int) -> int:
     return xxhash.xxh3_64_intdigest(text[: m - 1 + length], seed=place * 1024 + m) - (1 << 63)
 
 
-def nodes(text: bytes, length: int = LENGTH, k: int = K, span: int = RANGE) -> dict[tuple[int, int, int, int], list[int]]:
-    """core, seg, place, windows of each stretch of windows with one minimizer and range of places: where it starts."""
-    out: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
+def nodes(text: bytes, length: int = LENGTH, k: int = K, span: int = RANGE) -> Iterator[dict[tuple[int, int, int, int], list[int]]]:
+    """core, seg, place, windows of each stretch of windows with one minimizer and range of places, by parts of text: where it starts."""
     size = min(PART, (1 << 20) - length)
     for base in range(0, len(text) - length + 1, size):
+        out: dict[tuple[int, int, int, int], list[int]] = defaultdict(list)
         part = text[base : base + size + length - 1]
         at, s = _minimizers(np.frombuffer(part, np.uint8), length, k)
         bucket = (at - s) // span
@@ -86,192 +94,209 @@ def nodes(text: bytes, length: int = LENGTH, k: int = K, span: int = RANGE) -> d
             core = _core(part, p, g, span, length, k)
             seg = _seg(part[x : y - 1 + length], p - x, y - x, length)
             out[core, seg, p - x, y - x].append(base + x)
-    return out
+        yield out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", t.cast("binary").alias("text"), F.xxhash64(t).alias("blob"))
+    return docs.select("doc_id", t.cast("binary").alias("text"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("blob"))
 
 
-def _nodes(texts: DataFrame, length: int) -> DataFrame:
-    """Distinct nodes within a batch with n, how often they occur in it."""
+def _mapped(df: DataFrame, rows, schema: str) -> DataFrame:
+    """rows(batch) gives tuples of schema, each with the bytes it stands for; they leave by FLUSH bytes."""
+    kind = _parse_datatype_string(schema)
+    names, kinds = kind.names, [to_arrow_type(f.dataType) for f in kind.fields]
+
+    def batch(out: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(kinds), kinds)], names=names)
 
     def run(it: Iterator) -> Iterator:
+        out, held = [], 0
         for b in it:
-            n: dict[tuple, int] = defaultdict(int)
-            text = {}
-            for blob, t in zip(b.column("blob").to_pylist(), b.column("text").to_pylist()):
-                n[blob, len(t)] += 1
-                text[blob, len(t)] = t
-            rows = [(*key, *x, firsts, n[key] * len(firsts)) for key, t in text.items() if len(t) >= length for x, firsts in nodes(t, length).items()]
-            cols = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
-            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["blob", "n_bytes", "core", "seg", "place", "m", "firsts", "n"])
-
-    return texts.mapInArrow(run, NODE)
-
-
-def sort_shard(groups: list[tuple[int, list[tuple[int, int, int, bytes]]]], length: int) -> list[tuple[int, int, int, int]]:
-    """groups: core and its stretches (seg, times, windows, text). core, seg, from, windows of each run of repeated windows."""
-    items = [(core, *x) for core, xs in groups for x in xs]
-    starts = np.cumsum([0, *(len(x[-1]) + 1 for x in items)])
-    text = np.zeros(int(starts[-1]), np.uint16)
-    own = np.zeros(len(text), bool)
-    for (_, _, _, m, b), s in zip(items, starts.tolist()):
-        text[s : s + len(b)] = np.frombuffer(b, np.uint8).astype(np.uint16) + 1  # 0 parts the stretches
-        own[s : s + m] = True
-    sa, lcp = suffix_array(text, length)
-    long = lcp >= length
-    hit = np.zeros(len(text), bool)
-    hit[sa[long]] = True
-    hit[sa[np.flatnonzero(long) - 1]] = True
-    hit &= own
-    out = []
-    for (core, seg, n, m, _), s in zip(items, starts.tolist()):
-        h = np.ones(m, bool) if n > 1 else hit[s : s + m]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]])))
-        out += [(core, seg, int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
-    return out
+            for row, size in rows(b):
+                out.append(row)
+                held += size
+                if held > FLUSH:
+                    yield batch(out)
+                    out, held = [], 0
+        yield batch(out)
+        out = None
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _nodes(texts: DataFrame, length: int) -> DataFrame:
+    """Nodes of the distinct texts within a batch with n, how often they occur in it."""
+
+    def rows(b: pa.RecordBatch) -> Iterator:
+        blobs = b.column("blob").to_pylist()
+        n, seen = Counter(blobs), set()
+        for blob, t in zip(blobs, b.column("text")):
+            if blob in seen:
+                continue
+            seen.add(blob)
+            for part in nodes(t.as_py(), length):
+                for key, firsts in part.items():
+                    for k in range(0, len(firsts), FIRSTS):
+                        few = firsts[k : k + FIRSTS]
+                        yield (blob, *key, few, n[blob] * len(few)), 64 * len(few)
+
+    return _mapped(texts, rows, NODE)
+
+
+class Shard:
+    """Stretches that one sort compares; their text goes to a file as they come."""
+
+    def __init__(self):
+        self.file, self.rows, self.size = _file(), [], 0
+
+    def add(self, core: int, seg: int, n: int, m: int, text: bytes) -> None:
+        x = np.frombuffer(text, np.uint8).astype(np.uint16)
+        x += 1  # 0 parts the stretches
+        self.file.write(x.tobytes() + b"\0\0")
+        self.rows.append((core, seg, n, m, self.size))
+        self.size += len(text) + 1
+
+    def runs(self, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """core, seg, from, windows of each run of repeated windows."""
+        if not self.rows:
+            return
+        self.file.flush()
+        scratch = Scratch()
+        hit, last = scratch.array(self.size, np.bool_), 0
+        for pos, lcp in suffixes(np.memmap(self.file, np.uint16, "r", shape=(self.size,)), length, scratch=scratch):
+            same = np.flatnonzero(lcp >= length)  # with the entry before
+            hit[pos[same]] = True
+            hit[np.concatenate([[last], pos[:-1]])[same]] = True
+            last = int(pos[-1])
+        for core, seg, n, m, s in self.rows:
+            h = np.ones(m, bool) if n > 1 else hit[s : s + m]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], h.astype(np.int8), [0]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                yield core, seg, a, b - a
+        self.file.close()
 
 
 def _sorted(stretches: DataFrame, length: int) -> DataFrame:
-    """core, seg, start, m of repeated windows; stretches: core, seg, n, m, text, sorted by core within partitions."""
+    """RUNS of repeated windows; stretches: core, seg, n, m, text, distinct by core and seg."""
 
     def run(it: Iterator) -> Iterator:
-        groups, held, core, one = [], 0, None, []
+        shard, core = Shard(), None
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
-        def flush():
-            rows = sort_shard(groups, length) if groups else []
-            cols = list(zip(*rows)) or [()] * 4
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["core", "seg", "start", "m"])
+        def sort() -> Iterator:
+            runs = list(shard.runs(length))
+            for k in range(0, len(runs), 1 << 16):
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*runs[k : k + (1 << 16)]), kinds)], names=["core", "seg", "start", "m"])
 
         for b in it:
-            for c, *x in zip(*(b.column(k).to_pylist() for k in ("core", "seg", "n", "m", "text"))):
-                if c != core:
-                    if one:
-                        groups.append((core, one))
-                    if held > SHARD:
-                        yield flush()
-                        groups, held = [], 0
-                    core, one = c, []
-                one.append(tuple(x))
-                held += len(x[-1])
-        if one:
-            groups.append((core, one))
-        yield flush()
-
-    return stretches.mapInArrow(run, "core long, seg long, start int, m int")
-
-
-def _counted(stretches: DataFrame, length: int, k: int = K) -> DataFrame:
-    """The same for cores over CAP: by cores of FINE neighbours, then by the hash of each window."""
-    stretches = stretches.select("core", "seg", "n", "place", "m", "text")
-
-    def part(it: Iterator) -> Iterator:
-        for b in it:
-            rows = []
-            for c, seg, n, p, m, t in zip(*(b.column(x).to_pylist() for x in ("core", "seg", "n", "place", "m", "text"))):
-                for q in range((p - m + 1) // FINE, p // FINE + 1):
-                    a, z = max(0, p - q * FINE - FINE + 1), min(m, p - q * FINE + 1)  # windows of this range: places p - a ... p - z + 1
-                    rows.append((c, seg, a, z - a, _core(t, p, q, FINE, length, k), _seg(t[a : z - 1 + length], p - a, z - a, length), n))
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, x) for c, x in zip(cols, kinds)], names=["core", "seg", "start", "m", "fine", "part", "n"])
-
-    parts = staged(stretches.mapInArrow(part, "core long, seg long, start int, m int, fine long, part long, n long"), "parts")
-    met = staged(parts.groupBy("fine").agg(F.sum("n").alias("times"), (F.min("part") == F.max("part")).alias("same")).filter("times > 1").select("fine", "same"), "parts-met")
-    parts = parts.join(met, "fine")
-    open_ = parts.filter("not same").groupBy("core", "seg").agg(F.collect_list(F.struct("start", "m")).alias("open"))
-
-    def each(it: Iterator) -> Iterator:
-        for b in it:
-            rows = [(c, seg, i, xxhash.xxh3_64_intdigest(t[i : i + length]) - (1 << 63), n) for c, seg, n, t, o in zip(*(b.column(x).to_pylist() for x in ("core", "seg", "n", "text", "open"))) for r in o for i in range(r["start"], r["start"] + r["m"])]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["core", "seg", "start", "window", "n"])
-
-    w = stretches.join(open_, ["core", "seg"]).mapInArrow(each, "core long, seg long, start int, window long, n long")
-    w = staged(w, "windows")
-    many = staged(w.groupBy("core", "window").agg(F.sum("n").alias("times")).filter("times > 1").select("core", "window"), "windows-met")
-    return parts.filter("same").select("core", "seg", "start", "m").unionByName(w.join(many, ["core", "window"]).select("core", "seg", "start", F.lit(1).alias("m")))
+            for c, seg, n, m, t in zip(*(b.column(k) for k in ("core", "seg", "n", "m", "text"))):
+                c = c.as_py()
+                if c != core and shard.size > SHARD:
+                    yield from sort()
+                    shard = Shard()
+                core = c
+                shard.add(c, seg.as_py(), n.as_py(), m.as_py(), t.as_py())
+        yield from sort()
+        shard = None
+        release()
+
+    return stretches.repartition("core").sortWithinPartitions("core", "seg").select("core", "seg", "n", "m", "text").mapInArrow(run, RUNS)
+
+
+def _settled(stretches: DataFrame, length: int, cap: int, spans: tuple[int, ...] = SPANS) -> DataFrame:
+    """RUNS of repeated windows; stretches: core, seg, n, hot (whether the core has over cap of them), place, m, text."""
+    runs = _sorted(stretches.filter("not hot"), length)
+    hot = stretches.filter("hot").drop("hot")
+    return runs if hot.isEmpty() else runs.unionByName(_dealt(hot, length, cap, spans))
+
+
+def _dealt(stretches: DataFrame, length: int, cap: int, spans: tuple[int, ...], k: int = K) -> DataFrame:
+    """The same for stretches of hot cores: dealt anew by ranges of spans[0] places."""
+    span, rest = spans[0], spans[1:]
+
+    def part(b: pa.RecordBatch) -> Iterator:
+        for c, seg, n, p, m, t in zip(*(b.column(x).to_pylist() for x in ("core", "seg", "n", "place", "m", "text"))):
+            for q in range((p - m + 1) // span, p // span + 1):
+                a, z = max(0, p - q * span - span + 1), min(m, p - q * span + 1)  # windows of this range: places p - a ... p - z + 1
+                yield (c, seg, a, z - a, p - a, _core(t, p, q, span, length, k), _seg(t[a : z - 1 + length], p - a, z - a, length), n), 64
+
+    parts = staged(_mapped(stretches.select("core", "seg", "n", "place", "m", "text"), part, "core long, seg long, start int, m int, place int, fine long, part long, n long"), "parts")
+    one = staged(parts.groupBy("fine", "part").agg(F.sum("n").alias("n"), F.min(F.struct("core", "seg", "start", "m", "place")).alias("x")).select("fine", "part", "n", "x.*"), "distinct-parts")
+    met = staged(one.groupBy("fine").agg(F.sum("n").alias("times"), F.count("*").alias("kinds")).filter("times > 1").select("fine", "kinds"), "parts-met")
+    sure = parts.join(met.filter("kinds = 1"), "fine").select("core", "seg", "start", "m")
+    hot = F.col("kinds") > F.lit(cap if rest else 1 << 62)
+    want = one.join(met.filter("kinds > 1"), "fine").groupBy("core", "seg").agg(F.collect_list(F.struct("fine", "part", "n", hot.alias("hot"), "place", "m", "start")).alias("want"))
+
+    def cut(b: pa.RecordBatch) -> Iterator:
+        for t, want in zip(b.column("text"), b.column("want")):
+            t = t.as_py()
+            for w in want.as_py():
+                text = t[w["start"] : w["start"] + w["m"] - 1 + length]
+                yield (w["fine"], w["part"], w["n"], w["hot"], w["place"], w["m"], text), len(text)
+
+    pieces = staged(_mapped(stretches.join(want, ["core", "seg"]).select("text", "want"), cut, "core long, seg long, n long, hot boolean, place int, m int, text binary"), "parts-cut")
+    fine = _settled(pieces, length, cap, rest).select(F.col("core").alias("fine"), F.col("seg").alias("part"), F.col("start").alias("more"), F.col("m").alias("windows"))
+    found = parts.join(fine, ["fine", "part"]).select("core", "seg", (F.col("start") + F.col("more")).alias("start"), F.col("windows").alias("m"))
+    return sure.unionByName(found)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, cap: int = CAP) -> DataFrame:
-    """blob, n_bytes, spans (first window, windows) of every distinct text that has repeated windows."""
+    """blob, spans (first window, windows) of every distinct text that has repeated windows."""
     texts = _texts(docs)
-    all_nodes = staged(_nodes(texts, length), "nodes")
+    all_nodes = staged(_nodes(texts.select("blob", "text"), length), "nodes")
     # aggregates that are joined back are written first: a join of two plain reads can split a hot core's rows
     per = all_nodes.groupBy("core").agg(F.sum("n").alias("times"), (F.min("seg") == F.max("seg")).alias("same")).filter("times > 1")
-    met = staged(all_nodes.join(staged(per.select("core", "same"), "cores"), "core"), "met")
-    sure = met.filter("same").select("blob", "n_bytes", F.explode("firsts").alias("first"), "m")
+    cores = staged(per.select("core", "same"), "cores")
+    met = staged(all_nodes.join(cores, "core"), "met")
+    discard(all_nodes, cores)
     mixed = met.filter("not same")
-    one = mixed.groupBy("core", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("blob", "n_bytes", F.get("firsts", F.lit(0)).alias("first"), "place", "m")).alias("x"))
+    one = mixed.groupBy("core", "seg").agg(F.sum("n").alias("n"), F.min(F.struct("blob", F.get("firsts", F.lit(0)).alias("first"), "place", "m")).alias("x"))
     one = staged(one.select("core", "seg", "n", "x.*"), "distinct-stretches")
     hot = staged(one.groupBy("core").agg(F.count("*").alias("distinct")).filter(F.col("distinct") > cap).select("core", F.lit(True).alias("hot")), "hot-cores")
-    one = one.join(hot, "core", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = one.groupBy("blob", "n_bytes").agg(F.collect_list(F.struct("core", "seg", "n", "hot", "first", "place", "m")).alias("want"))
-    holder = texts.select("doc_id", "blob", F.octet_length("text").alias("n_bytes")).groupBy("blob", "n_bytes").agg(F.min("doc_id").alias("doc_id"))
-    wanted = wanted.join(holder, ["blob", "n_bytes"]).select("doc_id", "blob", "want")
-
-    def cut(it: Iterator) -> Iterator:
-        for b in it:
-            rows = [(w["core"], w["seg"], w["n"], w["hot"], w["place"], w["m"], t[w["first"] : w["first"] + w["m"] - 1 + length]) for t, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()) for w in want]
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["core", "seg", "n", "hot", "place", "m", "text"])
-
-    pieces = join_paths(texts, wanted).select("text", "want").mapInArrow(cut, "core long, seg long, n long, hot boolean, place int, m int, text binary")
-    pieces = staged(pieces, "stretches")
-    cold = pieces.filter("not hot").dropDuplicates(["core", "seg"]).repartition("core").sortWithinPartitions("core", "seg")
-    many = pieces.filter("hot").dropDuplicates(["core", "seg"])
-    runs = _sorted(cold, length).unionByName(_counted(many, length))
-    found = mixed.select("core", "seg", "blob", "n_bytes", F.explode("firsts").alias("first")).join(runs, ["core", "seg"]).select("blob", "n_bytes", (F.col("first") + F.col("start")).alias("first"), "m")
-    spans = sure.unionByName(found).groupBy("blob", "n_bytes").agg(F.collect_set(F.struct("first", "m")).alias("spans"))
-    return staged(spans, "repeats")
+    wanted = one.join(hot, "core", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = wanted.groupBy("blob").agg(F.collect_list(F.struct("core", "seg", "n", "hot", "first", "place", "m")).alias("want"))
+    holder = texts.select("doc_id", "blob").groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    wanted = wanted.join(holder, "blob").select("doc_id", "blob", "want")
+
+    def cut(b: pa.RecordBatch) -> Iterator:
+        for t, want in zip(b.column("text"), b.column("want")):
+            t = t.as_py()
+            for w in want.as_py():
+                text = t[w["first"] : w["first"] + w["m"] - 1 + length]
+                yield (w["core"], w["seg"], w["n"], w["hot"], w["place"], w["m"], text), len(text)
+
+    pieces = _mapped(join_paths(texts, wanted).select("text", "want"), cut, "core long, seg long, n long, hot boolean, place int, m int, text binary")
+    pieces = staged(pieces.dropDuplicates(["core", "seg"]), "stretches")
+    runs = staged(_settled(pieces, length, cap), "runs")
+    found = mixed.select("core", "seg", "blob", F.explode("firsts").alias("first")).join(runs, ["core", "seg"]).select("blob", (F.col("first") + F.col("start")).alias("first"), "m")
+    sure = met.filter("same").select("blob", F.explode("firsts").alias("first"), "m")
+    spans = staged(sure.unionByName(found).groupBy("blob").agg(F.collect_set(F.struct("first", "m")).alias("spans")), "repeats")
+    discard(met, one, hot, pieces, runs)
+    return spans
 
 
 def strip(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
 
-    def run(it: Iterator) -> Iterator:
-        for b in it:
-            rows = []
-            for d, t, ss in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "spans"))):
-                kept, at, removed, n = [], 0, 0, 0
-                for s in sorted(ss or [], key=lambda s: s["first"]):
-                    a, z = s["first"], s["first"] + s["m"] - 1 + length
-                    if n == 0 or a > at:
-                        kept.append(t[at:a])
-                        n, removed, at = n + 1, removed + z - a, z
-                    elif z > at:
-                        removed, at = removed + z - at, z
-                rows.append((d, len(t), removed, n, b"".join(kept) + t[at:]))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    def rows(b: pa.RecordBatch) -> Iterator:
+        for d, t, ss in zip(*(b.column(k) for k in ("doc_id", "text", "spans"))):
+            t, kept, at, removed, n = t.as_py(), [], 0, 0, 0
+            for s in sorted(ss.as_py() or [], key=lambda s: s["first"]):
+                a, z = s["first"], s["first"] + s["m"] - 1 + length
+                if n == 0 or a > at:
+                    kept.append(t[at:a])
+                    n, removed, at = n + 1, removed + z - a, z
+                elif z > at:
+                    removed, at = removed + z - at, z
+            yield (d.as_py(), len(t), removed, n, b"".join(kept) + t[at:]), len(t)
 
     t = _texts(docs)
-    ids = t.select("doc_id", "blob", F.octet_length("text").alias("n_bytes")).distinct().join(spans, ["blob", "n_bytes"]).select("doc_id", "blob", "spans")
-    return join_paths(t, ids, "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    ids = t.select("doc_id", "blob").distinct().join(spans, "blob").select("doc_id", "blob", "spans")
+    return _mapped(join_paths(t, ids, "left").select("doc_id", "text", "spans"), rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return strip(docs, repeated(docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 straight from the definition."""
-    n: dict[bytes, int] = defaultdict(int)
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            n[t[i : i + length]] += 1
-    out = []
-    for t in texts:
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if n[t[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        runs = sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1]))
-        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest()))
-    return out

@@ -1,17 +1,22 @@
 """Secret scans with an incremental blob ledger.
 
 A text is a blob named by its SHA-256; rows of documents are paths to blobs. Only pairs of blob and rule version that the
-ledger doesn't have are scanned, each once however many paths lead to it, and findings are joined back to every path. The
-ledger is a table with one row per pair, so a later run (ledger given) reads only new blobs, or old ones under new rules.
+ledger doesn't have are scanned, each once however many paths lead to it, and findings are joined back to every path.
 
-Defined cases: null text counts as empty and finds nothing; repeated rows stay repeated; extra columns are ignored; an empty
-table gives an empty result; spans are code points, end exclusive.
+The ledger is a stored table that runs append to: a row has a blob, the rule versions it was scanned with and what they found,
+so it holds pairs without findings too. LEDGER names its folder in the session; a later run then reads only new blobs, or old
+ones under new rules. Without that setting a run begins a ledger of its own in the shared folder. A run that is repeated after
+a failure appends pairs that are there already; readers take each finding once.
+
+Defined cases: null text counts as empty and finds nothing; repeated rows stay repeated; rows without a doc_id and unlike texts
+under one are paths like others; extra columns are ignored; an empty table gives an empty result; spans are code points, end
+exclusive.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import batches, doc_texts, documents, join_paths, staged
+from registrum.llm.common import batches, doc_texts, documents, join_paths, shared_dir
 
 
 @dataclass(frozen=True)
@@ -56,7 +61,10 @@ RULES = (
     Rule("url", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{3,100}@", ("://",)),
 )
 BASE = ("assign", "access", "hex")
-SPANS = "array<struct<kind: string, start: int, end: int>>"
+SPANS = "array<struct<kind: string, start: int, end: int, rule: string>>"
+ROWS = f"blob binary, rules array<string>, spans {SPANS}"
+#: Session setting: the folder of a ledger that is kept between runs.
+LEDGER = "registrum.secrets.ledger"
 
 
 def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
@@ -74,42 +82,62 @@ def paths(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
-def unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, doc_id (a path to it), todo: the names of rules it has not been scanned with."""
-    one = blobs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    if ledger is None:
-        return one.withColumn("todo", F.array(*[F.lit(r.name) for r in rules]))
-    pairs = one.withColumn("rule", F.explode(F.array(*[F.lit(r.name) for r in rules])))
-    left = pairs.join(ledger.select("blob", "rule"), ["blob", "rule"], "left_anti")
-    return left.groupBy("blob", "doc_id").agg(F.sort_array(F.collect_list("rule")).alias("todo"))
+def unseen(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, doc_id (a path to it), todo: the names of rules that the ledger has not seen it with."""
+    every = F.array(*[F.lit(r.name) for r in rules])
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+    one = blobs.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen, "blob", "left")
+    todo = F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, "seen"))
+    return one.select("blob", "doc_id", todo.alias("todo")).filter(F.size("todo") > 0)
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: blob, todo (rules now scanned), spans."""
+def scan(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New rows of the ledger: blob, rules (versions it is now scanned with), spans."""
 
     def run(it: Iterator) -> Iterator:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string())]))
         for blobs, todo, texts in batches(it, "blob", "todo", "text"):
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, tuple(r for r in rules if r.name in names))] for names, t in zip(todo, texts)]
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.record_batch([pa.array(blobs, pa.binary()), pa.array(todo, pa.list_(pa.string())), pa.array(spans, kind)], names=["blob", "todo", "spans"])
+            spans = []
+            for names, t in zip(todo, texts):
+                mine = {r.kind: r for r in rules if r.name in names}
+                spans.append([{"kind": k, "start": a, "end": b, "rule": mine[k].name} for k, a, b in find(t, tuple(mine.values()))])
+            yield pa.record_batch([pa.array(blobs, pa.binary()), pa.array(todo, pa.list_(pa.string())), pa.array(spans, kind)], names=["blob", "rules", "spans"])
 
     p = paths(docs)
     new = unseen(p.select("doc_id", "blob"), ledger, rules)
     held = join_paths(p, new).select("blob", "todo", "text")
-    return held.mapInArrow(run, f"blob binary, todo array<string>, spans {SPANS}").dropDuplicates(["blob"])
+    return held.mapInArrow(run, ROWS).dropDuplicates(["blob"])
+
+
+class Ledger:
+    """The stored pairs of blob and rule version under a folder."""
 
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}/registrum-secret-ledger-{uuid.uuid4().hex}"
 
-def as_ledger(scanned: DataFrame) -> DataFrame:
-    """blob, rule, spans: one row per pair of blob and rule version, those without findings included."""
-    kind = lambda rule: F.substring_index(rule, "@", 1)
-    return scanned.select("blob", F.explode("todo").alias("rule"), F.col("spans").alias("all")).select("blob", "rule", F.filter("all", lambda x: x["kind"] == kind(F.col("rule"))).alias("spans"))
+    def rows(self) -> DataFrame:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(ROWS).parquet(self.path)
 
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scans what is unseen, appends it, and gives all rows."""
+        scan(docs, self.rows(), rules).write.mode("append").option("compression", "zstd").parquet(self.path)
+        return self.rows()
 
-def findings(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """doc_id, blob, spans of every path; scanned: blob, spans."""
-    hits = scanned.filter(F.size("spans") > 0).select("blob", "spans")
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, blob, spans (by start, then in the order of rules) of every path under these versions of the rules."""
+    at = {r.name: k for k, r in enumerate(rules)}
+    hits = ledger.filter(F.size("spans") > 0).select("blob", F.filter("spans", lambda x: x["rule"].isin(*at)).alias("spans"))
+    place = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])
+    hits = hits.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    keyed = F.transform("spans", lambda x: F.struct(x["start"], place[x["rule"]].alias("at"), x["kind"], x["end"], x["rule"]))
+    spans = F.transform(F.sort_array(keyed), lambda x: F.struct(x["kind"], x["start"], x["end"], x["rule"]))
     none = F.array().cast(SPANS)
-    return paths(docs).select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
+    return paths(docs).select("doc_id", "blob").join(hits.select("blob", spans.alias("spans")), "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -124,7 +152,7 @@ def redact(docs: DataFrame, spans: DataFrame, mark: str = "[SECRET]") -> DataFra
     def run(it: Iterator) -> Iterator:
         for b in it:
             texts = []
-            for t, ss in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, ss in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist()):
                 out, at = [], 0
                 for s in sorted(ss or [], key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= at:
@@ -133,21 +161,17 @@ def redact(docs: DataFrame, spans: DataFrame, mark: str = "[SECRET]") -> DataFra
                 texts.append("".join(out) + t[at:] if out else t)
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in cols], names=cols)
 
-    d = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return join_paths(d, spans.dropDuplicates(["doc_id", "blob"]), "left").select(*cols, "spans").mapInArrow(run, docs.schema)
+    d = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    hits = spans.dropDuplicates(["doc_id", "blob"]).select(F.col("doc_id").alias("_doc_id"), F.col("blob").alias("_found"), F.col("spans").alias("_spans"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_blob") == F.col("_found"))
+    return d.join(hits, same, "left").select(*cols, "_spans").mapInArrow(run, docs.schema)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    scanned = staged(scan(docs), "secret-findings")
+    ledger = Ledger(spark).update(docs)
     spans = F.col("spans")
     base = F.filter(spans, lambda x: x["kind"].isin(*BASE))
     of = lambda k: F.filter(spans, lambda x: x["kind"] == k)
     n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return findings(docs, scanned).select("doc_id", *n, F.sha2(digest(base), 256).alias("base_sha256"), digest(spans).alias("spans"))
-
-
-def brute(text: str) -> tuple[list[tuple[str, int, int]], str]:
-    """The base spans and their digest, straight from the definition."""
-    found = find(text, RULES[:3])
-    return found, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+    return findings(docs, ledger).select("doc_id", *n, F.sha2(digest(base), 256).alias("base_sha256"), digest(spans).alias("spans"))
