@@ -1,13 +1,16 @@
 """A quality classifier with supervised subword embeddings.
 
-A word has one vector for itself and one for each of its character n-grams (with marks at its ends), all from one hashed
-table. Of word bigrams only whether both words are equal has a vector, which stands for texts that stammer. A document is the average of its words' vectors; a softmax over two classes scores it. Table and output are trained
-together by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows (SAMPLE), which is
-drawn by a hash of doc_id alone. Scoring covers all rows: the model is linear in the average, so each word carries one
-number, kept in a bounded cache.
-
-Defined cases: null text counts as empty and scores the bias alone; repeated rows stay repeated; extra columns are ignored;
-an empty table gives an empty result; without usable labels every score is 0.5.
+A word has one vector for itself and one for each of its character n-grams (with marks at its ends), and each pair of
+neighbouring words has one; a pair of equal words also has that of its back-reference form, in which a word that repeats the
+one before is written as such. All are from one hashed table. A document is the average of its vectors; a softmax over two
+classes scores it. Table and output are trained together by stochastic gradient descent in numpy, on the driver, from a bounded
+sample of labelled rows (SAMPLE), which is drawn by a hash of doc_id alone. A row's features are at most BUCKETS numbers,
+however long its text. Scoring covers all rows: the model is linear in the average, so each word carries one number, kept in a
+bounded cache, and each pair one of the table.
+
+Defined cases: null text counts as empty and scores the bias alone; repeated rows stay repeated; rows without a doc_id are
+scored, not learned from; of unlike labels of one doc_id the smallest counts, and each of its texts is learned from; extra
+columns are ignored; an empty table gives an empty result; without usable labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -30,8 +33,6 @@ SAMPLE = 4000
 BUCKETS, WIDTH = 1 << 16, 8
 LEAST, MOST = 3, 4
 EPOCHS, RATE = 4, 0.5
-#: Bucket of a word that repeats the one before, and how many units it counts as.
-SAME, WEIGHT = 0, 8
 CACHE = 300_000
 THRESHOLD = 0.3
 
@@ -43,6 +44,14 @@ def units(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in grams]
 
 
+def _bucket(text: str, begun: int = 0) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"), begun)
+
+
+#: Bucket of a pair of equal words in its back-reference form.
+SAME = _bucket("\t= =") % BUCKETS
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares."""
     n: Counter = Counter()
@@ -50,8 +59,10 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     for w, c in Counter(words).items():
         for u in units(w):
             n[u] += c
-    if same := sum(map(eq, words, words[1:])):
-        n[SAME] += WEIGHT * same
+    for (a, b), c in Counter(zip(words, words[1:])).items():
+        n[_bucket(f"{a} {b}") % BUCKETS] += c
+        if a == b:
+            n[SAME] += c
     if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     k, v = np.fromiter(n.keys(), np.int32), np.fromiter(n.values(), np.float32)
@@ -94,15 +105,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     n = usable.count()
     if n > sample:
         usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * sample / n))
-    usable = usable.dropDuplicates(["doc_id"])
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
     def run(it: Iterator) -> Iterator:
-        for ids, quality, texts in batches(it, "doc_id", "quality", "text"):
+        for ids, quality, texts, names in batches(it, "doc_id", "quality", "text", "name"):
             f = [features(t) for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array([k for k, _ in f], pa.list_(pa.int32())), pa.array([v for _, v in f], pa.list_(pa.float32()))], names=["doc_id", "quality", "k", "v"])
+            cols = [pa.array(ids, pa.int64()), pa.array(quality, pa.int32()), pa.array(names, pa.int64()), pa.array([k for k, _ in f], pa.list_(pa.int32())), pa.array([v for _, v in f], pa.list_(pa.float32()))]
+            yield pa.record_batch(cols, names=["doc_id", "quality", "name", "k", "v"])
 
     d = doc_texts(docs).join(F.broadcast(usable), "doc_id")  # about sample rows of two numbers
-    rows = d.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, k array<int>, v array<float>").toArrow().sort_by("doc_id")
+    rows = d.select("doc_id", "quality", "text", F.xxhash64("text").alias("name")).mapInArrow(run, "doc_id long, quality int, name long, k array<int>, v array<float>")
+    rows = rows.toArrow().sort_by([("doc_id", "ascending"), ("name", "ascending")])
     cols = [rows.column(c) for c in ("k", "v", "quality")]
     return train([(np.asarray(k.values, np.int32), np.asarray(v.values, np.float32), int(q.as_py() > 0)) for k, v, q in zip(*cols)])
 
@@ -114,20 +127,22 @@ def scored(docs: DataFrame, unit: np.ndarray, bias: float) -> DataFrame:
     def run(it: Iterator) -> Iterator:
         table, known = model.value.tolist(), {}
 
-        def look(word: str) -> tuple[float, int]:
+        def look(word: str) -> tuple[float, int, int, bytes]:
             u = units(word)
-            x = (sum([table[k] for k in u]), len(u))
+            x = (sum([table[k] for k in u]), len(u), _bucket(f"{word} "), word.encode("utf-8", "surrogatepass"))
             if len(known) < CACHE:
                 known[word] = x
             return x
 
+        crc = zlib.crc32
         for ids, texts in batches(it, "doc_id", "text"):
             out = []
             for t in texts:
                 words = t.split()
                 x = [known.get(w) or look(w) for w in words]
-                same = WEIGHT * sum(map(eq, words, words[1:]))
-                z = ((math.fsum([a for a, _ in x]) + same * table[SAME]) / (sum([n for _, n in x]) + same) if x else 0.0) + bias
+                same = sum(map(eq, words, words[1:]))
+                pairs = [table[crc(b[3], a[2]) % BUCKETS] for a, b in zip(x, x[1:])]
+                z = ((math.fsum([a[0] for a in x]) + math.fsum(pairs) + same * table[SAME]) / (sum([a[1] for a in x]) + len(pairs) + same) if x else 0.0) + bias
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
