@@ -5,7 +5,7 @@ versioned bit masks applied to stored bits, and ablations are bitwise aggregatio
 neither reads the texts again. Only DataFrame functions are used.
 
 Defined cases: a null or empty text has zero for every measurement and fails FEW_WORDS; repeated rows give repeated ledger
-rows; extra columns are ignored; an empty table gives an empty ledger.
+rows; a row is judged by its text alone, whatever its doc_id; extra columns are ignored; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import SPACE, doc_texts, documents, staged
+from registrum.llm.common import doc_texts, documents, staged
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 SYMBOLS = "#*$%&|<>"
@@ -47,29 +47,24 @@ BASE = Policy("base", ("few_words", "repeated_windows"))
 STRICT = Policy("2024-1", tuple(BIT))
 
 
-def removed(text: Column, chars: str) -> Column:
-    """How many code points of text are among chars."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _often(c: str) -> Column:
+    """How often c stands in column m."""
+    return (F.length("m") - F.length(F.replace(F.col("m"), F.lit(c), F.lit("")))).cast("long")
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id and the measurements.
 
     n_repeat_words counts word positions covered by a 3-word window that occurs at least twice in the text. Windows are
-    compared by a 64-bit hash; texts whose windows are all distinct skip the sort.
+    compared by a 64-bit hash; texts whose windows are all distinct skip the sort. Symbols and capitals are folded to one
+    character each in a single pass over the text; each class is then counted by a byte search.
     """
     d = doc_texts(docs)
     word = F.split("text", r"[\x20\x09-\x0D]+")
-    line = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    d = d.select(
-        "doc_id",
-        (F.length("text") - removed(F.col("text"), SPACE)).alias("word_chars"),
-        removed(F.col("text"), SYMBOLS).alias("n_symbols"),
-        removed(F.col("text"), UPPER).alias("n_upper"),
-        removed(F.col("text"), "!").alias("n_exclaim"),
-        F.array_remove(word, "").alias("w"),
-        line.alias("l"),
-    )
+    line = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    folded = F.translate("text", SYMBOLS[1:] + UPPER[1:], SYMBOLS[0] * (len(SYMBOLS) - 1) + UPPER[0] * (len(UPPER) - 1))
+    d = d.select("doc_id", folded.alias("m"), F.array_remove(word, "").alias("w"), line.alias("l"))
+    d = d.select("doc_id", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), _often(SYMBOLS[0]).alias("n_symbols"), _often(UPPER[0]).alias("n_upper"), _often("!").alias("n_exclaim"), "w", "l")
     d = d.withColumns({"n_words": F.size("w").cast("long"), "n_lines": F.size("l").cast("long"), "n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long")})
     window = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     none = F.array().cast("array<bigint>")
@@ -118,10 +113,17 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
+def sole_rule(policy: Policy) -> Column:
+    """The rule of the policy without which a row that fails would be kept; null if there is none or the row is kept."""
+    held = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
+    return F.coalesce(*[F.when(held == BIT[r], F.lit(r)) for r in policy.rules])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(documents(spark, sf_dir)), STRICT)
-    failed = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask)) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"), "fail_bits")
+    """Two policies and each row's ablation, from one stored ledger."""
+    rows = stored_ledger(documents(spark, sf_dir))
+    rows = apply_policy(rows, STRICT).withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(BASE.mask)) != 0)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"), "fail_bits", "policy", sole_rule(STRICT).alias("sole_rule"))
 
 
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -139,4 +141,4 @@ m as (select rid, doc_id, len(w)::bigint n_words, length(regexp_replace(t, '{_SP
   coalesce(covered, 0)::bigint n_repeat_words from w left join p using (rid)),
 b as (select *, ({" + ".join(f"(case when {c} then {1 << i} else 0 end)" for i, (_, c) in enumerate(RULES))})::bigint fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
-  fail_bits = 0 kept, fail_bits from b"""
+  fail_bits = 0 kept, fail_bits, '{STRICT.version}' policy, case fail_bits {" ".join(f"when {b} then '{r}'" for r, b in BIT.items())} end sole_rule from b"""
