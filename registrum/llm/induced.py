@@ -85,14 +85,26 @@ class Queues:
         return c in self.parts
 
     def take(self, c: int, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Empties queue c: its entries part by part; back: the last part first."""
+        """Empties queue c: its entries in parts of about BATCH; back: the last part first."""
         parts = self.parts.pop(c, [])
         self.held -= sum(p[0].nbytes * 2 for p in parts if not isinstance(p[0], int))
+        some, size = [], 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            one = some[::-1] if back else some
+            return np.concatenate([p for p, _ in one]), np.concatenate([v for _, v in one])
+
         for a, b in reversed(parts) if back else parts:
             if isinstance(a, int):
                 both = np.frombuffer(os.pread(self.file.fileno(), 8 * b, a), np.int32)
                 a, b = both[:b], both[b:]
-            yield a, b
+            some.append((a, b))
+            size += len(a)
+            if size >= BATCH:
+                yield joined()
+                some, size = [], 0
+        if some:
+            yield joined()
 
     def close(self) -> None:
         self.parts.clear()
