@@ -6,29 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from registrum.functions import fixed
-from registrum.functions.text import blank_to_null, clean_text, col
+from registrum.functions.text import blank_to_null, clean_text, col, let
 
-_SHAPES = {
-    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$", "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yy": r"^\d{1,2}-\d{1,2}-\d{2}$",
-    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "d-MMMM-yyyy": r"^\d{1,2}-[A-Za-z]+-\d{4}$", "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
-    "d MMMM yyyy": r"^\d{1,2} [A-Za-z]+ \d{4}$", "d MMM yyyy": r"^\d{1,2} [A-Za-z]{3} \d{4}$",
-}
 _DAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)(?:day|sday|nesday|rsday|urday)? (?=\d{1,2} [a-z])"
 
 
 def council_date(c: Column | str) -> Column:
-    """A DATE from any of the register formats, else null."""
-    t = F.regexp_replace(clean_text(c), _DAY, "")
-    t = F.when(t.rlike("[A-Za-z]"), F.initcap(F.regexp_replace(t, "-", " "))).otherwise(t)
+    """A DATE from any of the register formats (fixed.DATE_FORMATS), else null: one shape test, then one format.
 
-    def one(fmt: str) -> Column:
-        shape, fmt = (_SHAPES[fmt].replace("-", " ") if "MMM" in fmt and "-" in fmt else _SHAPES[fmt]), fmt.replace("-", " ") if "MMM" in fmt else fmt
-        d = F.try_to_date(t, fmt)
-        if fmt.endswith("/yy") or fmt.endswith("-yy"):  # 69 to 99 are of the last century
-            d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
-        return F.when(t.rlike(shape.replace("[A Za z]", "[A-Za-z]")), d)
+    Two-digit years from 69 on are of the last century.
+    """
 
-    return F.coalesce(*map(one, fixed.DATE_FORMATS))
+    def read(t: Column) -> Column:
+        slashed = F.replace(t, F.lit("-"), F.lit("/"))
+        year = F.regexp_extract(slashed, r"(\d+)$", 1)
+        century = F.when(F.length(year) == 4, "").when(year.try_cast("int") >= 69, "19").otherwise("20")
+        day_first = F.try_to_date(F.concat(F.regexp_replace(slashed, r"\d+$", ""), century, year), "d/M/yyyy")
+        named = F.initcap(F.replace(t, F.lit("-"), F.lit(" ")))
+        short = F.length(F.regexp_extract(named, "([A-Za-z]+)", 1)) == 3
+        return (
+            F.when(t.rlike(r"^\d{1,2}([/-])\d{1,2}\1(\d{2}|\d{4})$"), day_first)
+            .when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(t, "yyyy-M-d"))
+            .when(t.rlike(r"^\d{1,2}([ -])[A-Za-z]+\1\d{4}$"), F.when(short, F.try_to_date(named, "d MMM yyyy")).otherwise(F.try_to_date(named, "d MMMM yyyy")))
+        )
+
+    return let(F.regexp_replace(clean_text(c), _DAY, ""), read)
 
 
 def parse_council_date(c: Column | str) -> Column:
@@ -51,6 +53,22 @@ def first_date(c: Column | str) -> Column:
     return blank_to_null(F.regexp_extract(col(c), r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2} [A-Za-z]{3,9} \d{4})\b", 1))
 
 
+def labelled_date(c: Column, label: str) -> Column:
+    """The ISO date that follows a label in a listing's line."""
+    day = r"((?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+\d{1,2}\s+\w+\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{4})"
+    return parse_council_date(blank_to_null(F.regexp_extract(c, rf"(?i)\b{label}\s*:\s*{day}", 1)))
+
+
+def weekday_date(c: Column) -> Column:
+    """The first numeric date of a text, or one with its weekday."""
+    return blank_to_null(F.regexp_extract(c, r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{4}|(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+\d{1,2}\s+\w+\s+\d{4})\b", 0))
+
+
+def form_date(d: Column, page_text: Column) -> Column:
+    """A date as a search form wants it: the page's text says if with hyphens."""
+    return F.when(page_text.rlike(r"(?i)format\s+DD-MM-YYYY"), F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+
+
 def effective_date(received: Column | str, validated: Column | str) -> Column:
     return F.coalesce(blank_to_null(received), blank_to_null(validated))
 
@@ -94,6 +112,11 @@ def ticks_to_london_date(ticks: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(F.timestamp_millis(ms.cast("long")), "Europe/London"))
 
 
+def run_clock(at: str | None = None) -> Column:
+    """The run's UTC time as ISO text; given for runs that must repeat."""
+    return F.lit(at) if at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def london_midnight_ms(d: Column) -> Column:
     return F.unix_millis(F.to_utc_timestamp(d.cast("timestamp"), "Europe/London"))
 

@@ -127,15 +127,23 @@ PLATFORM_MARKERS = [
 SALESFORCE_AUTHORITIES = ["eastleigh", "wiltshire"]
 
 # --- fixed values: adapters of single authorities and of authority sets ------------------------------------------------
-AUTHORITY_ADAPTERS = {
-    "arcus": ["ashford", "bromley", "carmarthenshire", "shepway"],
-    "atrium": ["bcp", "wychavon", "worcestershire", "worcester", "west sussex", "west northamptonshire", "welwyn hatfield", "vale of white horse", "surrey", "south oxfordshire", "crawley", "devon", "somerset", "essex", "exmoor"],
-    "forms": [
-        "bath", "bath and north east somerset", "barking and dagenham", "wokingham", "waltham forest", "colchester", "broxbourne", "taunton deane", "camden",
-        "central bedfordshire", "tandridge", "stratford on avon", "coventry", "dorset", "east sussex", "eastleigh", "elmbridge", "gloucestershire", "kensington",
-        "kensington and chelsea", "telford", "west dunbartonshire",
-    ],
-}
+#: Authority (lower case), its adapter, and the kind of portal that adapter reads.
+AUTHORITIES = [
+    ("ashford", "ashford", "arcus"), ("bath", "bath", "forms"), ("bath and north east somerset", "bath", "forms"), ("bcp", "bcp", "atrium"),
+    ("wychavon", "wychavon", "atrium"), ("barking and dagenham", "barking and dagenham", "forms"), ("worcestershire", "worcestershire", "atrium"),
+    ("worcester", "worcester", "atrium"), ("wokingham", "wokingham", "forms"), ("west sussex", "west sussex", "atrium"),
+    ("west northamptonshire", "west northamptonshire", "atrium"), ("welwyn hatfield", "welwyn hatfield", "atrium"),
+    ("waltham forest", "waltham forest", "forms"), ("vale of white horse", "vale of white horse", "atrium"), ("bromley", "bromley", "arcus"),
+    ("carmarthenshire", "carmarthenshire", "arcus"), ("colchester", "colchester", "forms"), ("broxbourne", "broxbourne", "forms"),
+    ("taunton deane", "taunton deane", "forms"), ("camden", "camden", "forms"), ("central bedfordshire", "central bedfordshire", "forms"),
+    ("tandridge", "tandridge", "forms"), ("surrey", "surrey", "atrium"), ("stratford on avon", "stratford on avon", "forms"),
+    ("coventry", "coventry", "forms"), ("south oxfordshire", "south oxfordshire", "atrium"), ("crawley", "crawley", "atrium"),
+    ("devon", "devon", "atrium"), ("dorset", "dorset", "forms"), ("east sussex", "east sussex", "forms"), ("eastleigh", "eastleigh", "forms"),
+    ("elmbridge", "elmbridge", "forms"), ("somerset", "somerset", "atrium"), ("essex", "essex", "atrium"), ("exmoor", "exmoor", "atrium"),
+    ("gloucestershire", "gloucestershire", "forms"), ("kensington", "kensington", "forms"), ("kensington and chelsea", "kensington", "forms"),
+    ("shepway", "shepway", "arcus"), ("telford", "telford", "forms"), ("west dunbartonshire", "west dunbartonshire", "forms"),
+]
+AUTHORITY_ADAPTERS = {kind: [key for key, _, k in AUTHORITIES if k == kind] for kind in ("arcus", "atrium", "forms")}
 LIST_AUTHORITIES = ["copeland", "scilly isles", "south derbyshire", "amber valley", "stratford on avon", "cumberland"]
 QUERY_AUTHORITIES = [
     "east sussex", "kirklees", "nottinghamshire", "preston", "tandridge", "boston", "barrow", "central bedfordshire", "hampshire", "herefordshire", "ipswich",
@@ -157,6 +165,11 @@ RESPONSIVE = [
 ]
 OUTAGE = ["http 500", "http 502", "http 503", "http 504", "connection refused", "getaddrinfo failed", "name or service not known", "no such host"]
 
+AGGREGATOR_HOST = "planit.org.uk"
+
+# --- fixed values: form fields that change with every page ------------------------------------------------------------
+TRANSIENT = ["token"]
+
 # --- fixed values: limiter ---------------------------------------------------------------------------------------------
 PLATFORM_LIMITS = {"planit": 1, "salesforce": 1, "arcus": 2, "idox": 3, "custom": 3}
 DEFAULT_LIMIT, HOST_LIMIT = 2, 1
@@ -179,6 +192,19 @@ SITE_DOCUMENT_TOKENS = [
     "/documentproduction/letters/documentqueue", "/onlineplanning/getonlinedocumentscount", "/onlineplanning/getonlinedocuments",
     "/onlineplanning/getcommentattachments", "/onlinedisplaydocument/opencommentattachment",
 ]
+#: Markers of document addresses in the dialects that list few: a deny-list of one marker for idox, none for the others.
+DIALECT_MARKERS = {
+    "generic": ["document", "attachment", "download", "docview", "doclist", ".pdf", ".doc", ".docx", ".jpg", ".jpeg", ".png"],
+    "ocella": ["document", "attachment", "download", ".pdf", ".doc", ".docx", ".jpg", ".jpeg", ".png"],
+    "idox": ["documentdownload", "documentviewer", "document.do", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".jpg", ".jpeg", ".png"],
+}
+#: Markers of application links by family, in address and text or in the address alone.
+LINK_MARKERS = {
+    "generic": ["planning", "application", "detail", "case", "app"],
+    "ocella": ["planning", "application", "detail", "case", "app"],
+    "northgate": ["stddetails.aspx", "planningpk.xml", "applicationdetails", "/detail"],
+    "htmllist": ["planning", "application", "/application/", "eplanning", "detail"],
+}
 DOCUMENT_TITLES = ["documents", "view associated documents", "associated documents"]
 DOCUMENT_TITLE_HREFS = ["searchresult", "publicaccess", "documents", "runthirdpartysearch"]
 DOCUMENT_TYPES = ["pdf", "document", "drawing", "plan", "supporting_document", "image"]
@@ -222,6 +248,8 @@ HTML_STARTS = ["<!doctype html", "<html", "<head", "<body"]
 REFERENCES = {
     "generic": r"(?i)\b\d{2,4}[/.-][A-Z0-9/.-]+\b",
     "forms": r"(?i)\b(?:[A-Z]{1,6}/\d{2,4}/[A-Z0-9/.-]+|[A-Z]{1,6}\d{2,4}/\d{3,6}[A-Z/.-]*|\d{2,4}/\d{3,6}/[A-Z0-9.-]+|\d{2,4}/\d{4,6})\b",
+    "northgate": r"(?i)\b[A-Z]{1,12}[./-]\d{2,4}[/.-][A-Z0-9/.-]+\b",
+    "ocella": r"(?i)\b\d{2,4}[/.-][A-Z0-9/.-]+\b",
     "idox": r"(?i)\b(?:[A-Z]{1,8}\d{2,4}/[A-Z0-9.-]+(?:/[A-Z0-9.-]+)*|[A-Z]{1,8}/\d{2,4}/[A-Z0-9.-]+(?:/[A-Z0-9.-]+)*|\d{2,4}/[A-Z0-9.-]+(?:/[A-Z0-9.-]+)*)\b",
 }
 POSTCODE = r"(?i)\b([A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2})\b"

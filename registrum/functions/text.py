@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,7 +30,8 @@ def first_value(*cols: Column | str) -> Column:
 
 
 def unescape_entities(c: Column | str) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, col(c))
+    whole = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, col(c))
+    return F.when(F.contains(col(c), F.lit("&")), whole).otherwise(col(c))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -51,12 +53,44 @@ def extract_postcode(*cols: Column | str) -> Column:
     return F.coalesce(*map(one, cols))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reference(c: Column | str, dialect: str = "generic") -> Column:
     return F.nullif(F.regexp_extract(col(c), fixed.REFERENCES[dialect], 0), F.lit(""))
 
 
-def without_reference(text: Column | str, ref: Column | str) -> Column:
-    return clean_text(F.replace(col(text), col(ref), F.lit(" ")))
+def idox_reference(anchor: Column, row: Column) -> Column:
+    """The reference after a label of the row's text, else in the link, else in the row, else the link's text."""
+    labelled = F.regexp_extract(row, r"(?i)\b(?:Ref(?:erence)?\.?\s*(?:No\.?)?|Application\s+(?:No\.?|Number|Reference))\s*:\s*(" + fixed.REFERENCES["idox"].removeprefix("(?i)") + ")", 1)
+    return F.coalesce(F.nullif(labelled, F.lit("")), reference(anchor, "idox"), reference(row, "idox"), blank_to_null(anchor))
+
+
+def northgate_reference(anchor: Column, row: Column, uid: Column) -> Column:
+    """A prefixed reference of the link, else a plain one of link or row, else the link's text, else the uid."""
+    return F.coalesce(reference(anchor, "northgate"), reference(anchor, "generic"), reference(row, "generic"), uid)
+
+
+def without_reference(text: Column | str, ref: Column | str, labels: bool = False) -> Column:
+    """Text less a reference; labels: also less the words that label a row's cells."""
+    bare = F.replace(col(text), F.coalesce(col(ref), F.lit("\0")), F.lit(" "))
+    return clean_text(F.regexp_replace(bare, r"(?i)\b(Application|Reference|Validated|Received|Status)\b:?", " ") if labels else bare)
+
+
+def without_title(text: Column, title: Column) -> Column:
+    """A row's text less its link's: what describes a document."""
+    return F.when(blank_to_null(title).isNull() | text.isNull(), text).otherwise(clean_text(F.replace(text, title, F.lit(" "))))
+
+
+def without_label(value: Column, label: str) -> Column:
+    """A cell's text less the label it begins with."""
+    return F.trim(F.regexp_replace(clean_text(value), rf"(?i)^{label}\s*", ""))
+
+
+def application_number(value: Column) -> Column:
+    return blank_to_null(F.regexp_replace(clean_text(value), r"(?i)^Application(?:\s+(?:No\.?|Number))?\s*[:.]?\s*", ""))
 
 
 def trim_text(c: Column | str, n: int) -> Column:
@@ -141,6 +175,11 @@ def failure_degraded(error: Column | str) -> Column:
     return contains_any(e, fixed.RESPONSIVE) | ~contains_any(e, fixed.OUTAGE)
 
 
+def failure_platform(error: Column | str, platform: Column | str) -> Column:
+    """Which platform a failure counts against: the aggregator if the text names it."""
+    return F.when(F.contains(F.lower(col(error)), F.lit(fixed.AGGREGATOR_HOST)), "planit").otherwise(col(platform))
+
+
 def retry_with_fresh_session(error: Column | str) -> Column:
     return contains_any(F.lower(col(error)), fixed.FRESH_SESSION)
 
@@ -176,3 +215,10 @@ def adapter(authority: Column | str, scraper: Column | str, family: Column | str
         ("northgate", has("northgate", "planningexplorer")),
     ]
     return F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in rules], F.lit("generic"))
+
+
+def resolved_adapter(authority: Column | str, scraper: Column | str, family: Column | str, listing_url: Column | str) -> Column:
+    """The adapter of a target by name: an authority's own, else what adapter() gives."""
+    own = F.create_map(*[F.lit(x) for key, name, _ in fixed.AUTHORITIES for x in (key, name)])
+    named = F.when(F.lower(col(authority)) != "wiltshire", F.try_element_at(own, F.lower(col(authority))))
+    return F.coalesce(named, adapter(authority, scraper, family, listing_url))

@@ -117,6 +117,102 @@ def is_document_href(href: Column | str) -> Column:
     return F.coalesce(~denied & contains_any(h, fixed.HREF_MARKERS), F.lit(False))
 
 
+def is_dialect_document(href: Column | str, dialect: str) -> Column:
+    """Document addresses in the dialects with short marker lists."""
+    h = F.lower(col(href))
+    denied = F.contains(h, F.lit("applicationdetails.do")) if dialect == "idox" else F.lit(False)
+    return F.coalesce(contains_any(h, fixed.DIALECT_MARKERS[dialect]) & ~denied, F.lit(False))
+
+
+def is_application_link(href: Column, title: Column, reference: Column, uid: Column, family: str) -> Column:
+    """Whether a link of a listing leads to an application, as its family tells."""
+    h = F.lower(F.coalesce(href, F.lit("")))
+    both = F.concat_ws(" ", h, F.lower(F.coalesce(title, F.lit(""))))
+    if family == "northgate":
+        return ~F.startswith(h, F.lit("#")) & uid.isNotNull() & contains_any(h, fixed.LINK_MARKERS[family])
+    if family == "htmllist":
+        return reference.isNotNull() & contains_any(h, fixed.LINK_MARKERS[family])
+    marked = contains_any(both, fixed.LINK_MARKERS[family])
+    return marked & uid.isNotNull() if family == "ocella" else marked & reference.isNotNull() & ~F.startswith(h, F.lit("#"))
+
+
+def with_query(url: Column, *pairs: tuple[str, Column]) -> Column:
+    """url without query or fragment, and an encoded query."""
+    bare = F.regexp_replace(url, r"[?#].*$", "")
+    return F.concat(bare, F.lit("?"), F.concat_ws("&", *[F.concat(F.url_encode(F.lit(k)), F.lit("="), F.url_encode(v)) for k, v in pairs]))
+
+
+def sibling(url: Column, name: str) -> Column:
+    """Another page of the same folder."""
+    return F.concat(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"[^/]*$", ""), F.lit(name))
+
+
+def summary_url(page: Column, uid: Column, tab: str = "summary") -> Column:
+    return with_query(sibling(page, "applicationDetails.do"), ("activeTab", F.lit(tab)), ("keyVal", uid))
+
+
+def weekly_list_url(base: Column, root: Column, start: Column, end: Column) -> Column:
+    day = lambda d: F.date_format(d, "dd/MM/yyyy")
+    return with_query(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.btrim(root, F.lit("/")), F.lit("/search.do")), ("action", F.lit("weeklyList")), ("dateStart", day(start)), ("dateEnd", day(end)))
+
+
+def viewer_url(page: Column, viewer: Column, key: Column, kind: Column, text: Column) -> Column:
+    """The key-object viewer's address; without a key text it says Subject."""
+    return with_query(join_root(page, F.coalesce(viewer, F.lit("/my-requests/keyobject-viewer/"))), ("KeyNo", F.coalesce(key, F.lit(""))), ("RefType", kind), ("KeyText", F.coalesce(text, F.lit("Subject"))))
+
+
+def aura_endpoint(listing: Column, *pairs: tuple[str, str]) -> Column:
+    """The action address of a content site under its path prefix."""
+    return with_query(F.concat(base_url(listing), path_prefix(listing), F.lit("/s/sfsites/aura")), *[(k, F.lit(v)) for k, v in pairs])
+
+
+def path_prefix(url: Column) -> Column:
+    return F.regexp_extract(path(url), "(?i)^(.+?)/s/", 1)
+
+
+def record_id(url: Column) -> Column:
+    raw = F.regexp_extract(path(url), "(?i)/s/(?:papplication|planning-application|detail)/([^/?#]+)", 1)
+    return blank_to_null(F.coalesce(F.try_url_decode(raw), raw))
+
+
+def display_uid(url: Column) -> Column:
+    """The application number in a display address."""
+    raw = F.regexp_extract(path(url), "(?i)/Planning/Display/(.+?)/?$", 1)
+    return blank_to_null(F.btrim(F.coalesce(F.try_url_decode(raw), raw), F.lit("/")))
+
+
+def client_slug(url: Column) -> Column:
+    """The client of a hosted register: first path part there, else the host's first label unless it is a common one."""
+    hosted = F.endswith(host(url), F.lit("planning.agileapplications.co.uk"))
+    first, label = blank_to_null(F.regexp_extract(path(url), "^/+([^/]+)", 1)), F.split_part(host(url), F.lit("."), F.lit(1))
+    return F.when(hosted & first.isNotNull(), first).when(~label.isin("", "www", "planning"), label)
+
+
+def application_root(listing: Column) -> Column:
+    """The folder of a register's search page; others have the usual one."""
+    root = F.regexp_extract(path(listing), r"^(.*?)search\.do", 1)
+    return F.when(F.startswith(root, F.lit("/")) & F.endswith(root, F.lit("/")), root).otherwise("/online-applications/")
+
+
+def replaced_action(url: Column, action: str) -> Column:
+    return set_param(url, "fa", action)
+
+
+def dated_search(url: Column, start: Column, end: Column) -> Column:
+    """The search address of list pages that take a window in their query."""
+    day = lambda d: F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.lit(""))
+    name = lambda side: F.url_encode(F.lit(f"field_plan_app_date_received_value[{side}][date]"))
+    query = F.concat(name("min"), F.lit("="), day(start), F.lit("&"), name("max"), F.lit("="), day(end))
+    takes = F.contains(url, F.lit("copeland.gov.uk/planning/application-search")) & (start.isNotNull() | end.isNotNull())
+    return F.when(takes, F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), query)).otherwise(url)
+
+
+def valid_search(url: Column, start: Column, end: Column) -> Column:
+    """The search address under a site's root that takes a window of valid dates."""
+    parts = [F.lit("status=2&dateType=valid"), F.concat(F.lit("startDate="), F.date_format(start, "yyyy-MM-dd")), F.concat(F.lit("endDate="), F.date_format(end, "yyyy-MM-dd"))]
+    return F.concat(base_url(url), F.lit("/search?"), F.concat_ws("&", *parts))
+
+
 def is_document_link_text(title: Column | str, href: Column | str) -> Column:
     return F.lower(F.trim(col(title))).isin(*fixed.DOCUMENT_TITLES) & contains_any(F.lower(F.coalesce(col(href), F.lit(""))), fixed.DOCUMENT_TITLE_HREFS)
 

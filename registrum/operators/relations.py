@@ -16,8 +16,8 @@ from registrum.functions.text import blank_to_null
 #: Columns that a fallback row, or a stub, fills where the main row has none.
 FALLBACK_COLUMNS = ["address", "description", "status", "decision", "date_received", "date_validated", "postcode"]
 OVERLAY_COLUMNS = ["reference", *FALLBACK_COLUMNS[:2], *FALLBACK_COLUMNS[2:6], "applicant_name", "agent_name", "case_officer", "ward", "parish", "postcode"]
-#: Small sides are broadcast up to this many rows, which is counted first.
-BROADCAST_ROWS = 10_000
+#: Areas are broadcast up to this many, which is counted first.
+BROADCAST_ROWS = 64
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -52,15 +52,37 @@ def _text_or(c: str, df: DataFrame) -> Column:
     return F.nullif(F.col(c), F.lit("")) if dict(df.dtypes)[c] == "string" else F.col(c)
 
 
-def merge_fallback(main: DataFrame, fallback: DataFrame, key: str, columns: list[str], scope: list[str] | None = None) -> DataFrame:
-    """Full outer merge on the trimmed key within scope: main rows win and are filled, others follow. supplemented marks filled ones."""
-    scope = scope or []
-    k = lambda d, p: d.withColumnsRenamed({c: f"{p}_{c}" for c in d.columns if c not in scope}).withColumn("_k", F.trim(f"{p}_{key}"))
-    a, b = k(main, "m"), k(fallback, "f")
-    j = a.join(b, [*scope, "_k"], "full")
-    pick = [F.coalesce(blank_to_null(f"m_{c}") if dict(main.dtypes)[c] == "string" and c in columns else F.col(f"m_{c}"), *([F.col(f"f_{c}")] if c in columns or c == key else [F.when(F.col(f"m_{key}").isNull(), F.col(f"f_{c}"))])).alias(c) for c in main.columns if c not in scope]
-    both = F.col(f"m_{key}").isNotNull() & F.col(f"f_{key}").isNotNull()
-    return j.select(*scope, *pick, F.col(f"m_{key}").isNotNull().alias("from_main"), both.alias("supplemented"))
+def merge_fallback(main: DataFrame, fallback: DataFrame, key: str, columns: list[str], scope: list[str] | None = None, also: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Full outer merge within scope on the trimmed key, or the first of also where it is blank.
+
+    Every main row stays; of equal keys the last by order is filled in columns, from the first fallback row that has a value.
+    Fallback rows without a main row follow, one a key, filled alike. Rows without any key meet nothing. from_main and
+    supplemented mark where a row is from and whether a fallback row met it. order: columns; none: all of them.
+    """
+    scope, also = scope or [], also or []
+    name = F.coalesce(*[blank_to_null(c) for c in (key, *also)])
+    place = lambda d: F.struct(*[F.col(c) for c in order or sorted(c for c, t in d.dtypes if not t.startswith(("map", "variant")))])
+    text = lambda d, c: blank_to_null(c) if dict(d.dtypes)[c] == "string" else F.col(c)
+    held = [c for c in main.columns if c not in scope]
+    f = fallback.withColumns({"_k": name, "_o": place(fallback)})
+    first = {c: F.min_by(text(f, c), F.when(text(f, c).isNotNull(), F.col("_o"))) if c in columns else F.min_by(c, "_o") for c in held if c in fallback.columns}
+    folded = f.filter("_k is not null").groupBy(*scope, "_k").agg(*[v.alias(f"f_{c}") for c, v in first.items()], F.lit(True).alias("_f"))
+    loose = f.filter("_k is null").select(*scope, F.lit(None).cast("string").alias("_k"), *[F.col(c).alias(f"f_{c}") for c in first], F.lit(True).alias("_f"))
+    m = main.withColumns({"_k": name, "_o": place(main)})
+    last = F.row_number().over(Window.partitionBy(*scope, "_k").orderBy(F.desc("_o"))) == 1
+    m = m.withColumn("_last", F.col("_k").isNotNull() & last).withColumn("_m", F.lit(True)).drop("_o").withColumnsRenamed({c: f"m_{c}" for c in held})
+    met = m.withColumn("_k", F.when(F.col("_last"), F.col("_k"))).drop("_last")
+    j = met.filter("_k is not null").join(folded, [*scope, "_k"], "full").unionByName(met.filter("_k is null"), allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
+
+    def pick(c: str) -> Column:
+        if c not in first:
+            return F.col(f"m_{c}")
+        kind = dict(main.dtypes)[c]
+        own = blank_to_null(f"m_{c}") if kind == "string" and c in columns else F.col(f"m_{c}")
+        return F.coalesce(own, F.col(f"f_{c}")) if c in columns else F.when(F.col("_m"), own).otherwise(F.col(f"f_{c}"))
+
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return j.select(*scope, *[pick(c).alias(c) for c in held], flag(F.col("_m")).alias("from_main"), flag(F.col("_m") & F.col("_f")).alias("supplemented"))
 
 
 def conditional_fallback(status: DataFrame, main: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
@@ -80,35 +102,67 @@ def first_alias(rows: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
     return rows.join(best, name).withColumnRenamed(name, "alias")
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only for a side that proves to have few rows."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+#: Grid levels; a box stands in the cells of the level at which its longer side is at most one cell, so in four at most.
+LEVELS = 24
+
+
+def _level(cell: float) -> Column:
+    side = F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"))
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(side / cell, F.lit(1.0)))).cast("int")))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """Levels that df's boxes have, LEVELS at most."""
+    return sorted(r[0] for r in df.select("_level").distinct().collect())
+
+
+def _cells(df: DataFrame, cell: float, levels: list[int]) -> DataFrame:
+    """A row for each cell a box meets at its own level and at coarser ones of levels; _own tells which."""
+    at = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("_level"))
+    d = df.withColumn("_at", F.explode(at)).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_at")))
+    span = lambda a, b: F.sequence(F.floor(F.col(f"box.{a}") / F.col("_size")), F.floor(F.col(f"box.{b}") / F.col("_size")))
+    d = d.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    return d.withColumn("_own", F.col("_at") == F.col("_level")).drop("_size")
 
 
 def spatial_semi_join(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """left rows whose geometry meets any of right's. Both have geometry and box; grid cells of their boxes meet first.
 
-    The cells make an equi-join, so neither side needs to be small; exact tests run within a cell, and a left row is
-    given once.
+    Distinct geometries are joined, so equal rows stay as many as they are. A box meets another in the cells of the coarser
+    one's level: that makes an equi-join in which no box has more than four cells a level, however large it is. Geometries
+    that are null meet nothing.
     """
-    def cells(d: DataFrame) -> DataFrame:
-        span = lambda a, b: F.sequence(F.floor(F.col(f"box.{a}") / cell), F.floor(F.col(f"box.{b}") / cell))
-        return d.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+    l = left.select("geometry", "box").filter("geometry is not null").distinct().withColumn("_level", _level(cell))
+    r = right.select("geometry", "box").filter("geometry is not null").distinct().withColumn("_level", _level(cell))
+    levels = sorted({*_levels(l), *_levels(r)})
+    if not levels:
+        return left.limit(0)
+    a = _cells(l, cell, levels)
+    b = _cells(r, cell, levels).select(F.col("geometry").alias("_g"), F.col("box").alias("_b"), "_at", "_cx", "_cy", F.col("_own").alias("_o"))
+    met = a.join(b, (a["_at"] == b["_at"]) & (a["_cx"] == b["_cx"]) & (a["_cy"] == b["_cy"]) & (a["_own"] | b["_o"]) & G.geometries_intersect(a["geometry"], b["_g"], a["box"], b["_b"]), "left_semi")
+    return left.join(met.select("geometry").distinct(), "geometry", "left_semi").select(left.columns)
 
-    l = cells(left.withColumn("_id", F.xxhash64(F.to_json(F.struct(*left.columns)))))
-    r = cells(right.select(F.col("geometry").alias("_g"), F.col("box").alias("_b")).withColumn("box", F.col("_b")))
-    r = r.select("_g", "_b", "_cx", "_cy")
-    same = (l["_cx"] == r["_cx"]) & (l["_cy"] == r["_cy"])
-    return l.join(r, same & G.geometries_intersect(l["geometry"], r["_g"], l["box"], r["_b"]), "left_semi").drop("_cx", "_cy").dropDuplicates(["_id"]).drop("_id")
 
+def points_in_areas(points: DataFrame, areas: DataFrame, x: str, y: str, cell: float = 0.5, few: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows whose point is in any area; rows without a point pass. areas: geometry, box.
 
-def points_in_areas(points: DataFrame, areas: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows whose point is in any area; rows without a point pass. areas: geometry, box."""
-    a = bounded_broadcast(areas.select(F.col("geometry").alias("_g"), F.col("box").alias("_b")))
+    A few areas (counted first) are broadcast; more of them meet the distinct points in grid cells, an equi-join.
+    """
     px, py = F.col(x), F.col(y)
-    inside = (px.between(F.col("_b.x0"), F.col("_b.x1"))) & (py.between(F.col("_b.y0"), F.col("_b.y1"))) & G.point_in_geometry(px, py, F.col("_g"))
-    located = points.filter(px.isNotNull() & py.isNotNull())
-    return located.join(a, inside, "left_semi").unionByName(points.filter(px.isNull() | py.isNull()))
+    located, loose = points.filter(px.isNotNull() & py.isNotNull()), points.filter(px.isNull() | py.isNull())
+    a = areas.select("geometry", "box").filter("geometry is not null")
+    inside = lambda u, v, g, b: u.between(b["x0"], b["x1"]) & v.between(b["y0"], b["y1"]) & G.point_in_geometry(u, v, g)
+    if len(a.limit(few + 1).select(F.lit(1)).take(few + 1)) <= few:
+        small = F.broadcast(a.select(F.col("geometry").alias("_g"), F.col("box").alias("_b")))
+        return located.join(small, inside(px, py, F.col("_g"), F.col("_b")), "left_semi").unionByName(loose)
+    a = a.withColumn("_level", _level(cell))
+    levels = _levels(a)
+    own = _cells(a, cell, levels).filter("_own").select(F.col("geometry").alias("_g"), F.col("box").alias("_b"), "_at", "_cx", "_cy")
+    p = located.select(px.alias("_x"), py.alias("_y")).distinct().withColumn("_at", F.explode(F.array(*[F.lit(v) for v in levels])))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_at"))
+    p = p.withColumns({"_cx": F.floor(F.col("_x") / size), "_cy": F.floor(F.col("_y") / size)})
+    met = p.join(own, (p["_at"] == own["_at"]) & (p["_cx"] == own["_cx"]) & (p["_cy"] == own["_cy"]) & inside(p["_x"], p["_y"], own["_g"], own["_b"]), "left_semi").select("_x", "_y").distinct()
+    return located.join(met, (px == F.col("_x")) & (py == F.col("_y")), "left_semi").unionByName(loose)
 
 
 def limit_per(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:

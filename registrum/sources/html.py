@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from registrum.functions import fixed
-from registrum.functions.text import SPACE, clean_text, normalize_label
+from registrum.functions.text import SPACE, clean_text, contains_any, normalize_label
 from registrum.functions.urls import is_document_href, is_document_link_text, is_tab_href, join_root
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -75,7 +75,7 @@ def parse(html: str) -> list[tuple]:
     t.feed(html or "")
     t.close()
     t.end(0)
-    return [(i, p, tag, list(a.items()), "".join(text), last) for i, (p, tag, a, text, last) in enumerate(t.rows)]
+    return [(i, p, tag, list(a.items()), " ".join(text), last) for i, (p, tag, a, text, last) in enumerate(t.rows)]
 
 
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -96,6 +96,61 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {NODES}")
 
 
+def text_sequence(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, place, text of the pieces of text between a page's tags, in order; blank ones are left out."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(it: Iterator) -> Iterator:
+        for b in it:
+            keys, places, texts = [], [], []
+            for k, h in zip(b.column(key).to_pylist(), b.column(html).to_pylist()):
+                for i, t in enumerate(_pieces(h or "")):
+                    keys.append(k)
+                    places.append(i)
+                    texts.append(t)
+            yield pa.record_batch([pa.array(keys, b.schema.field(key).type), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=[key, "place", "text"])
+
+    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, place int, text string").withColumn("text", clean_text("text")).filter("text is not null")
+
+
+def _pieces(html: str) -> list[str]:
+    out = []
+    p = HTMLParser(convert_charrefs=True)
+    p.handle_data = out.append
+    p.feed(html)
+    p.close()
+    return out
+
+
+def has_class(name: str) -> Column:
+    """Whether a node has a class of this name."""
+    return F.coalesce(F.array_contains(F.split(F.trim(F.col("attrs")["class"]), r"\s+"), name), F.lit(False))
+
+
+def enclosing(items: DataFrame, nodes_: DataFrame, tests: list[Column], key: str = "page_id") -> DataFrame:
+    """items (key, node) with outer, outer_last, outer_text: the nearest ancestor that passes the first of tests that any passes."""
+    rank = F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])
+    c = nodes_.withColumn("_r", rank).filter("_r is not null").select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("last").alias("_l"), F.col("text").alias("_t"), "_r")
+    here = items.select(key, "node").distinct()
+    j = here.join(c, (F.col(key) == F.col("_k")) & (F.col("node") > F.col("_n")) & (F.col("node") <= F.col("_l")))
+    best = j.groupBy(key, "node").agg(F.min_by(F.struct("_n", "_l", "_t"), F.struct("_r", -F.col("_n"))).alias("e"))
+    return items.join(best.select(key, "node", F.col("e._n").alias("outer"), F.col("e._l").alias("outer_last"), F.col("e._t").alias("outer_text")), [key, "node"], "left")
+
+
+def first_within(items: DataFrame, nodes_: DataFrame, test: Column, name: str, key: str = "page_id") -> DataFrame:
+    """items with outer and outer_last, and name: the text of the first node within outer that passes test."""
+    c = nodes_.filter(test).select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("text").alias("_t"))
+    here = items.filter("outer is not null").select(key, "outer", "outer_last").distinct()
+    j = here.join(c, (F.col(key) == F.col("_k")) & (F.col("_n") > F.col("outer")) & (F.col("_n") <= F.col("outer_last")))
+    return items.join(j.groupBy(key, "outer").agg(clean_text(F.min_by("_t", "_n")).alias(name)), [key, "outer"], "left")
+
+
+def row_cells(nodes_: DataFrame, tags: tuple[str, ...] = ("td",), key: str = "page_id") -> DataFrame:
+    """key, outer (a row) and cells: the cleaned texts of its cells in order, blank ones empty."""
+    c = nodes_.filter(F.col("tag").isin(*tags)).select(key, F.col("parent").alias("outer"), "node", F.coalesce(clean_text("text"), F.lit("")).alias("t"))
+    return c.groupBy(key, "outer").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "t"))), lambda x: x["t"]).alias("cells"))
+
+
 def anchors(nodes_: DataFrame, key: str = "page_id") -> DataFrame:
     """key, node, href, title of links with an href."""
     return nodes_.filter("tag = 'a' and attrs['href'] is not null").select(key, "node", F.trim(F.col("attrs")["href"]).alias("href"), F.coalesce(clean_text("text"), F.lit("")).alias("title"))
@@ -109,18 +164,57 @@ def containers(nodes_: DataFrame, tags: tuple[str, ...] = ("tr", "li", "article"
     return j.groupBy(key, "node", "href", "title").agg(clean_text(F.max_by("_t", "_n")).alias("context"))
 
 
-def labelled_pairs(nodes_: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, source, ordinal, label, value from tables (th or td, then td) and definition lists; sources in order of trust."""
-    cells = nodes_.filter(F.col("tag").isin("th", "td")).select(key, "parent", "node", "tag", "text")
+def labelled_pairs(nodes_: DataFrame, key: str = "page_id", class_labels: bool = False) -> DataFrame:
+    """key, source, ordinal, label, value from tables (th or td, then td), definition lists and hidden inputs; sources in order of trust.
+
+    One pass over siblings. class_labels: also elements of a class named like a label, with the element after them. Hidden
+    inputs that change with every page (tokens, names that begin with an underscore) are left out.
+    """
     w = Window.partitionBy(key, "parent").orderBy("node")
-    rows = cells.withColumns({"value": F.lead("text").over(w), "next": F.lead("tag").over(w), "n": F.row_number().over(w)})
-    th = rows.filter("tag = 'th' and next = 'td'").select(key, F.lit(0).alias("source"), F.col("node").alias("ordinal"), F.col("text").alias("label"), "value")
-    td = rows.filter("tag = 'td' and next = 'td' and n = 1 and length(text) < 80").select(key, F.lit(1).alias("source"), F.col("node").alias("ordinal"), F.col("text").alias("label"), "value")
-    d = nodes_.filter(F.col("tag").isin("dt", "dd"))
-    v = Window.partitionBy(key, "parent").orderBy("node")
-    dl = d.withColumns({"value": F.lead("text").over(v), "next": F.lead("tag").over(v)}).filter("tag = 'dt' and next = 'dd'").select(key, F.lit(2).alias("source"), F.col("node").alias("ordinal"), F.col("text").alias("label"), "value")
-    hidden = nodes_.filter("tag = 'input' and lower(attrs['type']) = 'hidden' and attrs['name'] is not null").select(key, F.lit(3).alias("source"), F.col("node").alias("ordinal"), F.col("attrs")["name"].alias("label"), F.col("attrs")["value"].alias("value"))
-    return th.unionByName(td).unionByName(dl).unionByName(hidden).withColumns({"label": normalize_label("label"), "value": clean_text("value")}).filter("label != '' and value is not null")
+    cells = F.col("tag").isin("th", "td", "dt", "dd", "input")
+    n = nodes_ if class_labels else nodes_.filter(cells)
+    kind = F.when(F.col("tag").isin("th", "td"), "cell").when(F.col("tag").isin("dt", "dd"), "term").otherwise(F.col("tag"))
+    n = n.select(key, "parent", "node", "tag", "attrs", "text", kind.alias("kind"))
+    same = Window.partitionBy(key, "parent", "kind").orderBy("node")
+    n = n.withColumns({"next": F.lead("tag").over(same), "value": F.lead("text").over(same), "n": F.row_number().over(same)})
+    n = n.withColumn("after", F.lead("text").over(w) if class_labels else F.lit(None).cast("string"))
+    marked = F.contains(F.lower(F.coalesce(F.col("attrs")["class"], F.lit(""))), F.lit("label"))
+    hidden = (F.col("tag") == "input") & (F.lower(F.col("attrs")["type"]) == "hidden") & F.col("attrs")["name"].isNotNull() & ~is_transient(F.col("attrs")["name"])
+    pair = lambda test, source, label, value: F.when(test, F.struct(F.lit(source).alias("source"), label.alias("label"), value.alias("value")))
+    tag, text, value, after = (F.col(c) for c in ("tag", "text", "value", "after"))
+    found = F.array_compact(
+        F.array(
+            pair((tag == "th") & (F.col("next") == "td"), 0, text, value),
+            pair((tag == "td") & (F.col("next") == "td") & (F.col("n") == 1) & (F.length("text") < 80), 1, text, value),
+            pair((tag == "dt") & (F.col("next") == "dd"), 2, text, value),
+            pair(hidden, 3, F.col("attrs")["name"], F.col("attrs")["value"]),
+            pair(marked & after.isNotNull() & (F.length("text") < 80), 4, text, after),
+        )
+    )
+    out = n.select(key, F.col("node").alias("ordinal"), F.explode(found).alias("f")).select(key, "f.source", "ordinal", normalize_label("f.label").alias("label"), clean_text("f.value").alias("value"))
+    return out.filter("label != '' and value is not null")
+
+
+def is_transient(name: Column) -> Column:
+    label = normalize_label(name)
+    return F.startswith(F.trim(name), F.lit("_")) | (label == "csrf") | contains_any(label, fixed.TRANSIENT)
+
+
+#: Texts after a label that are no value of it.
+NOT_VALUES = ["select_your_property", "find_your_nearest"]
+
+
+def sequential_pairs(texts: DataFrame, dialect: str = "generic", key: str = "page_id") -> DataFrame:
+    """The same columns from running text: a known label, and of the five pieces after it the first that is no label itself."""
+    known = [x for c, labels in fixed.LABELS[dialect].items() for x in labels]
+    officer = fixed.LABELS[dialect].get("case_officer", [])
+    t = texts.withColumn("label", normalize_label("text"))
+    w = Window.partitionBy(key).orderBy("place")
+    later = F.array(*[F.struct(F.lead("text", i).over(w).alias("text"), F.lead("label", i).over(w).alias("label")) for i in range(1, 6)])
+    t = t.withColumn("later", later).filter(F.col("label").isin(*[x for x in known if x not in officer]) & (F.length("text") < 80))
+    usable = lambda x: x["text"].isNotNull() & ~x["label"].isin(*known, *NOT_VALUES) & ~F.startswith(x["label"], F.lit("view_"))
+    value = F.get(F.filter("later", usable), F.lit(0))["text"]
+    return t.select(key, F.lit(5).alias("source"), F.col("place").alias("ordinal"), "label", value.alias("value")).filter("value is not null")
 
 
 def label_columns(pairs: DataFrame, dialect: str, key: str = "page_id") -> DataFrame:
@@ -182,6 +276,42 @@ def reported_total(text: Column) -> Column:
 
 
 def next_pages(nodes_: DataFrame, param: str = "page", key: str = "page_id") -> DataFrame:
-    """Paging links in order of their page number."""
+    """Paging links, each once, with page: their number, and turn: their place in the order of reading."""
     n = F.regexp_extract("href", rf"(?i)[?&](?:searchCriteria\.)?{param}=(\d+)", 1).try_cast("int")
-    return anchors(nodes_, key).withColumn("page", F.coalesce(n, F.lit(0))).filter("page > 0").dropDuplicates([key, "href"])
+    a = anchors(nodes_, key).withColumn("page", F.coalesce(n, F.lit(0))).filter("page > 0")
+    a = a.groupBy(key, "href").agg(F.min_by(F.struct("node", "title", "page"), "node").alias("m")).select(key, "href", "m.*")
+    return a.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("page", "node")))
+
+
+def refresh_target(nodes_: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, url of a page's meta refresh, and disclaimer: the action of a form that only asks for agreement."""
+    content = F.regexp_extract(F.col("attrs")["content"], r"(?i)url\s*=\s*['\"]?([^'\";]+)", 1)
+    meta = nodes_.filter("tag = 'meta' and lower(attrs['http-equiv']) = 'refresh'").groupBy(key).agg(F.min_by(F.nullif(F.trim(content), F.lit("")), "node").alias("url"))
+    asks = nodes_.filter((F.col("tag") == "form") & F.contains(F.lower("text"), F.lit("disclaimer"))).groupBy(key).agg(F.min_by(F.col("attrs")["action"], "node").alias("disclaimer"))
+    return meta.join(asks, key, "full")
+
+
+def script_strings(html: Column) -> Column:
+    """Settings that pages keep in scripts: the register's API, its record type and viewer, form and document lists."""
+    got = lambda *patterns: F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
+    return F.struct(
+        got(r"Civica\.APIUrl\s*=\s*[\"']([^\"']+)[\"']").alias("api_url"),
+        got(r'"PlanningApplicationRefType"\s*:\s*"([^"]+)"', r"RefType\s*:\s*[\"']([^\"']+)[\"']").alias("ref_type"),
+        got(r"Civica\.KeyObjectViewerUrl\s*=\s*[\"']([^\"']+)[\"']").alias("viewer"),
+        F.replace(got(r'"publish-uri"\s*:\s*"([^"]+)"', r"form_uri=([^\"'&]+)"), F.lit("\\/"), F.lit("/")).alias("form_uri"),
+        got(r'"url"\s*:\s*"([^"]*getDocumentList[^"]*)"').alias("document_list"),
+        got(r"\bvar\s+ctx\s*=\s*['\"]([^'\"]+)['\"]").alias("context"),
+    )
+
+
+def js_string(text: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(text, rf'var\s+{name}\s*=\s*"([^"]+)"', 1), F.lit(""))
+
+
+def boot_context(html: Column) -> Column:
+    """mode, fwuid, app of the first usable boot script address of a content site."""
+    raw = F.regexp_extract_all(html, F.lit("/s/sfsites/l/([^/]+)/(?:inline|bootstrap)\\.js"), F.lit(1))
+    boots = F.filter(F.transform(raw, lambda x: F.try_url_decode(x)), lambda x: F.get_json_object(x, "$.fwuid").isNotNull() & F.startswith(F.get_json_object(x, "$.loaded"), F.lit("{")))
+    first = F.get(boots, F.lit(0))
+    at = lambda p: F.get_json_object(first, f"$.{p}")
+    return F.when(first.isNotNull(), F.struct(F.coalesce(at("mode"), F.lit("PROD")).alias("mode"), at("fwuid").alias("fwuid"), F.coalesce(at("app"), F.lit("siteforce:communityApp")).alias("app")))
