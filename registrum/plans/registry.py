@@ -6,8 +6,6 @@ authorities, regions search areas, customers sites, events request logs, documen
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,32 +14,11 @@ from registrum.operators import documents as D
 from registrum.operators import relations as R
 from registrum.plans import catalogue as C
 from registrum.plans import leads
+from registrum.plans.registered import ORACLES, QUERIES, query, quoted, table
 from registrum.sources import html, payloads
 from registrum.sources import listings as L
 from registrum.streaming import limiter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def quoted(values: list[str]) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
 WORDS = ["building", "urgent", "household"]
 START, END = "1996-01-01", "1998-12-31"
 SQL_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -505,3 +482,8 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of one folder made unique."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.lit("plan.pdf")).alias("n"))
     return o.select("o_custkey", files.unique_names(F.col("n")).alias("names"))
+
+
+from registrum.plans import document_queries, function_queries, portal_queries, run_queries  # noqa: E402, F401  they register themselves
+
+__all__ = ["ORACLES", "QUERIES"]
