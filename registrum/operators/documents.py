@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registrum.functions.dates import date_part, parse_council_date, weekday_date
 from registrum.functions.files import known
-from registrum.functions.text import blank_to_null, clean_text, contains_any, sanitize_path_part
-from registrum.functions.urls import base_url, downloadable_document, is_document_href, join_root, path, set_param, title_from_url
+from registrum.functions.text import blank_to_null, clean_text, contains_any, sanitize_path_part, without_title
+from registrum.functions.urls import base_url, downloadable_document, is_dialect_document, is_document_href, is_document_link_text, join_root, path, query_param, set_param, title_from_url, with_query
 from registrum.operators.relations import first_wins
+from registrum.sources.html import anchors, enclosing, row_cells
+from registrum.sources.listings import document_cells
 
 # --- fixed values: markers of listing and application addresses --------------------------------------------------------
 LISTING_MARKERS = ["search.do?action=advanced", "search.do?action=simple", "search/advanced", "advancedsearch", "advanced-search", "public-register", "register-view", "weekly/monthly"]
@@ -38,7 +41,8 @@ def document_sources(docs_url: Column, portal_url: Column, url: Column, raw_sour
     return F.array_distinct(F.array_compact(F.array(blank_to_null(docs_url), *[document_source(c) for c in plain], *kept)))
 
 
-def _shaped(df: DataFrame, key: str, **cols: Column) -> DataFrame:
+def shaped(df: DataFrame, key: str, **cols: Column) -> DataFrame:
+    """key, ordinal and the columns of DOCUMENT, null where cols has none."""
     return df.select(key, "ordinal", *[cols.get(c, F.lit(None).cast("string")).alias(c) for c in DOCUMENT])
 
 
@@ -48,7 +52,7 @@ def model_rows(pages: DataFrame, html: str, page: Column, key: str = "page_id")
     r = pages.select(key, page.alias("_page"), F.posexplode(F.from_json(F.get_json_object(body, "$.Rows"), "array<struct<Guid: string, Doc_Ref2: string, Doc_Type: string>>")).alias("ordinal", "r"))
     title = F.coalesce(clean_text("r.Doc_Ref2"), clean_text("r.Doc_Type"), F.lit("Document"))
     up = F.regexp_replace(F.regexp_replace("_page", r"[?#].*$", ""), r"[^/]*/[^/]*$", "")
-    return _shaped(r.filter("r.Guid != ''"), key, title=title, url=F.concat(up, F.lit("Document/ViewDocument?id="), F.url_encode("r.Guid")), source_url=F.col("_page"))
+    return shaped(r.filter("r.Guid != ''"), key, title=title, url=F.concat(up, F.lit("Document/ViewDocument?id="), F.url_encode("r.Guid")), source_url=F.col("_page"))
 
 
 def publisher_rows(pages: DataFrame, json: str, page: Column, context: Column, key: str = "page_id") -> DataFrame:
@@ -60,7 +64,7 @@ def publisher_rows(pages: DataFrame, json: str, page: Column, context: Column, k
     href = F.get("r", F.col("_at"))
     href = F.when(F.startswith(href, F.lit("/")), F.concat(F.coalesce("_ctx", F.lit("")), href)).otherwise(href)
     title = F.coalesce(clean_text(F.when(F.size(texts) > 0, F.element_at(texts, -1))), F.lit("Document"))
-    return _shaped(r, key, title=title, url=join_root(F.col("_page"), href), document_type=clean_text(F.get("r", F.lit(0))), date_published=clean_text(F.get("r", F.lit(1))), source_url=F.col("_page"))
+    return shaped(r, key, title=title, url=join_root(F.col("_page"), href), document_type=clean_text(F.get("r", F.lit(0))), date_published=clean_text(F.get("r", F.lit(1))), source_url=F.col("_page"))
 
 
 def attribute_rows(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
@@ -71,7 +75,7 @@ def attribute_rows(nodes: DataFrame, page: Column, key: str = "page_id") -> Data
     parts = [("module", F.url_encode(a("module"))), ("recordNumber", F.url_encode(a("recordnumber"))), ("planID", whole(a("planid"))), ("imageID", whole(a("imageid"))), ("isPlan", (F.lower(a("storedindatabase")) == "true").cast("string"))]
     query = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), v) for k, v in parts])
     name = F.coalesce(blank_to_null(F.regexp_extract(a("filename"), r"([^/\\]*)$", 1)), F.lit("Document"))
-    return _shaped(n, key, title=name, url=F.concat(base_url(page), F.lit("/Document/GetFileBinary?"), query), source_url=page)
+    return shaped(n, key, title=name, url=F.concat(base_url(page), F.lit("/Document/GetFileBinary?"), query), source_url=page)
 
 
 def content_versions(pages: DataFrame, json: str, page: Column, key: str = "page_id") -> DataFrame:
@@ -82,7 +86,74 @@ def content_versions(pages: DataFrame, json: str, page: Column, key: str = "page
     named = F.when((ext != "") & ~F.endswith(F.lower(title), F.concat(F.lit("."), ext)), F.concat_ws(".", title, ext)).otherwise(title)
     prefix = F.regexp_replace(F.regexp_extract(path(F.col("_page")), r"^(.*?)/s(/|$)", 1), "/+$", "")
     url = F.concat(base_url(F.col("_page")), prefix, F.lit("/sfc/servlet.shepherd/version/download/"), F.col("r.Id"))
-    return _shaped(r, key, title=named, url=url, document_type=F.coalesce(clean_text("r.Document_Type__c"), clean_text("r.arcshared__Category__c"), clean_text("r.FileType")), date_published=clean_text("r.arcshared__Document_Date__c"), file_size=blank_to_null("r.ContentSize"), source_url=F.col("_page"))
+    return shaped(r, key, title=named, url=url, document_type=F.coalesce(clean_text("r.Document_Type__c"), clean_text("r.arcshared__Category__c"), clean_text("r.FileType")), date_published=clean_text("r.arcshared__Document_Date__c"), file_size=blank_to_null("r.ContentSize"), source_url=F.col("_page"))
+
+
+def _link_rows(nodes: DataFrame, base: Column, dialect: str, key: str) -> DataFrame:
+    """Document links in a dialect, the first of an address, with the text of their row or item."""
+    a = anchors(nodes, key)
+    a = a.filter(is_document_href("href") | is_document_link_text("title", "href") if dialect == "site" else is_dialect_document("href", dialect)).withColumn("url", join_root(base, F.col("href")))
+    a = first_wins(a, [key, "url"], ["node"])
+    return enclosing(a, nodes, [F.col("tag") == "tr", F.col("tag").isin("li", "article", "div")], key).withColumn("ordinal", F.col("node"))
+
+
+def table_documents(nodes: DataFrame, base: Column, dialect: str = "idox", key: str = "page_id") -> DataFrame:
+    """Links with what the other cells of their row tell."""
+    a = _link_rows(nodes, base, dialect, key).join(row_cells(nodes, ("th", "td"), key), [key, "outer"], "left")
+    title = F.coalesce(blank_to_null("title"), title_from_url("url"))
+    cells = F.filter(F.coalesce("cells", F.array().cast("array<string>")), lambda c: c != "")
+    a = a.withColumns({"_t": title, "_c": cells, "_r": clean_text("outer_text")})
+    a = a.withColumn("_m", document_cells(F.col("_c"), F.col("_r"), F.col("_t")))
+    return shaped(a, key, title=F.col("_t"), url=F.col("url"), document_type=F.col("_m.document_type"), date_published=parse_council_date("_m.date_published"), file_size=F.col("_m.file_size"), description=F.col("_m.description"), source_url=base)
+
+
+def item_documents(nodes: DataFrame, base: Column, dialect: str = "generic", key: str = "page_id") -> DataFrame:
+    """Links with the rest of their row's or item's text as description, and its first date."""
+    a = _link_rows(nodes, base, dialect, key).withColumn("_c", clean_text("outer_text"))
+    return shaped(a, key, title=F.coalesce(blank_to_null("title"), title_from_url("url")), url=F.col("url"), date_published=parse_council_date(weekday_date(F.col("_c"))), description=without_title(F.col("_c"), blank_to_null("title")), source_url=base)
+
+
+def store_endpoint(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
+    """key, endpoint: where a store's page asks for its documents; the application number is the address's or the page's."""
+    ask = nodes.filter("attrs['id'] = 'divDisplayDocumentsUrl'").groupBy(key).agg(F.min_by(F.col("attrs")["data-url"], "node").alias("u"))
+    number = nodes.filter("attrs['id'] = 'spnApplicationId'").groupBy(key).agg(clean_text(F.min_by("text", "node")).alias("n"))
+    j = ask.join(number, key, "left").withColumn("n", F.coalesce(query_param(page, "applicationNumber"), "n")).filter("n is not null")
+    pairs = [("applicationNumber", F.col("n")), ("currentPageIndex", F.lit("0")), ("IsDatePublishSortedDescending", F.lit("false")), ("pageSize", F.lit("1000"))]
+    return j.select(key, with_query(join_root(page, F.col("u")), *pairs).alias("endpoint"))
+
+
+def fragment_documents(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
+    """Links of the fragment that a store gives."""
+    a = anchors(nodes, key).filter(F.contains(F.lower("href"), F.lit("displaysearchdocument"))).withColumn("ordinal", F.col("node"))
+    return shaped(a, key, title=F.coalesce(blank_to_null("title"), title_from_url("href")), url=join_root(page, F.col("href")), source_url=page)
+
+
+def _records(pages: DataFrame, json: Column, kind: str, key: str, *more: Column) -> DataFrame:
+    return pages.select(key, *more, F.posexplode(F.from_json(json, f"array<struct<{kind}>>")).alias("ordinal", "r"))
+
+
+def stream_documents(pages: DataFrame, json: str, api: Column, page: Column, key: str = "page_id") -> DataFrame:
+    """Records of a document list whose files come from a page stream."""
+    r = _records(pages, F.get_json_object(json, "$.CompleteDocument"), "DocNo: string, Title: string, DocDesc: string, TypeCode: string, DocDate: string, DocCategory: string", key, api.alias("_api")).filter("r.DocNo is not null and r.DocNo not in ('', '0')")
+    title = F.coalesce(clean_text("r.Title"), clean_text("r.DocDesc"), F.concat(F.lit("Document "), F.col("r.DocNo")))
+    r = r.withColumn("_t", title)
+    url = with_query(join_root(F.col("_api"), F.lit("Doc/pagestream")), ("cd", F.lit("download")), ("pdf", F.lit("false")), ("docno", F.col("r.DocNo")), ("filename", F.col("_t")))
+    return shaped(r, key, title=F.col("_t"), url=url, document_type=F.coalesce(clean_text("r.DocDesc"), clean_text("r.TypeCode")), date_published=parse_council_date(date_part("r.DocDate")), description=clean_text("r.DocCategory"), source_url=page)
+
+
+def hashed_documents(pages: DataFrame, json: str, api: Column, client: Column, key: str = "page_id") -> DataFrame:
+    """Records whose address is made of the client's code and a hash; those without a hash are left out."""
+    r = _records(pages, F.col(json), "documentHash: string, name: string, description: string, mediaDescription: string, receivedDate: string", key).filter("r.documentHash != ''")
+    url = F.concat(api, F.lit("application/document/"), F.url_encode(client), F.lit("/"), F.url_encode("r.documentHash"))
+    title = F.coalesce(clean_text("r.name"), clean_text("r.description"), clean_text("r.mediaDescription"), F.lit("Document"))
+    return shaped(r, key, title=title, url=url, document_type=clean_text("r.mediaDescription"), date_published=parse_council_date(date_part("r.receivedDate")), description=clean_text("r.description"))
+
+
+def lookup_documents(pages: DataFrame, json: str, page: Column, key: str = "page_id") -> DataFrame:
+    """Rows of a form's lookup."""
+    at = lambda *names: F.coalesce(*[clean_text(F.get_json_object("r", f"$.{n}")) for n in names])
+    r = pages.select(key, F.posexplode(F.from_json(json, "array<string>")).alias("ordinal", "r")).withColumns({"_u": at("URL", "url"), "_t": F.coalesce(at("display", "value"), F.lit("Document"))}).filter("_u is not null")
+    return shaped(r, key, title=F.col("_t"), url=join_root(page, F.col("_u")), source_url=page)
 
 
 def all_documents(parts: list[DataFrame], key: str = "page_id") -> DataFrame:

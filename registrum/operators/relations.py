@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from itertools import accumulate
 
@@ -204,6 +204,49 @@ def bisect_windows(daily: DataFrame, start: str, end: str, cap: int) -> DataFram
     return daily.sparkSession.createDataFrame(out, "s date, e date, n long")
 
 
+def gaining_windows(daily: DataFrame, start: str, end: str, cap: int, keys: str = "keys") -> DataFrame:
+    """s, e, n of a search that gives at most cap records of a window: a capped window is halved while that brings more records.
+
+    daily: day, keys (the distinct record keys of the day); a record may come up on several days. n: what the window gives.
+    A window is given up to its cap in the order of keys, so what a split gains is known from the keys alone. Only windows
+    and counts are kept on the driver; a level of the recursion is one query.
+    """
+    d = daily.select("day", F.explode(keys).alias("k"))
+    todo, out = [(date.fromisoformat(start), date.fromisoformat(end))], []
+    while todo:
+        halves = {w: (w[0] + (w[1] - w[0]) // 2) for w in todo if w[0] < w[1]}
+        asked = [*todo, *[x for w, m in halves.items() for x in ((w[0], m), (m + timedelta(days=1), w[1]))]]
+        windows = d.sparkSession.createDataFrame([(i, s, e) for i, (s, e) in enumerate(asked)], "i int, s date, e date")
+        given = d.join(F.broadcast(windows), F.col("day").between(F.col("s"), F.col("e"))).select("i", "k").distinct()  # a window a row
+        given = given.withColumn("_n", F.row_number().over(Window.partitionBy("i").orderBy("k"))).filter(F.col("_n") <= cap)
+        count = {r["i"]: r["n"] for r in given.groupBy("i").agg(F.count("*").alias("n")).collect()}
+        both = {w: (asked.index((w[0], m)), asked.index((m + timedelta(days=1), w[1]))) for w, m in halves.items()}
+        split = d.sparkSession.createDataFrame([(i, asked.index(w)) for w, pair in both.items() for i in pair], "i int, w int")
+        gain = {r["w"]: r["n"] for r in given.join(F.broadcast(split), "i").select("w", "k").distinct().groupBy("w").agg(F.count("*").alias("n")).collect()} if both else {}
+        nxt = []
+        for i, w in enumerate(todo):
+            n = count.get(i, 0)
+            if n < cap or w not in halves or gain.get(i, 0) <= n:
+                out.append((*w, n))
+            else:
+                nxt += [asked[j] for j in both[w]]
+        todo = nxt
+    return daily.sparkSession.createDataFrame(out, "s date, e date, n long")
+
+
+def signature(*cols: str) -> Column:
+    """The first of cols that is not blank, else the whole row as JSON: a key for rows that may lack one."""
+    return F.coalesce(*[blank_to_null(F.col(c).cast("string")) for c in cols], F.to_json(F.struct("*")))
+
+
+def provenance(stub: Column, detail: Column, **keys: Column) -> Column:
+    """Maps merged: the detail's entries over the stub's, then keys over both."""
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    empty = F.create_map().cast("map<string,string>")
+    last = F.map_filter(F.create_map(*[x for k, v in keys.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
+    return over(over(F.coalesce(stub, empty), F.coalesce(detail, empty)), last)
+
+
 def eav_pivot(items: DataFrame, key: list[str], order: str, name: str, value: str, names: list[str]) -> DataFrame:
     """Named columns from attribute rows; a later value of a name replaces an earlier one."""
     return items.groupBy(*key).agg(*[F.max_by(F.when(F.col(name) == n, F.col(value)), F.when(F.col(name) == n, F.col(order))).alias(n) for n in names])

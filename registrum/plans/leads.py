@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from registrum.functions import dates, fixed, geometry
 from registrum.functions.text import blank_to_null, contains_any, first_value, keyword_set_name, proposal_excluded, reference_excluded
+from registrum.functions.urls import application_root, base_url
 from registrum.operators.relations import FALLBACK_COLUMNS, first_wins, merge_fallback, points_in_areas, spatial_semi_join
 
 CELL = 0.5
@@ -34,6 +35,14 @@ def effective_target(target: DataFrame) -> DataFrame:
     return target.withColumns({"adapter": adapter("authority", "scraper_type", "portal_family", "listing_url"), "platform": platform("authority", "scraper_type", "portal_family")})
 
 
+def target_rows(catalogue: DataFrame) -> DataFrame:
+    """Targets of catalogue rows with their defaults: authority, portal_family, scraper_type, base_url, listing_url."""
+    text = lambda *c: first_value(*[F.col(x) for x in c if x in catalogue.columns])
+    listing = text("listing_url", "planning_url")
+    base = F.coalesce(F.regexp_replace(text("base_url"), "/+$", ""), blank_to_null(base_url(listing)))
+    return catalogue.select(text("authority", "council_name").alias("authority"), F.coalesce(text("portal_family"), F.lit("unknown")).alias("portal_family"), F.coalesce(text("scraper_type"), F.lit("unknown")).alias("scraper_type"), base.alias("base_url"), listing.alias("listing_url"), application_root(listing).alias("application_root"))
+
+
 def application_point() -> tuple[Column, Column]:
     """x and y of an application: a GeoJSON location in raw, else longitude and latitude keys; not numeric: null."""
     at = lambda p: F.get_json_object("raw", p).try_cast("double")
@@ -49,7 +58,8 @@ def reconciled(main: DataFrame, fallback: DataFrame, status: DataFrame) -> DataF
     """Main rows filled from the feed and feed-only rows, for authorities whose main source failed, was empty or is feed-first; else main rows."""
     n = main.groupBy("authority").agg(F.count("*").alias("_n"))
     use = status.join(n, "authority", "left").filter(F.col("failed") | F.col("feed_first") | F.col("_n").isNull()).select("authority")
-    return merge_fallback(main, fallback.join(use, "authority", "left_semi"), "reference", [c for c in FALLBACK_COLUMNS if c in main.columns], ["authority"])
+    also = ["uid"] if "uid" in main.columns and "uid" in fallback.columns else []
+    return merge_fallback(main, fallback.join(use, "authority", "left_semi"), "reference", [c for c in FALLBACK_COLUMNS if c in main.columns], ["authority"], also)
 
 
 def leads(applications: DataFrame, areas: DataFrame | None, start: str, end: str, keywords: list[str] | None = None, per_authority: bool = False) -> DataFrame:

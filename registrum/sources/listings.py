@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registrum.functions.dates import iso_date, parse_council_date
-from registrum.functions.text import blank_to_null, clean_text, col, contains_any, extract_postcode, normalize_label, reference
+from registrum.functions.text import blank_to_null, clean_text, col, contains_any, extract_postcode, let, normalize_label, reference
 from registrum.functions.urls import join_root, query_param, uid_from_url
 from registrum.sources.html import anchors
 
@@ -73,13 +73,14 @@ def document_cells(cells: Column, row_text: Column, title: Column) -> Column:
     """date_published, file_size, document_type, description: the first cell of each sort that is not the title."""
     others = F.filter(cells, lambda c: c != title)
     day = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b|\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+\d{1,2}\s+\w+\s+\d{4}\b"
-    is_day = lambda c: c.rlike(day)
-    is_size = lambda c: ~is_day(c) & c.rlike(r"(?i)\b\d+(?:\.\d+)?\s*(?:kb|mb|gb)\b")
-    is_type = lambda c: ~is_day(c) & ~is_size(c) & normalize_label(c).isin(*CELL_TYPES)
-    first = lambda f: F.get(F.filter(others, f), F.lit(0))
-    shown = F.coalesce(first(is_day), blank_to_null(F.regexp_extract(row_text, day, 0)))
-    rest = first(lambda c: ~is_day(c) & ~is_size(c) & ~is_type(c))
-    return F.struct(shown.alias("date_published"), first(is_size).alias("file_size"), first(is_type).alias("document_type"), rest.alias("description"))
+    sort = lambda c: F.when(c.rlike(day), "day").when(c.rlike(r"(?i)\b\d+(?:\.\d+)?\s*(?:kb|mb|gb)\b"), "size").when(normalize_label(c).isin(*CELL_TYPES), "type").otherwise("text")
+
+    def told(sorted_: Column) -> Column:
+        first = lambda kind: F.get(F.filter(sorted_, lambda x: x["sort"] == kind), F.lit(0))["cell"]
+        shown = F.coalesce(first("day"), blank_to_null(F.regexp_extract(row_text, day, 0)))
+        return F.struct(shown.alias("date_published"), first("size").alias("file_size"), first("type").alias("document_type"), first("text").alias("description"))
+
+    return let(F.transform(others, lambda c: F.struct(c.alias("cell"), sort(c).alias("sort"))), told)
 
 
 def page_quality(nodes: DataFrame, key: str = "page_id") -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from registrum.functions.dates import parse_council_date
 from registrum.functions.text import blank_to_null, extract_postcode
@@ -175,9 +174,13 @@ def binary_records(payloads: DataFrame, key: str, body: str) -> DataFrame:
 
 def boundary(spark: SparkSession, path: str) -> DataFrame:
     """A GeoJSON file's geometries: ordinal, properties (JSON text), geometry, box. Features, collections and bare geometries."""
+    return boundary_rows(spark.read.text(path, wholetext=True))
+
+
+def boundary_rows(t: DataFrame) -> DataFrame:
+    """The same of GeoJSON texts in column value."""
     from registrum.functions import geometry as G
 
-    t = spark.read.text(path, wholetext=True)
     kind = F.get_json_object("value", "$.type")
     many = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
     f = t.select(F.posexplode(F.when(kind == "FeatureCollection", many).otherwise(F.array("value"))).alias("ordinal", "f"))
@@ -188,39 +191,77 @@ def boundary(spark: SparkSession, path: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Targets of a catalogue file, overrides applied: authority, portal_family, scraper_type, base_url, listing_url, link_test_ok, geometry, box, ordinal."""
+    return catalogue_rows(boundary(spark, path))
+
+
+def catalogue_rows(features: DataFrame) -> DataFrame:
+    """The same of boundary_rows()."""
     from registrum.functions import fixed
 
+    spark = features.sparkSession
     p = lambda k: blank_to_null(F.get_json_object("properties", f"$.{k}"))
-    b = boundary(spark, path).withColumn("authority", F.coalesce(p("authority"), p("council_name")))
+    b = features.withColumn("authority", F.coalesce(p("authority"), p("council_name")))
     o = spark.createDataFrame([(a, f, s, u, u + fixed.PORTAL_OVERRIDE_QUERY) for a, (f, s, u) in fixed.PORTAL_OVERRIDES.items()], "authority string, of string, os string, ob string, ol string")
     j = b.join(F.broadcast(o), "authority", "left")  # a fixed table of two rows
     return j.select("authority", F.coalesce("of", p("portal_family"), F.lit("unknown")).alias("portal_family"), F.coalesce("os", p("scraper_type"), F.lit("unknown")).alias("scraper_type"), F.coalesce("ob", p("base_url")).alias("base_url"), F.coalesce("ol", p("listing_url"), p("planning_url")).alias("listing_url"), (F.coalesce(p("link_test_ok"), F.lit("false")) != "false").alias("link_test_ok"), "geometry", "box", "ordinal")
 
 
-class PayloadSource(DataSource):
-    """spark.read.format("register_payload").option("family", f).load(folder): stored JSON pages, one partition a file."""
+def stored_payloads(spark: SparkSession, path: str, family: str = "") -> DataFrame:
+    """family, page (file name), body of stored payloads under a path of any store that Spark reads; a file is one payload."""
+    return spark.read.text(path, wholetext=True).select(F.lit(family).alias("family"), F.col("_metadata.file_name").alias("page"), F.col("value").alias("body"))
+
+
+def stored_streams(spark: SparkSession, path: str) -> DataFrame:
+    """page, body (BINARY) of stored record streams."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("page"), F.col("content").alias("body"))
+
+
+def register_family(name: str, path: str, columns: dict[str, list[str]]) -> None:
+    """Adds or replaces a family: where its records are, and for each application column its fields in order."""
+    if "uid" not in columns:
+        raise ValueError(f"family {name} has no uid")
+    FAMILIES[name] = (path, {c: list(f) for c, f in columns.items()})
+
+
+def key_objects(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """key_number, key_text and fields of key objects: a map by field name and by label, lower case; the last of a name counts."""
+    kind = "array<struct<FieldName: string, Label: string, Value: string>>"
+    r = json_records(payloads, body, "$.KeyObjects")
+    items = F.filter(F.from_json(F.get_json_object("record", "$.Items"), kind), lambda x: blank_to_null(x["Value"]).isNotNull())
+    items = F.transform(items, lambda x: F.struct(F.lower(F.nullif(x["FieldName"], F.lit(""))).alias("FieldName"), F.lower(F.nullif(x["Label"], F.lit(""))).alias("Label"), F.trim(x["Value"]).alias("Value")))
+    at = lambda n: blank_to_null(F.get_json_object("record", f"$.{n}"))
+    return r.withColumn("_i", items).select(*payloads.columns, "ordinal", at("KeyNumber").alias("key_number"), at("KeyText").alias("key_text"), attribute_map(F.col("_i"), ["FieldName", "Label"], ["Value"]).alias("fields"))
+
 
-    @classmethod
-    def name(cls) -> str:
-        return "register_payload"
+def planning_cases(records: DataFrame, enforcement: Column, reference: str) -> DataFrame:
+    """Records that are no enforcement cases, with complete: whether they have a reference."""
+    return records.filter(~F.coalesce(enforcement, F.lit(False))).withColumn("complete", blank_to_null(reference).isNotNull())
 
-    def schema(self) -> str:
-        return "family string, page string, body string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _PayloadReader(self.options)
+def form_definition(payloads: DataFrame, body: str, lookups: dict[str, str]) -> DataFrame:
+    """The ids of a form definition's lookups by the names their fields have: lookups is column by field name."""
+    kind = "array<struct<name: string, lookup: string>>"
+    fields = F.from_json(F.get_json_object(body, "$.fields"), kind)
+    one = lambda name: F.get(F.filter(fields, lambda x: F.lower(x["name"]) == name.lower()), F.lit(0))["lookup"]
+    return payloads.select(*[c for c in payloads.columns if c != body], *[blank_to_null(one(name)).alias(c) for c, name in lookups.items()])
 
 
-class _PayloadReader(DataSourceReader):
-    def __init__(self, options):
-        self.folder, self.family = options["path"], options.get("family", "")
+def area_requests(log: DataFrame) -> DataFrame:
+    """The next request after each answer of a paged area scan: halved pages while an answer is too large, else the page after it.
 
-    def partitions(self) -> list[InputPartition]:
-        from pathlib import Path
+    log: turn, offset, size, too_large, n (records of the answer), to (place of the last), total. Adds next_offset and next_size,
+    null when the scan ends: an empty answer, or the last place reaches the total; failed: a page of one is still too large.
+    """
+    done = (F.col("n") == 0) | (F.coalesce("to", "offset") + 1 >= F.col("total"))
+    big = F.col("too_large")
+    return log.withColumns({
+        "next_offset": F.when(big, F.when(F.col("size") > 1, F.col("offset"))).when(~done, F.coalesce("to", "offset") + 1),
+        "next_size": F.when(big, F.when(F.col("size") > 1, F.greatest(F.lit(1), F.floor(F.col("size") / 2)))).when(~done, F.col("size")),
+        "failed": big & (F.col("size") <= 1),
+    })
 
-        return [InputPartition(str(p)) for p in sorted(Path(self.folder.removeprefix("file:")).iterdir()) if p.is_file()] or [InputPartition("")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value:
-            with open(partition.value, encoding="utf-8") as f:
-                yield self.family, partition.value.rpartition("/")[2], f.read()
+def pushed_window(rows: DataFrame, day: str, start: str, end: str, most: int) -> DataFrame:
+    """The newest rows of a window, most at most: bounds, order and limit that the store can take over."""
+    d = F.col(day)
+    return rows.filter((d >= F.lit(start).cast("timestamp")) & (d < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))).orderBy(F.desc(day), *[c for c in rows.columns if c != day]).limit(most)

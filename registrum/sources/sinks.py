@@ -43,10 +43,16 @@ def lead_folder(date: Column, council: Column, reference: Column) -> Column:
     return F.concat_ws("/", sanitize_path_part(F.coalesce(blank_to_null(date), F.lit("undated"))), sanitize_path_part(council), sanitize_path_part(reference))
 
 
-def stream_applications(leads: DataFrame, path: str, checkpoint: str, found_at: str | None = None, delay: str = "30 days"):
+def catalogue_collection(targets: DataFrame, properties: list[str], geometry_json: str, generated_at: Column, source_url: str) -> DataFrame:
+    """The catalogue file: feature_collection() with when and what it was made from."""
+    wrap = F.concat(F.lit('{"generated_at":'), F.to_json(F.array(generated_at)).substr(F.lit(2), F.length(F.to_json(F.array(generated_at))) - 2), F.lit(',"source_url":"' + source_url + '",'), F.expr("substring(json, 2)"))
+    return feature_collection(targets, properties, geometry_json).select(wrap.alias("json"))
+
+
+def stream_applications(leads: DataFrame, path: str, checkpoint: str, found_at: str, delay: str = "30 days"):
     """Appends leads to Parquet as they are found, each reference once; restarts go on from the checkpoint.
 
-    With found_at (an event time) the references seen are kept for delay only, so the state stays bounded.
+    References seen are kept for delay of found_at (an event time), so the state stays bounded.
     """
-    once = leads.withWatermark(found_at, delay).dropDuplicatesWithinWatermark(["Reference"]) if found_at else leads.dropDuplicates(["Reference"])
+    once = leads.withWatermark(found_at, delay).dropDuplicatesWithinWatermark(["Reference"])
     return once.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)

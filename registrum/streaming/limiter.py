@@ -84,22 +84,42 @@ def stream(events: DataFrame) -> DataFrame:
 
 
 def dispatch(tasks: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """Fair dispatch of one phase at configured limits: item, started (in units of seconds), platform, host.
+    """Fair dispatch of each phase at configured limits: phase, item, turn, started (in units of seconds), platform, host.
 
-    Platforms take turns in first-seen order; a platform runs its limit at once, a host one task. Without signals the k-th
-    task of a host starts when the one before ends, and a platform's tasks start in order as places become free.
+    Platforms take turns in first-seen order; a platform runs its limit at once, a host one task, whichever platforms share
+    it, so a phase is one sequence by nature: its tasks are the authorities of a catalogue, some hundreds. The next platform
+    with room starts its first task whose host is free; what is turned down waits. tasks: item, platform, host, ordinal and
+    perhaps phase.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free, hosts, rows = [0.0] * max(1, fixed.PLATFORM_LIMITS.get(key[0], fixed.DEFAULT_LIMIT)), {}, []
-        for item, host in zip(pdf.sort_values("ordinal")["item"], pdf.sort_values("ordinal")["host"]):
-            k = min(range(len(free)), key=free.__getitem__)
-            at = max(free[k], hosts.get(host, 0.0))
-            free[k] = hosts[host] = at + seconds
-            rows.append((item, at, key[0], host))
-        return pd.DataFrame(rows, columns=["item", "started", "platform", "host"])
-
-    return tasks.select("item", "platform", "host", "ordinal").groupBy("platform").applyInPandas(run, "item string, started double, platform string, host string")
+        queues: dict[str, list] = {}
+        for item, platform, host in pdf.sort_values("ordinal")[["item", "platform", "host"]].itertuples(index=False):
+            queues.setdefault(platform, []).append((item, host))
+        limit = {p: max(1, fixed.PLATFORM_LIMITS.get(p, fixed.DEFAULT_LIMIT)) for p in queues}
+        order, running, rows, now = list(queues), [], [], 0.0
+        while any(queues.values()):
+            started = True
+            while started:
+                started = False
+                for p in list(order):
+                    busy = {h for _, _, h in running}
+                    if queues[p] and sum(x == p for _, x, _ in running) < limit[p]:
+                        k = next((i for i, (_, h) in enumerate(queues[p]) if h not in busy), None)
+                        if k is not None:
+                            item, host = queues[p].pop(k)
+                            running.append((now + seconds, p, host))
+                            rows.append((key[0], item, len(rows), now, p, host))
+                            order.remove(p)
+                            order.append(p)
+                            started = True
+                            break
+            now = min(end for end, _, _ in running)
+            running = [r for r in running if r[0] > now]
+        return pd.DataFrame(rows, columns=["phase", "item", "turn", "started", "platform", "host"])
+
+    t = tasks if "phase" in tasks.columns else tasks.withColumn("phase", F.lit(0))
+    return t.select(F.col("phase").cast("int"), "item", "platform", "host", "ordinal").groupBy("phase").applyInPandas(run, "phase int, item string, turn int, started double, platform string, host string")
 
 
 def worker_stagger(i: Column) -> Column:

@@ -101,8 +101,7 @@ def test_csv_xml_binary(spark):
 
 def test_payload_source(spark, tmp_path):
     (tmp_path / "p1.json").write_text('[{"pk": "1"}]')
-    spark.dataSource.register(payloads.PayloadSource)
-    d = spark.read.format("register_payload").option("family", "socrata").load(str(tmp_path))
+    d = payloads.stored_payloads(spark, str(tmp_path), "socrata")
     assert rows(d) == [("socrata", "p1.json", '[{"pk": "1"}]')]
 
 
