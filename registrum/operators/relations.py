@@ -234,9 +234,9 @@ def gaining_windows(daily: DataFrame, start: str, end: str, cap: int, keys: str
     return daily.sparkSession.createDataFrame(out, "s date, e date, n long")
 
 
-def signature(*cols: str) -> Column:
-    """The first of cols that is not blank, else the whole row as JSON: a key for rows that may lack one."""
-    return F.coalesce(*[blank_to_null(F.col(c).cast("string")) for c in cols], F.to_json(F.struct("*")))
+def signature(*cols: str, of: list[str]) -> Column:
+    """The first of cols that is not blank, else the columns of as JSON: a key for rows that may lack one."""
+    return F.coalesce(*[blank_to_null(F.col(c).cast("string")) for c in cols], F.to_json(F.struct(*of)))
 
 
 def provenance(stub: Column, detail: Column, **keys: Column) -> Column:

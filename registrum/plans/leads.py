@@ -37,7 +37,7 @@ def effective_target(target: DataFrame) -> DataFrame:
 
 def target_rows(catalogue: DataFrame) -> DataFrame:
     """Targets of catalogue rows with their defaults: authority, portal_family, scraper_type, base_url, listing_url."""
-    text = lambda *c: first_value(*[F.col(x) for x in c if x in catalogue.columns])
+    text = lambda *c: first_value(*[F.col(x) if x in catalogue.columns else F.lit(None).cast("string") for x in c])
     listing = text("listing_url", "planning_url")
     base = F.coalesce(F.regexp_replace(text("base_url"), "/+$", ""), blank_to_null(base_url(listing)))
     return catalogue.select(text("authority", "council_name").alias("authority"), F.coalesce(text("portal_family"), F.lit("unknown")).alias("portal_family"), F.coalesce(text("scraper_type"), F.lit("unknown")).alias("scraper_type"), base.alias("base_url"), listing.alias("listing_url"), application_root(listing).alias("application_root"))

@@ -9,10 +9,10 @@ from registrum.functions import fixed
 from registrum.functions.text import blank_to_null, sanitize_path_part
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite", single: bool = False) -> None:
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite", single: bool = False, escape: str = '"') -> None:
     """CSV with a header; single joins the parts, for exports that people open."""
     out = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns or df.columns])
-    (out.coalesce(1) if single else out).write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    (out.coalesce(1) if single else out).write.mode(mode).option("header", True).option("emptyValue", "").option("escape", escape).csv(path)
 
 
 def write_applications(leads: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ the parallelism, as the state of one is sequential by nature.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -88,32 +89,35 @@ def dispatch(tasks: DataFrame, seconds: float = 1.0) -> DataFrame:
 
     Platforms take turns in first-seen order; a platform runs its limit at once, a host one task, whichever platforms share
     it, so a phase is one sequence by nature: its tasks are the authorities of a catalogue, some hundreds. The next platform
-    with room starts its first task whose host is free; what is turned down waits. tasks: item, platform, host, ordinal and
+    with room starts its first task whose host is free; tasks it passes over go behind the others. tasks: item, platform, host, ordinal and
     perhaps phase.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        queues: dict[str, list] = {}
+        queues: dict[str, deque] = {}
         for item, platform, host in pdf.sort_values("ordinal")[["item", "platform", "host"]].itertuples(index=False):
-            queues.setdefault(platform, []).append((item, host))
-        limit = {p: max(1, fixed.PLATFORM_LIMITS.get(p, fixed.DEFAULT_LIMIT)) for p in queues}
-        order, running, rows, now = list(queues), [], [], 0.0
+            queues.setdefault(platform, deque()).append((item, host))
+        names, at, now, running, rows = list(queues), 0, 0.0, [], []
+
+        def eligible() -> tuple[int, str, str] | None:
+            hosts = {h for _, _, h in running}
+            for k in range(len(names)):
+                i = (at + k) % len(names)
+                p, q = names[i], queues[names[i]]
+                if sum(x == p for _, x, _ in running) >= max(1, fixed.PLATFORM_LIMITS.get(p, fixed.DEFAULT_LIMIT)):
+                    continue
+                for _ in range(len(q)):  # tasks whose host is busy go behind the others
+                    if q[0][1] not in hosts:
+                        return i, *q.popleft()
+                    q.rotate(-1)
+            return None
+
         while any(queues.values()):
-            started = True
-            while started:
-                started = False
-                for p in list(order):
-                    busy = {h for _, _, h in running}
-                    if queues[p] and sum(x == p for _, x, _ in running) < limit[p]:
-                        k = next((i for i, (_, h) in enumerate(queues[p]) if h not in busy), None)
-                        if k is not None:
-                            item, host = queues[p].pop(k)
-                            running.append((now + seconds, p, host))
-                            rows.append((key[0], item, len(rows), now, p, host))
-                            order.remove(p)
-                            order.append(p)
-                            started = True
-                            break
+            while found := eligible():
+                i, item, host = found
+                running.append((now + seconds, names[i], host))
+                rows.append((key[0], item, len(rows), now, names[i], host))
+                at = (i + 1) % len(names)
             now = min(end for end, _, _ in running)
             running = [r for r in running if r[0] > now]
         return pd.DataFrame(rows, columns=["phase", "item", "turn", "started", "platform", "host"])
