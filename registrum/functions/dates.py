@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from registrum.functions import fixed
 from registrum.functions.text import blank_to_null, clean_text, col, let
 
 _DAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)(?:day|sday|nesday|rsday|urday)? (?=\d{1,2} [a-z])"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.functions import dates, files, text, urls
@@ -11,7 +11,8 @@ from registrum.plans.registered import query, table
 from registrum.sources import html, payloads
 from registrum.sources import listings as L
 
-BASE = F.lit("https://r.example/a/b/view.do?x=1")
+def base() -> Column:
+    return F.lit("https://r.example/a/b/view.do?x=1")
 
 
 def bodies(spark: SparkSession, sf_dir: str, record: str, wrap: str = "{}") -> DataFrame:
@@ -136,7 +137,7 @@ def document_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all kinds of elements; site pages, repeated addresses and forms that post are left out."""
     body = "<a href='/files/plan.pdf'>Plan</a><a href='/files/plan.pdf'>again</a><a href='/privacy.pdf'>Privacy</a><button data-href='getfile?id=1'>Get</button><b onclick=\"go('/download/2')\">Open</b><form method='get' action='showimage'></form><form method='post' action='download'></form><iframe src='/x.tiff'></iframe><a href='searchresult?x'>Documents</a><a href='mailto:a@b.pdf'>m</a>"
     p = table(spark, sf_dir, "pages").select("page_id", F.lit(body).alias("html"))
-    return html.document_links(html.nodes(p), BASE).select("page_id", "kind", "url", "title")
+    return html.document_links(html.nodes(p), base()).select("page_id", "kind", "url", "title")
 
 
 @query("""select page_id, d dialect, n from (select page_id from pages), (values ('generic', 4::bigint), ('ocella', 3::bigint), ('idox', 1::bigint)) v(d, n)""")
@@ -156,7 +157,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registrum.plans.portal_queries import listing
 
     p = listing(spark, sf_dir, row, "'<table>'", "'</table>'")
-    return D.table_documents(html.nodes(p), BASE, "site").select("page_id", "title", "url", "date_published", "file_size", "document_type", "description")
+    return D.table_documents(html.nodes(p), base(), "site").select("page_id", "title", "url", "date_published", "file_size", "document_type", "description")
 
 
 @query("select s_nationkey page_id, 'View' title, 'https://r.example/a/b/download/' || s_suppkey url, 'Front ' || s_suppkey description from supplier")
@@ -165,7 +166,7 @@ def described_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registrum.plans.portal_queries import listing
 
     p = listing(spark, sf_dir, "'<li><a href=\"download/' || s_suppkey || '\">View</a> Front ' || s_suppkey || '</li>'")
-    return D.item_documents(html.nodes(p), BASE, "generic").select("page_id", "title", "url", "description")
+    return D.item_documents(html.nodes(p), base(), "generic").select("page_id", "title", "url", "description")
 
 
 @query("select s_nationkey page_id, 'd' || s_suppkey || '.pdf' title, 'https://r.example/Document/GetFileBinary?module=p&recordNumber=' || s_suppkey || '&planID=' || s_suppkey || '&imageID=7&isPlan=' || (s_suppkey % 2 = 0) url from supplier")
@@ -174,7 +175,7 @@ def attribute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     row = "'<tr data-module=\"p\" data-recordnumber=\"' || s_suppkey || '\" data-planid=\"' || s_suppkey || '.0\" data-imageid=\"7\" data-storedindatabase=\"' || (s_suppkey % 2 = 0) || '\" data-filename=\"x/d' || s_suppkey || '.pdf\"></tr><tr data-module=\"p\"></tr>'"
     p = listing(spark, sf_dir, row, "'<table>'", "'</table>'")
-    return D.attribute_rows(html.nodes(p), BASE).select("page_id", "title", "url")
+    return D.attribute_rows(html.nodes(p), base()).select("page_id", "title", "url")
 
 
 @query("select s_nationkey, 'Plan ' || s_suppkey title, 'https://r.example/a/Document/ViewDocument?id=g' || s_suppkey url from supplier")
@@ -191,14 +192,14 @@ def store_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = listing(spark, sf_dir, "'<a href=\"/OnlineDisplayDocument/OpenSearchDocument?displaysearchdocument=' || s_suppkey || '\">' || if(s_suppkey % 2 = 0, 'Plan', '') || '</a><a href=\"/other\">x</a>'")
     page = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page_id")).distinct().withColumn("html", F.expr("'<div id=\"divDisplayDocumentsUrl\" data-url=\"/list\"></div><span id=\"spnApplicationId\"> E' || page_id || ' </span>'"))
-    ask = D.store_endpoint(html.nodes(page), BASE)
-    return D.fragment_documents(html.nodes(p), BASE).join(ask, "page_id").select("page_id", "title", "url", "endpoint")
+    ask = D.store_endpoint(html.nodes(page), base())
+    return D.fragment_documents(html.nodes(p), base()).join(ask, "page_id").select("page_id", "title", "url", "endpoint")
 
 
 @query("select s_nationkey, case when s_suppkey % 2 = 0 then 'Plan' else 'Document ' || s_suppkey end title, 'https://c.example/api/Doc/pagestream?cd=download&pdf=false&docno=' || s_suppkey || '&filename=' || case when s_suppkey % 2 = 0 then 'Plan' else 'Document+' || s_suppkey end url, '2026-06-05' date_published, 'Maps' description from supplier where s_suppkey > 0")
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bodies(spark, sf_dir, "named_struct('DocNo', s_suppkey, 'Title', if(s_suppkey % 2 = 0, 'Plan', ''), 'DocDate', '2026-06-05T00:00:00', 'DocCategory', 'Maps', 'TypeCode', 'P')", '{"CompleteDocument":{}}')
-    return D.stream_documents(p, "body", F.lit("https://c.example/api/"), BASE, "s_nationkey").select("s_nationkey", "title", "url", "date_published", "description")
+    return D.stream_documents(p, "body", F.lit("https://c.example/api/"), base(), "s_nationkey").select("s_nationkey", "title", "url", "date_published", "description")
 
 
 @query("select s_nationkey, 'Site plan' title, 'https://g.example/api/application/document/C1/h%2F' || s_suppkey url, 'Site plan' document_type, '2026-06-05' date_published from supplier where s_suppkey % 3 > 0")
@@ -292,7 +293,7 @@ def anchor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registrum.plans.portal_queries import listing
 
     row = "'<tr><td><a href=\"view?id=G' || s_suppkey || '\">26/' || lpad(s_suppkey::STRING, 5, '0') || '</a></td><td>row</td></tr><tr><td><a href=\"view?id=G' || s_suppkey || '\">again</a></td></tr>'"
-    r = L.anchor_listing(html.containers(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'"))), BASE, ["id"])
+    r = L.anchor_listing(html.containers(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'"))), base(), ["id"])
     return r.select("page_id", "uid", "reference", "url", F.trim(F.replace("context", F.col("reference"), F.lit(""))).alias("context"))
 
 

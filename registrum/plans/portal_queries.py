@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.functions import dates
@@ -10,7 +10,9 @@ from registrum.plans.registered import query, table
 from registrum.sources import html, payloads
 from registrum.sources import portals as P
 
-PAGE = F.lit("https://r.example/a/list.do?x=1")
+def page() -> Column:
+    return F.lit("https://r.example/a/list.do?x=1")
+
 
 
 def listing(spark: SparkSession, sf_dir: str, item: str, before: str = "''", after: str = "''") -> DataFrame:
@@ -33,7 +35,7 @@ _IDOX = """'<li class="x searchresult"><a href="applicationDetails.do?activeTab=
 def idox_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result items; a repeated link of an item comes once. Addresses that only the row's text has are left to idox_rows."""
     p = listing(spark, sf_dir, _IDOX + " || '<a href=\"applicationDetails.do?keyVal=K' || s_suppkey || '\">again</a>'")
-    r = P.idox_listing(html.nodes(p), PAGE)
+    r = P.idox_listing(html.nodes(p), page())
     own = F.col("address").rlike("High Road")
     return r.withColumns({"address": F.when(own, F.col("address")), "detail_complete": F.col("detail_complete") & own})
 
@@ -42,7 +44,7 @@ def idox_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idox_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows: the address is the row's text less reference and labels."""
     p = listing(spark, sf_dir, "'<tr><td>Application: <a href=\"/o/applicationDetails.do?keyVal=K' || s_suppkey || '\">26/' || lpad(s_suppkey::STRING, 5, '0') || '/FUL</a></td><td>' || s_suppkey || ' High Road</td><td>Status:</td></tr>'", "'<table>'", "'</table>'")
-    return P.idox_listing(html.nodes(p), PAGE).select("page_id", "uid", "reference", "address")
+    return P.idox_listing(html.nodes(p), page()).select("page_id", "uid", "reference", "address")
 
 
 @query("select c_custkey, case when c_custkey % 3 = 0 then 'T' || c_custkey when c_custkey % 3 = 1 then 'U' || c_custkey else 'R/' || c_custkey end uid, 'R/' || c_custkey reference, c_name || ' Road' address, 'second' description, '2026-06-05' date_received, case when c_custkey % 2 = 0 then 'EF2 3GH' end postcode, c_custkey % 2 = 1 single from customer")
@@ -92,7 +94,7 @@ _ATRIUM_ROW = "'<tr><td><a href=\"/Planning/Display/A%2F' || s_suppkey || '\">A/
 def atrium_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by position; status and decision share a cell."""
     p = listing(spark, sf_dir, _ATRIUM_ROW, "'<table>'", "'</table>'")
-    return P.atrium_listing(html.nodes(p), PAGE).drop("postcode")
+    return P.atrium_listing(html.nodes(p), page()).drop("postcode")
 
 
 _ATRIUM_HEADED = "'<tr><td><span class=\"mobile-heading\">Application No:</span><a href=\"/planning/display?applicationNumber=B' || s_suppkey || '\">Application No. B/' || s_suppkey || '</a></td><td><div class=\"mobile-heading\">Location</div> ' || s_name || ' </td><td><p class=\"mobile-heading\">Proposal</p>Gates</td><td><i class=\"mobile-heading\">Status</i>Open</td><td><i class=\"mobile-heading\">Date</i>05/06/2026</td></tr>'"
@@ -102,14 +104,14 @@ _ATRIUM_HEADED = "'<tr><td><span class=\"mobile-heading\">Application No:</span>
 def atrium_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that name themselves for small screens."""
     p = listing(spark, sf_dir, _ATRIUM_HEADED, "'<table>'", "'</table>'")
-    return P.atrium_listing(html.nodes(p), PAGE).select("page_id", "uid", "reference", "address", "description", "status", "date_validated")
+    return P.atrium_listing(html.nodes(p), page()).select("page_id", "uid", "reference", "address", "description", "status", "date_validated")
 
 
 @query("select s_nationkey page_id, 'C' || s_suppkey uid, 'C/' || s_suppkey reference, s_name || ' Lane' address, '2026-06-05' date_validated from supplier")
 def atrium_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards: the heading has the reference, the link the address, the text a date."""
     card = "'<div class=\"results__item\"><h2>Application Number: C/' || s_suppkey || '</h2><a href=\"/Planning/Display/C' || s_suppkey || '\">' || s_name || ' Lane</a><p>Valid 05/06/2026, then 07/06/2026</p></div>'"
-    return P.atrium_listing(html.nodes(listing(spark, sf_dir, card)), PAGE).select("page_id", "uid", "reference", "address", "date_validated")
+    return P.atrium_listing(html.nodes(listing(spark, sf_dir, card)), page()).select("page_id", "uid", "reference", "address", "date_validated")
 
 
 @query("select s_nationkey page_id, case when count(*) > 3 then true else false end more, greatest(least(count(*), 1000), 250)::int ask from supplier group by s_nationkey")
@@ -127,7 +129,7 @@ _OCELLA = "'<tr><td><a href=\"/detail?id=O' || s_suppkey || '\">26/' || lpad(s_s
 def ocella_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of three, four and five cells."""
     p = listing(spark, sf_dir, _OCELLA, "'<table>'", "'</table>'")
-    return P.ocella_listing(html.nodes(p), PAGE, ["reference", "id"]).select("page_id", "uid", "reference", "address", "description", "status", "date_received")
+    return P.ocella_listing(html.nodes(p), page(), ["reference", "id"]).select("page_id", "uid", "reference", "address", "description", "status", "date_received")
 
 
 @query("select p_partkey, case when p_size % 2 = 0 then p_size end shown, case when p_size % 2 = 0 then p_partkey::int end total from part")
@@ -153,7 +155,7 @@ def northgate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def northgate_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paging links that differ in case and spaces are one."""
     p = listing(spark, sf_dir, "''", "'<a href=\"StdResults.aspx?p=2\">2</a><a href=\"STDRESULTS.aspx? p =2\">2</a><a href=\"StdResults.aspx?P=3\">3</a><a href=\"StdResults.aspx?q=3\">x</a>'")
-    return P.northgate_pages(html.nodes(p), PAGE).select("page_id", "canonical")
+    return P.northgate_pages(html.nodes(p), page()).select("page_id", "canonical")
 
 
 @query("""with s as (select s_nationkey register, s_suppkey, s_name, row_number() over (partition by s_nationkey order by s_suppkey) k from supplier)
@@ -186,14 +188,14 @@ def followed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select s_nationkey page_id, 'F/' || s_suppkey reference, 'https://r.example/a/detail.asp?AltRef=F/' || s_suppkey url, s_name address, 'Gates' description, '2026-06-05' date_received from supplier")
 def fastweb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = "'<table><tr><td>App. No. F/' || s_suppkey || '</td></tr><tr><td>Site Address: ' || s_name || ' Description: Gates Received Date: 05/06/2026 Decision Date:</td><td><a href=\"detail.asp?AltRef=F/' || s_suppkey || '\">more</a></td></tr></table>'"
-    return P.fastweb_listing(html.nodes(listing(spark, sf_dir, t)), PAGE).select("page_id", "reference", "url", "address", "description", "date_received")
+    return P.fastweb_listing(html.nodes(listing(spark, sf_dir, t)), page()).select("page_id", "reference", "url", "address", "description", "date_received")
 
 
 @query("select s_nationkey page_id, '26/' || lpad(s_suppkey::varchar, 5, '0') reference, left('For ' || s_name || ' on 05/06/2026, AB1 2CD ' || repeat('x', 300), 240) address, left('For 26/' || lpad(s_suppkey::varchar, 5, '0') || ' ' || s_name || ' on 05/06/2026, AB1 2CD ' || repeat('x', 300), 500) description, '2026-06-05' date_received, 'AB1 2CD' postcode from supplier")
 def html_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with a reference; links to other places are left out."""
     item = "'<li>For <a href=\"/planning/' || s_suppkey || '\">26/' || lpad(s_suppkey::STRING, 5, '0') || '</a> ' || s_name || ' on 05/06/2026, AB1 2CD ' || repeat('x', 300) || '</li><li><a href=\"/news/1\">26/99999</a></li>'"
-    return P.list_items(html.nodes(listing(spark, sf_dir, item)), PAGE).select("page_id", "reference", "address", "description", "date_received", "postcode")
+    return P.list_items(html.nodes(listing(spark, sf_dir, item)), page()).select("page_id", "reference", "address", "description", "date_received", "postcode")
 
 
 @query("select s_nationkey page_id, '26/' || lpad(s_suppkey::varchar, 5, '0') reference, case when s_nationkey % 2 = 0 then 'table' else 'list' end source from supplier")
@@ -202,7 +204,7 @@ def table_or_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = "case when s_nationkey % 2 = 0 then '<tr><td>26/' || lpad(s_suppkey::STRING, 5, '0') || '</td><td>' || s_name || '</td></tr>' else '<tr><td><a href=\"/application/' || s_suppkey || '\">26/' || lpad(s_suppkey::STRING, 5, '0') || '</a></td></tr>' end"
     p = listing(spark, sf_dir, item, "'<table><tr><th>Reference</th><th>Address</th></tr>'", "'</table>'")
     p = p.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit("<th>Reference</th><th>Address</th>"), F.lit("<th>Found</th>"))))
-    return P.table_or_list(html.nodes(p), PAGE).select("page_id", "reference", "source")
+    return P.table_or_list(html.nodes(p), page()).select("page_id", "reference", "source")
 
 
 @query("select s_nationkey page_id, 'N' || s_suppkey reference, 'Erection of gates at ' || s_name || ' at the corner.' description, s_name || ' at the corner' address, '2026-06-05' date_received from supplier")
@@ -210,21 +212,21 @@ def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables within a table: the longest text that tells no decision."""
     t = "'<tr><td><table><tr><td><a href=\"PlAppDets.asp?casefullref=N' || s_suppkey || '\">N' || s_suppkey || '</a></td><td>Registered : 05/06/2026</td></tr><tr><td colspan=\"2\">Erection of gates at ' || s_name || ' at the corner.</td></tr><tr><td colspan=\"2\">short</td></tr><tr><td colspan=\"2\">A decision has been made and this is a far longer text than any other of this table, as all can see</td></tr><tr><td colspan=\"2\"><form action=\"x\">A form with a very long text that is not to be taken for the description of the works</form></td></tr></table></td></tr>'"
     p = listing(spark, sf_dir, t, "'<table>'", "'</table>'")
-    return P.nested_results(html.nodes(p), PAGE).select("page_id", "reference", "description", "address", "date_received")
+    return P.nested_results(html.nodes(p), page()).select("page_id", "reference", "description", "address", "date_received")
 
 
 @query("select s_nationkey page_id, 'TW/' || s_suppkey reference, '2026-06-05' date_validated, s_name address, 'Gates' description from supplier")
 def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one day's window by position, equal references once."""
     row = "'<tr><td><a href=\"PA-ApplicationSummary.aspx?n=' || s_suppkey || '\">TW/' || s_suppkey || '</a></td><td>05/06/2026</td><td>' || s_name || '</td><td>Gates</td></tr><tr><td><a href=\"pa-applicationsummary.aspx?n=' || s_suppkey || '\">tw/' || s_suppkey || '</a></td></tr>'"
-    return P.positional_rows(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), PAGE, "pa-applicationsummary.aspx").select("page_id", "reference", "date_validated", "address", "description")
+    return P.positional_rows(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), page(), "pa-applicationsummary.aspx").select("page_id", "reference", "date_validated", "address", "description")
 
 
 @query("select s_nationkey page_id, 'U' || s_suppkey reference, 'https://r.example/a/show.asp?vUPRN=U' || s_suppkey || '&k=a+b' url, s_name address, false detail_complete from supplier")
 def form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose detail address is a form's."""
     row = "'<tr><td>' || s_name || '</td><td><form action=\"show.asp\"><input type=\"hidden\" name=\"vUPRN\" value=\"U' || s_suppkey || '\"><input name=\"k\" value=\"a b\"><input type=\"submit\" name=\"go\" value=\"Go\"></form></td></tr>'"
-    return P.form_rows(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), PAGE)
+    return P.form_rows(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), page())
 
 
 @query("select s_nationkey, 'W' || s_suppkey reference, s_name address, case when s_suppkey % 2 = 0 then '2026-06-05' else '2026-06-01' end date_received, '2026-06-06' date_validated, s_suppkey % 2 = 1 date_inferred, 'https://w.example/Planning/Display?applicationNumber=W' || s_suppkey url from supplier")

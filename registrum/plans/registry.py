@@ -17,7 +17,6 @@ from registrum.plans import leads
 from registrum.plans.registered import ORACLES, QUERIES, query, quoted, table
 from registrum.sources import html, payloads
 from registrum.sources import listings as L
-from registrum.streaming import limiter
 
 WORDS = ["building", "urgent", "household"]
 START, END = "1996-01-01", "1998-12-31"
@@ -79,10 +78,11 @@ for _e, _v in text.ENTITIES:
 _CLEAN = f"nullif(trim(regexp_replace({_ENT}, '{SQL_SPACE}', ' ', 'g')), '')"
 
 
-@query(f"select doc_id, sha256(coalesce({_CLEAN}, '')) cleaned, left({_CLEAN}, 40) short, trim(regexp_replace(replace(lower(left(coalesce({_CLEAN}, ''), 40)), '&', 'and'), '[^a-z0-9]+', '_', 'g'), '_') label from documents")
+@query(f"select doc_id, sha256(coalesce({_CLEAN}, '')) cleaned, left({_CLEAN}, 40) short from documents")
 def clean_text_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts cleaned, as a digest, and their trimmed form."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("c"))
-    return d.select("doc_id", F.sha2(F.coalesce("c", F.lit("")), 256).alias("cleaned"), text.trim_text("c", 40).alias("short"), text.normalize_label(F.left(F.coalesce("c", F.lit("")), F.lit(40))).alias("label"))
+    return d.select("doc_id", F.sha2(F.coalesce("c", F.lit("")), 256).alias("cleaned"), text.trim_text("c", 40).alias("short"))
 
 
 @query(f"select doc_id, sha256(trim(regexp_replace(replace(lower(coalesce({_CLEAN}, '')), '&', 'and'), '[^a-z0-9]+', '_', 'g'), '_')) label from documents")
@@ -239,11 +239,11 @@ def href_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select page_id, 'anchor' kind, 'https://register.example/files/plan-' || page_id || '.pdf' url, 'Plan' title from pages union all select page_id, 'data', 'https://x.example/getfile?id=' || page_id, 'Get' from pages")
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document links of pages to which a register's document list is added."""
     p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.expr("'<ul><li><a href=\"/files/plan-' || page_id || '.pdf\">Plan</a><li><a href=\"/privacy.pdf\">Privacy</a><li><button data-href=\"https://x.example/getfile?id=' || page_id || '\">Get</button></ul>'")).alias("html"))
-    return html.document_links(html.nodes(p), F.lit("https://register.example/a/b"))
+    return html.document_links(html.nodes(p), F.lit("https://register.example/a/b")).select("page_id", "kind", "url", "title")
 
 
 _ROWS = "'<table><tr><th>Application Reference<td>' || c_custkey || '</tr><tr><th>Site Address</th><td>' || c_name || ' &amp; Sons</td></tr><tr><td>Proposal:<td>' || c_mktsegment || '<tr><td>Address</td><td>ignored</td></table><dl><dt>Ward</dt><dd> W' || c_nationkey || '</dd></dl>'"
@@ -297,24 +297,6 @@ def weekly_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.weekly_csv(p, "s_nationkey", "body").select("s_nationkey", F.col("cells")["application_number"].alias("number"), F.col("cells")["location1"].alias("address"))
 
 
-@query()
-def binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record stream made of regions, decoded."""
-    rows = [(1, 0, 1, i, i * 2, 638_000_000_000_000_000 + i, 0, 0, 0.5 * i, -0.5, [f"t{i}-{k}" for k in range(payloads.BINARY_TEXTS)]) for i in range(20)]
-    p = spark.createDataFrame([(1, payloads.encode_records(rows)), (2, payloads.encode_records(rows[:3]) + b"x")], "k int, body binary")
-    return payloads.binary_records(p, "k", "body").select("k", "ordinal", F.col("x"), dates.ticks_to_london_date(F.get("ticks", F.lit(0))).alias("day"), F.get("texts", F.lit(3)).alias("t"), "error")
-
-
-_FILES = [("25504446312e34", "", "u/a", ".pdf", True), ("4d5a90", "application/pdf", "u/a.pdf", ".pdf", False), ("3c68746d6c3e", "application/pdf", "u/a", ".pdf", False), ("616263", "text/csv; charset=x", "u/a", ".csv", True), ("616263", "", "http://u/a.DWG?x", ".dwg", True), ("616263", "text/x", "u/a", ".bin", False), ("", "image/png", "u/a.png", ".png", False)]
-
-
-@query("select * from (values " + ", ".join(f"({i}, '{e}', {str(r).lower()})" for i, (_, _, _, e, r) in enumerate(_FILES)) + ") v(i, extension, real)")
-def file_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.createDataFrame([(i, bytes.fromhex(h), c, u) for i, (h, c, u, _, _) in enumerate(_FILES)], "i int, payload binary, kind string, url string")
-    p, k, u = F.col("payload"), F.col("kind"), F.col("url")
-    return f.select("i", files.extension(F.lit(None).cast("string"), u, k, p).alias("extension"), files.is_real_file(p, k, u).alias("real"))
-
-
 _ERROR = "case event_type when 'click' then 'HTTP 429: slow down' when 'view' then 'HTTP 503 from host' when 'purchase' then 'Could not find form' else case when event_id % 3 = 0 then 'HTTP 403 Forbidden' when event_id % 3 = 1 then 'Connection refused' else 'odd failure' end end"
 
 
@@ -328,15 +310,6 @@ def failure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.failure_signal("e").alias("signal"), text.failure_degraded("e").alias("degraded"), text.retry_with_fresh_session("e").alias("retry"))
 
 
-@query()
-def limiter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as signals of platforms (users), replayed through the limiter."""
-    names = {"click": "success", "view": "success", "purchase": "service_unavailable"}
-    signal = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()], F.when(F.col("event_id") % 2 == 0, "rate_limited").otherwise("blocked"))
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("platform"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), "event_id", signal.alias("signal"))
-    return limiter.replay(e)
-
-
 @query("with m as (select *, row_number() over (partition by user_id order by ts, event_id) i, row_number() over (partition by user_id, event_type order by ts, event_id) j from events) select user_id, event_type, count(*) n, min(i) as \"first\", max(i) as \"last\" from m group by user_id, event_type, i - j")
 def streak_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = R.streaks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
@@ -348,11 +321,6 @@ def limit_per_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.limit_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), "o_orderkey"], 3).select("o_custkey", "o_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def pending_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.anti(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
-
-
 @query("with t as (select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by c_custkey) turn from customer) select c_custkey, c_mktsegment, turn, min(c_custkey) over (partition by c_mktsegment) platform_order from t")
 def fair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fair_order(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey").withColumn("turn", F.col("turn").cast("long"))
@@ -373,15 +341,6 @@ def adapter_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("c_custkey", text.adapter("a", "s", F.lit("unknown"), F.lit("")).alias("adapter"), text.platform("a", "s", F.lit("unknown")).alias("platform"))
 
 
-@query("with a as (select n_name authority, n_nationkey ordinal, n_nationkey % 9 = 0 failed, (select count(*) from customer where c_nationkey = n_nationkey and c_custkey % 4 > 0) n from nation), l as (select count(*) r from customer where c_custkey % 40 = 1) select '2020-01-02' \"Search Date\", '03:04:05' \"Search Time\", 'Custom' \"Keyword Set\", sum(n)::bigint \"Total Applications\", any_value(r) \"Relevant Captured Applications\", string_agg(authority, '; ' order by ordinal) filter (where failed) \"List of failed councils\", coalesce(string_agg(authority, '; ' order by ordinal) filter (where not failed and n = 0), '') \"List of councils with no applications\", 'Failed' \"Completion\", 0::bigint \"Captured Documents\" from a, l")
-def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history row; the percentage is left to the export."""
-    n = table(spark, sf_dir, "customer").filter("c_custkey % 4 > 0").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    a = table(spark, sf_dir, "nation").join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("authority"), F.col("n_nationkey").alias("ordinal"), F.lit(1).alias("attempt"), (F.col("n_nationkey") % 9 == 0).alias("failed"), F.coalesce("n", F.lit(0)).alias("n"))
-    found = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 1").select(F.col("c_custkey").alias("Reference"))
-    return leads.run_summary(a, found, ["gates"], "2020-01-02", "03:04:05").drop("% Relevant")
-
-
 @query("select s_nationkey, 'P/AB/2026/' || s_suppkey reference, s_name || ' Road' address, 'Gates for ' || s_suppkey description, 'Granted' decision from supplier")
 def free_text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records cut from running text by one pattern."""
@@ -400,7 +359,7 @@ def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_nationkey, 'R' || s_suppkey || '.pdf' title, 'https://h.example/pr/sfc/servlet.shepherd/version/download/v' || s_suppkey url, s_acctbal::bigint::varchar file_size from supplier")
 def content_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.expr("named_struct('Id', 'v' || s_suppkey, 'Title', 'R' || s_suppkey, 'FileExtension', 'PDF', 'ContentSize', cast(cast(round(s_acctbal) as bigint) as string))")
+    r = F.expr("named_struct('Id', 'v' || s_suppkey, 'Title', 'R' || s_suppkey, 'FileExtension', 'PDF', 'ContentSize', cast(cast(bround(s_acctbal) as bigint) as string))")
     p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(r)).alias("j"))
     return D.content_versions(p, "j", F.lit("https://h.example/pr/s/detail/1"), "s_nationkey").select("s_nationkey", "title", "url", "file_size")
 

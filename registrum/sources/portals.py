@@ -14,8 +14,12 @@ from registrum.operators.relations import first_wins
 from registrum.sources.html import anchors, enclosing, first_within, has_class, header_tables, label_columns, labelled_pairs, row_cells, sequential_pairs
 from registrum.sources.listings import labelled_text
 
-_ROW = F.col("tag") == "tr"
-_ITEM = F.col("tag").isin("li", "article", "div")
+def _row() -> Column:
+    return F.col("tag") == "tr"
+
+
+def _item() -> Column:
+    return F.col("tag").isin("li", "article", "div")
 
 
 def _low(c: str) -> Column:
@@ -24,7 +28,7 @@ def _low(c: str) -> Column:
 
 def _rows(nodes: DataFrame, key: str, found: Column) -> DataFrame:
     """Links that pass found, with the text of their row, else of the nearest item, else their own: row_text."""
-    a = enclosing(anchors(nodes, key).filter(found), nodes, [_ROW, _ITEM], key)
+    a = enclosing(anchors(nodes, key).filter(found), nodes, [_row(), _item()], key)
     return a.withColumn("row_text", F.coalesce(clean_text("outer_text"), F.col("title")))
 
 
@@ -94,7 +98,7 @@ def form_fields(fields: DataFrame, listing_text: Column, fallback: Column, url:
 
 def atrium_listing(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
     """Rows with mobile headings, rows by position, or cards."""
-    a = enclosing(anchors(nodes, key).filter(F.contains(_low("href"), F.lit("/planning/display"))), nodes, [_ROW], key)
+    a = enclosing(anchors(nodes, key).filter(F.contains(_low("href"), F.lit("/planning/display"))), nodes, [_row()], key)
     a = a.withColumn("uid", F.coalesce(urls.query_param("href", "applicationNumber"), urls.display_uid(F.col("href")))).filter("uid is not null")
     a = _cells(a, nodes, key)
     head = F.trim(F.regexp_replace(_low("heading"), "[^a-z]+", " "))
@@ -108,8 +112,8 @@ def atrium_listing(nodes: DataFrame, page: Column, key: str = "page_id") -> Data
     a = a.join(cells.groupBy(key, "outer").agg(*map(pick, ("reference", "address", "description", "status", "date")), F.lit(True).alias("headed")), [key, "outer"], "left")
     card = ((F.col("tag") == "div") & (has_class("results__item") | has_class("searchResultsCardRow")))
     box = enclosing(a.select(key, "node"), nodes, [card], key).select(key, "node", F.col("outer_text").alias("card_text"))
-    titles = enclosing(nodes.filter(F.col("tag").isin("h1", "h2", "h3")).select(key, "node", "text"), nodes, [card | _ROW], key).groupBy(key, "outer").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", clean_text("text").alias("t")))), lambda x: x["t"]).alias("titles"))
-    boxed = enclosing(a.select(key, "node"), nodes, [_ROW, card], key).select(key, "node", F.col("outer").alias("box"))
+    titles = enclosing(nodes.filter(F.col("tag").isin("h1", "h2", "h3")).select(key, "node", "text"), nodes, [card | _row()], key).groupBy(key, "outer").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", clean_text("text").alias("t")))), lambda x: x["t"]).alias("titles"))
+    boxed = enclosing(a.select(key, "node"), nodes, [_row(), card], key).select(key, "node", F.col("outer").alias("box"))
     a = a.join(box, [key, "node"], "left").join(boxed, [key, "node"], "left").join(titles.withColumnRenamed("outer", "box"), [key, "box"], "left")
     headed, rows = F.coalesce("headed", F.lit(False)), F.coalesce(F.size("cells"), F.lit(0)) > 0
     status = F.split(F.get("cells", F.lit(6)), " - ", 2)
@@ -257,7 +261,7 @@ def nested_results(nodes: DataFrame, page: Column, key: str = "page_id") -> Data
 
 def positional_rows(nodes: DataFrame, page: Column, marker: str, key: str = "page_id") -> DataFrame:
     """Rows around links to summary pages: reference, valid date, address, proposal by position."""
-    a = enclosing(anchors(nodes, key).filter(F.contains(_low("href"), F.lit(marker))), nodes, [_ROW], key).filter("outer is not null and title != ''")
+    a = enclosing(anchors(nodes, key).filter(F.contains(_low("href"), F.lit(marker))), nodes, [_row()], key).filter("outer is not null and title != ''")
     a = _cells(a, nodes, key, ("td", "th"))
     out = a.select(key, "node", F.col("title").alias("reference"), urls.join_root(page, F.col("href")).alias("url"), dates.parse_council_date(_cell(1)).alias("date_validated"), _cell(2).alias("address"), _cell(3).alias("description"))
     return _first(out.withColumn("_k", F.lower("reference")), key, "_k").drop("node", "_k").withColumn("postcode", extract_postcode("address"))
@@ -271,7 +275,7 @@ def form_rows(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame
     field = F.concat(F.url_encode("name"), F.lit("="), F.url_encode("value"))
     query = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("type").isin("submit", "button", "image", "reset"), F.struct("_i", field.alias("f"))))), lambda x: x["f"]), "&")
     f = j.groupBy(key, "node", "action").agg(clean_text(F.min_by(F.when(F.col("name") == "vUPRN", F.col("value")), F.when(F.col("name") == "vUPRN", F.col("_i")))).alias("reference"), query.alias("query")).filter("reference is not null")
-    f = _cells(enclosing(f, nodes, [_ROW], key), nodes, key, ("td", "th"))
+    f = _cells(enclosing(f, nodes, [_row()], key), nodes, key, ("td", "th"))
     return f.select(key, "reference", F.concat(urls.join_root(page, F.col("action")), F.lit("?"), "query").alias("url"), _cell(0).alias("address"), F.lit(False).alias("detail_complete"))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +165,15 @@ def test_lead_search(spark):
     assert tuple(h) == ("d", "t", "Standard", 5, 2, "40.00%", "", "U", "Completed", 0)
 
 
+def test_the_entry_needs_no_session():
+    """Names and SQL can be read before Spark runs."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent, timeout=120)
+
+
 def test_every_query_has_stable_columns(spark):
     import __spark_entry__ as e
 
