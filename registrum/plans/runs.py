@@ -65,17 +65,17 @@ def reported(config: RunConfig, stage: str, o: Observation) -> dict:
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
-    """Jobs started within carry the tag, so another thread can end them by cancel()."""
-    spark.addTag(tag)
+    """Jobs that this thread starts within carry the tag, so another thread can end them by cancel()."""
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
+def cancel(spark: SparkSession, tag: str) -> None:
     """Ends the running jobs of a tag; what sinks have committed stays."""
-    return spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def write_cache(rows: DataFrame, path: str) -> DataFrame:

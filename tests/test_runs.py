@@ -52,7 +52,7 @@ def test_tagged_jobs_can_be_cancelled(spark):
 
     t = threading.Thread(target=work)
     t.start()
-    deadline = time.time() + 25
+    deadline = time.time() + 20
     while t.is_alive() and time.time() < deadline:
         time.sleep(1)
         runs.cancel(spark, "search")
