@@ -9,8 +9,9 @@ at once, and each step is a placement (length, first rank, first bin, bins, piec
 Every piece then finds its place from its rank among pieces of its length. Ranks are counted in salted buckets, so a length
 that a third of the documents share is not one task's work.
 
-Defined cases: null text counts as empty and is one sequence piece of id 1; repeated rows are packed as often as they occur;
-extra columns are ignored; an empty table gives an empty result.
+Defined cases: null text counts as empty and is one piece of id 1; repeated rows are packed as often as they occur, and rows
+without a doc_id or with that of another text for their own text; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from registrum.llm.tokens import PieceEncoder, tokenizer_path
 
 CAP = 4096
 END_ID = 1
-#: Buckets that the pieces of one length are ranked in.
+#: Buckets that the pieces of one length are ranked in, at least; as many as the session's shuffles have partitions if more.
 SALT = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -163,10 +164,11 @@ class Plan:
 
 def ranked(pieces: DataFrame) -> DataFrame:
     """Adds rank: the place of a piece among those of its length, from 0 and gapless."""
-    p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).cast("int"))
+    salt = max(SALT, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    p = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salt)).cast("int"))
     n = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = n.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     return p.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1).drop("salt", "own", "before")
 
 

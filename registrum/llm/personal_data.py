@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from registrum.llm.common import doc_texts, documents, staged
+from registrum.llm.common import discard, doc_texts, documents, staged
 
 _LOCAL = r"A-Za-z0-9._%+-"
 #: Kinds in order. Each finds the matches of the base pattern that can pass its check.
@@ -180,6 +180,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     tokens = staged(edges(found), "pii-tokens")
     # written, so that the join reads two plain tables and can split the rows of a text that a third of them repeat
     more = staged(bootstrap(tokens).groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(CONTEXT)), "pii-context")
+    discard(tokens)
     none = F.array().cast("array<struct<start: int, end: int>>")
     return found.select("doc_id", "blob", *BASE).join(more, "blob", "left").select("doc_id", *BASE, F.coalesce(CONTEXT, none).alias(CONTEXT))
 

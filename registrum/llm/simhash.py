@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import doc_texts, documents, staged
+from registrum.llm.common import discard, doc_texts, documents, staged
 
 #: Differing bits of a link, and words of a shingle.
 MOST, WORDS = 3, 3
@@ -158,7 +158,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
     last = None
     for _ in range(most):
-        e = staged(star(star(e, True), False), "stars")
+        e, old = staged(star(star(e, True), False), "stars"), e
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -176,6 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     named = staged(fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named-fingerprints")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = staged(named.join(least, "component").select("fp", "component_id"), "components")
+    discard(fps)
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -140,7 +140,11 @@ class PieceEncoder:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every row. Null text counts as empty (0 tokens); repeated rows stay repeated."""
+    """doc_id, n_bytes, n_tokens, over_limit of every row.
+
+    Null text counts as empty (0 tokens); repeated rows stay repeated; a row is counted for its own text, whatever its doc_id;
+    extra columns are ignored; an empty table gives an empty result.
+    """
 
     def run(it: Iterator) -> Iterator:
         coder = PieceEncoder(path)

@@ -13,6 +13,7 @@ def odd_texts() -> list[tuple[int, str | None]]:
     rows += [(100, None), (101, ""), (102, " \n\t"), (103, "a"), (104, "word"), (105, "\x00\x1c é x")]
     rows += [(110, rows[3][1]), (111, rows[3][1]), (3, rows[3][1]), (4, "the same id, another text")]  # copies, a repeated row, a repeated id
     rows += [(120, text(4000)), (121, "z" * 30_000), (122, "ab " * 9000), (123, "line one here\n" * 60)]
+    rows += [(None, text(90)), (None, rows[3][1]), (None, None), (5, text(80) + " other"), (None, text(70))]  # no id, and unlike texts under one
     return rows
 
 

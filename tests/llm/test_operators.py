@@ -83,15 +83,25 @@ def brute_components(fps, most=3):
 
 
 def test_simhash(docs, none):
-    fps = {i: brute_fingerprint(t) for i, t in ROWS}
     by_row = [(i, brute_fingerprint(t)) for i, t in ROWS]
     root = brute_components({f for _, f in by_row})
-    least = {}
+    ids = collections.defaultdict(list)
     for i, f in by_row:
-        least[root[f]] = min(i, least.get(root[f], i))
-    expect = sorted(((i, f - (1 << 64) if f >> 63 else f, least[root[f]]) for i, f in by_row), key=repr)
+        ids[root[f]] += [i] * (i is not None)
+    expect = sorted(((i, f - (1 << 64) if f >> 63 else f, min(ids[root[f]], default=None)) for i, f in by_row), key=repr)
     assert got(simhash.near_duplicates(docs), "doc_id", "fp", "component_id") == expect
-    assert simhash.near_duplicates(none).count() == 0 and fps[101] == 0
+    assert simhash.near_duplicates(none).count() == 0 and dict(by_row)[101] == 0
+
+
+def test_simhash_links_texts_not_ids(spark):
+    """Unlike texts under one id, or none, are linked for themselves; a component without any id has none."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    a, b, c = (" ".join(word() for _ in range(400)) for _ in range(3))
+    near = lambda t: next(x for k in range(400) if (x := " ".join([*t.split()[:k], "edit", *t.split()[k + 1 :]])) and 0 < (brute_fingerprint(x) ^ brute_fingerprint(t)).bit_count() <= 3)
+    rows = [(7, a), (7, b), (9, near(b)), (3, near(a)), (None, near(a)), (None, c), (None, near(c))]
+    out = simhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in out), key=repr) == sorted([(7, 3), (7, 7), (9, 7), (3, 3), (None, 3), (None, None), (None, None)], key=repr)
 
 
 @pytest.mark.parametrize("block", [4, 2048])
@@ -161,7 +171,7 @@ def test_packing_round_trip(docs, none):
     for i, x in ROWS:
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4")
         pieces += [(i, k // 512, k, len(p := ids[k : k + 512]), zlib.crc32(p.tobytes())) for k in range(0, len(ids), 512)]
-    assert sorted(tuple(r)[:5] for r in rows) == sorted(pieces)
+    assert sorted((tuple(r)[:5] for r in rows), key=repr) == sorted(pieces, key=repr)
     bins = collections.defaultdict(list)
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -218,7 +228,7 @@ def test_licenses(docs, none, spark):
     for i, t in ROWS:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         expect.append((i, len(w), sorted((k, label) for p, label in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split())))
-    assert sorted((r["doc_id"], r["n_words"], sorted((m["start"], m["label"]) for m in r["matches"] if m["base"])) for r in rows) == sorted(expect)
+    assert sorted(((r["doc_id"], r["n_words"], sorted((m["start"], m["label"]) for m in r["matches"] if m["base"])) for r in rows), key=repr) == sorted(expect, key=repr)
     assert licenses.license_matches(none).count() == 0
 
 
