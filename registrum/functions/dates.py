@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from registrum.functions import fixed
 from registrum.functions.text import blank_to_null, clean_text, col, let
 
 _DAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)(?:day|sday|nesday|rsday|urday)? (?=\d{1,2} [a-z])"
@@ -54,18 +55,17 @@ def first_date(c: Column | str) -> Column:
 
 def labelled_date(c: Column, label: str) -> Column:
     """The ISO date that follows a label in a listing's line."""
-    day = r"((?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+\d{1,2}\s+\w+\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{4})"
-    return parse_council_date(blank_to_null(F.regexp_extract(c, rf"(?i)\b{label}\s*:\s*{day}", 1)))
+    return parse_council_date(blank_to_null(F.regexp_extract(c, rf"(?i)\b{label}\s*:\s*({fixed.SHOWN_DATE})", 1)))
 
 
 def weekday_date(c: Column) -> Column:
     """The first numeric date of a text, or one with its weekday."""
-    return blank_to_null(F.regexp_extract(c, r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{4}|(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+\d{1,2}\s+\w+\s+\d{4})\b", 0))
+    return blank_to_null(F.regexp_extract(c, rf"\b{fixed.SHOWN_DATE}\b", 0))
 
 
 def form_date(d: Column, page_text: Column) -> Column:
     """A date as a search form wants it: the page's text says if with hyphens."""
-    return F.when(page_text.rlike(r"(?i)format\s+DD-MM-YYYY"), F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+    return F.when(page_text.rlike(fixed.HYPHEN_FORMAT), F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
 
 
 def effective_date(received: Column | str, validated: Column | str) -> Column:

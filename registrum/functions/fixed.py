@@ -255,3 +255,44 @@ REFERENCES = {
 POSTCODE = r"(?i)\b([A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2})\b"
 #: Day-first formats after the weekday is cut off, in order; two-digit years turn at 69.
 DATE_FORMATS = ["d/M/yyyy", "d/M/yy", "d-M-yyyy", "d-M-yy", "yyyy-M-d", "d-MMMM-yyyy", "d-MMM-yyyy", "d MMMM yyyy", "d MMM yyyy"]
+
+# --- fixed values: patterns of page texts, scripts and addresses -------------------------------------------------------
+#: A date as listings and document tables show it, numeric or with its weekday.
+SHOWN_DATE = r"(?:\d{1,2}[/-]\d{1,2}[/-]\d{4}|(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+\d{1,2}\s+\w+\s+\d{4})"
+REFERENCE_LABEL = r"\b(?:Ref(?:erence)?\.?\s*(?:No\.?)?|Application\s+(?:No\.?|Number|Reference))\s*:\s*"
+ROW_LABELS = r"(?i)\b(Application|Reference|Validated|Received|Status)\b:?"
+NUMBER_PREFIX = r"(?i)^Application(?:\s+(?:No\.?|Number))?\s*[:.]?\s*"
+HYPHEN_FORMAT = r"(?i)format\s+DD-MM-YYYY"
+RESULT_CAP = r"(?i)\bfirst\s+(\d+)\s+results?\s+shown,\s+there\s+are\s+(\d+)\s+in\s+total\b"
+RESULT_TOTAL = r"(?i)\bRecords\s+\d+\s+to\s+\d+\s+of\s+(\d+)\b"
+REPORTED_COUNT = r"(?i)\bPlanning\s*\((\d+)\)"
+ROW_DATE = r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
+CARD_DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
+TABLE_NUMBER = r"(?i)Application number\s*:\s*(\S+)"
+TABLE_DATE = r"(?i)Registered\s*:\s*(\d{1,2}/\d{1,2}/\d{4})"
+AFTER_AT = r"(?is)^.*?\s+at\s+(.*)$"
+DETAIL_PATH = "(?i)/(?:planning/)?(?:display|application|details?)/([A-Z0-9][A-Z0-9/.-]{3,})/?$"
+DISPLAY_PATH = "(?i)/Planning/Display/(.+?)/?$"
+RECORD_PATH = "(?i)/s/(?:papplication|planning-application|detail)/([^/?#]+)"
+PREFIX_PATH = "(?i)^(.+?)/s/"
+BOOT_SCRIPT = "/s/sfsites/l/([^/]+)/(?:inline|bootstrap)\\.js"
+#: Settings in scripts: patterns in order.
+SCRIPT_SETTINGS = {
+    "api_url": [r"Civica\.APIUrl\s*=\s*[\"']([^\"']+)[\"']"],
+    "ref_type": [r'"PlanningApplicationRefType"\s*:\s*"([^"]+)"', r"RefType\s*:\s*[\"']([^\"']+)[\"']"],
+    "viewer": [r"Civica\.KeyObjectViewerUrl\s*=\s*[\"']([^\"']+)[\"']"],
+    "form_uri": [r'"publish-uri"\s*:\s*"([^"]+)"', r"form_uri=([^\"'&]+)"],
+    "document_list": [r'"url"\s*:\s*"([^"]*getDocumentList[^"]*)"'],
+    "context": [r"\bvar\s+ctx\s*=\s*['\"]([^'\"]+)['\"]"],
+}
+#: Texts after a label that are no value of it.
+NOT_VALUES = ["select_your_property", "find_your_nearest"]
+VIEWER_PATH = "/my-requests/keyobject-viewer/"
+IDOX_ROOT = "/online-applications/"
+HOSTED_REGISTERS = "planning.agileapplications.co.uk"
+COMMON_LABELS = ["", "www", "planning"]
+DATED_SEARCH, DATED_FIELD = "copeland.gov.uk/planning/application-search", "field_plan_app_date_received_value"
+VALID_SEARCH = "status=2&dateType=valid"
+STORE_QUERY = [("currentPageIndex", "0"), ("IsDatePublishSortedDescending", "false"), ("pageSize", "1000")]
+#: Pages or records that a family's search reads at most.
+CAPS = [("aggregator", 100), ("idox", 100), ("tascomi", 250), ("colchester", 250), ("northgate", 500), ("agile", 50), ("kensington", 100_000)]

@@ -64,7 +64,7 @@ def reference(c: Column | str, dialect: str = "generic") -> Column:
 
 def idox_reference(anchor: Column, row: Column) -> Column:
     """The reference after a label of the row's text, else in the link, else in the row, else the link's text."""
-    labelled = F.regexp_extract(row, r"(?i)\b(?:Ref(?:erence)?\.?\s*(?:No\.?)?|Application\s+(?:No\.?|Number|Reference))\s*:\s*(" + fixed.REFERENCES["idox"].removeprefix("(?i)") + ")", 1)
+    labelled = F.regexp_extract(row, "(?i)" + fixed.REFERENCE_LABEL + "(" + fixed.REFERENCES["idox"].removeprefix("(?i)") + ")", 1)
     return F.coalesce(F.nullif(labelled, F.lit("")), reference(anchor, "idox"), reference(row, "idox"), blank_to_null(anchor))
 
 
@@ -76,7 +76,7 @@ def northgate_reference(anchor: Column, row: Column, uid: Column) -> Column:
 def without_reference(text: Column | str, ref: Column | str, labels: bool = False) -> Column:
     """Text less a reference; labels: also less the words that label a row's cells."""
     bare = F.replace(col(text), F.coalesce(col(ref), F.lit("\0")), F.lit(" "))
-    return clean_text(F.regexp_replace(bare, r"(?i)\b(Application|Reference|Validated|Received|Status)\b:?", " ") if labels else bare)
+    return clean_text(F.regexp_replace(bare, fixed.ROW_LABELS, " ") if labels else bare)
 
 
 def without_title(text: Column, title: Column) -> Column:
@@ -90,7 +90,7 @@ def without_label(value: Column, label: str) -> Column:
 
 
 def application_number(value: Column) -> Column:
-    return blank_to_null(F.regexp_replace(clean_text(value), r"(?i)^Application(?:\s+(?:No\.?|Number))?\s*[:.]?\s*", ""))
+    return blank_to_null(F.regexp_replace(clean_text(value), fixed.NUMBER_PREFIX, ""))
 
 
 def trim_text(c: Column | str, n: int) -> Column:

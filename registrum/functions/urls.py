@@ -158,7 +158,7 @@ def weekly_list_url(base: Column, root: Column, start: Column, end: Column) -> C
 
 def viewer_url(page: Column, viewer: Column, key: Column, kind: Column, text: Column) -> Column:
     """The key-object viewer's address; without a key text it says Subject."""
-    return with_query(join_root(page, F.coalesce(viewer, F.lit("/my-requests/keyobject-viewer/"))), ("KeyNo", F.coalesce(key, F.lit(""))), ("RefType", kind), ("KeyText", F.coalesce(text, F.lit("Subject"))))
+    return with_query(join_root(page, F.coalesce(viewer, F.lit(fixed.VIEWER_PATH))), ("KeyNo", F.coalesce(key, F.lit(""))), ("RefType", kind), ("KeyText", F.coalesce(text, F.lit("Subject"))))
 
 
 def aura_endpoint(listing: Column, *pairs: tuple[str, str]) -> Column:
@@ -167,31 +167,31 @@ def aura_endpoint(listing: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def path_prefix(url: Column) -> Column:
-    return F.regexp_extract(path(url), "(?i)^(.+?)/s/", 1)
+    return F.regexp_extract(path(url), fixed.PREFIX_PATH, 1)
 
 
 def record_id(url: Column) -> Column:
-    raw = F.regexp_extract(path(url), "(?i)/s/(?:papplication|planning-application|detail)/([^/?#]+)", 1)
+    raw = F.regexp_extract(path(url), fixed.RECORD_PATH, 1)
     return blank_to_null(F.coalesce(F.try_url_decode(raw), raw))
 
 
 def display_uid(url: Column) -> Column:
     """The application number in a display address."""
-    raw = F.regexp_extract(path(url), "(?i)/Planning/Display/(.+?)/?$", 1)
+    raw = F.regexp_extract(path(url), fixed.DISPLAY_PATH, 1)
     return blank_to_null(F.btrim(F.coalesce(F.try_url_decode(raw), raw), F.lit("/")))
 
 
 def client_slug(url: Column) -> Column:
     """The client of a hosted register: first path part there, else the host's first label unless it is a common one."""
-    hosted = F.endswith(host(url), F.lit("planning.agileapplications.co.uk"))
+    hosted = F.endswith(host(url), F.lit(fixed.HOSTED_REGISTERS))
     first, label = blank_to_null(F.regexp_extract(path(url), "^/+([^/]+)", 1)), F.split_part(host(url), F.lit("."), F.lit(1))
-    return F.when(hosted & first.isNotNull(), first).when(~label.isin("", "www", "planning"), label)
+    return F.when(hosted & first.isNotNull(), first).when(~label.isin(*fixed.COMMON_LABELS), label)
 
 
 def application_root(listing: Column) -> Column:
     """The folder of a register's search page; others have the usual one."""
     root = F.regexp_extract(path(listing), r"^(.*?)search\.do", 1)
-    return F.when(F.startswith(root, F.lit("/")) & F.endswith(root, F.lit("/")), root).otherwise("/online-applications/")
+    return F.when(F.startswith(root, F.lit("/")) & F.endswith(root, F.lit("/")), root).otherwise(fixed.IDOX_ROOT)
 
 
 def replaced_action(url: Column, action: str) -> Column:
@@ -201,15 +201,15 @@ def replaced_action(url: Column, action: str) -> Column:
 def dated_search(url: Column, start: Column, end: Column) -> Column:
     """The search address of list pages that take a window in their query."""
     day = lambda d: F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.lit(""))
-    name = lambda side: F.url_encode(F.lit(f"field_plan_app_date_received_value[{side}][date]"))
+    name = lambda side: F.url_encode(F.lit(f"{fixed.DATED_FIELD}[{side}][date]"))
     query = F.concat(name("min"), F.lit("="), day(start), F.lit("&"), name("max"), F.lit("="), day(end))
-    takes = F.contains(url, F.lit("copeland.gov.uk/planning/application-search")) & (start.isNotNull() | end.isNotNull())
+    takes = F.contains(url, F.lit(fixed.DATED_SEARCH)) & (start.isNotNull() | end.isNotNull())
     return F.when(takes, F.concat(url, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), query)).otherwise(url)
 
 
 def valid_search(url: Column, start: Column, end: Column) -> Column:
     """The search address under a site's root that takes a window of valid dates."""
-    parts = [F.lit("status=2&dateType=valid"), F.concat(F.lit("startDate="), F.date_format(start, "yyyy-MM-dd")), F.concat(F.lit("endDate="), F.date_format(end, "yyyy-MM-dd"))]
+    parts = [F.lit(fixed.VALID_SEARCH), F.concat(F.lit("startDate="), F.date_format(start, "yyyy-MM-dd")), F.concat(F.lit("endDate="), F.date_format(end, "yyyy-MM-dd"))]
     return F.concat(base_url(url), F.lit("/search?"), F.concat_ws("&", *parts))
 
 

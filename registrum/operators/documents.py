@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registrum.functions import fixed
 from registrum.functions.dates import date_part, parse_council_date, weekday_date
 from registrum.functions.files import known
 from registrum.functions.text import blank_to_null, clean_text, contains_any, sanitize_path_part, without_title
@@ -118,7 +119,7 @@ def store_endpoint(nodes: DataFrame, page: Column, key: str = "page_id") -> Data
     ask = nodes.filter("attrs['id'] = 'divDisplayDocumentsUrl'").groupBy(key).agg(F.min_by(F.col("attrs")["data-url"], "node").alias("u"))
     number = nodes.filter("attrs['id'] = 'spnApplicationId'").groupBy(key).agg(clean_text(F.min_by("text", "node")).alias("n"))
     j = ask.join(number, key, "left").withColumn("n", F.coalesce(query_param(page, "applicationNumber"), "n")).filter("n is not null")
-    pairs = [("applicationNumber", F.col("n")), ("currentPageIndex", F.lit("0")), ("IsDatePublishSortedDescending", F.lit("false")), ("pageSize", F.lit("1000"))]
+    pairs = [("applicationNumber", F.col("n")), *((k, F.lit(v)) for k, v in fixed.STORE_QUERY)]
     return j.select(key, with_query(join_root(page, F.col("u")), *pairs).alias("endpoint"))
 
 

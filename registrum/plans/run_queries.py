@@ -242,7 +242,7 @@ def capped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages within their family's cap; a family without one is read whole."""
     name = F.element_at(F.array(F.lit("idox"), F.lit("agile"), F.lit("other")), (F.col("o_custkey") % 3 + 1).cast("int"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 3).alias("kind"), name.alias("family"), (F.col("o_orderkey") % 200).alias("turn"))
-    return runs.capped(o, spark.createDataFrame(runs.CAPS, "family string, cap long"), "family", "turn").select("o_orderkey", "kind")
+    return runs.capped(o, spark.createDataFrame(fixed.CAPS, "family string, cap long"), "family", "turn").select("o_orderkey", "kind")
 
 
 @query("select o_orderkey, case when o_orderkey % 6 = 0 then o_custkey when o_orderkey % 6 between 2 and 5 then o_custkey + 20 end next_offset, case when o_orderkey % 6 = 0 then 10 when o_orderkey % 6 between 2 and 5 then 20 end next_size from orders where o_orderkey % 6 != 5 union all select o_orderkey, null, null from orders where o_orderkey % 6 = 5")

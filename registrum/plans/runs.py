@@ -92,7 +92,3 @@ def cached_areas(cache: DataFrame, fetched: DataFrame) -> DataFrame:
 def capped(rows: DataFrame, caps: DataFrame, by: str, turn: str) -> DataFrame:
     """Pages within their family's cap. caps: by, cap; a family without one has none."""
     return rows.join(F.broadcast(caps), by, "left").filter(F.col("cap").isNull() | (F.col(turn) <= F.col("cap"))).drop("cap")  # caps: a row a family
-
-
-#: Pages or records that a family's search reads at most.
-CAPS = [("aggregator", 100), ("idox", 100), ("tascomi", 250), ("colchester", 250), ("northgate", 500), ("agile", 50), ("kensington", 100_000)]

@@ -200,10 +200,6 @@ def is_transient(name: Column) -> Column:
     return F.startswith(F.trim(name), F.lit("_")) | (label == "csrf") | contains_any(label, fixed.TRANSIENT)
 
 
-#: Texts after a label that are no value of it.
-NOT_VALUES = ["select_your_property", "find_your_nearest"]
-
-
 def sequential_pairs(texts: DataFrame, dialect: str = "generic", key: str = "page_id") -> DataFrame:
     """The same columns from running text: a known label, and of the five pieces after it the first that is no label itself."""
     known = [x for c, labels in fixed.LABELS[dialect].items() for x in labels]
@@ -212,7 +208,7 @@ def sequential_pairs(texts: DataFrame, dialect: str = "generic", key: str = "pag
     w = Window.partitionBy(key).orderBy("place")
     later = F.array(*[F.struct(F.lead("text", i).over(w).alias("text"), F.lead("label", i).over(w).alias("label")) for i in range(1, 6)])
     t = t.withColumn("later", later).filter(F.col("label").isin(*[x for x in known if x not in officer]) & (F.length("text") < 80))
-    usable = lambda x: x["text"].isNotNull() & ~x["label"].isin(*known, *NOT_VALUES) & ~F.startswith(x["label"], F.lit("view_"))
+    usable = lambda x: x["text"].isNotNull() & ~x["label"].isin(*known, *fixed.NOT_VALUES) & ~F.startswith(x["label"], F.lit("view_"))
     value = F.get(F.filter("later", usable), F.lit(0))["text"]
     return t.select(key, F.lit(5).alias("source"), F.col("place").alias("ordinal"), "label", value.alias("value")).filter("value is not null")
 
@@ -292,16 +288,9 @@ def refresh_target(nodes_: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def script_strings(html: Column) -> Column:
-    """Settings that pages keep in scripts: the register's API, its record type and viewer, form and document lists."""
-    got = lambda *patterns: F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
-    return F.struct(
-        got(r"Civica\.APIUrl\s*=\s*[\"']([^\"']+)[\"']").alias("api_url"),
-        got(r'"PlanningApplicationRefType"\s*:\s*"([^"]+)"', r"RefType\s*:\s*[\"']([^\"']+)[\"']").alias("ref_type"),
-        got(r"Civica\.KeyObjectViewerUrl\s*=\s*[\"']([^\"']+)[\"']").alias("viewer"),
-        F.replace(got(r'"publish-uri"\s*:\s*"([^"]+)"', r"form_uri=([^\"'&]+)"), F.lit("\\/"), F.lit("/")).alias("form_uri"),
-        got(r'"url"\s*:\s*"([^"]*getDocumentList[^"]*)"').alias("document_list"),
-        got(r"\bvar\s+ctx\s*=\s*['\"]([^'\"]+)['\"]").alias("context"),
-    )
+    """Settings that pages keep in scripts (fixed.SCRIPT_SETTINGS): the register's API, its record type and viewer, form and document lists."""
+    got = lambda patterns: F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
+    return F.struct(*[F.replace(got(p), F.lit("\\/"), F.lit("/")).alias(name) for name, p in fixed.SCRIPT_SETTINGS.items()])
 
 
 def js_string(text: Column, name: str) -> Column:
@@ -310,7 +299,7 @@ def js_string(text: Column, name: str) -> Column:
 
 def boot_context(html: Column) -> Column:
     """mode, fwuid, app of the first usable boot script address of a content site."""
-    raw = F.regexp_extract_all(html, F.lit("/s/sfsites/l/([^/]+)/(?:inline|bootstrap)\\.js"), F.lit(1))
+    raw = F.regexp_extract_all(html, F.lit(fixed.BOOT_SCRIPT), F.lit(1))
     boots = F.filter(F.transform(raw, lambda x: F.try_url_decode(x)), lambda x: F.get_json_object(x, "$.fwuid").isNotNull() & F.startswith(F.get_json_object(x, "$.loaded"), F.lit("{")))
     first = F.get(boots, F.lit(0))
     at = lambda p: F.get_json_object(first, f"$.{p}")

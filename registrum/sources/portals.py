@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registrum.functions import dates, urls
+from registrum.functions import dates, fixed, urls
 from registrum.functions.text import application_number, blank_to_null, clean_text, contains_any, extract_postcode, idox_reference, northgate_reference, reference, trim_text, without_label, without_reference
 from registrum.operators.relations import first_wins
 from registrum.sources.html import anchors, enclosing, first_within, has_class, header_tables, label_columns, labelled_pairs, row_cells, sequential_pairs
@@ -83,7 +83,7 @@ def generic_detail(nodes: DataFrame, texts: DataFrame, page: Column, fallback: C
     d = label_columns(pairs, "generic", key)
     ref = F.coalesce("reference", fallback)
     read = {c: dates.parse_council_date(c) for c in ("date_received", "date_validated")}
-    return d.withColumns({"uid": F.coalesce(urls.uid_from_url(page, ["id", "ref"], "(?i)/(?:planning/)?(?:display|application|details?)/([A-Z0-9][A-Z0-9/.-]{3,})/?$"), ref), "reference": ref, "postcode": extract_postcode("address"), **read})
+    return d.withColumns({"uid": F.coalesce(urls.uid_from_url(page, ["id", "ref"], fixed.DETAIL_PATH), ref), "reference": ref, "postcode": extract_postcode("address"), **read})
 
 
 def form_fields(fields: DataFrame, listing_text: Column, fallback: Column, url: Column, key: str = "page_id") -> DataFrame:
@@ -120,7 +120,7 @@ def atrium_listing(nodes: DataFrame, page: Column, key: str = "page_id") -> Data
     candidates = F.transform(F.concat(F.array("title"), F.coalesce("titles", F.array().cast("array<string>"))), application_number)
     shown = F.get(F.filter(candidates, lambda c: (F.lower(c) == _low("uid")) | (F.contains(c, F.lit("/")) & (F.length(c) < 80))), F.lit(0))
     by = lambda m, i: F.when(headed, F.col(m)).when(rows, _cell(i))
-    day = F.when(headed, F.date_format(dates.council_date("m_date"), "yyyy-MM-dd")).when(rows, dates.parse_council_date(_cell(4))).otherwise(dates.parse_council_date(blank_to_null(F.regexp_extract("card_text", r"\b(\d{1,2}/\d{1,2}/\d{4})\b", 1))))
+    day = F.when(headed, F.date_format(dates.council_date("m_date"), "yyyy-MM-dd")).when(rows, dates.parse_council_date(_cell(4))).otherwise(dates.parse_council_date(blank_to_null(F.regexp_extract("card_text", fixed.CARD_DATE, 1))))
     a = a.select(
         key, "node", F.lower("uid").alias("_u"), "uid", F.coalesce(shown, "uid").alias("reference"), urls.join_root(page, F.col("href")).alias("url"),
         F.coalesce(by("m_address", 2), F.when(~rows & (_low("title") != _low("uid")), blank_to_null("title"))).alias("address"), by("m_description", 3).alias("description"),
@@ -134,7 +134,7 @@ def ocella_listing(nodes: DataFrame, page: Column, params: list[str], key: str =
     a = _rows(nodes, key, F.lit(True)).withColumn("uid", F.coalesce(*[urls.query_param("href", p) for p in params])).filter("uid is not null")
     a = _cells(a.filter(urls.is_application_link(F.col("href"), F.col("title"), F.lit(None).cast("string"), F.col("uid"), "ocella")), nodes, key)
     n = F.coalesce(F.size("cells"), F.lit(0))
-    dated = _cell(3).rlike(r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}")
+    dated = _cell(3).rlike(fixed.ROW_DATE)
     ref = F.coalesce(F.when(urls.query_param("href", "reference").isNotNull(), F.col("uid")), reference("title", "ocella"), reference("row_text", "ocella"), blank_to_null("title"), "uid")
     a = a.withColumn("reference", ref)
     own = F.when(n >= 3, _cell(1))
@@ -148,8 +148,7 @@ def ocella_listing(nodes: DataFrame, page: Column, params: list[str], key: str =
 
 def ocella_cap(text: Column) -> Column:
     """shown and total of a capped result page; other pages: null."""
-    p = r"(?i)\bfirst\s+(\d+)\s+results?\s+shown,\s+there\s+are\s+(\d+)\s+in\s+total\b"
-    at = lambda k: F.regexp_extract(clean_text(text), p, k).try_cast("int")
+    at = lambda k: F.regexp_extract(clean_text(text), fixed.RESULT_CAP, k).try_cast("int")
     return F.when(at(1).isNotNull(), F.struct(at(1).alias("shown"), at(2).alias("total")))
 
 
@@ -159,7 +158,7 @@ def northgate_listing(pages: DataFrame, nodes: DataFrame, params: list[str], sta
     a = a.filter(urls.is_application_link(F.col("href"), F.col("title"), F.lit(None).cast("string"), F.col("uid"), "northgate"))
     a = a.withColumn("reference", northgate_reference(F.col("title"), F.col("row_text"), F.col("uid")))
     body = nodes.filter("parent = -1").groupBy(key).agg(clean_text(F.array_join(F.collect_list("text"), " ")).alias("body"))
-    total = body.select(key, F.regexp_extract("body", r"(?i)\bRecords\s+\d+\s+to\s+\d+\s+of\s+(\d+)\b", 1).try_cast("int").alias("total"))
+    total = body.select(key, F.regexp_extract("body", fixed.RESULT_TOTAL, 1).try_cast("int").alias("total"))
     j = a.join(pages.select(key, "register", "turn", F.col("url").alias("page_url")), key)
     most = total.join(pages.select(key, "register", "turn"), key).filter("total is not null").groupBy("register").agg(F.min_by("total", "turn").alias("total"))
     one = first_wins(j.select("register", "turn", "node", "uid", "reference", urls.join_root(F.col("page_url"), F.col("href")).alias("url"), without_reference("row_text", "reference").alias("address")), ["register", "uid"], ["turn", "node"])
@@ -253,9 +252,9 @@ def nested_results(nodes: DataFrame, page: Column, key: str = "page_id") -> Data
     j = t.join(wide, (F.col(key) == F.col("_k")) & (F.col("_n") > F.col("outer")) & (F.col("_n") <= F.col("outer_last")), "left")
     d = j.groupBy(key, "outer", "outer_text", "href").agg(F.max_by("_t", F.struct(F.length("_t"), -F.col("_n"))).alias("description"))
     text = clean_text("outer_text")
-    ref = F.coalesce(urls.query_param("href", "casefullref"), blank_to_null(F.regexp_extract(text, r"(?i)Application number\s*:\s*(\S+)", 1)))
-    place = F.when(F.contains(_low("description"), F.lit(" at ")), F.rtrim(F.regexp_extract("description", r"(?is)^.*?\s+at\s+(.*)$", 1), F.lit(".")))
-    out = d.select(key, F.col("outer").alias("node"), ref.alias("reference"), urls.join_root(page, F.col("href")).alias("url"), "description", place.alias("address"), dates.parse_council_date(blank_to_null(F.regexp_extract(text, r"(?i)Registered\s*:\s*(\d{1,2}/\d{1,2}/\d{4})", 1))).alias("date_received"))
+    ref = F.coalesce(urls.query_param("href", "casefullref"), blank_to_null(F.regexp_extract(text, fixed.TABLE_NUMBER, 1)))
+    place = F.when(F.contains(_low("description"), F.lit(" at ")), F.rtrim(F.regexp_extract("description", fixed.AFTER_AT, 1), F.lit(".")))
+    out = d.select(key, F.col("outer").alias("node"), ref.alias("reference"), urls.join_root(page, F.col("href")).alias("url"), "description", place.alias("address"), dates.parse_council_date(blank_to_null(F.regexp_extract(text, fixed.TABLE_DATE, 1))).alias("date_received"))
     return _first(out.filter("reference is not null").withColumn("_k", F.lower("reference")), key, "_k").drop("node", "_k")
 
 
@@ -293,7 +292,7 @@ def weekly_records(cells: DataFrame, root: Column, report: Column) -> DataFrame:
 
 def page_cap(text: Column, current: Column) -> Column:
     """Whether a result page holds fewer than it reports, and how many to ask for: 250 at least, 1,000 at most."""
-    counts = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bPlanning\s*\((\d+)\)"), F.lit(1)), lambda x: x.cast("int"))
+    counts = F.transform(F.regexp_extract_all(text, F.lit(fixed.REPORTED_COUNT), F.lit(1)), lambda x: x.cast("int"))
     most = F.coalesce(F.array_max(counts), F.lit(0))
     return F.struct((most > current).alias("more"), F.least(F.greatest(most, F.lit(250)), F.lit(1000)).alias("ask"))
 
