@@ -63,6 +63,12 @@ def weekday_date(c: Column) -> Column:
     return blank_to_null(F.regexp_extract(c, rf"\b{fixed.SHOWN_DATE}\b", 0))
 
 
+def year_keywords(start: Column, end: Column, prefix: str = "P/") -> Column:
+    """Reference prefixes of a window's years, for registers that are searched by them; an open end is the other one."""
+    a, b = F.year(F.coalesce(start, end)), F.year(F.coalesce(end, start))
+    return F.transform(F.sequence(a, b), lambda y: F.concat(F.lit(prefix), F.lpad((y % 100).cast("string"), 2, "0")))
+
+
 def form_date(d: Column, page_text: Column) -> Column:
     """A date as a search form wants it: the page's text says if with hyphens."""
     return F.when(page_text.rlike(fixed.HYPHEN_FORMAT), F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))

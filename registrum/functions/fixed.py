@@ -285,6 +285,7 @@ SCRIPT_SETTINGS = {
     "document_list": [r'"url"\s*:\s*"([^"]*getDocumentList[^"]*)"'],
     "context": [r"\bvar\s+ctx\s*=\s*['\"]([^'\"]+)['\"]"],
 }
+LEGACY_PAGES = ["wphappsearchres.displayresultsurl", "startindex="]
 #: Texts after a label that are no value of it.
 NOT_VALUES = ["select_your_property", "find_your_nearest"]
 VIEWER_PATH = "/my-requests/keyobject-viewer/"

@@ -264,3 +264,16 @@ def two_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = o.filter((F.col("o_orderkey") % 5 == 0) & dates.in_window(F.col("d"), "1997-03-01", "1997-04-30")).select(ref("b/").alias("reference"), "o_orderkey")
     key = [p.withColumn("k", F.lower("reference")) for p in (a, b)]
     return R.union_distinct(key, ["k"], ["o_orderkey"]).select("reference", "o_orderkey")
+
+
+@query("select s_nationkey page_id, k::int turn, 'https://r.example/a/wphappsearchres.displayResultsURL?StartIndex=' || (k * 10) url from (select distinct s_nationkey from supplier), (values (1), (2)) v(k)")
+def legacy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = "'<a href=\"wphappsearchres.displayResultsURL?StartIndex=10\">2</a><a href=\"wphappsearchres.displayResultsURL?StartIndex=20\">3</a><a href=\"wphappsearchres.displayResultsURL?StartIndex=10\">back</a><a href=\"other?startindex=5\">x</a>'"
+    return P.legacy_pages(html.nodes(listing(spark, sf_dir, "''", links)), page())
+
+
+@query("select s_nationkey page_id, 'G/' || s_suppkey uid, case when s_suppkey % 2 = 0 then 'G/' || s_suppkey else '05/06/2026' end reference, case when s_suppkey % 2 = 0 then 'Ref ' || s_suppkey else '26/00' || lpad(s_suppkey::varchar, 3, '0') end || ' ' || s_suppkey || ' Elm Row' address from supplier")
+def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with slashes, plain link texts and dates in links."""
+    row = "'<li><a href=\"wphappdetail.displayUrl?theApnID=G/' || s_suppkey || '\">' || if(s_suppkey % 2 = 0, 'Ref ' || s_suppkey, '05/06/2026') || '</a> ' || if(s_suppkey % 2 = 0, '', '26/00' || lpad(s_suppkey::STRING, 3, '0')) || ' ' || s_suppkey || ' Elm Row</li>'"
+    return P.legacy_listing(html.nodes(listing(spark, sf_dir, row, "'<ul>'", "'</ul>'")), page(), ["theApnID"]).select("page_id", "uid", "reference", "address")

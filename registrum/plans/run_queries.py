@@ -284,3 +284,32 @@ def platform_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
     p = text.platform(F.lit("Town"), F.when(F.col("o_orderkey") % 2 == 0, "Idox").otherwise(""), F.lit("unknown"))
     return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("authority"), F.date_format(F.get(dates.week_starts(d, d), F.lit(0)), "yyyy-MM-dd").alias("week_key"))
+
+
+@query("select o_orderkey, ['P/' || lpad((y % 100)::varchar, 2, '0'), 'P/' || lpad(((y + 1) % 100)::varchar, 2, '0')] keywords from (select o_orderkey, year(o_orderdate) y from orders)")
+def keyword_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of two years as the reference prefixes to search for."""
+    d = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.year_keywords(d, F.add_months(d, 12)).alias("keywords"))
+
+
+@query("select s_nationkey, s_suppkey::varchar uid, s_name address, 'statmap' family from supplier")
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads written as files, one a nation, and read again by the reader of stored payloads."""
+    r = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("address"), F.col("s_nationkey").alias("nation"))
+    p = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.collect_list(r).alias("records"))).alias("value"))
+    path = scratch_path(spark, "payloads")
+    p.write.partitionBy("s_nationkey").text(path)
+    s = payloads.stored_payloads(spark, f"{path}/*", "statmap")
+    a = payloads.applications(s.withColumn("s_nationkey", F.get_json_object("body", "$.records[0].nation").cast("int")), "statmap")
+    return a.select("s_nationkey", "uid", "address", "family")
+
+
+@query("select distinct o_custkey::varchar \"Reference\", 'found' council from orders")
+def streamed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads appended by a stream as they are found, each reference once; the stream ends with its input."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("Reference"), F.lit("found").alias("council"), F.lit("2026-06-05 10:00:00").cast("timestamp").alias("at"))
+    given, out, state = (scratch_path(spark, n) for n in ("found", "appended", "state"))
+    o.write.parquet(given)
+    sinks.stream_applications(spark.readStream.schema(o.schema).parquet(given), out, state, "at").awaitTermination(600)
+    return spark.read.schema(o.schema).parquet(out).select("Reference", "council")

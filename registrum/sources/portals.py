@@ -174,6 +174,22 @@ def northgate_pages(nodes: DataFrame, page: Column, key: str = "page_id") -> Dat
     return first_wins(a.select(key, "node", "url", "canonical"), [key, "canonical"], ["node"]).drop("node")
 
 
+def legacy_pages(nodes: DataFrame, page: Column, most: int = 50, key: str = "page_id") -> DataFrame:
+    """Addresses of further result pages by start index, each once, in the page's order, most at most."""
+    a = anchors(nodes, key)
+    for marker in fixed.LEGACY_PAGES:
+        a = a.filter(F.contains(_low("href"), F.lit(marker)))
+    a = first_wins(a.select(key, "node", urls.join_root(page, F.col("href")).alias("url")).filter(F.col("url") != page), [key, "url"], ["node"])
+    return a.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("node"))).filter(F.col("turn") <= most).select(key, "turn", "url")
+
+
+def legacy_listing(nodes: DataFrame, page: Column, params: list[str], key: str = "page_id") -> DataFrame:
+    """Links by key: the reference is the link's, else the row's, else the key; a date in a link counts as one, as it has the form."""
+    a = _rows(nodes, key, F.lit(True)).withColumn("uid", F.coalesce(*[urls.query_param("href", p) for p in params])).filter("uid is not null")
+    a = a.withColumn("reference", F.coalesce(reference("title", "generic"), reference("row_text", "generic"), "uid"))
+    return _first(a.select(key, "node", "uid", "reference", urls.join_root(page, F.col("href")).alias("url"), without_reference("row_text", "reference").alias("address")), key).drop("node")
+
+
 def paged_tables(pages: DataFrame, nodes: DataFrame, start: str | None, key: str = "page_id") -> DataFrame:
     """Header-table rows of numbered result pages, up to the first page that brings no new reference (equal but for case).
 
