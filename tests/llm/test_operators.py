@@ -575,6 +575,25 @@ def test_pipeline(spark):
     assert ids("best_fit_packing") == [*range(30), 103]
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the operators' own pass through every stage, with their values."""
+    from registrum.llm import pipeline
+
+    rng = random.Random(8)
+    clean = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{rng.randrange(90)}" for _ in range(80))
+    d = frame(spark, [(i, clean() + " token=abcdef99") for i in range(6)] + [(None, clean()), (7, "short"), (8, None), (None, "")])
+    for name, stage in pipeline.STAGES[:-1]:
+        d = stage(spark, d, "/root/testdata/sf0.001").cache()
+        r = d.collect()
+        assert len(r) == 7 and d.columns == frame(spark, ROWS[:1]).columns and {x["blob"] for x in r} == {x["spans"] for x in r} == {"?"}, name
+    assert sum("[SECRET]" in x["text"] for x in r) == 6 and all(x["n_chars"] == len(x["text"]) for x in r)
+    last = pipeline.STAGES[-1][1](spark, d, "/root/testdata/sf0.001")
+    assert last.count() == 7
+    empty = d.limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+
+
 def test_pipeline_decides_for_rows(spark):
     """Rows without a doc_id, and two texts under one, are kept or dropped for their own text."""
     from registrum.llm import pipeline
