@@ -140,10 +140,12 @@ def reference_excluded(c: Column | str) -> Column:
 
 def proposal_excluded(c: Column | str) -> Column:
     """Proposals that are no new works: prefixes, condition numbers, whole retrospective applications, phrases."""
-    p = F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), SPACE + "+", " "))
-    prefixed = reduce(lambda a, b: a | b, [F.startswith(p, F.lit(x)) for x in fixed.EXCLUDED_PREFIXES])
-    whole = F.contains(p, F.lit("retrospective")) & ~p.rlike(r"\bpart\b")
-    return prefixed | p.rlike(r"\bcondition\s+\d+\b") | whole | contains_any(p, fixed.EXCLUDED_PHRASES)
+    def excluded(p: Column) -> Column:
+        prefixed = reduce(lambda a, b: a | b, [F.startswith(p, F.lit(x)) for x in fixed.EXCLUDED_PREFIXES])
+        whole = F.contains(p, F.lit("retrospective")) & ~p.rlike(r"\bpart\b")
+        return prefixed | p.rlike(r"\bcondition\s+\d+\b") | whole | contains_any(p, fixed.EXCLUDED_PHRASES)
+
+    return let(F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), SPACE + "+", " ")), excluded)
 
 
 def first_marker(text: Column, rules: list[tuple[str, list[str]]], default: Column | None = None) -> Column:

@@ -35,7 +35,7 @@ _IDOX = """'<li class="x searchresult"><a href="applicationDetails.do?activeTab=
 def idox_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result items; a repeated link of an item comes once. Addresses that only the row's text has are left to idox_rows."""
     p = listing(spark, sf_dir, _IDOX + " || '<a href=\"applicationDetails.do?keyVal=K' || s_suppkey || '\">again</a>'")
-    r = P.idox_listing(html.nodes(p), page())
+    r = P.idox_listing(html.stored_nodes(p), page())
     own = F.col("address").rlike("High Road")
     return r.withColumns({"address": F.when(own, F.col("address")), "detail_complete": F.col("detail_complete") & own})
 
@@ -44,7 +44,7 @@ def idox_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idox_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table rows: the address is the row's text less reference and labels."""
     p = listing(spark, sf_dir, "'<tr><td>Application: <a href=\"/o/applicationDetails.do?keyVal=K' || s_suppkey || '\">26/' || lpad(s_suppkey::STRING, 5, '0') || '/FUL</a></td><td>' || s_suppkey || ' High Road</td><td>Status:</td></tr>'", "'<table>'", "'</table>'")
-    return P.idox_listing(html.nodes(p), page()).select("page_id", "uid", "reference", "address")
+    return P.idox_listing(html.stored_nodes(p), page()).select("page_id", "uid", "reference", "address")
 
 
 @query("select c_custkey, case when c_custkey % 3 = 0 then 'T' || c_custkey when c_custkey % 3 = 1 then 'U' || c_custkey else 'R/' || c_custkey end uid, 'R/' || c_custkey reference, c_name || ' Road' address, 'second' description, '2026-06-05' date_received, case when c_custkey % 2 = 0 then 'EF2 3GH' end postcode, c_custkey % 2 = 1 single from customer")
@@ -53,7 +53,7 @@ def idox_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = """'<title>' || case when c_custkey % 2 = 1 then 'Application  Summary' else 'Documents' end || '</title><table><tr><th>Reference</th><td>R/' || c_custkey || '</td></tr><tr><th>Proposal</th><td>first</td></tr><tr><th>Proposal</th><td>second</td></tr><tr><th>Address</th><td>' || c_name || ' Road</td></tr><tr><th>Received</th><td>Fri 05 Jun 2026</td></tr></table>'
     || case when c_custkey % 3 = 0 then '<input type="hidden" name="caseTechnicalKey" value="T' || c_custkey || '">' else '' end || '<input type="hidden" name="csrfToken" value="x"><input type="hidden" name="_postcode" value="no">' || case when c_custkey % 2 = 0 then '<input type="hidden" name="postcode" value="ef23gh">' else '' end"""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(body).alias("html"))
-    n = html.nodes(c)
+    n = html.stored_nodes(c)
     url = F.expr("if(page_id % 3 = 1, 'https://r.example/applicationDetails.do?keyVal=U' || page_id, 'https://r.example/x')")
     single = html.single_summary(n).withColumn("single", F.lit(True))
     d = P.idox_detail(n, url).join(single, "page_id", "left")
@@ -94,7 +94,7 @@ _ATRIUM_ROW = "'<tr><td><a href=\"/Planning/Display/A%2F' || s_suppkey || '\">A/
 def atrium_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by position; status and decision share a cell."""
     p = listing(spark, sf_dir, _ATRIUM_ROW, "'<table>'", "'</table>'")
-    return P.atrium_listing(html.nodes(p), page()).drop("postcode")
+    return P.atrium_listing(html.stored_nodes(p), page()).drop("postcode")
 
 
 _ATRIUM_HEADED = "'<tr><td><span class=\"mobile-heading\">Application No:</span><a href=\"/planning/display?applicationNumber=B' || s_suppkey || '\">Application No. B/' || s_suppkey || '</a></td><td><div class=\"mobile-heading\">Location</div> ' || s_name || ' </td><td><p class=\"mobile-heading\">Proposal</p>Gates</td><td><i class=\"mobile-heading\">Status</i>Open</td><td><i class=\"mobile-heading\">Date</i>05/06/2026</td></tr>'"
@@ -104,14 +104,14 @@ _ATRIUM_HEADED = "'<tr><td><span class=\"mobile-heading\">Application No:</span>
 def atrium_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that name themselves for small screens."""
     p = listing(spark, sf_dir, _ATRIUM_HEADED, "'<table>'", "'</table>'")
-    return P.atrium_listing(html.nodes(p), page()).select("page_id", "uid", "reference", "address", "description", "status", "date_validated")
+    return P.atrium_listing(html.stored_nodes(p), page()).select("page_id", "uid", "reference", "address", "description", "status", "date_validated")
 
 
 @query("select s_nationkey page_id, 'C' || s_suppkey uid, 'C/' || s_suppkey reference, s_name || ' Lane' address, '2026-06-05' date_validated from supplier")
 def atrium_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards: the heading has the reference, the link the address, the text a date."""
     card = "'<div class=\"results__item\"><h2>Application Number: C/' || s_suppkey || '</h2><a href=\"/Planning/Display/C' || s_suppkey || '\">' || s_name || ' Lane</a><p>Valid 05/06/2026, then 07/06/2026</p></div>'"
-    return P.atrium_listing(html.nodes(listing(spark, sf_dir, card)), page()).select("page_id", "uid", "reference", "address", "date_validated")
+    return P.atrium_listing(html.stored_nodes(listing(spark, sf_dir, card)), page()).select("page_id", "uid", "reference", "address", "date_validated")
 
 
 @query("select s_nationkey page_id, case when count(*) > 3 then true else false end more, greatest(least(count(*), 1000), 250)::int ask from supplier group by s_nationkey")
@@ -147,7 +147,7 @@ def northgate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = "'<tr><td><a href=\"StdDetails.aspx?PARAM0=P' || s_suppkey || '\">' || case when s_suppkey % 2 = 0 then 'N/26/' else '26/' end || lpad(s_suppkey::STRING, 4, '0') || '</a></td><td>' || s_suppkey || ' Mill Lane</td></tr>'"
     p = listing(spark, sf_dir, row, "'<p>Records 1 to 3 of 3</p><a href=\"/Home.aspx?PARAM0=\">home</a><table>'", "'</table>'")
     pages = p.select((F.col("page_id") * 2).alias("page_id"), F.col("page_id").alias("register"), F.lit(1).alias("turn"), "html").unionByName(p.select((F.col("page_id") * 2 + 1).alias("page_id"), F.col("page_id").alias("register"), F.lit(2).alias("turn"), "html"))
-    r = P.northgate_listing(pages.withColumn("url", F.lit("https://n.example/x/StdResults.aspx")), html.nodes(pages), ["PARAM0"], "2026-06-01")
+    r = P.northgate_listing(pages.withColumn("url", F.lit("https://n.example/x/StdResults.aspx")), html.stored_nodes(pages), ["PARAM0"], "2026-06-01")
     return r.select("register", "uid", "reference", "address", "date_received", "date_inferred")
 
 
@@ -171,7 +171,7 @@ def tascomi_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(cut(F.slice("r", 1, 2), "c"), cut(F.slice("r", F.lit(3), F.greatest(F.size("r") - 2, F.lit(0))), "c"), cut(F.slice("r", 1, 2), "d"), cut(F.col("r"), "e"))
     p = g.select("register", F.posexplode(parts).alias("i", "rows")).filter("rows != ''")
     p = p.select((F.col("register") * 10 + F.col("i")).alias("page_id"), "register", (F.col("i") + 1).alias("turn"), F.concat(F.lit("<table><tr><th>Reference</th><th>Site address</th><th>Received date</th></tr>"), "rows", F.lit("</table>")).alias("html"))
-    r = P.paged_tables(p, html.nodes(p), "2026-06-01")
+    r = P.paged_tables(p, html.stored_nodes(p), "2026-06-01")
     return r.select("register", "turn", F.upper("reference").alias("reference"), "address", "date_received", "date_inferred")
 
 
@@ -204,7 +204,7 @@ def table_or_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = "case when s_nationkey % 2 = 0 then '<tr><td>26/' || lpad(s_suppkey::STRING, 5, '0') || '</td><td>' || s_name || '</td></tr>' else '<tr><td><a href=\"/application/' || s_suppkey || '\">26/' || lpad(s_suppkey::STRING, 5, '0') || '</a></td></tr>' end"
     p = listing(spark, sf_dir, item, "'<table><tr><th>Reference</th><th>Address</th></tr>'", "'</table>'")
     p = p.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit("<th>Reference</th><th>Address</th>"), F.lit("<th>Found</th>"))))
-    return P.table_or_list(html.nodes(p), page()).select("page_id", "reference", "source")
+    return P.table_or_list(html.stored_nodes(p), page()).select("page_id", "reference", "source")
 
 
 @query("select s_nationkey page_id, 'N' || s_suppkey reference, 'Erection of gates at ' || s_name || ' at the corner.' description, s_name || ' at the corner' address, '2026-06-05' date_received from supplier")
@@ -212,7 +212,7 @@ def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables within a table: the longest text that tells no decision."""
     t = "'<tr><td><table><tr><td><a href=\"PlAppDets.asp?casefullref=N' || s_suppkey || '\">N' || s_suppkey || '</a></td><td>Registered : 05/06/2026</td></tr><tr><td colspan=\"2\">Erection of gates at ' || s_name || ' at the corner.</td></tr><tr><td colspan=\"2\">short</td></tr><tr><td colspan=\"2\">A decision has been made and this is a far longer text than any other of this table, as all can see</td></tr><tr><td colspan=\"2\"><form action=\"x\">A form with a very long text that is not to be taken for the description of the works</form></td></tr></table></td></tr>'"
     p = listing(spark, sf_dir, t, "'<table>'", "'</table>'")
-    return P.nested_results(html.nodes(p), page()).select("page_id", "reference", "description", "address", "date_received")
+    return P.nested_results(html.stored_nodes(p), page()).select("page_id", "reference", "description", "address", "date_received")
 
 
 @query("select s_nationkey page_id, 'TW/' || s_suppkey reference, '2026-06-05' date_validated, s_name address, 'Gates' description from supplier")
@@ -226,7 +226,7 @@ def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose detail address is a form's."""
     row = "'<tr><td>' || s_name || '</td><td><form action=\"show.asp\"><input type=\"hidden\" name=\"vUPRN\" value=\"U' || s_suppkey || '\"><input name=\"k\" value=\"a b\"><input type=\"submit\" name=\"go\" value=\"Go\"></form></td></tr>'"
-    return P.form_rows(html.nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), page())
+    return P.form_rows(html.stored_nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), page())
 
 
 @query("select s_nationkey, 'W' || s_suppkey reference, s_name address, case when s_suppkey % 2 = 0 then '2026-06-05' else '2026-06-01' end date_received, '2026-06-06' date_validated, s_suppkey % 2 = 1 date_inferred, 'https://w.example/Planning/Display?applicationNumber=W' || s_suppkey url from supplier")

@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType
 from registrum.functions import fixed
 from registrum.functions.text import SPACE, clean_text, contains_any, normalize_label
 from registrum.functions.urls import is_document_href, is_document_link_text, is_tab_href, join_root
+from registrum.sources.scratch import scratch_path
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that end an open one of the same group.
@@ -96,6 +97,13 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {NODES}")
 
 
+def stored_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """nodes() written once to the shared folder: extraction that joins the table with itself would parse the pages each time."""
+    n, path = nodes(pages, key, html), scratch_path(pages.sparkSession, "nodes")
+    n.write.parquet(path)
+    return pages.sparkSession.read.schema(n.schema).parquet(path)
+
+
 def text_sequence(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, place, text of the pieces of text between a page's tags, in order; blank ones are left out."""
     kind = pages.schema[key].dataType.simpleString()
@@ -213,12 +221,19 @@ def sequential_pairs(texts: DataFrame, dialect: str = "generic", key: str = "pag
     return t.select(key, F.lit(5).alias("source"), F.col("place").alias("ordinal"), "label", value.alias("value")).filter("value is not null")
 
 
-def label_columns(pairs: DataFrame, dialect: str, key: str = "page_id") -> DataFrame:
-    """One row a page: the columns of a dialect's label map; the first or the last value wins, as the dialect has it."""
-    pick = F.min_by if fixed.LABEL_ORDER[dialect] == "first" else F.max_by
+def label_columns(pairs: DataFrame, dialect: str, key: str = "page_id", more: dict[str, list[str]] | None = None) -> DataFrame:
+    """One row a page: the columns of a dialect's label map; the first or the last value wins, as the dialect has it.
+
+    more: further columns and their labels, of which the first value wins.
+    """
     order = F.struct("source", "ordinal")
-    held = lambda names: F.col("label").isin(*names)
-    return pairs.groupBy(key).agg(*[pick(F.when(held(n), F.col("value")), F.when(held(n), order)).alias(c) for c, n in fixed.LABELS[dialect].items()])
+
+    def column(pick, name: str, labels: list[str]) -> Column:
+        held = F.col("label").isin(*labels)
+        return pick(F.when(held, F.col("value")), F.when(held, order)).alias(name)
+
+    own = F.min_by if fixed.LABEL_ORDER[dialect] == "first" else F.max_by
+    return pairs.groupBy(key).agg(*[column(own, c, n) for c, n in fixed.LABELS[dialect].items()], *[column(F.min_by, c, n) for c, n in (more or {}).items()])
 
 
 def header_tables(nodes_: DataFrame, dialect: str = "forms", key: str = "page_id") -> DataFrame:

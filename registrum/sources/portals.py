@@ -68,10 +68,7 @@ def idox_listing(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFr
 
 def idox_detail(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
     """One row a page: the labelled columns; the uid is the address's, else the page's technical key, else the reference."""
-    p = labelled_pairs(nodes, key)
-    held = lambda *names: F.min_by(F.when(F.col("label").isin(*names), F.col("value")), F.when(F.col("label").isin(*names), F.struct("source", "ordinal")))
-    more = p.groupBy(key).agg(held("casetechnicalkey", "case_technical_key").alias("technical"), held("postcode").alias("own_postcode"))
-    d = label_columns(p, "idox", key).join(more, key)
+    d = label_columns(labelled_pairs(nodes, key), "idox", key, {"technical": ["casetechnicalkey", "case_technical_key"], "own_postcode": ["postcode"]})
     uid = F.coalesce(urls.query_param(page, "keyVal"), "technical", "reference")
     read = {c: dates.parse_council_date(c) for c in ("date_received", "date_validated")}
     return d.withColumns({"uid": uid, "postcode": extract_postcode("address", "own_postcode"), **read}).drop("technical", "own_postcode")
