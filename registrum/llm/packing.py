@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from registrum.llm.common import batches, doc_texts, documents, staged
+from registrum.llm.common import batches, doc_texts, documents, release, staged
 from registrum.llm.tokens import PieceEncoder, tokenizer_path
 
 CAP = 4096
@@ -48,6 +48,8 @@ def token_pieces(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END_I
                 rows += [(d, k, k * cap, len(x) // 4, zlib.crc32(x)) for k in range(-(-len(b) // (4 * cap))) if (x := b[4 * cap * k : 4 * cap * (k + 1)])]
             cols = list(zip(*rows))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del coder
+        release()
 
     return doc_texts(docs).mapInArrow(run, PIECES)
 

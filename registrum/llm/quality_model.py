@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import batches, doc_texts, documents
+from registrum.llm.common import batches, doc_texts, documents, release
 
 #: Labelled rows that training takes at most, about.
 SAMPLE = 4000
@@ -145,6 +145,8 @@ def scored(docs: DataFrame, unit: np.ndarray, bias: float) -> DataFrame:
                 z = ((math.fsum([a[0] for a in x]) + math.fsum(pairs) + same * table[SAME]) / (sum([a[1] for a in x]) + len(pairs) + same) if x else 0.0) + bias
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
+        known.clear()
+        release()
 
     return doc_texts(docs).mapInArrow(run, "doc_id long, score double")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import discard, doc_texts, documents, staged
+from registrum.llm.common import discard, doc_texts, documents, release, staged
 
 #: Differing bits of a link, and words of a shingle.
 MOST, WORDS = 3, 3
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
         for b in it:
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(fp), *[b.column(c) for c in more]], names=["doc_id", "fp", *more])
+        release()
 
     d = doc_texts(docs, *more)
     return d.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{c} {d.schema[c].dataType.simpleString()}" for c in more]]))

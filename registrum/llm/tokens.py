@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from registrum.llm.common import batches, doc_texts, documents
+from registrum.llm.common import batches, doc_texts, documents, release
 
 #: Characters of a chunk and of the overlap at first; texts over CHUNK are encoded in chunks.
 CHUNK, OVERLAP = 16_384, 512
@@ -151,6 +151,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         for ids, texts in batches(it, "doc_id", "text"):
             n = [len(coder.encode(t)) // 4 for t in texts]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        del coder
+        release()
 
     return doc_texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
