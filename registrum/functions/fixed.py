@@ -294,6 +294,7 @@ HOSTED_REGISTERS = "planning.agileapplications.co.uk"
 COMMON_LABELS = ["", "www", "planning"]
 DATED_SEARCH, DATED_FIELD = "copeland.gov.uk/planning/application-search", "field_plan_app_date_received_value"
 VALID_SEARCH = "status=2&dateType=valid"
+BRIDGE, FIELD_DOWNLOAD = "runthirdpartysearch", "fa=downloaddocument"
 STORE_QUERY = [("currentPageIndex", "0"), ("IsDatePublishSortedDescending", "false"), ("pageSize", "1000")]
 #: Pages or records that a family's search reads at most.
 CAPS = [("aggregator", 100), ("idox", 100), ("tascomi", 250), ("colchester", 250), ("northgate", 500), ("agile", 50), ("kensington", 100_000)]

@@ -13,7 +13,7 @@ from registrum.functions.files import known
 from registrum.functions.text import blank_to_null, clean_text, contains_any, sanitize_path_part, without_title
 from registrum.functions.urls import base_url, downloadable_document, is_dialect_document, is_document_href, is_document_link_text, join_root, path, query_param, set_param, title_from_url, with_query
 from registrum.operators.relations import first_wins
-from registrum.sources.html import anchors, enclosing, row_cells
+from registrum.sources.html import anchors, enclosing, first_within, row_cells
 from registrum.sources.listings import document_cells
 
 # --- fixed values: markers of listing and application addresses --------------------------------------------------------
@@ -157,6 +157,24 @@ def lookup_documents(pages: DataFrame, json: str, page: Column, key: str = "page
     return shaped(r, key, title=F.col("_t"), url=join_root(page, F.col("_u")), source_url=page)
 
 
+def field_documents(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
+    """Download links of rows whose fields are named by a data attribute."""
+    a = anchors(nodes, key).filter(F.contains(F.lower("href"), F.lit(fixed.FIELD_DOWNLOAD))).withColumn("ordinal", F.col("node"))
+    a = enclosing(a, nodes, [F.col("tag") == "tr"], key)
+    for name, field in (("_d", "description"), ("_k", "document_type")):
+        a = first_within(a, nodes, F.col("attrs")["data-field-name"] == field, name, key)
+    return shaped(a, key, title=F.coalesce("_d", "_k", title_from_url("href")), url=join_root(page, F.col("href")), document_type=F.col("_k"), source_url=page)
+
+
+def expand_bridges(docs: DataFrame, nested: DataFrame, key: str = "page_id") -> DataFrame:
+    """Documents that are bridges to another list give way to that list's, in its order, if it has any. nested: bridge_url and the columns of shaped()."""
+    d = docs.withColumn("_bridge", F.contains(F.lower("url"), F.lit(fixed.BRIDGE)))
+    n = nested.select(key, F.col("bridge_url").alias("url"), F.struct(*DOCUMENT).alias("_n"), F.col("ordinal").alias("_o"))
+    j = d.join(n, [key, "url"], "left")
+    row = F.when(F.col("_bridge") & F.col("_n").isNotNull(), F.col("_n")).otherwise(F.struct(*DOCUMENT))
+    return j.select(key, F.struct("ordinal", F.coalesce("_o", F.lit(0)).alias("nested")).alias("ordinal"), row.alias("r")).select(key, "ordinal", "r.*").distinct()
+
+
 def all_documents(parts: list[DataFrame], key: str = "page_id") -> DataFrame:
     """Lists in their order, one row for each address of an application; only downloadable ones."""
     u = reduce(lambda a, b: a.unionByName(b), [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])

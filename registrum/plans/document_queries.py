@@ -323,3 +323,24 @@ def unescaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All HTML entities, named and numbered."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" &amp; Sons &lt;Ltd&gt; &eacute;")).alias("t"))
     return c.select("c_custkey", html.unescape("t").alias("whole"), text.clean_text(F.split_part("t", F.lit(" &lt;"), F.lit(1))).alias("title"))
+
+
+@query("select s_nationkey page_id, case when s_suppkey % 2 = 0 then 'Front ' || s_suppkey else 'Drawing' end title, 'https://r.example/a/b/index.html?fa=downloadDocument&id=' || s_suppkey url, 'Drawing' document_type from supplier")
+def field_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose fields carry their names."""
+    from registrum.plans.portal_queries import listing
+
+    row = "'<tr><td data-field-name=\"description\">' || if(s_suppkey % 2 = 0, 'Front ' || s_suppkey, '') || '</td><td><b data-field-name=\"document_type\"> Drawing </b></td><td><a href=\"index.html?fa=downloadDocument&amp;id=' || s_suppkey || '\">get</a></td></tr>'"
+    return D.field_documents(html.stored_nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), base()).select("page_id", "title", "url", "document_type")
+
+
+@query("select s_nationkey, 'https://r.example/plan/' || s_suppkey url from supplier union all select s_nationkey, 'https://r.example/nested/' || s_suppkey || '/' || k from supplier, (values (1), (2)) v(k) where s_suppkey % 3 = 0 union all select s_nationkey, 'https://r.example/RunThirdPartySearch?x=' || s_suppkey from supplier where s_suppkey % 3 > 0")
+def bridged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bridges to other lists: those that lead to documents give way to them."""
+    s = table(spark, sf_dir, "supplier").withColumn("ordinal", F.col("s_suppkey"))
+    n = F.col("s_suppkey").cast("string")
+    bridge = F.concat(F.lit("https://r.example/RunThirdPartySearch?x="), n)
+    docs = D.shaped(s, "s_nationkey", title=F.lit("Plan"), url=F.concat(F.lit("https://r.example/plan/"), n)).unionByName(D.shaped(s, "s_nationkey", title=F.lit("More"), url=bridge))
+    more = s.filter("s_suppkey % 3 = 0").withColumns({"bridge_url": bridge, "k": F.explode(F.array(F.lit(1), F.lit(2)))}).withColumn("ordinal", F.col("k"))
+    nested = more.select("s_nationkey", "bridge_url", "ordinal", *[F.concat(F.lit("https://r.example/nested/"), n, F.lit("/"), F.col("k").cast("string")).alias(c) if c == "url" else F.lit("Nested").alias(c) for c in D.DOCUMENT])
+    return D.expand_bridges(docs, nested, "s_nationkey").select("s_nationkey", "url")
