@@ -30,7 +30,10 @@ from registrum.llm.common import batches, doc_texts, documents, release
 
 #: Labelled rows that training takes at most, about.
 SAMPLE = 4000
-BUCKETS, WIDTH = 1 << 16, 8
+BITS, WIDTH = 16, 8
+BUCKETS = 1 << BITS
+#: An odd number that spreads the names of a pair.
+PAIR = 0x9E3779B1
 LEAST, MOST = 3, 4
 EPOCHS, RATE = 4, 0.5
 CACHE = 300_000
@@ -44,12 +47,17 @@ def units(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in grams]
 
 
-def _bucket(text: str, begun: int = 0) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"), begun)
+def _name(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def pairs(names: np.ndarray) -> np.ndarray:
+    """Buckets of neighbouring words by their names (uint64)."""
+    return (((names[:-1] * np.uint64(PAIR) + names[1:]) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS)).astype(np.int64)
 
 
 #: Bucket of a pair of equal words in its back-reference form.
-SAME = _bucket("\t= =") % BUCKETS
+SAME = _name("\t= =") % BUCKETS
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +67,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     for w, c in Counter(words).items():
         for u in units(w):
             n[u] += c
-    for (a, b), c in Counter(zip(words, words[1:])).items():
-        n[_bucket(f"{a} {b}") % BUCKETS] += c
-        if a == b:
-            n[SAME] += c
+    n.update(pairs(np.fromiter(map(_name, words), np.uint64, len(words))).tolist())
+    if same := sum(map(eq, words, words[1:])):
+        n[SAME] += same
     if not n:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     k, v = np.fromiter(n.keys(), np.int32), np.fromiter(n.values(), np.float32)
@@ -127,22 +134,22 @@ def scored(docs: DataFrame, unit: np.ndarray, bias: float) -> DataFrame:
     def run(it: Iterator) -> Iterator:
         table, known = model.value.tolist(), {}
 
-        def look(word: str) -> tuple[float, int, int, bytes]:
+        def look(word: str) -> tuple[float, int, int]:
             u = units(word)
-            x = (sum([table[k] for k in u]), len(u), _bucket(f"{word} "), word.encode("utf-8", "surrogatepass"))
+            x = (sum([table[k] for k in u]), len(u), _name(word))
             if len(known) < CACHE:
                 known[word] = x
             return x
 
-        crc = zlib.crc32
         for ids, texts in batches(it, "doc_id", "text"):
             out = []
             for t in texts:
                 words = t.split()
-                x = [known.get(w) or look(w) for w in words]
-                same = sum(map(eq, words, words[1:]))
-                pairs = [table[crc(b[3], a[2]) % BUCKETS] for a, b in zip(x, x[1:])]
-                z = ((math.fsum([a[0] for a in x]) + math.fsum(pairs) + same * table[SAME]) / (sum([a[1] for a in x]) + len(pairs) + same) if x else 0.0) + bias
+                z = bias
+                if words:
+                    value, size, name = zip(*[known.get(w) or look(w) for w in words])
+                    two, same = pairs(np.array(name, np.uint64)), sum(map(eq, words, words[1:]))
+                    z += (math.fsum(value) + float(model.value[two].sum()) + same * table[SAME]) / (sum(size) + len(two) + same)
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
         known.clear()

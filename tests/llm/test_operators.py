@@ -480,7 +480,8 @@ def test_classifier_learns_and_scores_everything(spark):
     held = [(s[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert len(s) == docs.count() and sum((p >= 0.3) == bool(y) for p, y in held) / len(held) > 0.9
     odd = quality_model.scored(frame(spark, ROWS), unit, bias).collect()
-    assert len(odd) == len(ROWS) and all(0 <= r["score"] <= 1 for r in odd)
+    direct = [1 / (1 + np.exp(-(float(v.astype(np.float64) @ unit[k]) + bias))) for k, v in (quality_model.features(t or "") for _, t in ROWS)]
+    assert np.allclose(sorted(r["score"] for r in odd), sorted(direct), atol=1e-5)
     flat = quality_model.fit(docs, labels.limit(0))
     assert {r["score"] for r in quality_model.scored(frame(spark, ROWS[:3]), *flat).collect()} == {0.5}
 
