@@ -175,3 +175,21 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.filter(spans, lambda x: x["kind"] == k)
     n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     return findings(docs, ledger).select("doc_id", *n, F.sha2(digest(base), 256).alias("base_sha256"), digest(spans).alias("spans"))
+
+
+def _found_sql(k: int, r: Rule) -> str:
+    """The spans of a rule in text t as a list of structs: places come from the parts between matches."""
+    p = r.pattern.replace("'", "''")
+    start = "list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    spans = f"list_transform(range(1, len(m) + 1), lambda i: {{'start': ({start})::int, 'k': {k}, 'kind': '{r.kind}', 'end': ({start} + length(m[i]))::int, 'n': length(g[i])}})"
+    lists = f"select regexp_extract_all(t, '{p}') m, regexp_extract_all(t, '{p}', {r.group}) g, string_split_regex(t, '{p}') s"
+    return f"coalesce((select list_filter({spans}, lambda x: x.n >= {r.least}) from ({lists})), [])"
+
+
+_TEXT = "list_transform({}, lambda x: x.kind || ':' || x.start || ':' || x.end)"
+_BASE = "list_filter(f, lambda x: x.k < 3)"
+OP6_SQL = f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+f as (select doc_id, list_sort(flatten([{", ".join(_found_sql(k, r) for k, r in enumerate(RULES))}])) f from d)
+select doc_id, {", ".join(f"len(list_filter(f, lambda x: x.k = {k}))::bigint n_{kind}" for k, kind in enumerate(BASE))},
+  sha256(coalesce(array_to_string({_TEXT.format(_BASE)}, ','), '')) base_sha256, coalesce(array_to_string({_TEXT.format("f")}, ','), '') spans from f"""
