@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.llm import decontaminate, packing, quality_rules, secrets, simhash
-from registrum.llm.common import documents, row_key, staged
+from registrum.llm.common import discard, documents, row_key, staged
 from registrum.llm.tokens import tokenizer_path
 
 #: The column that names a row within a stage.
@@ -62,7 +62,11 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The stages in order, each written and read again; a stage's table goes when the next one's is written."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
