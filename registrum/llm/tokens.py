@@ -16,6 +16,7 @@ import array
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,7 @@ class PieceEncoder:
         self.margin = 1 + max([0, *(len(x.content) for x in self.t.get_added_tokens_decoder().values())])
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
 
     def _word(self, w: str) -> bytes:
         v = self.words.get(w)
@@ -80,11 +82,13 @@ class PieceEncoder:
                 self.words[w] = v
         return v
 
-    def _piece(self, p: str) -> bytes:
+    def _ids(self, p: str) -> bytes:
         if _PLAIN.fullmatch(p) and "<|" not in p:
-            v = b"".join(map(self._word, _LOWER_WORD.findall(p.lower()) if self.lower else _BYTE_WORD.findall(p)))
-        else:
-            v = self.direct(p)
+            return b"".join(map(self._word, _LOWER_WORD.findall(p.lower()) if self.lower else _BYTE_WORD.findall(p)))
+        return self.direct(p)
+
+    def _piece(self, p: str) -> bytes:
+        v = self._ids(p)
         if len(self.pieces) < self.limit:
             self.pieces[p] = v
         return v
@@ -92,17 +96,32 @@ class PieceEncoder:
     def direct(self, text: str) -> bytes:
         return array.array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, None if it goes to the library whole or in chunks."""
         if self.lower:
-            found = _VISIBLE.findall(text)
-        elif len(text) > self.chunk:
-            return array.array("I", self.encode_long(text)).tobytes()
-        elif _ODD_SPACE.search(text):
-            return self.direct(text)
-        else:
-            found = _PIECE.findall(text)
-        get = self.pieces.get
-        return b"".join([v if (v := get(p)) is not None else self._piece(p) for p in found])
+            return _VISIBLE.findall(text)
+        return None if len(text) > self.chunk or _ODD_SPACE.search(text) else _PIECE.findall(text)
+
+    def whole(self, text: str) -> bytes:
+        return array.array("I", self.encode_long(text)).tobytes() if len(text) > self.chunk else self.direct(text)
+
+    def encode(self, text: str) -> bytes:
+        found, get = self.cut(text), self.pieces.get
+        return self.whole(text) if found is None else b"".join([v if (v := get(p)) is not None else self._piece(p) for p in found])
+
+    def count(self, text: str) -> int:
+        """How many ids encode() gives; pieces are kept as counts."""
+        found, get, keep, n = self.cut(text), self.counts.get, self.counts, 0
+        if found is None:
+            return len(self.whole(text)) // 4
+        for p in found:
+            k = get(p)
+            if k is None:
+                k = len(self._ids(p)) // 4
+                if len(keep) < self.limit:
+                    keep[p] = k
+            n += k
+        return n
 
     def encode_long(self, text: str, chunk: int | None = None, overlap: int | None = None) -> list[int]:
         chunk, first = chunk or self.chunk, overlap or self.overlap
@@ -139,6 +158,12 @@ class PieceEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> PieceEncoder:
+    """One encoder for all tasks that a worker runs, so that later ones find the pieces of earlier ones."""
+    return PieceEncoder(path)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row.
 
@@ -147,11 +172,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """
 
     def run(it: Iterator) -> Iterator:
-        coder = PieceEncoder(path)
+        coder = counter(path)
         for ids, texts in batches(it, "doc_id", "text"):
-            n = [len(coder.encode(t)) // 4 for t in texts]
+            n = [coder.count(t) for t in texts]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-        del coder
         release()
 
     return doc_texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -148,6 +148,7 @@ def test_pieces_equal_the_library():
     for path, lower in ((BYTE, False), (WORD, True)):
         c = tokens.PieceEncoder(path, lower=lower, cache=50)
         assert all(c.encode(t) == c.direct(t) for t in strange(800) + [t or "" for _, t in ROWS])
+        assert all(c.count(t) == len(c.direct(t)) // 4 for t in strange(800) + [t or "" for _, t in ROWS])
 
 
 @pytest.mark.parametrize("chunk,overlap", [(40, 8), (100, 4), (17, 16), (1000, 64)])
