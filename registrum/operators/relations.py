@@ -18,6 +18,8 @@ FALLBACK_COLUMNS = ["address", "description", "status", "decision", "date_receiv
 OVERLAY_COLUMNS = ["reference", *FALLBACK_COLUMNS[:2], *FALLBACK_COLUMNS[2:6], "applicant_name", "agent_name", "case_officer", "ward", "parish", "postcode"]
 #: Areas are broadcast up to this many, which is counted first.
 BROADCAST_ROWS = 64
+#: Parts that the keys of one window are dealt into before the first ones are taken.
+SALT = 64
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -208,8 +210,9 @@ def gaining_windows(daily: DataFrame, start: str, end: str, cap: int, keys: str
     """s, e, n of a search that gives at most cap records of a window: a capped window is halved while that brings more records.
 
     daily: day, keys (the distinct record keys of the day); a record may come up on several days. n: what the window gives.
-    A window is given up to its cap in the order of keys, so what a split gains is known from the keys alone. Only windows
-    and counts are kept on the driver; a level of the recursion is one query.
+    A window is given up to its cap in the order of keys, so what a split gains is known from the keys alone; the first keys
+    of salted parts meet in one task, SALT * cap of a window at most. Only windows and counts are kept on the driver; a level
+    of the recursion is one query.
     """
     d = daily.select("day", F.explode(keys).alias("k"))
     todo, out = [(date.fromisoformat(start), date.fromisoformat(end))], []
@@ -218,7 +221,7 @@ def gaining_windows(daily: DataFrame, start: str, end: str, cap: int, keys: str
         asked = [*todo, *[x for w, m in halves.items() for x in ((w[0], m), (m + timedelta(days=1), w[1]))]]
         windows = d.sparkSession.createDataFrame([(i, s, e) for i, (s, e) in enumerate(asked)], "i int, s date, e date")
         given = d.join(F.broadcast(windows), F.col("day").between(F.col("s"), F.col("e"))).select("i", "k").distinct()  # a window a row
-        given = given.withColumn("_n", F.row_number().over(Window.partitionBy("i").orderBy("k"))).filter(F.col("_n") <= cap)
+        given = limit_per(limit_per(given.withColumn("_s", F.pmod(F.xxhash64("k"), F.lit(SALT))), ["i", "_s"], ["k"], cap).drop("_s"), ["i"], ["k"], cap)
         count = {r["i"]: r["n"] for r in given.groupBy("i").agg(F.count("*").alias("n")).collect()}
         both = {w: (asked.index((w[0], m)), asked.index((m + timedelta(days=1), w[1]))) for w, m in halves.items()}
         split = d.sparkSession.createDataFrame([(i, asked.index(w)) for w, pair in both.items() for i in pair], "i int, w int")

@@ -95,10 +95,10 @@ def key_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("s_nationkey", "key_number", F.col("fields")["refval"].alias("reference"), F.col("fields")["site address"].alias("address"))
 
 
-@query("""select s_nationkey, s_suppkey, coalesce(nullif(trim(case when s_suppkey % 2 = 0 then 'invalid json' else '' end), ''), 'error action') reason from supplier where s_suppkey % 3 < 2 and (s_suppkey % 2 = 0 or s_suppkey % 3 = 0)""")
+@query("select s_nationkey, s_suppkey, case when s_suppkey % 2 = 0 then 'invalid json' else 'error action' end reason from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0")
 def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies that are no JSON and actions that report an error; empty results are none."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 < 2").select("s_nationkey", "s_suppkey", F.expr("case when s_suppkey % 2 = 0 then '{\"a\": ' when s_suppkey % 3 = 0 then '{\"actions\":[{\"state\":\"ERROR\"}]}' else '{\"actions\":[{\"state\":\"SUCCESS\"}]}' end").alias("body"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.expr("case when s_suppkey % 2 = 0 then '{\"a\": ' when s_suppkey % 3 = 0 then '{\"actions\":[{\"state\":\"ERROR\"}]}' else '{\"actions\":[{\"state\":\"SUCCESS\"}]}' end").alias("body"))
     return payloads.json_errors(s, "body").select("s_nationkey", "s_suppkey", "reason")
 
 
@@ -220,13 +220,13 @@ def version_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.content_versions(bodies(spark, sf_dir, r), "body", F.lit("https://h.example/pr/s/detail/1"), "s_nationkey").select("s_nationkey", "title", "url", "file_size")
 
 
-@query("select s_nationkey, 'https://r.example/a/b/getfile?id=' || s_suppkey url, min(part)::int part from supplier, (values (0), (1), (3)) v(part) where part = 1 or (part = 0 and s_suppkey % 2 = 0) or (part = 3 and s_suppkey % 5 = 0) group by s_nationkey, s_suppkey")
+@query("select s_nationkey, 'https://r.example/a/b/getfile?id=' || s_suppkey url, min(part)::int part from supplier, (values (0), (1), (3)) v(part) where part = 1 or (part = 0 and s_acctbal > 0) or (part = 3 and s_nationkey > 10) group by s_nationkey, s_suppkey")
 def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of several sources in order: the first of an address counts, and only downloadable ones stay."""
     s = table(spark, sf_dir, "supplier")
     doc = lambda d, name: D.shaped(d.withColumn("ordinal", F.col("s_suppkey")), "s_nationkey", title=F.lit(name), url=F.concat(F.lit("https://r.example/a/b/getfile?id="), F.col("s_suppkey").cast("string")))
     old = D.shaped(s.withColumn("ordinal", F.col("s_suppkey")), "s_nationkey", title=F.lit("Existing plan"), url=F.concat(F.lit("https://r.example/old.pdf?"), F.col("s_suppkey").cast("string")))
-    parts = [doc(s.filter("s_suppkey % 2 = 0"), "first"), doc(s, "second"), old, doc(s.filter("s_suppkey % 5 = 0"), "last")]
+    parts = [doc(s.filter("s_acctbal > 0"), "first"), doc(s, "second"), old, doc(s.filter("s_nationkey > 10"), "last")]
     return D.all_documents(parts, "s_nationkey").select("s_nationkey", "url", "part")
 
 
@@ -334,13 +334,13 @@ def field_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.field_documents(html.stored_nodes(listing(spark, sf_dir, row, "'<table>'", "'</table>'")), base()).select("page_id", "title", "url", "document_type")
 
 
-@query("select s_nationkey, 'https://r.example/plan/' || s_suppkey url from supplier union all select s_nationkey, 'https://r.example/nested/' || s_suppkey || '/' || k from supplier, (values (1), (2)) v(k) where s_suppkey % 3 = 0 union all select s_nationkey, 'https://r.example/RunThirdPartySearch?x=' || s_suppkey from supplier where s_suppkey % 3 > 0")
+@query("select s_nationkey, 'https://r.example/plan/' || s_suppkey url from supplier union all select s_nationkey, 'https://r.example/nested/' || s_suppkey || '/' || k from supplier, (values (1), (2)) v(k) where s_acctbal > 0 union all select s_nationkey, 'https://r.example/RunThirdPartySearch?x=' || s_suppkey from supplier where s_acctbal <= 0")
 def bridged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bridges to other lists: those that lead to documents give way to them."""
     s = table(spark, sf_dir, "supplier").withColumn("ordinal", F.col("s_suppkey"))
     n = F.col("s_suppkey").cast("string")
     bridge = F.concat(F.lit("https://r.example/RunThirdPartySearch?x="), n)
     docs = D.shaped(s, "s_nationkey", title=F.lit("Plan"), url=F.concat(F.lit("https://r.example/plan/"), n)).unionByName(D.shaped(s, "s_nationkey", title=F.lit("More"), url=bridge))
-    more = s.filter("s_suppkey % 3 = 0").withColumns({"bridge_url": bridge, "k": F.explode(F.array(F.lit(1), F.lit(2)))}).withColumn("ordinal", F.col("k"))
+    more = s.filter("s_acctbal > 0").withColumns({"bridge_url": bridge, "k": F.explode(F.array(F.lit(1), F.lit(2)))}).withColumn("ordinal", F.col("k"))
     nested = more.select("s_nationkey", "bridge_url", "ordinal", *[F.concat(F.lit("https://r.example/nested/"), n, F.lit("/"), F.col("k").cast("string")).alias(c) if c == "url" else F.lit("Nested").alias(c) for c in D.DOCUMENT])
     return D.expand_bridges(docs, nested, "s_nationkey").select("s_nationkey", "url")
