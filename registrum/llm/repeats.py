@@ -304,14 +304,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every window of every text by its MD5, islands of repeated windows, and the bytes between them.
 OP10_SQL = f"""
-with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) h from documents),
-n as (select *, length(h) // 2 n from d),
-w as (select rid, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) k from (select rid, h, unnest(range(0, greatest(0, n - {LENGTH} + 1))) i from n)),
+with d as (select row_number() over () rid, doc_id, encode(coalesce(text, '')) b from documents),
+n as (select *, octet_length(b) n from d),
+w as (select rid, i, md5(b[i + 1:i + {LENGTH}]) k from (select rid, b, unnest(range(0, greatest(0, n - {LENGTH} + 1))) i from n)),
 r as (select rid, i from w where k in (select k from w group by k having count(*) > 1)),
 s as (select rid, i, coalesce(i - lag(i) over o > {LENGTH}, true)::int fresh from r window o as (partition by rid order by i)),
 g as (select rid, i, sum(fresh) over (partition by rid order by i rows unbounded preceding) run from s),
 x as (select rid, run, min(i) a, max(i) + {LENGTH} z from g group by rid, run),
 y as (select rid, a, z, lag(z, 1, 0) over (partition by rid order by a) p from x),
-k as (select rid, sum(z - a) removed, count(*) spans, max(z) tail, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) kept from y join n using (rid) group by rid)
+k as (select rid, sum(z - a) removed, count(*) spans, max(z) tail, string_agg(hex(b[p + 1:a]), '' order by a) kept from y join n using (rid) group by rid)
 select doc_id, n::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans,
-  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) kept_sha256 from n left join k using (rid)"""
+  sha256(unhex(coalesce(kept, '') || hex(b[coalesce(tail, 0) + 1:]))) kept_sha256 from n left join k using (rid)"""
