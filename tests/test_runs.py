@@ -38,7 +38,7 @@ def test_observed_metrics_reach_the_callback(spark):
 def test_tagged_jobs_can_be_cancelled(spark):
     def slow(it):
         for b in it:
-            time.sleep(30)
+            time.sleep(60)
             yield b
 
     failed = []
@@ -52,12 +52,12 @@ def test_tagged_jobs_can_be_cancelled(spark):
 
     t = threading.Thread(target=work)
     t.start()
-    deadline = time.time() + 20
+    deadline = time.time() + 45
     while t.is_alive() and time.time() < deadline:
         time.sleep(1)
         runs.cancel(spark, "search")
     t.join(60)
-    assert failed and time.time() < deadline + 5
+    assert failed and not t.is_alive()
 
 
 def test_families_can_be_added(spark):
