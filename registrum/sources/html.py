@@ -172,8 +172,8 @@ def containers(nodes_: DataFrame, tags: tuple[str, ...] = ("tr", "li", "article"
     return j.groupBy(key, "node", "href", "title").agg(clean_text(F.max_by("_t", "_n")).alias("context"))
 
 
-def labelled_pairs(nodes_: DataFrame, key: str = "page_id", class_labels: bool = False) -> DataFrame:
-    """key, source, ordinal, label, value from tables (th or td, then td), definition lists and hidden inputs; sources in order of trust.
+def labelled_pairs(nodes_: DataFrame, key: str = "page_id", class_labels: bool = False, inputs: bool = True) -> DataFrame:
+    """key, source, ordinal, label, value from tables (th or td, then td), definition lists and (inputs) hidden inputs; sources in order of trust.
 
     One pass over siblings. class_labels: also elements of a class named like a label, with the element after them. Hidden
     inputs that change with every page (tokens, names that begin with an underscore) are left out.
@@ -187,7 +187,7 @@ def labelled_pairs(nodes_: DataFrame, key: str = "page_id", class_labels: bool =
     n = n.withColumns({"next": F.lead("tag").over(same), "value": F.lead("text").over(same), "n": F.row_number().over(same)})
     n = n.withColumn("after", F.lead("text").over(w) if class_labels else F.lit(None).cast("string"))
     marked = F.contains(F.lower(F.coalesce(F.col("attrs")["class"], F.lit(""))), F.lit("label"))
-    hidden = (F.col("tag") == "input") & (F.lower(F.col("attrs")["type"]) == "hidden") & F.col("attrs")["name"].isNotNull() & ~is_transient(F.col("attrs")["name"])
+    hidden = F.lit(inputs) & (F.col("tag") == "input") & (F.lower(F.col("attrs")["type"]) == "hidden") & F.col("attrs")["name"].isNotNull() & ~is_transient(F.col("attrs")["name"])
     pair = lambda test, source, label, value: F.when(test, F.struct(F.lit(source).alias("source"), label.alias("label"), value.alias("value")))
     tag, text, value, after = (F.col(c) for c in ("tag", "text", "value", "after"))
     found = F.array_compact(

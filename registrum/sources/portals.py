@@ -76,7 +76,7 @@ def idox_detail(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFra
 
 def generic_detail(nodes: DataFrame, texts: DataFrame, page: Column, fallback: Column, key: str = "page_id") -> DataFrame:
     """Labelled fields from every source a page has; the uid is the address's, else fallback, else the reference."""
-    pairs = labelled_pairs(nodes, key, class_labels=True).unionByName(sequential_pairs(texts, "generic", key))
+    pairs = labelled_pairs(nodes, key, class_labels=True, inputs=False).unionByName(sequential_pairs(texts, "generic", key))
     d = label_columns(pairs, "generic", key)
     ref = F.coalesce("reference", fallback)
     read = {c: dates.parse_council_date(c) for c in ("date_received", "date_validated")}
