@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from registrum.llm.decontaminate import op1_benchmark_decontamination
+from registrum.llm.fingerprints import op11_document_fingerprints
 from registrum.llm.interactions import OP13_SQL, op13_filter_interaction_audit
 from registrum.llm.licenses import op4_license_scans
 from registrum.llm.merkle import OP12_SQL, op12_merkle_dataset_manifest
@@ -17,7 +18,7 @@ from registrum.llm.tokens import op7_token_counts
 
 _ALL = [
     op1_benchmark_decontamination, op2_best_fit_packing, op3_simhash_near_dedup, op4_license_scans, op5_personal_data, op6_secret_scans, op7_token_counts, op8_quality_classifier, op9_quality_rules,
-    op10_suffix_array_dedup, op12_merkle_dataset_manifest, op13_filter_interaction_audit,
+    op10_suffix_array_dedup, op11_document_fingerprints, op12_merkle_dataset_manifest, op13_filter_interaction_audit,
 ]
 QUERIES = {q.__name__: q for q in _ALL}
 
