@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registrum.functions import dates, fixed, geometry
-from registrum.functions.text import blank_to_null, contains_any, first_value, keyword_set_name, proposal_excluded, reference_excluded
+from registrum.functions.text import blank_to_null, contains_any, first_value, keyword_set_name, platform, proposal_excluded, reference_excluded, resolved_adapter
 from registrum.functions.urls import application_root, base_url
 from registrum.operators.relations import FALLBACK_COLUMNS, first_wins, merge_fallback, points_in_areas, spatial_semi_join
 
@@ -30,17 +30,15 @@ def matches(start: str, end: str, keywords: list[str], text: list[str], referenc
 
 def effective_target(target: DataFrame) -> DataFrame:
     """Adds adapter, platform: the resolution rules over target columns."""
-    from registrum.functions.text import adapter, platform
+    return target.withColumns({"adapter": resolved_adapter("authority", "scraper_type", "portal_family", "listing_url"), "platform": platform("authority", "scraper_type", "portal_family")})
 
-    return target.withColumns({"adapter": adapter("authority", "scraper_type", "portal_family", "listing_url"), "platform": platform("authority", "scraper_type", "portal_family")})
 
-
-def target_rows(catalogue: DataFrame) -> DataFrame:
-    """Targets of catalogue rows with their defaults: authority, portal_family, scraper_type, base_url, listing_url."""
+def target_rows(catalogue: DataFrame, *keep: Column) -> DataFrame:
+    """Targets of catalogue rows with their defaults: authority, portal_family, scraper_type, base_url, listing_url, and the columns keep."""
     text = lambda *c: first_value(*[F.col(x) if x in catalogue.columns else F.lit(None).cast("string") for x in c])
     listing = text("listing_url", "planning_url")
     base = F.coalesce(F.regexp_replace(text("base_url"), "/+$", ""), blank_to_null(base_url(listing)))
-    return catalogue.select(text("authority", "council_name").alias("authority"), F.coalesce(text("portal_family"), F.lit("unknown")).alias("portal_family"), F.coalesce(text("scraper_type"), F.lit("unknown")).alias("scraper_type"), base.alias("base_url"), listing.alias("listing_url"), application_root(listing).alias("application_root"))
+    return catalogue.select(text("authority", "council_name").alias("authority"), F.coalesce(text("portal_family"), F.lit("unknown")).alias("portal_family"), F.coalesce(text("scraper_type", "portal_family"), F.lit("unknown")).alias("scraper_type"), base.alias("base_url"), listing.alias("listing_url"), application_root(listing).alias("application_root"), *keep)
 
 
 def application_point() -> tuple[Column, Column]:

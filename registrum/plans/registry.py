@@ -443,6 +443,6 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", files.unique_names(F.col("n")).alias("names"))
 
 
-from registrum.plans import document_queries, function_queries, portal_queries, run_queries  # noqa: E402, F401  they register themselves
+from registrum.plans import document_queries, function_queries, portal_queries, run_queries, search_queries  # noqa: E402, F401  they register themselves
 
 __all__ = ["ORACLES", "QUERIES"]
