@@ -211,6 +211,6 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("matches", lambda x: x["base"])
     starts = F.transform(base, lambda x: x["start"])
     labels = lambda a: F.array_join(F.sort_array(F.array_distinct(F.transform(a, lambda x: x["label"]))), ",")
-    score = F.coalesce(F.least(F.lit(1.0), F.array_max(F.transform("matches", lambda x: x["share"]))), F.lit(0.0))
+    score = F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("matches", lambda x: x["share"])), F.lit(0.0)))
     whole = F.filter("matches", lambda x: x["whole"])
     return m.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(whole).alias("labels"), score.alias("score"))

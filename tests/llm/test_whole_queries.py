@@ -76,7 +76,11 @@ def test_licenses(spark, texts):
         expect.append((d, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at}))))
     out = rows(spark, "op4_license_scans")
     assert [r[:6] for r in out] == sorted(expect, key=repr)
-    assert all(set(r[5].split(",")) - {""} <= set(r[6].split(",")) and 0 <= r[7] <= 1 for r in out)
+    assert all(set(r[5].split(",")) - {""} <= set(r[6].split(",")) for r in out)
+    index = licenses.Index(licenses.weights(spark.read.parquet(f"{DIR}/documents.parquet")))
+    best = {d: max((share for *_, share, _ in index.match(words(t))), default=0.0) for d, t in texts}
+    assert all(abs(r[7] - min(1, best[r[0]])) < 1e-9 for r in out)
+    assert all((r[7] == 1) == bool(r[6]) for r in out) and any(r[7] == 0 for r in out)  # these texts hold whole names and no notices
 
 
 def test_personal_data(spark, texts):
