@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from registrum.functions import dates, files, text, urls
 from registrum.operators import documents as D
 from registrum.plans.registered import query, table
-from registrum.sources import html, payloads
+from registrum.sources import html, payload_source, payloads
 from registrum.sources import listings as L
+from registrum.sources.scratch import scratch_path
+
 
 def base() -> Column:
     return F.lit("https://r.example/a/b/view.do?x=1")
@@ -344,3 +346,31 @@ def bridged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = s.filter("s_acctbal > 0").withColumns({"bridge_url": bridge, "k": F.explode(F.array(F.lit(1), F.lit(2)))}).withColumn("ordinal", F.col("k"))
     nested = more.select("s_nationkey", "bridge_url", "ordinal", *[F.concat(F.lit("https://r.example/nested/"), n, F.lit("/"), F.col("k").cast("string")).alias(c) if c == "url" else F.lit("Nested").alias(c) for c in D.DOCUMENT])
     return D.expand_bridges(docs, nested, "s_nationkey").select("s_nationkey", "url")
+
+
+def _stored_by_day(spark: SparkSession, sf_dir: str, family: str, record: str, wrap: str) -> str:
+    """Orders as a family's payloads, a file a month; each line of a file's text is a part of one JSON body."""
+    o = table(spark, sf_dir, "orders").withColumn("day", F.trunc(F.col("o_orderdate").cast("date"), "month"))
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.to_json(F.expr(record)).alias("r")))), lambda x: x["r"]), ",\n")
+    body = o.groupBy("day").agg(part.alias("r")).select("day", F.lit(family).alias("family"), F.replace(F.lit(wrap), F.lit("{}"), F.concat(F.lit("["), F.col("r"), F.lit("]"))).alias("value"))
+    path = scratch_path(spark, "payloads")
+    body.repartition("day").write.partitionBy("family", "day").text(path)
+    return path
+
+
+@query("select o_orderkey::varchar uid, 'N' || o_orderkey reference, o_orderpriority || ' Road AB1 2CD' address, strftime(o_orderdate, '%Y-%m-%d') date_received, 'AB1 2CD' postcode, date_trunc('month', o_orderdate)::date as \"day\" from orders where date_trunc('month', o_orderdate) between date '1996-01-01' and date '1998-12-31'")
+def payload_data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payloads of a built-in family read by the data source; only the window's files are opened."""
+    record = "named_struct('id', o_orderkey, 'name', 'N' || o_orderkey, 'address', ' ' || o_orderpriority || ' Road AB1 2CD', 'receivedDate', date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\"))"
+    path = _stored_by_day(spark, sf_dir, "statmap", record, '{"records":{}}')
+    return payload_source.applications(spark, path, "statmap", "1996-01-01", "1998-12-31").select("uid", "reference", "address", "date_received", "postcode", "day")
+
+
+@query("select 'A/' || o_orderkey uid, case when o_orderstatus = 'F' then 'F' || o_custkey else 'A/' || o_orderkey end reference, o_orderpriority address, strftime(o_orderdate, '%Y-%m-%d') date_validated from orders where o_totalprice > 200000")
+def registered_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored payloads of a family that the user has registered; records have nested fields and fields in order of preference."""
+    payloads.register_family("district", "$.result[0].cases", {"uid": ["case.no"], "reference": ["case.ref", "case.no"], "address": ["site.street"], "date_validated": ["valid"], "description": ["price"]})
+    record = "named_struct('case', named_struct('no', 'A/' || o_orderkey, 'ref', if(o_orderstatus = 'F', 'F' || o_custkey, ' ')), 'site', named_struct('street', o_orderpriority), 'valid', date_format(o_orderdate, 'dd/MM/yyyy'), 'price', o_totalprice)"
+    path = _stored_by_day(spark, sf_dir, "district", record, '{"result":[{"cases":{}}]}')
+    d = payload_source.applications(spark, path, "district").filter(F.col("description").cast("double") > 200000)
+    return d.select("uid", "reference", "address", "date_validated")
