@@ -53,10 +53,10 @@ def idox_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = """'<title>' || case when c_custkey % 2 = 1 then 'Application  Summary' else 'Documents' end || '</title><table><tr><th>Reference</th><td>R/' || c_custkey || '</td></tr><tr><th>Proposal</th><td>first</td></tr><tr><th>Proposal</th><td>second</td></tr><tr><th>Address</th><td>' || c_name || ' Road</td></tr><tr><th>Received</th><td>Fri 05 Jun 2026</td></tr></table>'
     || case when c_custkey % 3 = 0 then '<input type="hidden" name="caseTechnicalKey" value="T' || c_custkey || '">' else '' end || '<input type="hidden" name="csrfToken" value="x"><input type="hidden" name="_postcode" value="no">' || case when c_custkey % 2 = 0 then '<input type="hidden" name="postcode" value="ef23gh">' else '' end"""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(body).alias("html"))
-    n = html.stored_nodes(c)
+    t = html.stored_trees(c)
     url = F.expr("if(page_id % 3 = 1, 'https://r.example/applicationDetails.do?keyVal=U' || page_id, 'https://r.example/x')")
-    single = html.single_summary(n).withColumn("single", F.lit(True))
-    d = P.idox_detail(n, url).join(single, "page_id", "left")
+    single = html.single_summary(html.spread(t)).withColumn("single", F.lit(True))
+    d = P.idox_detail(t, url).join(single, "page_id", "left")
     return d.select(F.col("page_id").alias("c_custkey"), "uid", "reference", "address", "description", "date_received", "postcode", F.coalesce("single", F.lit(False)).alias("single"))
 
 
@@ -74,7 +74,8 @@ def generic_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     || '<h3>Ward</h3><i>View map</i><i>Description</i><i>W' || c_nationkey || '</i>' || case when c_custkey % 3 = 0 then '<em>Status</em><u>next ' || c_custkey || '</u>' else '' end || '</div>'"""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(body).alias("html"))
     url = F.expr("if(page_id % 2 = 0, 'https://r.example/view?id=D' || page_id, 'https://r.example/')")
-    return P.generic_detail(html.nodes(c), html.text_sequence(c), url, F.lit(None).cast("string")).select("page_id", "uid", "reference", "address", "description", "ward", "status")
+    t = html.stored_trees(c)
+    return P.generic_detail(t, html.text_pieces(t), url, F.lit(None).cast("string")).select("page_id", "uid", "reference", "address", "description", "ward", "status")
 
 
 @query("select c_custkey, case c_custkey % 4 when 0 then '26/00001/FUL' when 1 then 'F' || c_custkey when 2 then 'M/' || c_custkey else '25/12345' end reference, c_name address, '2026-06-05' date_received from customer")
@@ -82,7 +83,7 @@ def form_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference: mapped, else the listing's, else in the listing's text, else in any value."""
     body = "'<table><tr><td>Site address</td><td>' || c_name || '</td></tr>' || case c_custkey % 4 when 2 then '<tr><td>Application Reference</td><td>M/' || c_custkey || '</td></tr>' when 3 then '<tr><td>Notes</td><td>see 25/12345 too</td></tr>' else '' end || '<tr><td>Received date</td><td>05/06/2026</td></tr></table>'"
     c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(body).alias("html"))
-    p = html.labelled_pairs(html.nodes(c, "c_custkey"), "c_custkey")
+    p = html.labelled_pairs(html.trees(c, "c_custkey"), "c_custkey")
     n = F.col("c_custkey")
     return P.form_fields(p, F.when(n % 4 == 0, "see 26/00001/FUL"), F.when(n % 4 == 1, F.concat(F.lit("F"), n.cast("string"))), F.lit("u"), "c_custkey").select("c_custkey", "reference", "address", "date_received")
 

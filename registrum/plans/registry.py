@@ -253,7 +253,7 @@ _ROWS = "'<table><tr><th>Application Reference<td>' || c_custkey || '</tr><tr><t
 def labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled HTML made of customers, read back by the label map: first value wins."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_ROWS).alias("html"))
-    p = html.labelled_pairs(html.nodes(c, "c_custkey"), "c_custkey")
+    p = html.labelled_pairs(html.trees(c, "c_custkey"), "c_custkey")
     return html.label_columns(p, "generic", "c_custkey").select("c_custkey", "reference", "address", "description", "ward")
 
 

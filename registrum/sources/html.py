@@ -1,8 +1,10 @@
-"""Stored HTML as a node table, and the extraction operators over it.
+"""Stored HTML as trees and as a node table, and the extraction operators over them.
 
-One Arrow-batched pass of the standard library's parser gives (page_id, node, parent, tag, attrs, text, last): nodes in
-document order, text with all descendants' text, last the number of the last descendant. Ancestor tests are then interval
-tests within a page, and every operator is a DataFrame query.
+One Arrow-batched pass of the standard library's parser gives a row a page (trees): its nodes in document order, each with the numbers
+of its ancestors and the range of its text pieces, and the pieces, so text is stored once however deep it stands. The node table
+(key, node, parent, tag, attrs, text, last, up) is that row spread out: text with all descendants' text, last the number of the last
+descendant, up the ancestors from the root. Ancestors are found by equality of numbers, not by intervals, so a page with
+very many nodes is spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import html as _html
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -20,13 +23,17 @@ from pyspark.sql.types import StringType
 from registrum.functions import fixed
 from registrum.functions.text import SPACE, clean_text, contains_any, normalize_label
 from registrum.functions.urls import is_document_href, is_document_link_text, is_tab_href, join_root
-from registrum.sources.scratch import scratch_path
+from registrum.sources.scratch import kept
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that end an open one of the same group.
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "p": {"p"}}
+#: Tags that are one kind among siblings.
+_KINDS = {"th": "cell", "td": "cell", "dt": "term", "dd": "term"}
 _SCOPE = {"table", "ul", "ol", "dl", "select", "body", "html", "div"}
-NODES = "node int, parent int, tag string, attrs map<string,string>, text string, last int"
+#: begin and end: the node's pieces; a script's or style's own are code's, numbered -1, -2 and so on. peer: the next sibling of the same kind, nth: its place among them.
+NODE = "node int, parent int, tag string, attrs map<string,string>, begin int, end int, last int, up array<int>, peer int, nth int"
+TREE = f"nodes array<struct<{NODE.replace(' ', ': ').replace(',: ', ', ')}>>, pieces array<string>, code array<string>, turns array<int>"
 
 
 @F.pandas_udf(StringType())
@@ -36,98 +43,130 @@ def unescape(s: pd.Series) -> pd.Series:
 
 
 class _Tree(HTMLParser):
+    """rows: node, parent, tag, attrs, begin, end, last, up, peer, nth. turns: pieces in order, those of code as negative numbers."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open = [], []
+        self.rows: list[list] = []
+        self.open: list[int] = []
+        self.pieces: list[str] = []
+        self.code: list[str] = []
+        self.turns: list[int] = []
+        self.latest: dict[tuple[int, str], int] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES:
             for k in range(len(self.open) - 1, -1, -1):
-                name = self.rows[self.open[k]][1]
+                name = self.rows[self.open[k]][2]
                 if name in _CLOSES[tag]:
                     self.end(k)
                     break
                 if name in _SCOPE:
                     break
-        self.rows.append([self.open[-1] if self.open else -1, tag, {k: v or "" for k, v in attrs}, [], len(self.rows)])
+        n, parent, at = len(self.rows), self.open[-1] if self.open else -1, len(self.pieces)
+        kind = (parent, _KINDS.get(tag, tag))
+        before = self.latest.get(kind)
+        if before is not None:
+            self.rows[before][8] = n
+        self.latest[kind] = n
+        if tag in ("script", "style"):
+            at = -len(self.code) - 1
+        self.rows.append([n, parent, tag, [(k, v or "") for k, v in dict(attrs).items()], at, at, n, list(self.open), -1, 1 if before is None else self.rows[before][9] + 1])
         if tag not in _VOID:
-            self.open.append(len(self.rows) - 1)
+            self.open.append(n)
 
     def end(self, k: int) -> None:
         for i in self.open[k:]:
-            self.rows[i][4] = len(self.rows) - 1
+            row = self.rows[i]
+            row[6] = len(self.rows) - 1
+            row[5] = len(self.pieces) if row[4] >= 0 else -len(self.code) - 1
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[k]][1] == tag:
+            if self.rows[self.open[k]][2] == tag:
                 return self.end(k)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.rows[self.open[-1]][1] in ("script", "style"):
-            self.rows[self.open[-1]][3].append(data)
-            return
-        for i in self.open:
-            self.rows[i][3].append(data)
+        if self.open and self.rows[self.open[-1]][4] < 0:
+            self.code.append(data)
+            self.turns.append(-len(self.code))
+        else:
+            self.turns.append(len(self.pieces))
+            self.pieces.append(data)
 
 
-def parse(html: str) -> list[tuple]:
+def parse(html: str) -> _Tree:
     t = _Tree()
     t.feed(html or "")
     t.close()
     t.end(0)
-    return [(i, p, tag, list(a.items()), " ".join(text), last) for i, (p, tag, a, text, last) in enumerate(t.rows)]
+    return t
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and NODES of every page; a null page has none."""
+def _dealt(pages: DataFrame) -> DataFrame:
+    """pages of a scan with fewer splits than there are cores, dealt out to all of them: parsing takes far longer than moving a page."""
+    if "Exchange" in pages._jdf.queryExecution().executedPlan().toString():
+        return pages  # shuffled already; asking for its partitions would run it
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
+def trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key and TREE of every page; a null page has no nodes."""
     kind = pages.schema[key].dataType.simpleString()
+    ints = pa.list_(pa.int32())
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.int32(), ints, pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in NODE.split(", ")]
 
     def run(it: Iterator) -> Iterator:
         for b in it:
-            keys, rows = [], []
-            for k, h in zip(b.column(key).to_pylist(), b.column(html).to_pylist()):
-                r = parse(h)
-                keys += [k] * len(r)
-                rows += r
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
-            yield pa.record_batch([pa.array(keys, b.schema.field(key).type), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[key, "node", "parent", "tag", "attrs", "text", "last"])
+            found = [parse(h) for h in b.column(html).to_pylist()]
+            ends = pa.array([0, *accumulate(len(t.rows) for t in found)], pa.int32())
+            cols = list(zip(*[r for t in found for r in t.rows])) or [()] * len(kinds)
+            nodes_ = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names))
+            texts = lambda rows: pa.array(rows, pa.list_(pa.string()))
+            yield pa.record_batch([b.column(key), nodes_, texts([t.pieces for t in found]), texts([t.code for t in found]), pa.array([t.turns for t in found], ints)], names=[key, "nodes", "pieces", "code", "turns"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {NODES}")
+    return _dealt(pages.select(key, html)).mapInArrow(run, f"{key} {kind}, {TREE}")
 
 
-def stored_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """nodes() written once to the shared folder: extraction that joins the table with itself would parse the pages each time."""
-    n, path = nodes(pages, key, html), scratch_path(pages.sparkSession, "nodes")
-    n.write.parquet(path)
-    return pages.sparkSession.read.schema(n.schema).parquet(path)
+def stored_trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """trees() written once to the shared folder: extraction that reads them several times would parse the pages each time."""
+    return kept(trees(pages, key, html), "trees")
 
 
-def text_sequence(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, place, text of the pieces of text between a page's tags, in order; blank ones are left out."""
-    kind = pages.schema[key].dataType.simpleString()
+def _text(n: Column) -> Column:
+    """The text of node n of a tree."""
+    part = lambda c, begin, size: F.array_join(F.slice(c, begin, size), " ")
+    return F.when(n["begin"] == n["end"], F.lit("")).when(n["begin"] < 0, part("code", -n["begin"], n["begin"] - n["end"])).otherwise(part("pieces", n["begin"] + 1, n["end"] - n["begin"]))
 
-    def run(it: Iterator) -> Iterator:
-        for b in it:
-            keys, places, texts = [], [], []
-            for k, h in zip(b.column(key).to_pylist(), b.column(html).to_pylist()):
-                for i, t in enumerate(_pieces(h or "")):
-                    keys.append(k)
-                    places.append(i)
-                    texts.append(t)
-            yield pa.record_batch([pa.array(keys, b.schema.field(key).type), pa.array(places, pa.int32()), pa.array(texts, pa.string())], names=[key, "place", "text"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, place int, text string").withColumn("text", clean_text("text")).filter("text is not null")
+def spread(trees_: DataFrame, key: str = "page_id") -> DataFrame:
+    """The node table of trees."""
+    node = lambda n: F.struct(n["node"].alias("node"), n["parent"].alias("parent"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), _text(n).alias("text"), n["last"].alias("last"), n["up"].alias("up"))
+    return trees_.select(key, F.explode(F.transform("nodes", node)).alias("n")).select(key, "n.*")
+
+
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The node table of pages; a null page has no nodes."""
+    return spread(trees(pages, key, html), key)
+
+
+def stored_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """nodes() of stored_trees()."""
+    return spread(stored_trees(pages, key, html), key)
 
 
-def _pieces(html: str) -> list[str]:
-    out = []
-    p = HTMLParser(convert_charrefs=True)
-    p.handle_data = out.append
-    p.feed(html)
-    p.close()
-    return out
+def text_pieces(trees_: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, place, text of the pieces of text between a page's tags, in order; blank ones are left out."""
+    piece = lambda x: F.when(x >= 0, F.get("pieces", x)).otherwise(F.get("code", -x - 1))
+    return trees_.select(key, F.posexplode(F.transform("turns", piece)).alias("place", "text")).withColumn("text", clean_text("text")).filter("text is not null")
+
+
+def text_sequence(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """text_pieces() of pages."""
+    return text_pieces(trees(pages, key, html), key)
 
 
 def has_class(name: str) -> Column:
@@ -136,20 +175,20 @@ def has_class(name: str) -> Column:
 
 
 def enclosing(items: DataFrame, nodes_: DataFrame, tests: list[Column], key: str = "page_id") -> DataFrame:
-    """items (key, node) with outer, outer_last, outer_text: the nearest ancestor that passes the first of tests that any passes."""
+    """items (key, node, and up unless it is to be looked up) with outer, outer_last, outer_text: the nearest ancestor that passes the first of tests that any passes."""
     rank = F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])
-    c = nodes_.withColumn("_r", rank).filter("_r is not null").select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("last").alias("_l"), F.col("text").alias("_t"), "_r")
-    here = items.select(key, "node").distinct()
-    j = here.join(c, (F.col(key) == F.col("_k")) & (F.col("node") > F.col("_n")) & (F.col("node") <= F.col("_l")))
-    best = j.groupBy(key, "node").agg(F.min_by(F.struct("_n", "_l", "_t"), F.struct("_r", -F.col("_n"))).alias("e"))
+    c = nodes_.withColumn("_r", rank).filter("_r is not null").select(key, F.col("node").alias("_n"), F.col("last").alias("_l"), F.col("text").alias("_t"), "_r")
+    here = items if "up" in items.columns else nodes_.select(key, "node", "up").join(items.select(key, "node").distinct(), [key, "node"], "left_semi")
+    above = here.select(key, "node", F.explode("up").alias("_n")).join(c, [key, "_n"])
+    best = above.groupBy(key, "node").agg(F.min_by(F.struct("_n", "_l", "_t"), F.struct("_r", -F.col("_n"))).alias("e"))
     return items.join(best.select(key, "node", F.col("e._n").alias("outer"), F.col("e._l").alias("outer_last"), F.col("e._t").alias("outer_text")), [key, "node"], "left")
 
 
 def first_within(items: DataFrame, nodes_: DataFrame, test: Column, name: str, key: str = "page_id") -> DataFrame:
     """items with outer and outer_last, and name: the text of the first node within outer that passes test."""
-    c = nodes_.filter(test).select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("text").alias("_t"))
-    here = items.filter("outer is not null").select(key, "outer", "outer_last").distinct()
-    j = here.join(c, (F.col(key) == F.col("_k")) & (F.col("_n") > F.col("outer")) & (F.col("_n") <= F.col("outer_last")))
+    c = nodes_.filter(test).select(key, F.col("node").alias("_n"), F.col("text").alias("_t"), F.explode("up").alias("outer"))
+    here = items.filter("outer is not null").select(key, "outer").distinct()
+    j = c.join(here, [key, "outer"], "left_semi")
     return items.join(j.groupBy(key, "outer").agg(clean_text(F.min_by("_t", "_n")).alias(name)), [key, "outer"], "left")
 
 
@@ -160,32 +199,45 @@ def row_cells(nodes_: DataFrame, tags: tuple[str, ...] = ("td",), key: str = "pa
 
 
 def anchors(nodes_: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, node, href, title of links with an href."""
-    return nodes_.filter("tag = 'a' and attrs['href'] is not null").select(key, "node", F.trim(F.col("attrs")["href"]).alias("href"), F.coalesce(clean_text("text"), F.lit("")).alias("title"))
+    """key, node, href, title, up of links with an href."""
+    return nodes_.filter("tag = 'a' and attrs['href'] is not null").select(key, "node", F.trim(F.col("attrs")["href"]).alias("href"), F.coalesce(clean_text("text"), F.lit("")).alias("title"), "up")
 
 
 def containers(nodes_: DataFrame, tags: tuple[str, ...] = ("tr", "li", "article", "div"), key: str = "page_id") -> DataFrame:
     """Each link with the text of its nearest enclosing container: key, node, href, title, context."""
-    a = anchors(nodes_, key)
-    c = nodes_.filter(F.col("tag").isin(*tags)).select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("last").alias("_l"), F.col("text").alias("_t"))
-    j = a.join(c, (F.col(key) == F.col("_k")) & (F.col("node") > F.col("_n")) & (F.col("node") <= F.col("_l")), "left")
-    return j.groupBy(key, "node", "href", "title").agg(clean_text(F.max_by("_t", "_n")).alias("context"))
+    a = enclosing(anchors(nodes_, key), nodes_, [F.col("tag").isin(*tags)], key)
+    return a.select(key, "node", "href", "title", clean_text("outer_text").alias("context"))
 
 
-def labelled_pairs(nodes_: DataFrame, key: str = "page_id", class_labels: bool = False, inputs: bool = True) -> DataFrame:
-    """key, source, ordinal, label, value from tables (th or td, then td), definition lists and (inputs) hidden inputs; sources in order of trust.
+def _siblings(nodes_: DataFrame, key: str, every: bool) -> DataFrame:
+    """key, node, tag, attrs, text, and of the next sibling of the same kind next (its tag) and value (text); n: the node's place among them; after: the text of the next sibling.
 
-    One pass over siblings. class_labels: also elements of a class named like a label, with the element after them. Hidden
-    inputs that change with every page (tokens, names that begin with an underscore) are left out.
+    Over trees nothing is moved: a parser has noted the siblings. Over a node table they are found by windows.
     """
+    cells = ("th", "td", "dt", "dd", "input")
+    if "nodes" in nodes_.columns:
+        peer = lambda n: F.when(n["peer"] >= 0, F.get("nodes", n["peer"]))
+        then = lambda n: F.get("nodes", n["last"] + 1)
+        after = (lambda n: F.when(then(n)["parent"] == n["parent"], _text(then(n)))) if every else (lambda n: F.lit(None).cast("string"))
+        held = F.col("nodes") if every else F.filter("nodes", lambda n: n["tag"].isin(*cells))
+        one = lambda n: F.struct(n["node"].alias("node"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), _text(n).alias("text"), peer(n)["tag"].alias("next"), F.when(n["peer"] >= 0, _text(peer(n))).alias("value"), n["nth"].alias("n"), after(n).alias("after"))
+        return nodes_.select(key, F.explode(F.transform(held, one)).alias("n")).select(key, "n.*")
     w = Window.partitionBy(key, "parent").orderBy("node")
-    cells = F.col("tag").isin("th", "td", "dt", "dd", "input")
-    n = nodes_ if class_labels else nodes_.filter(cells)
+    n = nodes_ if every else nodes_.filter(F.col("tag").isin(*cells))
     kind = F.when(F.col("tag").isin("th", "td"), "cell").when(F.col("tag").isin("dt", "dd"), "term").otherwise(F.col("tag"))
     n = n.select(key, "parent", "node", "tag", "attrs", "text", kind.alias("kind"))
     same = Window.partitionBy(key, "parent", "kind").orderBy("node")
     n = n.withColumns({"next": F.lead("tag").over(same), "value": F.lead("text").over(same), "n": F.row_number().over(same)})
-    n = n.withColumn("after", F.lead("text").over(w) if class_labels else F.lit(None).cast("string"))
+    return n.withColumn("after", F.lead("text").over(w) if every else F.lit(None).cast("string"))
+
+
+def labelled_pairs(nodes_: DataFrame, key: str = "page_id", class_labels: bool = False, inputs: bool = True) -> DataFrame:
+    """key, source, ordinal, label, value from tables (th or td, then td), definition lists and (inputs) hidden inputs; sources in order of trust.
+
+    nodes_: trees or a node table. One pass over siblings. class_labels: also elements of a class named like a label, with the
+    element after them. Hidden inputs that change with every page (tokens, names that begin with an underscore) are left out.
+    """
+    n = _siblings(nodes_, key, class_labels)
     marked = F.contains(F.lower(F.coalesce(F.col("attrs")["class"], F.lit(""))), F.lit("label"))
     hidden = F.lit(inputs) & (F.col("tag") == "input") & (F.lower(F.col("attrs")["type"]) == "hidden") & F.col("attrs")["name"].isNotNull() & ~is_transient(F.col("attrs")["name"])
     pair = lambda test, source, label, value: F.when(test, F.struct(F.lit(source).alias("source"), label.alias("label"), value.alias("value")))
@@ -240,18 +292,18 @@ def header_tables(nodes_: DataFrame, dialect: str = "forms", key: str = "page_id
     """Data rows of tables whose header row has two known labels or more: key, row, column, value, href (the row's first link)."""
     known = {label: c for c, labels in fixed.LABELS[dialect].items() for label in labels}
     name = F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("label"))
-    rows = nodes_.filter("tag = 'tr'").select(key, F.col("node").alias("row"), F.col("last").alias("row_last"))
-    tables = nodes_.filter("tag = 'table'").select(key, F.col("node").alias("table"), F.col("last").alias("table_last"))
+    rows = nodes_.filter("tag = 'tr'").select(key, F.col("node").alias("row"), F.explode("up").alias("table"))
+    tables = nodes_.filter("tag = 'table'").select(key, F.col("node").alias("table"))
     cells = nodes_.filter(F.col("tag").isin("th", "td")).select(key, F.col("parent").alias("row"), "node", "tag", "text")
     cells = cells.withColumn("place", F.row_number().over(Window.partitionBy(key, "row").orderBy("node")))
-    r = rows.join(tables, key).filter("row > table and row <= table_last").groupBy(key, "row", "row_last").agg(F.max("table").alias("table"))
+    r = rows.join(tables, [key, "table"]).groupBy(key, "row").agg(F.max("table").alias("table"))
     cells = cells.join(r, [key, "row"])
     head = cells.withColumn("label", normalize_label("text")).withColumn("column", name)
     heads = head.groupBy(key, "table", "row").agg(F.count("column").alias("n")).filter("n >= 2").groupBy(key, "table").agg(F.min("row").alias("head"))
     labels = head.join(heads, [key, "table"]).filter("row = head and column is not null").select(key, "table", "head", "place", "column")
     data = cells.join(labels, [key, "table", "place"]).filter("row > head")
-    links = anchors(nodes_, key).select(F.col(key).alias("_k"), F.col("node").alias("_a"), "href")
-    first = r.join(links, (F.col(key) == F.col("_k")) & (F.col("_a") > F.col("row")) & (F.col("_a") <= F.col("row_last"))).groupBy(key, "row").agg(F.min_by("href", "_a").alias("href"))
+    links = nodes_.filter("tag = 'a' and attrs['href'] is not null").select(key, F.col("node").alias("_a"), F.trim(F.col("attrs")["href"]).alias("href"), F.explode("up").alias("row"))
+    first = links.join(r.select(key, "row"), [key, "row"], "left_semi").groupBy(key, "row").agg(F.min_by("href", "_a").alias("href"))
     return data.join(first, [key, "row"], "left").select(key, "row", "column", clean_text("text").alias("value"), "href")
 
 
