@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from urllib.parse import uses_netloc, uses_params, uses_relative
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from registrum.functions import fixed
-from registrum.functions.text import blank_to_null, col, contains_any, platform
+from registrum.functions.text import SPACE, blank_to_null, col, contains_any, let, platform
 
 
 def host(url: Column | str) -> Column:
@@ -64,12 +64,73 @@ def join_root(base: Column | str, href: Column | str) -> Column:
     return F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(F.startswith(h, F.lit("/")), F.concat(base_url(base), h)).otherwise(F.concat(F.regexp_replace(F.regexp_replace(col(base), r"[?#].*$", ""), r"[^/]*$", ""), h))
 
 
-@F.pandas_udf(StringType())
-def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
-    """RFC 3986 resolution with percent quoting, in Arrow batches."""
-    from urllib.parse import quote, urljoin
+def _parts(url: Column, default: Column) -> Column:
+    """An address as scheme (or default), netloc, path, params (of the last segment), query and fragment; what is missing is empty."""
+    scheme = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+    bare = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+    def parts(own: Column, rest: Column, tail: Column) -> Column:
+        whole = F.regexp_extract(tail, r"^[^?#]*", 0)
+        has = own.isin(*uses_params) & F.contains(tail, F.lit(";"))
+        named = {
+            "scheme": own, "netloc": F.regexp_extract(rest, r"^//([^/?#]*)", 1), "path": F.when(has, F.regexp_replace(whole, r";[^/]*$", "")).otherwise(whole), "params": F.when(has, F.regexp_extract(whole, r";([^/]*)$", 1)).otherwise(""),
+            "query": F.regexp_extract(tail, r"^[^?#]*\?([^#]*)", 1), "fragment": F.regexp_extract(tail, r"(?s)#(.*)$", 1),
+        }
+        return F.struct(*[v.alias(k) for k, v in named.items()])
+
+    own = lambda b: F.coalesce(F.nullif(F.lower(F.regexp_extract(b, scheme, 1)), F.lit("")), default)
+    return let(bare, lambda b: let(own(b), lambda o: let(F.regexp_replace(b, scheme, ""), lambda r: let(F.regexp_replace(r, r"^//[^/?#]*", ""), lambda t: parts(o, r, t)))))
+
+
+def _address(scheme: Column, netloc: Column, path_: Column, params: Column, query: Column, fragment: Column) -> Column:
+    """The inverse of _parts(); empty parts leave no mark."""
+    mark = lambda sign, c: F.when(c != "", F.concat(F.lit(sign), c)).otherwise("")
+
+    def place(p: Column) -> Column:
+        rooted = F.startswith(p, F.lit("/"))
+        at = F.when(netloc != "", F.concat(F.lit("//"), netloc, F.when((p != "") & ~rooted, "/").otherwise(""), p))
+        return at.when(F.startswith(p, F.lit("//")) | ((scheme != "") & scheme.isin(*uses_netloc) & ((p == "") | rooted)), F.concat(F.lit("//"), p)).otherwise(p)
+
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), let(F.concat(path_, mark(";", params)), place), mark("?", query), mark("#", fragment))
+
+
+def _without_dots(base_path: Column, path_: Column) -> Column:
+    """path_ seen from base_path, its dot segments removed: a fold whose state is the stack of segments kept."""
+    folder = F.when(base_path == "", "/").otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+    inner = lambda s: F.filter(s, lambda x, i: (i == 0) | (i == F.size(s) - 1) | (x != ""))
+    segments = F.when(F.startswith(path_, F.lit("/")), F.split(path_, "/")).otherwise(let(F.split(F.concat(folder, path_), "/"), inner))
+    step = lambda stack, x: F.when(x == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(x == ".", stack).otherwise(F.concat(stack, F.array(x)))
+
+    def over(s: Column) -> Column:
+        stack = F.aggregate(s, F.array().cast("array<string>"), step)
+        return F.array_join(F.when(F.element_at(s, -1).isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack), "/")
+
+    return F.coalesce(F.nullif(let(segments, over), F.lit("")), F.lit("/"))
+
+
+def quote(url: Column) -> Column:
+    """Percent quoting of all characters that addresses may not hold, as UTF-8."""
+    allowed = r"[A-Za-z0-9_.~%/:=&?#+!$,;'@()*\[\]-]"
+    one = lambda c: F.when(c.rlike(f"^{allowed}$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return let(url, lambda u: F.when(u.rlike(f"^{allowed}*$"), u).otherwise(F.array_join(F.transform(F.regexp_extract_all(u, F.lit("(?s)."), F.lit(0)), one), "")))
+
+
+def resolve(base: Column | str, href: Column | str) -> Column:
+    """A reference seen from a base address (RFC 3986), percent quoted; a null base is empty."""
+    b = F.coalesce(col(base), F.lit(""))
+    h = F.regexp_replace(col(href), f"^{SPACE}+|{SPACE}+$", "")
+
+    def join(o: Column, u: Column) -> Column:
+        scheme = u["scheme"]
+        alone = _address(scheme, u["netloc"], u["path"], u["params"], u["query"], u["fragment"])
+        netloc = F.when(scheme.isin(*uses_netloc), o["netloc"]).otherwise(u["netloc"])
+        same = _address(scheme, netloc, o["path"], o["params"], F.coalesce(F.nullif(u["query"], F.lit("")), o["query"]), u["fragment"])
+        moved = _address(scheme, netloc, _without_dots(o["path"], u["path"]), u["params"], u["query"], u["fragment"])
+        there = scheme.isin(*uses_netloc) & (u["netloc"] != "")
+        return F.when((scheme != o["scheme"]) | ~scheme.isin(*uses_relative), h).when(there, alone).when((u["path"] == "") & (u["params"] == ""), same).otherwise(moved)
 
-    return pd.Series([None if h is None else quote(urljoin(b or "", h.strip()), safe="%/:=&?~#+!$,;'@()*[]") for b, h in zip(base, href)])
+    joined = let(_parts(b, F.lit("")), lambda o: let(_parts(h, o["scheme"]), lambda u: join(o, u)))
+    return quote(F.when(h.isNull(), h).when(b == "", h).when(h == "", b).otherwise(joined))
 
 
 #: Viewers and the downloads they stand for.

@@ -324,7 +324,7 @@ def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unescaped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All HTML entities, named and numbered."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" &amp; Sons &lt;Ltd&gt; &eacute;")).alias("t"))
-    return c.select("c_custkey", html.unescape("t").alias("whole"), text.clean_text(F.split_part("t", F.lit(" &lt;"), F.lit(1))).alias("title"))
+    return c.select("c_custkey", text.unescape("t").alias("whole"), text.clean_text(F.split_part("t", F.lit(" &lt;"), F.lit(1))).alias("title"))
 
 
 @query("select s_nationkey page_id, case when s_suppkey % 2 = 0 then 'Front ' || s_suppkey else 'Drawing' end title, 'https://r.example/a/b/index.html?fa=downloadDocument&id=' || s_suppkey url, 'Drawing' document_type from supplier")

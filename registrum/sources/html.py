@@ -9,16 +9,13 @@ very many nodes is spread over tasks.
 
 from __future__ import annotations
 
-import html as _html
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from registrum.functions import fixed
 from registrum.functions.text import SPACE, clean_text, contains_any, normalize_label
@@ -36,12 +33,6 @@ NODE = "node int, parent int, tag string, attrs map<string,string>, begin int, e
 TREE = f"nodes array<struct<{NODE.replace(' ', ': ').replace(',: ', ', ')}>>, pieces array<string>, code array<string>, turns array<int>"
 
 
-@F.pandas_udf(StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """All HTML entities, in Arrow batches."""
-    return s.map(_html.unescape, na_action="ignore")
-
-
 class _Tree(HTMLParser):
     """rows: node, parent, tag, attrs, begin, end, last, up, peer, nth. turns: pieces in order, those of code as negative numbers."""
 

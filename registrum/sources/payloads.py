@@ -5,8 +5,6 @@ A family is a row specification, not code: where its records are, and for each a
 
 from __future__ import annotations
 
-import csv
-import io
 import struct as _struct
 from collections.abc import Iterator
 
@@ -15,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.functions.dates import parse_council_date
-from registrum.functions.text import blank_to_null, extract_postcode
+from registrum.functions.text import SPACE, blank_to_null, extract_postcode
 
 # --- fixed values: by family where its records are and, by column, their JSON fields in order of preference ------------
 FAMILIES: dict[str, tuple[str, dict[str, list[str]]]] = {
@@ -93,26 +91,37 @@ def xml_rows(payloads: DataFrame, body: str) -> DataFrame:
 
 def weekly_csv(payloads: DataFrame, key: str, encoded: str, first_cell: str = "application_number") -> DataFrame:
     """key, ordinal and a map of each data row of a base64 CSV; the header is the row whose first cell says so."""
-    kind = payloads.schema[key].dataType.simpleString()
     bare = F.regexp_replace(encoded, r"[\s=]", "")
     padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
-    d = payloads.select(key, F.regexp_replace(F.decode(F.unbase64(padded), "UTF-8"), "^\\ufeff", "").alias("csv"))
+    d = payloads.select(key, csv_rows(F.regexp_replace(F.decode(F.unbase64(padded), "UTF-8"), "^\\ufeff", "")).alias("rows"))
+    d = d.withColumn("at", F.array_position(F.transform("rows", lambda r: F.trim(F.get(r, F.lit(0)))), first_cell).cast("int"))
+    d = d.withColumn("head", F.transform(F.get("rows", F.col("at") - 1), lambda c: F.trim(c))).select(key, "at", "head", F.posexplode("rows").alias("ordinal", "row"))
+    pairs = F.filter(F.arrays_zip(F.col("head").alias("k"), F.col("row").alias("v")), lambda p, i: p["k"].isNotNull() & p["v"].isNotNull() & (F.array_position("head", p["k"]) == i + 1))
+    tidy = F.transform(pairs, lambda p: F.struct(p["k"].alias("key"), F.trim(F.regexp_replace(p["v"], SPACE + "+", " ")).alias("value")))
+    return d.filter("at > 0 and ordinal >= at and size(row) > 0").select(key, "ordinal", F.map_from_entries(tidy).alias("cells"))
 
-    def run(it: Iterator) -> Iterator:
-        for b in it:
-            keys, places, maps = [], [], []
-            for k, text in zip(b.column(key).to_pylist(), b.column("csv").to_pylist()):
-                head = None
-                for i, row in enumerate(csv.reader(io.StringIO(text or "", newline=""))):
-                    if head is None:
-                        head = [c.strip() for c in row] if row and row[0].strip() == first_cell else None
-                    elif row:
-                        keys.append(k)
-                        places.append(i)
-                        maps.append([(h, " ".join(v.split())) for h, v in zip(head, row)])
-            yield pa.record_batch([pa.array(keys, b.schema.field(key).type), pa.array(places, pa.int32()), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=[key, "ordinal", "cells"])
-
-    return d.mapInArrow(run, f"{key} {kind}, ordinal int, cells map<string,string>")
+
+#: Stand between cells, between rows and for an empty cell in quotes, once the quotes of a CSV are gone; characters that no text may hold.
+_CELL, _ROW, _EMPTY = "\ufdd0", "\ufdd1", "\ufdd2"
+_QUOTED = r'"(?:[^"]++|"")*+'
+_FIELD = rf'({_QUOTED}(?:"[^,\r\n]*|\z)|[^,\r\n]*)(,|\r\n|\n|\r|\z)'
+
+
+def csv_rows(text: Column) -> Column:
+    """Rows of cells of CSV text: cells in quotes hold commas, line ends and doubled quotes; a blank line is a row without cells.
+
+    A cell begins behind a comma or a line end, so whether a quote opens one is known where it stands. Expressions only.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_CELL}{_ROW}{_EMPTY}]", "")
+    cells, ends = (F.regexp_extract_all(t, F.lit(_FIELD), F.lit(i)) for i in (1, 2))
+    quoted = rf'(?s)^"((?:[^"]++|"")*+)"?(.*)$'
+    inner = lambda c: F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))
+    plain = lambda c: F.when(F.startswith(c, F.lit('"')), F.coalesce(F.nullif(inner(c), F.lit("")), F.lit(_EMPTY))).otherwise(c)
+    sign = lambda e: F.when(e == ",", _CELL).when(e == "", "").otherwise(_ROW)
+    joined = F.array_join(F.transform(F.arrays_zip(cells.alias("c"), ends.alias("e")), lambda x: F.concat(plain(x["c"]), sign(x["e"]))), "")
+    rows = F.split(joined, _ROW)
+    rows = F.when(F.element_at(rows, -1) == "", F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
+    return F.transform(rows, lambda r: F.when(r == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(r, _CELL), lambda c: F.replace(c, F.lit(_EMPTY), F.lit("")))))
 
 
 _HEAD = _struct.Struct("<BBBIIQQQdd")
