@@ -20,6 +20,8 @@ OVERLAY_COLUMNS = ["reference", *FALLBACK_COLUMNS[:2], *FALLBACK_COLUMNS[2:6], "
 BROADCAST_ROWS = 64
 #: Parts that the keys of one window are dealt into before the first ones are taken.
 SALT = 64
+#: Ranges of ordered rows for each shuffle partition, so that tasks that get several are alike.
+SPREAD = 4
 
 
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -171,19 +173,50 @@ def limit_per(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
+def _ranged(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """events with _part: parts of about equal size, in which the rows of a key are consecutive. However many rows a key has, they are spread."""
+    parts = SPREAD * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id())
+
+
+def _numbered(local: DataFrame, key: str, goes_on: Column, rows: str) -> DataFrame:
+    """local (a row for each run of a key within a part: _part, _run from 1, _head and _tail) with run, its number over all parts, and before: rows of the key in earlier parts.
+
+    Only borders are carried, a row for each key and part: goes_on tells from _tail of the part before and _head whether a run goes on.
+    """
+    p = local.groupBy(key, "_part").agg(F.min_by("_head", "_run").alias("_head"), F.max_by("_tail", "_run").alias("_last"), F.max("_run").alias("_runs"), F.sum(rows).alias("_rows"))
+    w = Window.partitionBy(key).orderBy("_part")
+    p = p.withColumn("_tail", F.lag("_last").over(w)).withColumn("_on", F.when(F.lag("_part").over(w).isNotNull() & F.coalesce(goes_on, F.lit(False)), 1).otherwise(0))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum(F.col("_runs") - F.col("_on")).over(earlier), F.lit(0)) - F.col("_on")
+    p = p.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), base.alias("_base"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("before"))
+    return local.join(p, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))).withColumn("run", F.col("_base") + F.col("_run")).drop("_k", "_p", "_base")
+
+
 def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Sessions of a key split by inactivity: n, started, ended, seconds."""
-    w = Window.partitionBy(key).orderBy(ts, "event_id") if "event_id" in events.columns else Window.partitionBy(key).orderBy(ts)
-    fresh = F.coalesce((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lag(ts).over(w).cast("timestamp")) > gap_seconds).cast("int"), F.lit(1))
-    s = events.withColumn("_f", fresh).withColumn("session", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy(key, "session").agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
+    """Sessions of a key split by inactivity: n, started, ended. Ranges of a key's rows are scanned alone, open sessions are carried over their borders."""
+    order = [ts, "event_id"] if "event_id" in events.columns else [ts]
+    d = _ranged(events.select(key, *order), key, order)
+    w = Window.partitionBy("_part", key).orderBy(*order)
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    fresh = F.coalesce((seconds(ts) - F.unix_timestamp(F.lag(ts).over(w).cast("timestamp")) > gap_seconds).cast("int"), F.lit(1))
+    d = d.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = d.groupBy(key, "_part", "_run").agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended")).withColumns({"_head": F.col("started"), "_tail": F.col("ended")})
+    s = _numbered(local, key, seconds("_head") - seconds("_tail") <= gap_seconds, "n")
+    return s.groupBy(key, F.col("run").alias("session")).agg(F.sum("n").alias("n"), F.min("started").alias("started"), F.max("ended").alias("ended"))
 
 
 def streaks(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: key, value, n and their first and last place."""
-    w = Window.partitionBy(key).orderBy(*order)
-    m = events.withColumn("_i", F.row_number().over(w)).withColumn("_j", F.row_number().over(Window.partitionBy(key, value).orderBy(*order)))
-    return m.groupBy(key, value, (F.col("_i") - F.col("_j")).alias("_run")).agg(F.count("*").alias("n"), F.min("_i").alias("first"), F.max("_i").alias("last")).drop("_run")
+    """Runs of equal values in order: key, value, n and their first and last place. Scanned and carried like sessions."""
+    d = _ranged(events.select(*dict.fromkeys([key, *order, value])), key, order)
+    w = Window.partitionBy("_part", key).orderBy(*order)
+    held = F.struct(F.col(value).alias("v"))
+    d = d.withColumn("_i", F.row_number().over(w)).withColumn("_f", F.when(F.lag(held).over(w) == held, 0).otherwise(1))
+    d = d.withColumn("_run", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = d.groupBy(key, "_part", "_run").agg(F.first(held).alias("_head"), F.count("*").alias("n"), F.min("_i").alias("first"), F.max("_i").alias("last")).withColumn("_tail", F.col("_head"))
+    s = _numbered(local, key, F.col("_head") == F.col("_tail"), "n")
+    r = s.groupBy(key, "run").agg(F.first("_head.v").alias(value), F.sum("n").alias("n"), F.min(F.col("first") + F.col("before")).cast("int").alias("first"), F.max(F.col("last") + F.col("before")).cast("int").alias("last"))
+    return r.select(key, value, "n", "first", "last")
 
 
 def bisect_windows(daily: DataFrame, start: str, end: str, cap: int) -> DataFrame:

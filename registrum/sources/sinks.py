@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.functions import fixed
 from registrum.functions.text import blank_to_null, sanitize_path_part
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite", single: bool = False, escape: str = '"') -> None:
-    """CSV with a header; single joins the parts, for exports that people open."""
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite", order: list[str] | None = None, escape: str = '"') -> None:
+    """CSV with a header in every part; order: parts and the rows in them follow these columns, so that part names list the whole in order."""
     out = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns or df.columns])
-    (out.coalesce(1) if single else out).write.mode(mode).option("header", True).option("emptyValue", "").option("escape", escape).csv(path)
+    by = [F.col(f"`{c}`") for c in order or []]
+    out = out.repartitionByRange(*by).sortWithinPartitions(*by) if by else out
+    out.write.mode(mode).option("header", True).option("emptyValue", "").option("escape", escape).csv(path)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """part, bytes of an export's files, in the order in which they make the whole."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("part"), F.col("length").alias("bytes")).filter("part like 'part-%'").orderBy("part")
+
+
+def join_parts(spark: SparkSession, path: str, target: str) -> int:
+    """Writes an export's parts as one file, for programs that want one, with one header; gives the number of parts.
+
+    Bytes are streamed from file to file, a buffer at a time; no task or driver holds the export.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    names = [r["part"] for r in manifest(spark, path).select("part").toLocalIterator()]
+    fs = hadoop.fs.Path(path).getFileSystem(conf)
+    out = hadoop.fs.Path(target).getFileSystem(conf).create(hadoop.fs.Path(target), True)
+    try:
+        for k, name in enumerate(names):
+            part = fs.open(hadoop.fs.Path(f"{path.rstrip('/')}/{name}"))
+            try:
+                while k and part.read() not in (10, -1):  # later parts leave their header out; names of columns hold no line end
+                    pass
+                hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    return len(names)
 
 
 def write_applications(leads: DataFrame, path: str) -> None:
-    write_csv(leads, path, fixed.APPLICATION_COLUMNS, single=True)
+    """Leads in the order of councils and references."""
+    write_csv(leads, path, fixed.APPLICATION_COLUMNS, order=["council", "Reference"])
 
 
 def write_failures(rows: DataFrame, path: str) -> None:
-    write_csv(rows, path, fixed.FAILURE_COLUMNS, single=True)
+    write_csv(rows, path, fixed.FAILURE_COLUMNS, order=["council"])
 
 
 def append_history(row: DataFrame, path: str) -> None:
-    write_csv(row, path, fixed.HISTORY_COLUMNS, mode="append", single=True)
+    write_csv(row, path, fixed.HISTORY_COLUMNS, mode="append")
 
 
 def drop_empty_json(*cols: str) -> Column:
