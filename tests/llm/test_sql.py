@@ -11,7 +11,8 @@ DIR = "/root/testdata/sf0.001"
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{DIR}/documents.parquet')")
+    for table in ("documents", "labels"):
+        con.execute(f"create view {table} as select * from read_parquet('{DIR}/{table}.parquet')")
     r = con.execute(ORACLES[name])
     columns = [c[0] for c in r.description]
     df = QUERIES[name](spark, DIR)
