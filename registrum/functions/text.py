@@ -15,7 +15,7 @@ from registrum.functions import fixed
 
 #: White space as Unicode has it; Java's own class stops at ASCII.
 SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-#: Entities that registers use most; texts with none but these are resolved by plain replacement.
+#: Entities that registers use most.
 ENTITIES = [("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&pound;", "£"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 
 
@@ -45,7 +45,6 @@ _NAMES = _entity_names()
 _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 #: Numbers that stand for characters of Windows-1252.
 _WINDOWS = json.dumps({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)})
-_PLAIN = "&(?!(?:" + "|".join(e[1:] for e, _ in ENTITIES) + "))[#A-Za-z]"
 
 
 def _character(number: Column) -> Column:
@@ -58,18 +57,15 @@ def _character(number: Column) -> Column:
     return F.when(bad, "\ufffd").when(n == 0xD, "\r").when(mapped.isNotNull(), mapped).when(none, "").otherwise(shown)
 
 
-def _named(name: Column) -> Column:
-    return F.try_element_at(F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,map<string,string>>"), F.left(name, F.lit(1))), name)
-
-
-def _resolved(part: Column) -> Column:
-    """What stood behind an ampersand, with the ampersand resolved: the longest known name, or a number."""
+def _resolved(part: Column, names: Column) -> Column:
+    """What stood behind an ampersand, with the ampersand resolved: the longest of names that fits, or a number."""
+    called = lambda name: F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
     after = lambda name: F.substring(part, F.length(name) + 1, F.length(part))
     rest = lambda p: F.regexp_replace(part, p, "")
     kept = F.concat(F.lit("&"), part)
-    bare = lambda b: F.when(b == "", kept).otherwise(F.concat(_named(b), after(b)))
+    bare = lambda b: F.when(b == "", kept).otherwise(F.concat(called(b), after(b)))
     name = lambda w, known: F.when(known.isNotNull(), F.concat(known, after(w))).otherwise(let(F.regexp_extract(w, f"^({_BARE})", 1), bare))
-    named = let(F.regexp_extract(part, "^([^\\t\\n\\f <&#;]{1,32};?)", 1), lambda w: let(_named(w), lambda known: name(w, known)))
+    named = let(F.regexp_extract(part, "^([^\\t\\n\\f <&#;]{1,32};?)", 1), lambda w: let(called(w), lambda known: name(w, known)))
     decimal = lambda d: F.concat(let(F.ltrim(d, F.lit("0")).try_cast("bigint"), _character), rest("^#[0-9]+;?"))
     value = lambda h: F.when(F.length(F.ltrim(h, F.lit("0"))) <= 8, F.conv(h, 16, 10)).try_cast("bigint")
     hexed = lambda h: F.when(h == "", kept).otherwise(F.concat(let(value(h), _character), rest("^#[xX][0-9a-fA-F]+;?")))
@@ -78,20 +74,17 @@ def _resolved(part: Column) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """All HTML entities, as browsers read them: names with and without semicolon, the longest that fits, and numbers."""
-    whole = F.array_join(F.transform(F.split(col(c), "&"), lambda part, i: F.when(i == 0, part).otherwise(_resolved(part))), "")
-    return F.when(F.contains(col(c), F.lit("&")), whole).otherwise(col(c))
-
+    """All HTML entities, as browsers read them: names with and without semicolon, the longest that fits, and numbers.
 
-def unescape_entities(c: Column | str) -> Column:
-    """unescape(), by plain replacement where a text has but the usual entities."""
-    usual = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, col(c))
-    return F.when(~F.contains(col(c), F.lit("&")), col(c)).when(col(c).rlike(_PLAIN), unescape(c)).otherwise(usual)
+    c stands in the expression once, so that calls within calls don't multiply it.
+    """
+    whole = lambda names: F.array_join(F.transform(F.split(col(c), "&"), lambda part, i: F.when(i == 0, part).otherwise(_resolved(part, names))), "")
+    return let(F.from_json(F.lit(_NAMES), "map<string,map<string,string>>"), whole)
 
 
 def clean_text(c: Column | str) -> Column:
     """Entities resolved, white space collapsed and trimmed; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(unescape_entities(c), SPACE + "+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(unescape(c), SPACE + "+", " ")), F.lit(""))
 
 
 def normalize_label(c: Column | str) -> Column:

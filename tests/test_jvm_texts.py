@@ -28,7 +28,6 @@ def test_entities_equal_the_library(spark):
     rows = [*odd, *[f"a&{n}b" for n in rng.sample(names, 150)], *[f"&{n}" for n in names if not n.endswith(";")], *mixed]
     expect = [None if r is None else html.unescape(r) for r in rows]
     assert values(spark, rows, "t string", text.unescape("t")) == expect
-    assert values(spark, rows, "t string", text.unescape_entities("t")) == expect
     assert values(spark, ["&hellip; A&eacute;&nbsp; &amp;lt; "], "t string", text.clean_text("t")) == ["… Aé &lt;"]
 
 
