@@ -153,7 +153,7 @@ def boundary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select s_suppkey, case when s_suppkey % 4 = 0 then 'Nuneaton' else 'A' || s_suppkey end authority, case when s_suppkey % 4 = 0 then 'tascomi' when s_suppkey % 2 = 0 then 'idox' else 'unknown' end portal_family, case when s_suppkey % 4 = 0 then 'https://idoxcloud.nuneatonandbedworth.gov.uk/planning/index.html?fa=search' else 'https://p/' || s_suppkey end listing_url, s_suppkey % 3 > 0 link_test_ok from supplier")
 def catalogue_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of catalogue features: current portals of some authorities override what the catalogue says."""
-    f = "'{\"type\":\"Feature\",\"properties\":{\"' || if(s_suppkey % 2 = 0, 'authority', 'council_name') || '\":\"' || if(s_suppkey % 4 = 0, 'Nuneaton', 'A' || s_suppkey) || '\",' || if(s_suppkey % 2 = 0, '\"portal_family\":\"idox\",', '') || '\"planning_url\":\"https://p/' || s_suppkey || '\",\"link_test_ok\":' || (s_suppkey % 3 > 0) || '},\"geometry\":{\"type\":\"Polygon\",\"coordinates\":[[[' || s_suppkey || ',0],[200,0],[200,1]]]}}'"
+    f = "'{\"type\":\"Feature\",\"properties\":{\"' || if(s_suppkey % 2 = 0, 'authority', 'council_name') || '\":\"' || if(s_suppkey % 4 = 0, 'Nuneaton', 'A' || s_suppkey) || '\",' || if(s_suppkey % 2 = 0, '\"portal_family\":\"idox\",', '') || '\"planning_url\":\"https://p/' || s_suppkey || '\",\"link_test_ok\":' || (s_suppkey % 3 > 0) || '},\"geometry\":{\"type\":\"Polygon\",\"coordinates\":[[[' || s_suppkey || ',0],[' || (s_suppkey + 1) || ',0],[' || (s_suppkey + 1) || ',1]]]}}'"
     s = table(spark, sf_dir, "supplier").select(F.expr(f).alias("value"))
     c = payloads.catalogue_rows(payloads.boundary_rows(s))
     return c.select(F.col("box.x0").cast("long").alias("s_suppkey"), "authority", "portal_family", "listing_url", "link_test_ok")
