@@ -194,15 +194,18 @@ def _numbered(local: DataFrame, key: str, goes_on: Column, rows: str) -> DataFra
 
 
 def gap_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Sessions of a key split by inactivity: n, started, ended. Ranges of a key's rows are scanned alone, open sessions are carried over their borders."""
+    """Sessions of a key split by inactivity: n, started, ended. Ranges of a key's rows are scanned alone, open sessions are carried over their borders.
+
+    Times count in whole seconds, to the nearest (the even one of two), before the gap is taken, as SQL casts them.
+    """
     order = [ts, "event_id"] if "event_id" in events.columns else [ts]
     d = _ranged(events.select(key, *order), key, order)
     w = Window.partitionBy("_part", key).orderBy(*order)
-    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    fresh = F.coalesce((seconds(ts) - F.unix_timestamp(F.lag(ts).over(w).cast("timestamp")) > gap_seconds).cast("int"), F.lit(1))
+    seconds = lambda c: F.rint(F.unix_micros(c.cast("timestamp")) / 1_000_000).cast("long")
+    fresh = F.coalesce((seconds(F.col(ts)) - seconds(F.lag(ts).over(w)) > gap_seconds).cast("int"), F.lit(1))
     d = d.withColumn("_f", fresh).withColumn("_run", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     local = d.groupBy(key, "_part", "_run").agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended")).withColumns({"_head": F.col("started"), "_tail": F.col("ended")})
-    s = _numbered(local, key, seconds("_head") - seconds("_tail") <= gap_seconds, "n")
+    s = _numbered(local, key, seconds(F.col("_head")) - seconds(F.col("_tail")) <= gap_seconds, "n")
     return s.groupBy(key, F.col("run").alias("session")).agg(F.sum("n").alias("n"), F.min("started").alias("started"), F.max("ended").alias("ended"))
 
 

@@ -1,5 +1,6 @@
 """Rows that only larger tables have: what SQL gives for them, the registered queries give too."""
 
+import datetime
 import os
 from pathlib import Path
 
@@ -47,3 +48,11 @@ def replaced(name, **columns):
 def test_catalogue_targets_of_large_keys(both):
     got, expect = both("catalogue_targets", supplier=replaced("supplier", s_suppkey=[1, 199, 200, 201, 1000, 123456]))
     assert got == expect
+
+
+def test_sessions_round_seconds_as_sql(both):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    ts = [at(x) for a, b in ((0.4, 7200.6), (0.6, 7201.4), (0.5, 7200.5), (1.5, 7202.5), (2.5, 7202.51), (0.0, 7200.0), (0.49, 7200.5)) for x in (a, b)]
+    n = range(len(ts))
+    got, expect = both("inactivity_sessions", events=replaced("events", event_id=[*n], user_id=[i // 2 for i in n], ts=ts))
+    assert got == expect and [sum(r[0] == u for r in got) for u in range(7)] == [2, 1, 1, 1, 2, 1, 1]
