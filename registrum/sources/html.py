@@ -47,13 +47,15 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES:
+            ended = None  # the outermost: a row ends the open cell and its row, or rows without end tags would nest
             for k in range(len(self.open) - 1, -1, -1):
                 name = self.rows[self.open[k]][2]
                 if name in _CLOSES[tag]:
-                    self.end(k)
-                    break
-                if name in _SCOPE:
+                    ended = k
+                elif name in _SCOPE:
                     break
+            if ended is not None:
+                self.end(ended)
         n, parent, at = len(self.rows), self.open[-1] if self.open else -1, len(self.pieces)
         kind = (parent, _KINDS.get(tag, tag))
         before = self.latest.get(kind)
