@@ -10,10 +10,13 @@ very many nodes is spread over tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from itertools import accumulate
+from operator import or_
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"t
 #: Tags that are one kind among siblings.
 _KINDS = {"th": "cell", "td": "cell", "dt": "term", "dd": "term"}
 _SCOPE = {"table", "ul", "ol", "dl", "select", "body", "html", "div"}
+#: Bytes of pages that are parsed at once; a longer page is one portion.
+PORTION = 1 << 22
 #: begin and end: the node's pieces; a script's or style's own are code's, numbered -1, -2 and so on. peer: the next sibling of the same kind, nth: its place among them.
 NODE = "node int, parent int, tag string, attrs map<string,string>, begin int, end int, last int, up array<int>, peer int, nth int"
 TREE = f"nodes array<struct<{NODE.replace(' ', ': ').replace(',: ', ', ')}>>, pieces array<string>, code array<string>, turns array<int>"
@@ -105,6 +110,18 @@ def _dealt(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
+def _portions(b: pa.RecordBatch, html: str) -> Iterator[pa.RecordBatch]:
+    """b in runs of pages of about PORTION bytes, so that large pages are not parsed all at once."""
+    begin = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(html)), 0).to_pylist()):
+        if i > begin and size + n > PORTION:
+            yield b.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if b.num_rows > begin or not b.num_rows:
+        yield b.slice(begin)
+
+
 def trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key and TREE of every page; a null page has no nodes."""
     kind = pages.schema[key].dataType.simpleString()
@@ -113,13 +130,14 @@ def trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     names = [c.split()[0] for c in NODE.split(", ")]
 
     def run(it: Iterator) -> Iterator:
-        for b in it:
-            found = [parse(h) for h in b.column(html).to_pylist()]
-            ends = pa.array([0, *accumulate(len(t.rows) for t in found)], pa.int32())
-            cols = list(zip(*[r for t in found for r in t.rows])) or [()] * len(kinds)
-            nodes_ = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names))
-            texts = lambda rows: pa.array(rows, pa.list_(pa.string()))
-            yield pa.record_batch([b.column(key), nodes_, texts([t.pieces for t in found]), texts([t.code for t in found]), pa.array([t.turns for t in found], ints)], names=[key, "nodes", "pieces", "code", "turns"])
+        texts = lambda rows: pa.array(rows, pa.list_(pa.string()))
+        for whole in it:
+            for b in _portions(whole, html):
+                found = [parse(h) for h in b.column(html).to_pylist()]
+                ends = pa.array([0, *accumulate(len(t.rows) for t in found)], pa.int32())
+                cols = list(zip(*[r for t in found for r in t.rows])) or [()] * len(kinds)
+                nodes_ = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names))
+                yield pa.record_batch([b.column(key), nodes_, texts([t.pieces for t in found]), texts([t.code for t in found]), pa.array([t.turns for t in found], ints)], names=[key, "nodes", "pieces", "code", "turns"])
 
     return _dealt(pages.select(key, html)).mapInArrow(run, f"{key} {kind}, {TREE}")
 
@@ -167,14 +185,23 @@ def has_class(name: str) -> Column:
     return F.coalesce(F.array_contains(F.split(F.trim(F.col("attrs")["class"]), r"\s+"), name), F.lit(False))
 
 
-def enclosing(items: DataFrame, nodes_: DataFrame, tests: list[Column], key: str = "page_id") -> DataFrame:
-    """items (key, node, and up unless it is to be looked up) with outer, outer_last, outer_text: the nearest ancestor that passes the first of tests that any passes."""
+def nearest(items: DataFrame, nodes_: DataFrame, tests: list[Column], key: str = "page_id") -> DataFrame:
+    """items (key, node, and up unless it is to be looked up) with outer, outer_last: the nearest ancestor that passes the first of tests that any passes.
+
+    Only numbers meet: an ancestor's text is as long as all it holds, and would go along with every item below it.
+    """
     rank = F.coalesce(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)])
-    c = nodes_.withColumn("_r", rank).filter("_r is not null").select(key, F.col("node").alias("_n"), F.col("last").alias("_l"), F.col("text").alias("_t"), "_r")
+    c = nodes_.withColumn("_r", rank).filter("_r is not null").select(key, F.col("node").alias("_n"), F.col("last").alias("_l"), "_r")
     here = items if "up" in items.columns else nodes_.select(key, "node", "up").join(items.select(key, "node").distinct(), [key, "node"], "left_semi")
     above = here.select(key, "node", F.explode("up").alias("_n")).join(c, [key, "_n"])
-    best = above.groupBy(key, "node").agg(F.min_by(F.struct("_n", "_l", "_t"), F.struct("_r", -F.col("_n"))).alias("e"))
-    return items.join(best.select(key, "node", F.col("e._n").alias("outer"), F.col("e._l").alias("outer_last"), F.col("e._t").alias("outer_text")), [key, "node"], "left")
+    best = above.groupBy(key, "node").agg(F.min_by(F.struct("_n", "_l"), F.struct("_r", -F.col("_n"))).alias("e"))
+    return items.join(best.select(key, "node", F.col("e._n").alias("outer"), F.col("e._l").alias("outer_last")), [key, "node"], "left")
+
+
+def enclosing(items: DataFrame, nodes_: DataFrame, tests: list[Column], key: str = "page_id") -> DataFrame:
+    """nearest() with outer_text, the text of outer."""
+    held = nodes_.filter(reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests]))
+    return nearest(items, nodes_, tests, key).join(held.select(key, F.col("node").alias("outer"), F.col("text").alias("outer_text")), [key, "outer"], "left")
 
 
 def first_within(items: DataFrame, nodes_: DataFrame, test: Column, name: str, key: str = "page_id") -> DataFrame:

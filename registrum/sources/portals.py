@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registrum.functions import dates, fixed, urls
 from registrum.functions.text import application_number, blank_to_null, clean_text, contains_any, extract_postcode, idox_reference, northgate_reference, reference, trim_text, without_label, without_reference
 from registrum.operators.relations import first_wins
-from registrum.sources.html import anchors, enclosing, first_within, has_class, header_tables, label_columns, labelled_pairs, row_cells, sequential_pairs
+from registrum.sources.html import anchors, enclosing, first_within, has_class, header_tables, label_columns, labelled_pairs, nearest, row_cells, sequential_pairs
 from registrum.sources.listings import labelled_text
 
 def _row() -> Column:
@@ -257,13 +257,15 @@ def table_or_list(nodes: DataFrame, page: Column, key: str = "page_id") -> DataF
 def nested_results(nodes: DataFrame, page: Column, key: str = "page_id") -> DataFrame:
     """Result tables within a table: the longest wide cell that tells no decision is the description, its end after "at" the address."""
     a = anchors(nodes, key).filter(F.contains(_low("href"), F.lit("plappdets")))
-    a = enclosing(a, nodes, [F.col("tag") == "table"], key).filter("outer is not null")
-    t = a.groupBy(key, "outer", "outer_last", "outer_text").agg(F.min_by("href", "node").alias("href"))
-    forms = nodes.filter("tag = 'form'").select(F.col(key).alias("_fk"), F.col("node").alias("_f"))
-    wide = nodes.filter("tag = 'td' and attrs['colspan'] = '2'").select(F.col(key).alias("_k"), F.col("node").alias("_n"), F.col("last").alias("_l"), clean_text("text").alias("_t"))
-    wide = wide.join(forms, (F.col("_k") == F.col("_fk")) & (F.col("_f") > F.col("_n")) & (F.col("_f") <= F.col("_l")), "left_anti").filter("_t is not null and not contains(lower(_t), 'decision has')")
-    j = t.join(wide, (F.col(key) == F.col("_k")) & (F.col("_n") > F.col("outer")) & (F.col("_n") <= F.col("outer_last")), "left")
-    d = j.groupBy(key, "outer", "outer_text", "href").agg(F.max_by("_t", F.struct(F.length("_t"), -F.col("_n"))).alias("description"))
+    t = nearest(a, nodes, [F.col("tag") == "table"], key).filter("outer is not null").groupBy(key, "outer").agg(F.min_by("href", "node").alias("href"))
+    forms = nodes.filter("tag = 'form'").select(key, F.explode("up").alias("_n")).distinct()
+    wide = nodes.filter("tag = 'td' and attrs['colspan'] = '2'").select(key, F.col("node").alias("_n"), clean_text("text").alias("_t"), "up").filter("_t is not null and not contains(lower(_t), 'decision has')")
+    wide = wide.join(forms, [key, "_n"], "left_anti")
+    own = wide.select(key, "_n", F.length("_t").alias("_l"), F.explode("up").alias("outer")).join(t.select(key, "outer"), [key, "outer"])  # numbers first, the chosen texts then
+    best = own.groupBy(key, "outer").agg(F.max_by("_n", F.struct("_l", -F.col("_n"))).alias("_n"))
+    best = best.join(wide.select(key, "_n", F.col("_t").alias("description")), [key, "_n"]).drop("_n")
+    tables = nodes.filter("tag = 'table'").select(key, F.col("node").alias("outer"), F.col("text").alias("outer_text"))
+    d = t.join(best, [key, "outer"], "left").join(tables, [key, "outer"], "left")
     text = clean_text("outer_text")
     ref = F.coalesce(urls.query_param("href", "casefullref"), blank_to_null(F.regexp_extract(text, fixed.TABLE_NUMBER, 1)))
     place = F.when(F.contains(_low("description"), F.lit(" at ")), F.rtrim(F.regexp_extract("description", fixed.AFTER_AT, 1), F.lit(".")))

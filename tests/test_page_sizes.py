@@ -1,6 +1,9 @@
 """Trees and listings of pages with very many rows: what is held and moved grows with the page, not with its square."""
 
+from pyspark.sql import functions as F
+
 from registrum.sources import html
+from registrum.sources import portals as P
 
 
 def test_rows_without_end_tags_do_not_nest(spark):
@@ -20,3 +23,17 @@ def test_open_elements_end_up_to_their_scope(spark):
         ("tr", ["table", "tr", "td", "table"]), ("td", ["table", "tr", "td", "table", "tr"]), ("tr", ["table"]), ("td", ["table", "tr"]),
     ]
     assert tags("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == [("ul", []), ("li", ["ul"]), ("ul", ["ul", "li"]), ("li", ["ul", "li", "ul"]), ("li", ["ul", "li", "ul"]), ("li", ["ul"])]
+
+
+def test_texts_of_ancestors_stay_where_they_are(spark):
+    """The text of a table around many tables goes along with none of them, and results are the same."""
+    n = 200
+    one = '<tr><td><table><tr><td><a href="PlAppDets.asp?casefullref=N{0}">N{0}</a></td><td>Registered : 05/06/2026</td></tr><tr><td colspan="2">Gates at {0} Road</td></tr><tr><td colspan="2"><form>a form with a far longer text</form></td></tr></table></td></tr>'
+    p = spark.createDataFrame([(k, "<table>" + "".join(one.format(i) for i in range(n)) + "</table>") for k in range(2)], "page_id int, html string")
+    nodes = html.stored_nodes(p)
+    got = P.nested_results(nodes, F.lit("https://r.example/a/list.do"))
+    assert sorted(tuple(r) for r in got.select("page_id", "reference", "description", "address").collect()) == sorted((k, f"N{i}", f"Gates at {i} Road", f"{i} Road") for k in range(2) for i in range(n))
+    met = html.nearest(html.anchors(nodes), nodes, [F.col("tag") == "table"])
+    assert "outer_text" not in met.columns and met.select("outer").distinct().count() == n
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and " > " in x]  # no pairs of all numbers of a page
