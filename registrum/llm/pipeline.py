@@ -33,8 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     d = docs.withColumn(KEY, row_key())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY)).alias("first")
     fps = staged(simhash.fingerprints(d, simhash.WORDS, KEY).groupBy("fp").agg(first), "distinct-fingerprints")
-    groups = simhash.components(simhash.links(fps.select(F.col("fp").alias("node"), "fp")))
-    named = fps.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    edges = simhash.links(fps.select(F.col("fp").alias("node"), "fp"))
+    named = simhash.joined(fps, simhash.components(edges).withColumnRenamed("node", "fp"), "fp", "left")
+    discard(edges)
     kept = named.groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first")).select(f"first.{KEY}")
     return d.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 

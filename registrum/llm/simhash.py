@@ -8,7 +8,10 @@ against the budgets of all longer chains, and what they leave against the full d
 
 Copies are folded to one row per distinct fingerprint first, and fingerprints, not documents, are linked. In a bucket, pairs are compared in blocks of bounded size and
 only a spanning forest of the links leaves it, never all pairs; buckets over BLOCK fingerprints are dealt out as pairs of
-blocks. Components come from alternating large-star and small-star steps on written tables.
+blocks, short ones are compared together. Components come from alternating large-star and small-star steps on written tables.
+
+All joins are by shuffle: a planner takes a written table for as large as its compressed file and 24 keys a row for one, and
+would send millions of rows through the driver. Aggregates that are joined back are written first, so a hot key's rows can be split.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; repeated rows
 stay repeated; unlike texts under one doc_id are rows of their own; rows without a doc_id link like others, and a component
@@ -17,10 +20,9 @@ that has none is null; extra columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,9 @@ from registrum.llm.common import discard, doc_texts, documents, release, staged
 MOST, WORDS = 3, 3
 #: Fingerprints of a block. Larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
+#: Fingerprints of a run (a bucket, or two of its blocks) that is compared together with others; most have two.
+SHORT = 16
+SORTED = ("key", "x", "y", "side", "node", "fp")
 SEGMENTS, WIDTH = 8, 8
 
 
@@ -80,41 +85,83 @@ def _chains(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Links within a (same), or between a and b, thinned to a spanning forest over positions in a + b."""
-    n = len(a)
-    root = list(range(n + (0 if same else len(b))))
+def _near(x: np.ndarray) -> np.ndarray:
+    """Places in x of linked pairs: the chains first, then the full distance."""
+    found = _chains(x)
+    return found[np.bitwise_count(x[found]) <= MOST]
+
+
+def _forest(pairs: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Of linked pairs of positions, those that join what the ones before have not."""
+    root: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+        while (j := root.get(i, i)) != i:
+            root[i] = i = root.get(j, j)
         return i
 
-    out = []
-    for i in range(n):
-        x = a[i] ^ (a[i + 1 :] if same else b)
-        near = _chains(x)
-        for j in near[np.bitwise_count(x[near]) <= MOST].tolist():
-            j = j + (i + 1 if same else n)
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((i, j))
-    return out
+    for i, j in pairs:
+        p, q = find(i), find(j)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            yield i, j
 
 
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node")
-    side = pdf["side"].to_numpy()
-    fp, node = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
-    if (side == 0).all():
-        rows = [(node[i], node[j]) for i, j in _forest(fp, fp, True)]
-    else:
-        l, r = side == 1, side == 2
-        names = np.concatenate([node[l], node[r]])
-        rows = [(names[i], names[j]) for i, j in _forest(fp[l], fp[r], False)]
-    return pd.DataFrame([(min(x), max(x)) for x in rows], columns=["a", "b"], dtype="int64")
+def _short(fp: np.ndarray, side: np.ndarray, run: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Linked pairs of neighbours in the same run, all runs at once: a step for each distance up to the longest run's."""
+    for d in range(1, len(run)):
+        i = np.flatnonzero(run[d:] == run[:-d])
+        if not len(i):
+            break
+        i = i[(side[i] == 0) | (side[i] != side[i + d])]
+        i = i[_near(fp[i] ^ fp[i + d])]
+        yield from zip(i.tolist(), (i + d).tolist())
+
+
+def _long(fp: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Linked pairs of one run: within a block, or between two."""
+    own = bool((side == 0).all())
+    left, right = (np.arange(len(fp)),) * 2 if own else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    for k, i in enumerate(left.tolist()):
+        others = right[k + 1 :] if own else right
+        yield from ((i, j) for j in others[_near(fp[i] ^ fp[others])].tolist())
+
+
+def _whole(it: Iterator) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of SORTED and the starts of the runs of one key, x and y in them; no run is cut by the end of a batch."""
+    held = None
+    for b in it:
+        rows = [b.column(c).to_numpy(zero_copy_only=False) for c in SORTED]
+        rows = rows if held is None else [np.concatenate(c) for c in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:3]])]))
+        last = starts[-1]
+        if last:
+            yield [c[:last] for c in rows], starts[:-1]
+        held = [c[last:].copy() for c in rows]
+    if held is not None:
+        yield held, np.zeros(1, dtype=np.int64)
+
+
+def _links(it: Iterator) -> Iterator:
+    """a, b: spanning forests of the links within each run."""
+    for (_, _, _, side, node, fp), starts in _whole(it):
+        fp, size = fp.view(np.uint64), np.diff(np.concatenate([starts, [len(fp)]]))
+        run = np.repeat(np.arange(len(starts)), size)
+        short = np.flatnonzero((size[run] > 1) & (size[run] <= SHORT))
+        found = [short[list(p)] for p in _forest(_short(fp[short], side[short], run[short]))]
+        for k in np.flatnonzero(size > SHORT).tolist():
+            of = slice(starts[k], starts[k] + size[k])
+            found += [starts[k] + np.array(p) for p in _forest(_long(fp[of], side[of]))]
+        ends = np.sort(node[np.array(found, dtype=np.int64).reshape(-1, 2)], axis=1)
+        yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+    release()
+
+
+def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle, whatever size the planner takes the tables for."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def keys(fps: DataFrame) -> DataFrame:
@@ -132,17 +179,20 @@ def keys(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """fps: node, fp, one row per distinct fp and node. Pairs a < b that join every two linked fingerprints by paths."""
+    """fps: node, fp, one row per distinct fp and node. Pairs a < b that join every two linked fingerprints by paths, written."""
     k = keys(fps)
-    n = k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    k = k.join(n, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
+    n = staged(k.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+    k = joined(k, n, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     part = F.transform(
         F.sequence(F.lit(0), F.col("nb") - 1),
         lambda o: F.struct(F.least(o, own).alias("x"), F.greatest(o, own).alias("y"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")),
     )
     k = k.select("node", "fp", "key", F.explode(part).alias("p")).select("node", "fp", "key", "p.*")
-    return k.groupBy("key", "x", "y").applyInPandas(_links, "a long, b long").distinct()
+    k = k.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").select(*SORTED)
+    out = staged(k.mapInArrow(_links, "a long, b long").distinct(), "links")
+    discard(n)
+    return out
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -150,17 +200,18 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     e = staged(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        """a > b throughout. Large: neighbours above a node go to its smallest one. Small: those below do."""
+        """a > b throughout, written in place of e. Large: neighbours above a node go to its smallest one. Small: those below do."""
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        j = both.join(least, "a")
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        j = joined(both, least, "a")
         j = j.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else j.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        return j.filter("a != b").distinct()
+        out = staged(j.filter("a != b").distinct(), "stars")
+        discard(e, least)
+        return out
 
     last = None
     for _ in range(most):
-        e, old = staged(star(star(e, True), False), "stars"), e
-        discard(old)
+        e = star(star(e, True), False)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -174,12 +225,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     d = staged(fingerprints(docs, words), "fingerprints")
     fps = staged(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    groups = components(links(fps.select(F.col("fp").alias("node"), "fp"))).withColumnRenamed("node", "fp")
-    named = staged(fps.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named-fingerprints")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = staged(named.join(least, "component").select("fp", "component_id"), "components")
-    discard(fps)
-    return d.join(named, "fp").select("doc_id", "fp", "component_id")
+    edges = links(fps.select(F.col("fp").alias("node"), "fp"))
+    groups = components(edges).withColumnRenamed("node", "fp")
+    named = staged(joined(fps, groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named-fingerprints")
+    least = staged(named.groupBy("component").agg(F.min("first").alias("component_id")), "least-ids")
+    ids = staged(joined(named, least, "component").select("fp", "component_id"), "components")
+    discard(fps, edges, named, least)
+    return joined(d, ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

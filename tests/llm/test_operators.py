@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -128,6 +129,43 @@ def test_links_lose_no_component(spark, monkeypatch, block):
     assert [comp.get(k, k) for k in range(len(fps))] == [least[root[f]] for f in fps]
 
 
+def test_simhash_sends_no_table_through_the_driver(docs, monkeypatch):
+    """Written tables look small to the planner, which would broadcast them; no join may, whatever their size."""
+    plans, write = [], simhash.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "staged", lambda df, name: (plans.append(plan(df)), write(df, name))[1])
+    plans.append(plan(simhash.near_duplicates(docs)))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("size", [1, 7, 5000])
+def test_links_of_runs_that_batches_cut(size):
+    """Short and long runs, of one block and of two, give forests of the links inside each run and of no others."""
+    rng = random.Random(8)
+    rows, want = [], collections.defaultdict(list)
+    for key in range(120):
+        n, base, two = rng.choice([1, 2, 2, 3, 9, 16, 17, 40]), rng.getrandbits(64), rng.random() < 0.4
+        own = [(key, 0, int(two), rng.choice([1, 2]) if two else 0, 1000 * key + k, base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4)))) for k in range(n)]
+        rows += own
+        want[key] = [(a[4], b[4]) for i, a in enumerate(own) for b in own[i + 1 :] if (a[5] ^ b[5]).bit_count() <= 3 and (not two or a[3] != b[3])]
+    kinds = ("int64", "int32", "int32", "int32", "int64", "uint64")
+    cols = [np.array(c, dtype=k) for c, k in zip(zip(*rows), kinds)]
+    cols[5] = cols[5].view(np.int64)
+    batches = [pa.record_batch([pa.array(c[k : k + size]) for c in cols], names=list(simhash.SORTED)) for k in range(0, len(rows), size)]
+    found = [(x["a"], x["b"]) for b in simhash._links(iter(batches)) for x in b.to_pylist()]
+
+    def parts(pairs):
+        root = {r[4]: r[4] for r in rows}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+        return root
+
+    assert all(a < b for a, b in found) and set(found) <= {p for v in want.values() for p in v}
+    roots = parts(found)
+    assert roots == parts(p for v in want.values() for p in v) and len(found) == len(rows) - len(set(roots.values()))
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 7), (3, 5), (5, 3)], "a long, b long")
     c = dict(got(simhash.components(e), "node", "component"))
